@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from hearthline.llm.common import hash_share, id_bucket
 
 #: Most labelled rows of one class that a classifier is fitted on (in expectation; the choice is by hash).
-CLASS_BOUND = 8_000
+CLASS_BOUND = 4_000
 #: Folds of crc32(doc_id as text); this one is held out.
 FOLDS, HELD_OUT = 3, 1
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hearthline.llm import decontaminate, line_dedup, sentence_pieces, simhash, toxicity
+from hearthline.llm import decontaminate, line_dedup, media, quality, sentence_pieces, simhash, token_store, toxicity
 from hearthline.llm.common import table
 from hearthline.llm.labelled import held_out
 
@@ -15,6 +15,18 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "text", "n_lines", "n_dropped")
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit_quality(docs, table(spark, sf_dir, "labels"))
+    out = quality.score_quality(docs.select("doc_id", "text"), model)
+    return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shards = token_store.write_shards(table(spark, sf_dir, "documents"))
+    return token_store.read_documents(shards).withColumnRenamed("key", "doc_id")
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated_pairs(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -24,6 +36,11 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"), F.col("_component").alias("component_id"))
 
 
+def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = media.read_media(*media.store_media(table(spark, sf_dir, "documents")))
+    return out.withColumnRenamed("id", "doc_id")
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.fit_toxicity(docs, table(spark, sf_dir, "labels"))
@@ -37,8 +54,11 @@ def op10_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
+    "op2_quality": op2_quality,
+    "op3_token_store": op3_token_store,
     "op5_decontaminate": op5_decontaminate,
     "op6_simhash": op6_simhash,
+    "op8_media": op8_media,
     "op9_toxicity": op9_toxicity,
     "op10_sentence_pieces": op10_sentence_pieces,
 }

@@ -26,7 +26,8 @@ from pyspark.sql import functions as F
 
 from hearthline.llm.labelled import CLASS_BOUND, labelled_sample
 
-ORDER, SHARED, DISCOUNT, WINDOW = 6, 3, 0.75, 8
+#: Longest n-gram; longest n-gram of the shared backoff; least count of n-grams above SHARED + 1; words in a window.
+ORDER, SHARED, LEAST, DISCOUNT, WINDOW = 6, 3, 2, 0.75, 8
 CACHE = 300_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -81,7 +82,8 @@ def gram_counts(sample: DataFrame) -> DataFrame:
 
     words = sample.select("text", "label").mapInArrow(count_words, "word string, n1 long, n0 long").groupBy("word").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
     grams = words.mapInArrow(count_grams, "k int, gram long, ctx long, suffix long, n1 long, n0 long")
-    return grams.groupBy("k", "gram").agg(F.min("ctx").alias("ctx"), F.min("suffix").alias("suffix"), F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
+    grams = grams.groupBy("k", "gram").agg(F.min("ctx").alias("ctx"), F.min("suffix").alias("suffix"), F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
+    return grams.where((F.col("k") <= SHARED + 1) | (F.col("n1") + F.col("n0") >= LEAST))
 
 
 def _find(keys: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -192,12 +194,12 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1
 def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", bound: int = CLASS_BOUND, id_col: str = "doc_id", text_col: str = "text") -> ToxicModel:
     """Fitted on about bound documents of each class at most; counts from four folds, the curve from the fifth."""
     sample = labelled_sample(docs, labels, label, bound, id_col, text_col)
-    grams = gram_counts(sample.where("fold <> 0")).toPandas()
-    t = {c: grams[c].to_numpy() for c in grams.columns}
+    grams = gram_counts(sample.where("fold <> 0")).toArrow()
+    t = {c: grams[c].to_numpy() for c in grams.column_names}
     for c in ("gram", "ctx", "suffix"):
-        t[c] = t[c].astype(np.int64).view(np.uint64)
+        t[c] = t[c].view(np.uint64)
     share = sample.agg((F.sum(F.col("label") * F.col("weight")) / F.sum("weight")).alias("p")).first()["p"]
-    if not len(grams) or t["n1"].sum() == 0 or t["n0"].sum() == 0:
+    if not grams.num_rows or t["n1"].sum() == 0 or t["n0"].sum() == 0:
         return ToxicModel({k: (np.empty(0, np.uint64), np.empty(0)) for k in range(1, ORDER + 1)}, {k: (np.empty(0, np.uint64), np.empty(0)) for k in range(1, ORDER + 1)}, constant=float(share or 0.0))
     model = _class_tables(t)
     shipped = docs.sparkSession.sparkContext.broadcast(model)
