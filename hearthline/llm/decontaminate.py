@@ -2,14 +2,14 @@
 
 Texts become lower-case runs of letters and digits. At every position each mask picks some of the next tokens and
 hashes them; positions the mask skips may differ. Hashes of the benchmark meet those of the documents in a broadcast
-hash join. Around each hit the tokens of both sides are compared position by position, and a document is contaminated
+hash join, after a semi join on the offsets that all masks share has left few positions. Around each hit the tokens of both sides are compared position by position, and a document is contaminated
 by an item if some window of ``window`` tokens (the whole item, if shorter) that overlaps the hit agrees in ``share``
 of its positions or more. With the masks below any 13 tokens with up to two substitutions have a seed in common.
 
-The benchmark is broadcast in blocks of at most ``BLOCK`` seeds, so any size of benchmark is matched against all
+The benchmark is broadcast in blocks of about ``BLOCK`` positions at most, so any size of benchmark is matched against all
 documents with bounded memory; one block is the usual case.
 
-Defined results: null and empty texts or items match nothing; repeated rows each give their own result; items
+Defined results: null ids and null or empty texts or items match nothing; rows that share an id count as one document; items
 of fewer tokens than the shortest mask spans (six) match nothing, as so short a run says little.
 """
 
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 #: Token offsets of each mask. Together they have full sensitivity for two substitutions in 13 tokens.
 MASKS = ((0, 1, 2, 3, 6, 8), (0, 1, 3, 4, 5, 7), (0, 1, 2, 3, 4, 5))
-#: Most seeds in one broadcast: under 64 MB with their tokens.
+#: Most benchmark positions in one broadcast: some 20 MB.
 BLOCK = 200_000
 
 
@@ -28,38 +28,46 @@ def tokens(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(text), "[^\\p{L}\\p{N}]+"), "")
 
 
-def _seeds(at: Column, mask: tuple[int, ...], number: int, n: Column) -> Column:
-    """Hash of the masked tokens from at on; null where the mask reaches past the end."""
-    return F.when(at + F.lit(mask[-1]) < n, F.xxhash64(F.lit(number), *(F.get(F.col("_h"), at + F.lit(o)) for o in mask)))
+def _hash(at: Column, offsets: tuple[int, ...], number: int, n: Column) -> Column:
+    """Hash of the tokens at some offsets from at; null where they reach past the end."""
+    return F.when(at + F.lit(offsets[-1]) < n, F.xxhash64(F.lit(number), *(F.get(F.col("_h"), at + F.lit(o)) for o in offsets)))
 
 
-def _positions(df: DataFrame, masks: tuple[tuple[int, ...], ...]) -> DataFrame:
-    """One row per position and mask, with _seed and _at; _h and other columns stay."""
-    n = F.size("_h")
-    shortest = min(m[-1] for m in masks)
-    df = df.where(n > shortest).select("*", F.explode(F.sequence(F.lit(0), n - F.lit(shortest + 1))).alias("_at"))
-    seeds = F.array(*(F.struct(_seeds(F.col("_at"), m, i, n).alias("s"), F.lit(i).alias("m")) for i, m in enumerate(masks)))
-    return df.select("*", F.explode(seeds).alias("_s")).select(*df.columns, F.col("_s.s").alias("_seed"), F.col("_s.m").alias("_mask")).where(F.col("_seed").isNotNull())
+def _positions(df: DataFrame, key: str, masks: tuple[tuple[int, ...], ...]) -> DataFrame:
+    """(key, _at, _key, _s0, _s1, ...) for each position of the token hashes _h: hash of the offsets that all masks share, and of each mask."""
+    common = tuple(sorted(set.intersection(*map(set, masks))))
+    n, shortest = F.size("_h"), min(m[-1] for m in masks)
+    at = F.explode(F.when(n > shortest, F.sequence(F.lit(0), n - F.lit(shortest + 1)))).alias("_at")
+    seeds = [_hash(F.col("_at"), m, i, n).alias(f"_s{i}") for i, m in enumerate(masks)]
+    return df.select(key, "_h", at).select(key, "_at", _hash(F.col("_at"), common, -1, n).alias("_key"), *seeds)
+
+
+def _by_seed(positions: DataFrame, key: str, masks: tuple[tuple[int, ...], ...]) -> DataFrame:
+    """(key, _at, _seed): one row for each mask that fits."""
+    return positions.select(key, "_at", F.explode(F.array(*(f"_s{i}" for i in range(len(masks))))).alias("_seed")).where("_seed is not null")
 
 
 def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, window: int = 13, share: float = 0.8, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", masks=MASKS) -> DataFrame:
     """(id_col, item_col, matched): each document and benchmark item that share a verified overlap, and the most agreeing positions in one window."""
     hashed = lambda c: F.transform(tokens(F.col(c)), lambda t: F.xxhash64(t))
-    items = benchmark.where(F.col(item_text).isNotNull()).select(F.col(item_col).alias("_item"), hashed(item_text).alias("_h"))
-    seeds = _positions(items, masks).select("_seed", "_mask", "_item", F.col("_at").alias("_q"), F.col("_h").alias("_b"))
-    here = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("_doc"), hashed(text_col).alias("_h"))
-    here = _positions(here, masks)
-    blocks = max(1, -(-seeds.count() // BLOCK))
-    part = F.pmod(F.xxhash64("_seed"), F.lit(blocks))
-    found = None
+    items = benchmark.where(F.col(item_text).isNotNull() & F.col(item_col).isNotNull()).select(F.col(item_col).alias("_item"), hashed(item_text).alias("_h"))
+    texts = docs.where(F.col(text_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_doc"), hashed(text_col).alias("_h"))
+    wanted, here = _positions(items, "_item", masks), _positions(texts, "_doc", masks)
+    blocks = max(1, -(-wanted.count() // BLOCK))
+    part = F.pmod(F.xxhash64("_key"), F.lit(blocks))
+    hits = None
     for i in range(blocks):
-        hits = here.join(F.broadcast((seeds.where(part == i) if blocks > 1 else seeds).drop("_mask")), "_seed")
-        found = hits if found is None else found.unionByName(hits)
-    wide = F.least(F.size("_b"), F.lit(window))
-    # the aligned stretch around the hit: window - 1 positions to either side at most, within both texts
-    left = F.least(F.col("_at"), F.col("_q"), F.lit(window - 1))
-    right = F.least(F.size("_h") - F.col("_at"), F.size("_b") - F.col("_q"), F.lit(window + max(m[-1] for m in masks)))
-    found = found.select("_doc", "_item", wide.alias("_wide"), F.slice("_h", F.col("_at") - left + 1, left + right).alias("_x"), F.slice("_b", F.col("_q") - left + 1, left + right).alias("_y"))
+        some = wanted.where(part == i) if blocks > 1 else wanted
+        near = here.join(F.broadcast(some.select("_key").distinct()), "_key", "left_semi")
+        found = _by_seed(near, "_doc", masks).join(F.broadcast(_by_seed(some, "_item", masks).withColumnRenamed("_at", "_q")), "_seed")
+        hits = found if hits is None else hits.unionByName(found)
+    # hits that lie close together on one diagonal are looked at together: their windows form one stretch
+    hits = hits.groupBy("_doc", "_item", (F.col("_at") - F.col("_q")).alias("_diag"), F.floor(F.col("_q") / 8).alias("_part")).agg(F.min("_q").alias("_from"), F.max("_q").alias("_to"))
+    hits = hits.join(items.select("_item", F.col("_h").alias("_b")), "_item")
+    low = F.greatest(F.col("_from") - F.lit(window - 1), F.lit(0), -F.col("_diag"))
+    high = F.least(F.col("_to") + F.lit(window + max(m[-1] for m in masks)), F.size("_b"), F.size("_h") - F.col("_diag"))
+    found = hits.join(texts, "_doc").withColumns({"_low": low, "_n": high - low}).where("_n > 0")
+    found = found.select("_doc", "_item", F.least(F.size("_b"), F.lit(window)).alias("_wide"), F.slice("_h", F.col("_low") + F.col("_diag") + 1, F.col("_n")).alias("_x"), F.slice("_b", F.col("_low") + 1, F.col("_n")).alias("_y"))
     same = F.zip_with("_x", "_y", lambda x, y: (x == y).cast("int"))
     sums = F.transform(
         F.sequence(F.lit(0), F.size("_same") - F.col("_wide")),
