@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hearthline.llm import decontaminate, line_dedup, media, quality, sentence_pieces, simhash, token_store, toxicity
+from hearthline.llm import decontaminate, lattice_lm, line_dedup, media, pii, quality, sentence_pieces, simhash, token_store, toxicity
 from hearthline.llm.common import table
 from hearthline.llm.labelled import held_out
 
@@ -27,6 +27,11 @@ def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read_documents(shards).withColumnRenamed("key", "doc_id")
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.tag_documents(docs, pii.fit_tagger(docs))
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated_pairs(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -36,6 +41,10 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"), F.col("_component").alias("component_id"))
 
 
+def op7_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice_lm.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = media.read_media(*media.store_media(table(spark, sf_dir, "documents")))
     return out.withColumnRenamed("id", "doc_id")
@@ -56,8 +65,10 @@ QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_quality": op2_quality,
     "op3_token_store": op3_token_store,
+    "op4_pii": op4_pii,
     "op5_decontaminate": op5_decontaminate,
     "op6_simhash": op6_simhash,
+    "op7_lattice_lm": op7_lattice_lm,
     "op8_media": op8_media,
     "op9_toxicity": op9_toxicity,
     "op10_sentence_pieces": op10_sentence_pieces,
