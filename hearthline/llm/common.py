@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,3 +49,9 @@ def hash_share(n_rows: int, bound: int, column: str = ID, salt: str = "sample")
         return F.lit(True)
     h = F.xxhash64(F.lit(salt), F.col(column))
     return F.pmod(h, F.lit(1 << 30)) < F.lit(int((1 << 30) * bound / n_rows))
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """Smaller batches, so that a task holds the words of few texts at a time."""
+    for b in batches:
+        yield from (b.slice(i, rows) for i in range(0, b.num_rows, rows))

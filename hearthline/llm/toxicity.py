@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hearthline.llm.common import slices
 from hearthline.llm.labelled import CLASS_BOUND, labelled_sample
 
 #: Longest n-gram; longest n-gram of the shared backoff; least count of n-grams above SHARED + 1; words in a window.
@@ -206,7 +207,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", bound
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[str, float] = {}
-        for b in batches:
+        for b in slices(batches):
             e = shipped.value.evidence(b.column(0).to_pylist(), cache)
             yield pa.RecordBatch.from_arrays([pa.array(e[:, 0]), pa.array(e[:, 1]), b.column(1), b.column(2)], names=["mean", "peak", "label", "weight"])
 
@@ -225,7 +226,7 @@ def score_toxicity(docs: DataFrame, model: ToxicModel, text_col: str = "text") -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[str, float] = {}
-        for b in batches:
+        for b in slices(batches):
             e = shipped.value.evidence(b.column(0).to_pylist(), cache)
             yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(shipped.value.score(e)), pa.array(e[:, 0]), pa.array(e[:, 1])], names=[*others, "score", "mean_weight", "peak_weight"])
 
@@ -241,7 +242,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, id_co
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[str, float] = {}
-        for b in batches:
+        for b in slices(batches):
             e = shipped.value.evidence(b.column(at).to_pylist(), cache)
             yield b.filter(pa.array(shipped.value.score(e) < threshold))
 
