@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hearthline.llm.common import saved
+from hearthline.llm.common import saved, slices
 
 PAD, RATE = 192, 8000
 LEAST, GREATEST, CUT_BITS = 256, 8192, 10
@@ -99,7 +99,7 @@ def _listing(docs: DataFrame) -> DataFrame:
     """(key, file, n_bytes, digests, id): digest of each row's file, and of its chunks in order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             files, sizes, lists = [], [], []
             for t in b.column(1).to_pylist():
                 media = to_wave(payload(t))
@@ -116,7 +116,7 @@ def _packed(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdCompressor(level=3, write_content_size=True)
-        for b in batches:
+        for b in slices(batches):
             packed = [z.compress((t or "").encode("utf-8", "surrogatepass")) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(packed, pa.binary())], names=["key", "packed"])
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hearthline.llm.common import saved
+from hearthline.llm.common import saved, slices
 from hearthline.llm.labelled import CLASS_BOUND, labelled_sample
 
 FEATURES, RIDGE, SEED = 256, 1e-3, 7
@@ -88,7 +88,7 @@ def isotonic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarr
 
 def _with_statistics(df: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             x = np.array([statistics(t) for t in b.column(0).to_pylist()], dtype=float).reshape(-1, len(STATISTICS))
             yield pa.RecordBatch.from_arrays([*b.columns[1:], *(pa.array(x[:, i].copy()) for i in range(x.shape[1]))], names=[*keep, *STATISTICS])
 
@@ -138,7 +138,7 @@ def score_quality(docs: DataFrame, model: QualityModel, text_col: str = "text")
     keep = [c for c in docs.columns if c != text_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             x = np.array([statistics(t) for t in b.column(0).to_pylist()], dtype=float).reshape(-1, len(STATISTICS))
             yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(model.score(x))], names=[*keep, "score"])
 
