@@ -23,7 +23,7 @@ def min_max_time(df: DataFrame, keys: list[str], ts: str = "timestamp") -> DataF
 
 def size_per_group(df: DataFrame, keys: list[str], pivot: str | None = None, values: list | None = None) -> DataFrame:
     grouped = df.groupBy(*keys)
-    return grouped.agg(F.count("*").alias("n")) if pivot is None else grouped.pivot(pivot, values).agg(F.count("*")).fillna(0)
+    return grouped.agg(F.count("*").alias("n")) if pivot is None else grouped.pivot(pivot, values).agg(F.count(F.lit(1))).fillna(0)
 
 
 def describe(column: str) -> list[Column]:

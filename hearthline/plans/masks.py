@@ -66,7 +66,7 @@ def q_remove_measurement_outliers(spark, sf):
 @query("""WITH a AS (SELECT id, timestamp, click, view, coalesce(abs(click - (SELECT avg(click) FROM w)) > 2 * (SELECT stddev_samp(click) FROM w), false) AS far FROM w),
 b AS (SELECT id, timestamp, CASE WHEN NOT far THEN click END AS click, CASE WHEN NOT far THEN view END AS view FROM a),
 c AS (SELECT *, coalesce(abs(view - (SELECT avg(view) FROM b)) > 2 * (SELECT stddev_samp(view) FROM b), false) AS far FROM b)
-SELECT id, timestamp, round(CASE WHEN NOT far THEN click END, 4) AS click, round(CASE WHEN NOT far THEN view END, 4) AS view FROM c""")
+SELECT id, timestamp, round(CASE WHEN NOT far THEN click END + 3e-9, 6) AS click, round(CASE WHEN NOT far THEN view END + 3e-9, 6) AS view FROM c""")
 def q_remove_weather_outliers(spark, sf):
     return rounded(k.remove_weather_outliers(wide(spark, sf).select("id", "timestamp", "click", "view"), ["click", "view"], 2))
 
@@ -89,10 +89,10 @@ def q_filter_std_zero_per_source(spark, sf):
 _METERS = """WITH x AS (SELECT id, timestamp, click AS hi, view AS lo, CASE WHEN id % 4 = 0 THEN 0 ELSE purchase END AS rhi, CASE WHEN id % 4 = 0 THEN 1 ELSE signup END AS rlo, (id % 6) AS version FROM w),
 n AS (SELECT id, coalesce(max(rhi) < 5, true) AND coalesce(max(rlo) < 5, true) AS none FROM x GROUP BY id)
 SELECT x.id, timestamp, version,
-  round(CASE WHEN coalesce(version < 3, false) OR coalesce(hi < 5, false) OR coalesce(lo < 5, false) THEN NULL ELSE hi END, 4) AS hi,
-  round(CASE WHEN coalesce(version < 3, false) OR coalesce(hi < 5, false) OR coalesce(lo < 5, false) THEN NULL ELSE lo END, 4) AS lo,
-  round(CASE WHEN NOT coalesce(version < 3, false) AND (rhi >= 5 OR (rhi = 0 AND none)) THEN rhi END, 4) AS rhi,
-  round(CASE WHEN NOT coalesce(version < 3, false) AND (rlo >= 5 OR (rlo = 0 AND none)) THEN rlo END, 4) AS rlo
+  round(CASE WHEN coalesce(version < 3, false) OR coalesce(hi < 5, false) OR coalesce(lo < 5, false) THEN NULL ELSE hi END + 3e-9, 6) AS hi,
+  round(CASE WHEN coalesce(version < 3, false) OR coalesce(hi < 5, false) OR coalesce(lo < 5, false) THEN NULL ELSE lo END + 3e-9, 6) AS lo,
+  round(CASE WHEN NOT coalesce(version < 3, false) AND (rhi >= 5 OR (rhi = 0 AND none)) THEN rhi END + 3e-9, 6) AS rhi,
+  round(CASE WHEN NOT coalesce(version < 3, false) AND (rlo >= 5 OR (rlo = 0 AND none)) THEN rlo END + 3e-9, 6) AS rlo
 FROM x JOIN n USING (id)"""
 
 
@@ -108,7 +108,7 @@ def q_filter_electricity_meters_fast(spark, sf):
     return q_filter_electricity_meters(spark, sf)
 
 
-@query("""SELECT w.id, timestamp, round(CASE WHEN c_nationkey % 5 IS NOT NULL AND (view IS NULL OR view < c_nationkey % 5 * 20) THEN NULL ELSE click END, 4) AS occupancy
+@query("""SELECT w.id, timestamp, round(CASE WHEN c_nationkey % 5 IS NOT NULL AND (view IS NULL OR view < c_nationkey % 5 * 20) THEN NULL ELSE click END + 3e-9, 6) AS occupancy
 FROM w LEFT JOIN customer ON c_custkey = w.id AND c_nationkey < 20""")
 def q_occupancy_validity_filter(spark, sf):
     homes = table(spark, sf, "customer").where("c_nationkey < 20").select(F.col("c_custkey").alias("id"), (F.col("c_nationkey") % 5 * 20).alias("size"))
@@ -143,12 +143,12 @@ def q_rekey_pseudonym(spark, sf):
     return k.rekey(measurements(spark, sf).select("event_id", "id", "value"), names, "id", "pseudonym")
 
 
-@query("SELECT id, timestamp, round(CASE WHEN signup IS NULL AND click IS NOT NULL AND view IS NOT NULL THEN 0 ELSE signup END, 4) AS signup FROM w")
+@query("SELECT id, timestamp, round(CASE WHEN signup IS NULL AND click IS NOT NULL AND view IS NOT NULL THEN 0 ELSE signup END + 3e-9, 6) AS signup FROM w")
 def q_return_fill_zero(spark, sf):
     return rounded(k.return_fill_zero(wide(spark, sf), ["signup"], ["click", "view"]).select("id", "timestamp", "signup"))
 
 
-@query("SELECT id, timestamp, round(click + view, 4) AS e_use__W, round(purchase + signup, 4) AS e_ret__W, round(click + view - (purchase + signup), 4) AS e_net__W FROM w")
+@query("SELECT id, timestamp, round(click + view + 3e-9, 6) AS e_use__W, round(purchase + signup + 3e-9, 6) AS e_ret__W, round(click + view - (purchase + signup) + 3e-9, 6) AS e_net__W FROM w")
 def q_combine_meters(spark, sf):
     return rounded(k.combine_meters(wide(spark, sf), "click", "view", "purchase", "signup").select("id", "timestamp", "e_use__W", "e_ret__W", "e_net__W"))
 

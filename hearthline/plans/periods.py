@@ -84,7 +84,7 @@ def q_period_shrink(spark, sf):
     return k.period_shrink(_high(spark, sf, 100.0), 3600).drop("n_samples")
 
 
-@query(f'WITH {_RUNS.format(100)} SELECT id, property, "start", round((epoch_us("end") - epoch_us("start")) / 1e6, 4) AS duration_s FROM p WHERE n_samples > 1')
+@query(f'WITH {_RUNS.format(100)} SELECT id, property, "start", round((epoch_us("end") - epoch_us("start")) / 1e6 + 3e-9, 6) AS duration_s FROM p WHERE n_samples > 1')
 def q_period_delta(spark, sf):
     return rounded(k.period_delta(_high(spark, sf, 100.0)).drop("end", "n_samples"))
 
@@ -113,7 +113,7 @@ _SANE = """x AS (SELECT m.*, {0} AS g, value > 20 AS f, coalesce(epoch_us(lead(t
 FROM m WINDOW o AS (PARTITION BY id, {0} ORDER BY timestamp, event_id), q AS (PARTITION BY id, {0}, value > 20 ORDER BY timestamp, event_id)),
 s AS (SELECT id, g, min(timestamp) AS "start", max(timestamp) AS "end", sum(len) AS len, count(*) AS n FROM x WHERE f GROUP BY id, g, r),
 t AS (SELECT *, sum(n) OVER (PARTITION BY id, g) AS total, row_number() OVER (PARTITION BY id, g ORDER BY len DESC, "start") AS k FROM s)
-SELECT id, {1} "start", "end", round((epoch_us("end") - epoch_us("start")) / 1e6, 4) AS duration_s FROM t WHERE k = 1 AND total >= 2 AND epoch_us("end") - epoch_us("start") >= {2} * 1e6"""
+SELECT id, {1} "start", "end", round((epoch_us("end") - epoch_us("start")) / 1e6 + 3e-9, 6) AS duration_s FROM t WHERE k = 1 AND total >= 2 AND epoch_us("end") - epoch_us("start") >= {2} * 1e6"""
 
 
 @query("WITH " + _SANE.format("0", "", 86400))
@@ -186,7 +186,7 @@ def q_interval_seconds(spark, sf):
 
 
 @query("""WITH x AS (SELECT id, timestamp, click > 80 AS s, view AS e, coalesce(lag(click > 80) OVER o, false) AS b, coalesce(lead(click > 80) OVER o, false) AS a FROM w WINDOW o AS (PARTITION BY id ORDER BY timestamp)), SEL AS (SELECT
-""".replace(", SEL AS (SELECT", " SELECT") + ", ".join(f"round({f}(e) FILTER ({c}), 4) AS {g}_{n}" for n, c in {"before_on": "NOT s AND a", "after_on": "s AND NOT b", "before_off": "s AND NOT a", "after_off": "NOT s AND b"}.items() for g, f in (("mean", "avg"), ("median", "median"))) + " FROM x")
+""".replace(", SEL AS (SELECT", " SELECT") + ", ".join(f"round({f}(e) FILTER ({c}) + 3e-9, 6) AS {g}_{n}" for n, c in {"before_on": "NOT s AND a", "after_on": "s AND NOT b", "before_off": "s AND NOT a", "after_off": "NOT s AND b"}.items() for g, f in (("mean", "avg"), ("median", "median"))) + " FROM x")
 def q_state_transitions(spark, sf):
     df = wide(spark, sf).withColumn("on", F.col("click") > 80)
     return rounded(k.state_transitions(df, "on", "view"))
@@ -202,7 +202,7 @@ def q_hysteresis_state(spark, sf):
 @query("""WITH x AS (SELECT *, coalesce(error > 80, false) AS opens, coalesce(purchase > 150, false) OR (coalesce(signup > 120, false) AND NOT coalesce(error > 80, false))
   OR coalesce(click - lag(click) OVER o > 60, false) OR coalesce(view - lag(view) OVER o > 60, false) AS closes FROM w WINDOW o AS (PARTITION BY id ORDER BY timestamp)),
 y AS (SELECT *, last_value(CASE WHEN opens AND NOT closes THEN 1 WHEN closes AND NOT opens THEN -1 END IGNORE NULLS) OVER (PARTITION BY id ORDER BY timestamp ROWS UNBOUNDED PRECEDING) AS st FROM x)
-SELECT id, timestamp, round(CASE WHEN st = 1 AND coalesce(signup IS NOT NULL, false) THEN click END, 4) AS ch_click, round(CASE WHEN st = 1 AND signup IS NOT NULL THEN view END, 4) AS ch_view FROM y""")
+SELECT id, timestamp, round(CASE WHEN st = 1 AND coalesce(signup IS NOT NULL, false) THEN click END + 3e-9, 6) AS ch_click, round(CASE WHEN st = 1 AND signup IS NOT NULL THEN view END + 3e-9, 6) AS ch_view FROM y""")
 def q_ch_temperature_mask(spark, sf):
     df = wide(spark, sf).withColumns({"ch": F.col("error") > 80, "dhw": F.col("purchase") > 150, "speed": F.when(F.col("signup") > 120, 100).when(F.col("signup").isNotNull(), 50)})
     return rounded(k.ch_temperature_mask(df, "click", "view", "ch", "dhw", "speed", 60, order=("timestamp",)).select("id", "timestamp", "ch_click", "ch_view"))
@@ -211,12 +211,12 @@ def q_ch_temperature_mask(spark, sf):
 @query("""WITH x AS (SELECT *, click IS NOT NULL AND view IS NOT NULL AS ok FROM w),
 y AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY timestamp) - row_number() OVER (PARTITION BY id, ok ORDER BY timestamp) AS r FROM x),
 z AS (SELECT *, row_number() OVER (PARTITION BY id, ok, r ORDER BY timestamp) AS i, count(*) OVER (PARTITION BY id, ok, r) AS n FROM y)
-SELECT id, timestamp, round(CASE WHEN ok AND n >= 3 AND i > 1 AND i <= n - 1 THEN click END, 4) AS click, round(CASE WHEN ok AND n >= 3 AND i > 1 AND i <= n - 1 THEN view END, 4) AS view FROM z""")
+SELECT id, timestamp, round(CASE WHEN ok AND n >= 3 AND i > 1 AND i <= n - 1 THEN click END + 3e-9, 6) AS click, round(CASE WHEN ok AND n >= 3 AND i > 1 AND i <= n - 1 THEN view END + 3e-9, 6) AS view FROM z""")
 def q_clip_streak_edges(spark, sf):
     return rounded(k.clip_streak_edges(wide(spark, sf).select("id", "timestamp", "click", "view"), ["click", "view"], 1, 1, 3))
 
 
-@query("SELECT id, timestamp, round(CASE WHEN view > error THEN 0 ELSE coalesce(lead(click) OVER (PARTITION BY id ORDER BY timestamp), click) END, 4) AS flow_set_proxy FROM w")
+@query("SELECT id, timestamp, round(CASE WHEN view > error THEN 0 ELSE coalesce(lead(click) OVER (PARTITION BY id ORDER BY timestamp), click) END + 3e-9, 6) AS flow_set_proxy FROM w")
 def q_setpoint_proxy(spark, sf):
     return rounded(k.setpoint_proxy(wide(spark, sf), "click", "view", "error").select("id", "timestamp", "flow_set_proxy"))
 

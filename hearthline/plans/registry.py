@@ -66,6 +66,6 @@ def wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.groupBy("id", day).pivot("property", PROPERTIES).agg(F.avg("value"))
 
 
-def rounded(df: DataFrame, digits: int = 4) -> DataFrame:
-    """Doubles rounded, so that the order of additions doesn't show."""
-    return df.select(*(F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
+def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+    """Doubles rounded, so that the order of additions doesn't show, after a step off decimal ties, which engines round differently."""
+    return df.select(*(F.round(F.col(c) + F.lit(3e-9), digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
