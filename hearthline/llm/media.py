@@ -9,8 +9,8 @@ puts every file together in order, and verifies length and digest before the sam
 
 Texts travel compressed, so that the joins shuffle about as many bytes as the store holds.
 
-Defined results: null text counts as empty and is padded to 192 bytes; equal texts share one stored file; rows with the same key
-each get their result; null keys are stored under the key of an equal file, or alone; other columns don't matter.
+Defined results: null text counts as empty and is padded to 192 bytes; equal texts of different keys share one stored file, which
+is stored again only for a row that repeats its key too; rows with the same key each get their result; null keys are stored under the key of an equal file, or alone; other columns don't matter.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from hearthline.llm.common import saved, slices
 
 PAD, RATE = 192, 8000
-LEAST, GREATEST, CUT_BITS = 256, 8192, 10
+LEAST, GREATEST, CUT_BITS = 512, 16384, 11
 
 
 def _gear() -> np.ndarray:
@@ -115,7 +115,7 @@ def _packed(docs: DataFrame) -> DataFrame:
     """(key, packed): the text, compressed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        z = zstandard.ZstdCompressor(level=3, write_content_size=True)
+        z = zstandard.ZstdCompressor(level=6, write_content_size=True)
         for b in slices(batches):
             packed = [z.compress((t or "").encode("utf-8", "surrogatepass")) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(packed, pa.binary())], names=["key", "packed"])
@@ -133,16 +133,10 @@ def store_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     key = F.coalesce(F.col(id_col).cast("long"), -F.abs(F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))) - F.lit(1))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), key.alias("key"), F.col(text_col).alias("text"))
     listing = saved(_listing(rows), "media-listing")
-    # several rows of one key, if they differ, are several files: the smallest digest of a key stands for it in the store
     firsts = listing.groupBy("file").agg(F.min("key").alias("key"), F.min_by("digests", "key").alias("digests"))
-    used = firsts.select("file", F.posexplode("digests").alias("seq", "digest"))
-    spread = used.groupBy("digest").agg(F.min("file").alias("owner"), F.max("file").alias("last"), F.min(F.struct("file", "seq")).alias("first"))
-    shared = spread.where("owner <> last").select("digest", "first")
-    marks = (
-        used.join(shared, "digest")
-        .groupBy("file")
-        .agg(F.collect_set(F.struct("seq", (F.struct("file", "seq") == F.col("first")).alias("own"))).alias("marks"))
-    )
+    used = firsts.select("file", "key", F.posexplode("digests").alias("seq", "digest"))
+    shared = used.groupBy("digest").agg(F.min("key").alias("owner"), F.max("key").alias("last")).where("owner <> last").drop("last")
+    marks = used.join(shared, "digest").groupBy("file").agg(F.collect_set(F.struct("seq", (F.col("key") == F.col("owner")).alias("own"))).alias("marks"))
     plan = firsts.select("file", "key").join(marks, "file", "left")
     packed = _packed(rows).join(plan, "key")
 
