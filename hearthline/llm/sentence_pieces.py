@@ -29,7 +29,8 @@ SPACE = "▁"
 CACHE = 200_000
 _BASE = np.uint64(0x100000001B3)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-_WORD = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
+#: Spaces with what follows, line breaks, and a ▁ of the text itself.
+_WORD = re.compile(f" *[^ \n{SPACE}]+| +|\n|{SPACE}")
 
 
 def vocabulary_path(name: str = "piece_bpe_32k.model") -> str:
@@ -61,9 +62,12 @@ class PieceModel:
         self.keys, self.ids, self.score = keys[order], np.array(usable)[order], score[order]
         assert len(np.unique(self.keys)) == len(keys), "two pieces share a hash"
         self.lost = float(score.min()) - 10.0
-        # a small table of the low hash bits tells most absent substrings without a search
-        self.maybe = np.zeros(1 << 20, dtype=bool)
-        self.maybe[(self.keys >> np.uint64(44)).astype(np.int64)] = True
+        # where in the sorted keys those with the same leading 20 bits begin (-1: there are none), and how many share them at most
+        lead, starts, sizes = np.unique((self.keys >> np.uint64(44)).astype(np.int64), return_index=True, return_counts=True)
+        self.begin = np.full(1 << 20, -1, dtype=np.int32)
+        self.begin[lead] = starts
+        self.deep = int(sizes.max())
+        self.keys_end = np.concatenate([self.keys, np.zeros(self.deep, dtype=np.uint64)])
         self.cache: dict[str, np.ndarray] = {}
 
     @staticmethod
@@ -90,9 +94,17 @@ class PieceModel:
 
     def probe(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rows whose hash is a piece's, and the piece's place."""
-        rows = np.flatnonzero(self.maybe[(h >> np.uint64(44)).astype(np.int64)])
-        at = np.minimum(np.searchsorted(self.keys, h[rows]), len(self.keys) - 1)
-        hit = self.keys[at] == h[rows]
+        at = self.begin[(h >> np.uint64(44)).astype(np.int64)]
+        rows = np.flatnonzero(at >= 0)
+        at, wanted = at[rows], h[rows]
+        hit = self.keys_end[at] == wanted
+        for i in range(1, self.deep):
+            more = np.flatnonzero(~hit)
+            if not len(more):
+                break
+            here = self.keys_end[at[more] + i] == wanted[more]
+            at[more[here]] += i
+            hit[more[here]] = True
         return rows[hit], at[hit]
 
     def viterbi(self, words: list[str]) -> list[np.ndarray]:
@@ -131,26 +143,25 @@ class PieceModel:
         if (ids < 0).any():
             ends = np.split(end, np.flatnonzero(np.diff(word)) + 1)
             for i in np.unique(word[ids < 0]):
-                out[i] = np.array([x for p, e in zip(out[i], ends[i]) for x in ([p] if p >= 0 else [self.byte_ids[b] for b in self._bytes(words[i][e - 1])])], dtype=np.int32)
+                out[i] = np.array([x for p, e in zip(out[i], ends[i]) for x in ([p] if p >= 0 else [self.byte_ids[b] for b in words[i][e - 1].encode("utf-8", "surrogatepass")])], dtype=np.int32)
         return out
 
-    @staticmethod
-    def _bytes(c: str) -> bytes:
-        return (SPACE if c == "\ue000" else "\ue000" if c == "\ue001" else c).encode("utf-8", "surrogatepass")
-
     def _learn(self, words: list[str]) -> None:
-        """Puts new words' ids into the cache."""
+        """Puts new words' ids into the cache. A ▁ of the text becomes its bytes, as the piece ▁ stands for a space."""
         by_length: dict[int, list[str]] = {}
         for w in words:
-            by_length.setdefault(len(w), []).append(w)
+            if w == SPACE:
+                self.cache[w] = np.array([self.byte_ids[b] for b in w.encode()], dtype=np.int32)
+            else:
+                by_length.setdefault(len(w), []).append(w)
         for length, group in by_length.items():
             most = max(1, 400_000 // (length + 1))
             for i in range(0, len(group), most):
-                self.cache.update(zip(group[i : i + most], self.viterbi(group[i : i + most])))
+                part = group[i : i + most]
+                self.cache.update(zip(part, self.viterbi([w.replace(" ", SPACE) for w in part])))
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        # a ▁ of the text itself travels as a private character that no piece has, and ends up as its bytes
-        split = [_WORD.findall(SPACE + t.replace("\ue000", "\ue001").replace(SPACE, "\ue000").replace(" ", SPACE)) if t else [] for t in texts]
+        split = [_WORD.findall(" " + t) if t else [] for t in texts]
         new = [w for w in set().union(*split) if w not in self.cache]
         if len(self.cache) + len(new) > CACHE:
             self.cache.clear()
