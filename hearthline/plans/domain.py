@@ -108,8 +108,8 @@ _SURFACE = "sf AS (SELECT model, x * 10.0 AS load, y * 20.0 AS temp, 0.9 + model
 
 
 def surface(spark, sf):
-    """An efficiency surface of three models on a grid, from the numbers of the part table."""
-    n = table(spark, sf, "part").where("p_partkey < 363").select(F.col("p_partkey").alias("n"))
+    """An efficiency surface of three models on a grid, from the numbers of the first events."""
+    n = table(spark, sf, "events").where("event_id < 363").select(F.col("event_id").alias("n"))
     model, x, y = F.floor(F.col("n") / 121).cast("long"), F.floor(F.col("n") % 121 / 11), F.col("n") % 11
     return n.select(model.alias("model"), (x * 10.0).alias("load"), (y * 20.0).alias("temp"), (0.9 + model * 0.01 - x * 0.002 - y * 0.01 + x * y * 0.0005).alias("eta"))
 
