@@ -29,8 +29,8 @@ KINDS = ("email", "ip", "card", "phone")
 WINDOW, STRIDE, HIDDEN = 64, 32, 16
 #: Most documents that the network is trained on (in expectation), windows, and passes over them.
 TRAIN_DOCS, TRAIN_WINDOWS, EPOCHS, BATCH, RATE = 2_000, 3_000, 6, 64, 0.02
-#: Least mean margin of an added span's labels over "outside", in nats a character.
-MARGIN = 4.0
+#: Least mean marginal probability of an added span's labels.
+CONFIDENCE = 0.9
 
 _IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
@@ -154,19 +154,24 @@ class Tagger:
     def emissions(self, x: np.ndarray) -> np.ndarray:
         return np.concatenate([self._run(x, d)[0] for d in "fb"], axis=2) @ self.w["wo"] + self.w["bo"]
 
+    @staticmethod
+    def _sums(e: np.ndarray, tr: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Log-sums of all label sequences up to each position, from it on, and of whole windows."""
+        a, b = np.zeros_like(e), np.zeros_like(e)
+        a[:, 0] = e[:, 0] + _FIRST
+        for i in range(1, e.shape[1]):
+            a[:, i] = e[:, i] + _logsumexp(a[:, i - 1, :, None] + tr, 1)
+        for i in range(e.shape[1] - 2, -1, -1):
+            b[:, i] = _logsumexp(tr + (e[:, i + 1] + b[:, i + 1])[:, None, :], 2)
+        return a, b, _logsumexp(a[:, -1], 1)
+
     def loss_and_gradient(self, x: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Mean negative log-likelihood a window of label sequences y."""
         (hf, kf), (hb, kb) = self._run(x, "f"), self._run(x, "b")
         both = np.concatenate([hf, hb], axis=2)
         e, tr = both @ self.w["wo"] + self.w["bo"], self.w["tr"] + _BARRED
         n, t, _ = e.shape
-        a, b = np.zeros_like(e), np.zeros_like(e)
-        a[:, 0] = e[:, 0] + _FIRST
-        for i in range(1, t):
-            a[:, i] = e[:, i] + _logsumexp(a[:, i - 1, :, None] + tr, 1)
-        for i in range(t - 2, -1, -1):
-            b[:, i] = _logsumexp(tr + (e[:, i + 1] + b[:, i + 1])[:, None, :], 2)
-        z = _logsumexp(a[:, -1], 1)
+        a, b, z = self._sums(e, tr)
         rows = np.arange(n)[:, None]
         gold = e[rows, np.arange(t), y].sum(1) + tr[y[:, :-1], y[:, 1:]].sum(1)
         de = np.exp(a + b - z[:, None, None])
@@ -214,7 +219,7 @@ class Tagger:
         return losses
 
     def decode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Best label sequence of each window, and the emission of each label over that of "outside"."""
+        """Best label sequence of each window, and the marginal probability of each of its labels."""
         e, tr = self.emissions(x), self.w["tr"] + _BARRED
         n, t, _ = e.shape
         best, back = e[:, 0] + _FIRST, np.zeros((n, t, LABELS), dtype=np.int64)
@@ -226,7 +231,8 @@ class Tagger:
         y[:, -1] = best.argmax(1)
         for i in range(t - 1, 0, -1):
             y[:, i - 1] = back[np.arange(n), i, y[:, i]]
-        return y, np.take_along_axis(e, y[:, :, None], 2)[:, :, 0] - e[:, :, 0]
+        a, b, z = self._sums(e, tr)
+        return y, np.exp(np.take_along_axis(a + b, y[:, :, None], 2)[:, :, 0] - z[:, None])
 
 
 def _window_starts(c: np.ndarray) -> np.ndarray:
@@ -308,11 +314,23 @@ def _surroundings(text: str, reach: int = 96) -> Iterator[str]:
 
 
 def _plausible(kind: str, part: str) -> bool:
-    """Whether the span has what its kind can't be without."""
-    digits = sum("0" <= c <= "9" for c in part)
+    """Whether the span passes the checks that its kind can't do without, the base's own among them."""
+    digits = "".join(c for c in part if "0" <= c <= "9")
     if kind == "email":
         return "@" in part[1:-1] and "." in part[part.index("@") :]
-    return digits >= {"ip": 4, "card": 13, "phone": 7}[kind] and not any(c.isalpha() for c in part) and (kind != "ip" or part.count(".") == 3)
+    if any(c.isalpha() for c in part):
+        return False
+    if kind == "ip":
+        parts = part.split(".")
+        return len(parts) == 4 and all(x.isdecimal() and len(x) <= 3 and int(x) <= 255 for x in parts)
+    return 13 <= len(digits) <= 19 and luhn(digits) if kind == "card" else 9 <= len(digits) <= 15
+
+
+def _kept(kind: str, text: str, start: int, end: int) -> list[tuple[int, int]]:
+    """The span if it is plausible, or else those of its parts between spaces that are: the base and the decoder may run neighbours together."""
+    if _plausible(kind, text[start:end]):
+        return [(start, end)]
+    return [(start + m.start(), start + m.end()) for m in re.finditer(r"\S+", text[start:end]) if _plausible(kind, m[0])]
 
 
 def _reconciled(spans: list[tuple[int, int, str, float]]) -> list[tuple[int, int, str]]:
@@ -348,7 +366,7 @@ def find_spans(texts: list[str | None], tagger: Tagger | None) -> list[tuple[lis
                 places += starts.tolist()
         x = np.concatenate(held) if held else np.zeros((0, WINDOW), dtype=np.uint8)
         for s in range(0, len(x), 2048):
-            y, margin = tagger.decode(x[s : s + 2048])
+            y, sure = tagger.decode(x[s : s + 2048])
             for r in np.flatnonzero((y > 0).any(1)).tolist():
                 text, at = texts[owner[s + r]], places[s + r]
                 begins = np.flatnonzero(y[r] % 2 == 1).tolist()
@@ -358,9 +376,9 @@ def find_spans(texts: list[str | None], tagger: Tagger | None) -> list[tuple[lis
                         b += 1
                     if (a == 0 and at > 0) or (b == WINDOW and at + b < len(text)) or at + b > len(text):
                         continue  # cut by the window: the next one has it whole
-                    kind, score = KINDS[(y[r, a] - 1) // 2], float(margin[r, a:b].mean())
-                    if score >= MARGIN and _plausible(kind, text[at + a : at + b]):
-                        added[owner[s + r]].append((at + a, at + b, kind, score * (b - a)))
+                    kind, score = KINDS[(y[r, a] - 1) // 2], float(sure[r, a:b].mean())
+                    if score >= CONFIDENCE:
+                        added[owner[s + r]] += [(start, end, kind, score * (end - start)) for start, end in _kept(kind, text, at + a, at + b)]
     out = []
     for spans, more in zip(base, added):
         taken = [(a, b) for _, a, b in spans]
