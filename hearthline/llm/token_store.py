@@ -20,7 +20,6 @@ and the index leads to the first of them; null keys come first and are not index
 from __future__ import annotations
 
 import os
-import re
 import struct
 import zlib
 from array import array
@@ -54,8 +53,9 @@ def _encoder(path: str):
     return Tokenizer.from_file(path)
 
 
-#: White space that the pre-tokenizer joins or that isn't a space or line break: such texts go to the library whole.
-_JOINED = re.compile(r"\s(?=\s|\Z)|[^\S \n]")
+def single_spaced(text: str) -> bool:
+    """Whether all white space is single spaces and line breaks between words; the pre-tokenizer joins other white space."""
+    return " ".join(text.split()) == text.replace("\n", " ")
 
 
 class TextEncoder:
@@ -90,7 +90,7 @@ class TextEncoder:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian ids of each text, with the end id."""
-        plain = [None if not t or _JOINED.search(t) else [x.split(" ") for x in t.split("\n")] for t in texts]
+        plain = [None if not t or not single_spaced(t) else [x.split(" ") for x in t.split("\n")] for t in texts]
         self._learn(self.first, {x[0] for lines in plain if lines for x in lines}, "")
         self._learn(self.spaced, {w for lines in plain if lines for x in lines for w in x[1:]}, " ")
         other = iter(self._ids([t for t, lines in zip(texts, plain) if t and lines is None]))
