@@ -122,7 +122,7 @@ def q_boiler_eta_lookup(spark, sf):
     return rounded(spatial.bilinear_lookup(df, surface(spark, sf), "model", "load", "temp", "eta", 10.0, 20.0, "eta").select("id", "timestamp", "eta"))
 
 
-@query(f"WITH {_SURFACE} SELECT model, load, temp / 100 AS temp, round(eta + 3e-9, 6) AS eta FROM sf")
+@query(f"WITH {_SURFACE} SELECT model, load::double AS load, (temp / 100)::double AS temp, round(eta + 3e-9, 6) AS eta FROM sf")
 def q_read_lookup_matrix(spark, sf):
     from hearthline.sources import io
 

@@ -90,7 +90,7 @@ def q_period_delta(spark, sf):
 
 
 @query(f"""WITH {_RUNS.format(100)}, o2 AS (SELECT id, property, CASE WHEN id % 7 = 0 THEN NULL ELSE "start" END AS "start", CASE WHEN id % 5 = 0 THEN NULL ELSE "end" END AS "end" FROM p WHERE n_samples > 1)
-SELECT *, row_number() OVER (PARTITION BY id ORDER BY "start" ASC NULLS FIRST, "end" ASC NULLS LAST, property) AS place FROM o2""")
+SELECT *, row_number() OVER (PARTITION BY id ORDER BY "start" ASC NULLS FIRST, "end" ASC NULLS LAST, property)::int AS place FROM o2""")
 def q_period_order(spark, sf):
     p = _high(spark, sf, 100.0).withColumns({"start": F.when(F.col("id") % 7 != 0, F.col("start")), "end": F.when(F.col("id") % 5 != 0, F.col("end"))}).drop("n_samples")
     return p.withColumn("place", F.row_number().over(k.Window.partitionBy("id").orderBy(*k.period_order(p), "property")))
@@ -221,7 +221,7 @@ def q_setpoint_proxy(spark, sf):
     return rounded(k.setpoint_proxy(wide(spark, sf), "click", "view", "error").select("id", "timestamp", "flow_set_proxy"))
 
 
-@query("""WITH j AS (SELECT o_custkey AS id, o_orderkey, o_orderdate FROM orders) SELECT id, o_orderkey, o_orderdate, row_number() OVER (PARTITION BY id ORDER BY o_orderdate, o_orderkey) AS number FROM j""")
+@query("""WITH j AS (SELECT o_custkey AS id, o_orderkey, o_orderdate FROM orders) SELECT id, o_orderkey, o_orderdate, row_number() OVER (PARTITION BY id ORDER BY o_orderdate, o_orderkey)::int AS number FROM j""")
 def q_sequence_number(spark, sf):
     df = table(spark, sf, "orders").select(F.col("o_custkey").alias("id"), "o_orderkey", "o_orderdate")
     return df.withColumn("number", F.row_number().over(k.Window.partitionBy("id").orderBy("o_orderdate", "o_orderkey")))

@@ -387,7 +387,7 @@ def q_top_values(spark, sf):
     return s.top_values(table(spark, sf, "lineitem"), "l_quantity", 10, F.col("l_returnflag") == "A")
 
 
-@query("SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS place FROM orders ORDER BY place LIMIT 1000")
+@query("SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey)::int AS place FROM orders ORDER BY place LIMIT 1000")
 def q_sort_by(spark, sf):
     top = table(spark, sf, "orders").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(1000)
     return top.withColumn("place", F.row_number().over(p.Window.orderBy(F.desc("o_totalprice"), "o_orderkey"))).select("o_orderkey", "place")
