@@ -70,14 +70,14 @@ def recurring_lines(docs: DataFrame, min_docs: int = 2, **options) -> DataFrame:
 def drop_recurring_lines(docs: DataFrame, min_docs: int = 2, depth: int = 2, wild_from: int = 10, id_col: str = "doc_id", text_col: str = "text", counts: bool = False) -> DataFrame:
     """docs with recurring lines taken out of the text; with counts, also n_lines and n_dropped."""
     gone = recurring_lines(docs, min_docs, depth=depth, wild_from=wild_from, id_col=id_col, text_col=text_col)
-    gone = gone.groupBy("_doc").agg(F.collect_set("_pos").alias("_gone"))
+    gone = gone.groupBy(F.col("_doc").alias("__dedup_doc")).agg(F.collect_set("_pos").alias("__dedup_gone"))
     lines = F.split(F.col(text_col), "\n")
-    kept = F.array_sort(F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_gone")))
-    text = F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(kept, lambda i: F.get(F.col("_lines"), i)), "\n"))
-    out = docs.join(gone, F.col(id_col) == F.col("_doc"), "left").withColumn("_lines", lines)
+    kept = F.array_sort(F.array_except(F.sequence(F.lit(0), F.size("__dedup_lines") - 1), F.col("__dedup_gone")))
+    text = F.when(F.col("__dedup_gone").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(kept, lambda i: F.get(F.col("__dedup_lines"), i)), "\n"))
+    out = docs.join(gone, F.col(id_col) == F.col("__dedup_doc"), "left").withColumn("__dedup_lines", lines)
     columns = [text.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
     if counts:
-        columns += [F.coalesce(F.size("_lines"), F.lit(0)).cast("long").alias("n_lines"), F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone")).cast("long").alias("n_dropped")]
+        columns += [F.coalesce(F.size("__dedup_lines"), F.lit(0)).cast("long").alias("n_lines"), F.when(F.col("__dedup_gone").isNull(), 0).otherwise(F.size("__dedup_gone")).cast("long").alias("n_dropped")]
     return out.select(*columns)
 
 
