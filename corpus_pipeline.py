@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from hearthline.llm.common import saved, table
 from hearthline.llm.decontaminate import drop_contaminated
 from hearthline.llm.line_dedup import drop_recurring_lines
+from hearthline.llm.near_copies import drop_near_copies
 from hearthline.llm.sentence_pieces import encode_pieces
-from hearthline.llm.simhash import drop_near_duplicates
 from hearthline.llm.toxicity import drop_toxic
 
 
@@ -26,8 +26,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked fingerprints stays, the one with the smallest id."""
-    return drop_near_duplicates(docs)
+    """Of documents linked by a similarity of 0.8 or more over five-word shingles, the one with the smallest id stays."""
+    return drop_near_copies(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
