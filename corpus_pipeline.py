@@ -31,8 +31,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark passage go."""
-    return drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+    """Documents that hold a benchmark passage go; items of any length count."""
+    return drop_contaminated(docs, table(spark, sf_dir, "benchmark"), shortest=1)
 
 
 def piece_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,16 +5,20 @@ hashes them; positions the mask skips may differ. Hashes of the benchmark meet t
 hash join, after a semi join on the offsets that all masks share has left few positions. Around each hit the tokens of both sides are compared position by position, and a document is contaminated
 by an item if some window of ``window`` tokens (the whole item, if shorter) that overlaps the hit agrees in ``share``
 of its positions or more. With the masks below any 13 tokens with up to two substitutions have a seed in common.
+Items shorter than the window get seeds of their own: cut into one run of tokens more than they may have
+substitutions, some run is left whole, whatever their length.
 
 The benchmark is broadcast in blocks of about ``BLOCK`` positions at most, so any size of benchmark is matched against all
 documents with bounded memory; one block is the usual case.
 
 Defined results: null ids and null or empty texts or items match nothing; rows that share an id count as one document; items
-of fewer tokens than the shortest mask spans (six) match nothing, as so short a run says little.
+of fewer than six tokens match nothing unless ``shortest`` lets them, and then only word for word.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +26,8 @@ from pyspark.sql import functions as F
 MASKS = ((0, 1, 2, 3, 6, 8), (0, 1, 3, 4, 5, 7), (0, 1, 2, 3, 4, 5))
 #: Most benchmark positions in one broadcast: some 20 MB.
 BLOCK = 200_000
+#: Items of fewer tokens have no substitutions.
+EXACT = 6
 
 
 def tokens(text: Column) -> Column:
@@ -47,7 +53,39 @@ def _by_seed(positions: DataFrame, key: str, masks: tuple[tuple[int, ...], ...])
     return positions.select(key, "_at", F.explode(F.array(*(f"_s{i}" for i in range(len(masks))))).alias("_seed")).where("_seed is not null")
 
 
-def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, window: int = 13, share: float = 0.8, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", masks=MASKS) -> DataFrame:
+def runs(n: int, share: float) -> list[tuple[int, int]]:
+    """(start, length) of the runs that an item of n tokens is cut into: one more than it may have substitutions."""
+    cut = 1 if n < EXACT else n - math.ceil(n * share) + 1
+    edges = [n * i // cut for i in range(cut + 1)]
+    return [(a, b - a) for a, b in zip(edges, edges[1:])]
+
+
+def _run_hash(at: Column, length: int) -> Column:
+    return F.xxhash64(F.lit(length), *(F.get(F.col("_h"), at + F.lit(o)) for o in range(length)))
+
+
+def _short_hits(items: DataFrame, texts: DataFrame, window: int, share: float, shortest: int) -> DataFrame | None:
+    """(_doc, _at, _item, _q) where a run of an item shorter than the window stands in a document; None without such items."""
+    n = F.size("_h")
+    short = items.where(n.between(max(1, shortest), window - 1))
+    counts = {r["n"]: r["items"] for r in short.groupBy(n.alias("n")).agg(F.count("*").alias("items")).collect()}  # a row for each length below the window
+    if not counts:
+        return None
+    cuts = {k: runs(k, share) for k in counts}
+    seeds = F.coalesce(*(F.when(n == k, F.array(*(F.struct(F.lit(a).alias("q"), _run_hash(F.lit(a), m).alias("seed")) for a, m in cut))) for k, cut in cuts.items()))
+    wanted = short.select("_item", F.explode(seeds).alias("_r")).select("_item", F.col("_r.q").alias("_q"), F.col("_r.seed").alias("_seed"))
+    lengths = sorted({m for cut in cuts.values() for _, m in cut})
+    at = F.explode(F.when(n >= lengths[0], F.sequence(F.lit(0), n - F.lit(lengths[0])))).alias("_at")
+    here = texts.select("_doc", "_h", at).select("_doc", "_at", F.explode(F.array(*(F.when(F.col("_at") + F.lit(m) <= n, _run_hash(F.col("_at"), m)) for m in lengths))).alias("_seed"))
+    blocks = -(-sum(len(cuts[k]) * c for k, c in counts.items()) // BLOCK)
+    hits = None
+    for i in range(blocks):
+        found = here.join(F.broadcast(wanted.where(F.pmod("_seed", F.lit(blocks)) == i)), "_seed")
+        hits = found if hits is None else hits.unionByName(found)
+    return hits
+
+
+def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, window: int = 13, share: float = 0.8, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", masks=MASKS, shortest: int = EXACT) -> DataFrame:
     """(id_col, item_col, matched): each document and benchmark item that share a verified overlap, and the most agreeing positions in one window."""
     hashed = lambda c: F.transform(tokens(F.col(c)), lambda t: F.xxhash64(t))
     items = benchmark.where(F.col(item_text).isNotNull() & F.col(item_col).isNotNull()).select(F.col(item_col).alias("_item"), hashed(item_text).alias("_h"))
@@ -61,13 +99,16 @@ def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, window: int = 13,
         near = here.join(F.broadcast(some.select("_key").distinct()), "_key", "left_semi")
         found = _by_seed(near, "_doc", masks).join(F.broadcast(_by_seed(some, "_item", masks).withColumnRenamed("_at", "_q")), "_seed")
         hits = found if hits is None else hits.unionByName(found)
+    short = _short_hits(items, texts, window, share, shortest)
+    if short is not None:
+        hits = hits.unionByName(short)
     # hits that lie close together on one diagonal are looked at together: their windows form one stretch
     hits = hits.groupBy("_doc", "_item", (F.col("_at") - F.col("_q")).alias("_diag"), F.floor(F.col("_q") / 8).alias("_part")).agg(F.min("_q").alias("_from"), F.max("_q").alias("_to"))
     hits = hits.join(items.select("_item", F.col("_h").alias("_b")), "_item")
     low = F.greatest(F.col("_from") - F.lit(window - 1), F.lit(0), -F.col("_diag"))
     high = F.least(F.col("_to") + F.lit(window + max(m[-1] for m in masks)), F.size("_b"), F.size("_h") - F.col("_diag"))
     found = hits.join(texts, "_doc").withColumns({"_low": low, "_n": high - low}).where("_n > 0")
-    found = found.select("_doc", "_item", F.least(F.size("_b"), F.lit(window)).alias("_wide"), F.slice("_h", F.col("_low") + F.col("_diag") + 1, F.col("_n")).alias("_x"), F.slice("_b", F.col("_low") + 1, F.col("_n")).alias("_y"))
+    found = found.select("_doc", "_item", F.least(F.size("_b"), F.lit(window)).alias("_wide"), (F.size("_b") < EXACT).alias("_exact"), F.slice("_h", F.col("_low") + F.col("_diag") + 1, F.col("_n")).alias("_x"), F.slice("_b", F.col("_low") + 1, F.col("_n")).alias("_y"))
     same = F.zip_with("_x", "_y", lambda x, y: (x == y).cast("int"))
     sums = F.transform(
         F.sequence(F.lit(0), F.size("_same") - F.col("_wide")),
@@ -76,8 +117,8 @@ def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, window: int = 13,
     best = F.when(F.size("_x") >= F.col("_wide"), F.array_max(sums))
     return (
         found.withColumn("_same", same)
-        .select("_doc", "_item", "_wide", best.alias("_best"))
-        .where(F.col("_best") >= F.ceil(F.col("_wide") * F.lit(share)))
+        .select("_doc", "_item", "_wide", "_exact", best.alias("_best"))
+        .where(F.col("_best") >= F.when(F.col("_exact"), F.col("_wide")).otherwise(F.ceil(F.col("_wide") * F.lit(share))))
         .groupBy("_doc", "_item")
         .agg(F.max("_best").cast("long").alias("matched"))
         .select(F.col("_doc").alias(id_col), F.col("_item").alias(item_col), "matched")
