@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,6 +32,20 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """The name, with underscores in front until no column of df has it in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def without(docs: DataFrame, keys: DataFrame, id_col: str) -> DataFrame:
+    """docs without the rows whose id is in the one column of keys; rows with a null id stay."""
+    gone = unused(docs, "_gone")
+    return docs.join(keys.toDF(gone), F.col(id_col) == F.col(gone), "left_anti")
+
+
 def saved(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """df written as Parquet to the shared folder and read again: lineage ends, and any executor can read it."""
     spark = df.sparkSession
@@ -51,7 +67,46 @@ def hash_share(n_rows: int, bound: int, column: str = ID, salt: str = "sample")
     return F.pmod(h, F.lit(1 << 30)) < F.lit(int((1 << 30) * bound / n_rows))
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
-    """Smaller batches, so that a task holds the words of few texts at a time."""
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 500, size: int = 1 << 24) -> Iterator[pa.RecordBatch]:
+    """Smaller batches, of so many rows and, while these have more than one, about so many bytes at most."""
     for b in batches:
-        yield from (b.slice(i, rows) for i in range(0, b.num_rows, rows))
+        step = max(1, min(rows, size * b.num_rows // max(1, b.nbytes)))
+        yield from (b.slice(i, step) for i in range(0, b.num_rows, step))
+
+
+class Memo:
+    """Values of the words that a process met lately: when ``most`` are held they become the older ones, and older ones go unless met again."""
+
+    def __init__(self, make: Callable[[list], Iterable], most: int):
+        self.make, self.most, self.now, self.older = make, most, {}, {}
+
+    def of(self, words: set) -> dict:
+        """A table that has each of the words."""
+        if not words <= self.now.keys():
+            if len(self.now) + len(words) > self.most:
+                self.now, self.older = {}, self.now
+            self.now.update((w, self.older[w]) for w in words if w in self.older and w not in self.now)
+            new = [w for w in words if w not in self.now]
+            self.now.update(zip(new, self.make(new)))
+        return self.now
+
+
+def parts_of(texts: pa.Array, lead: str = "") -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Distinct parts of texts between spaces, the place of each part of all texts among them, and where each text's parts begin and end.
+
+    A space is put before every line break first, so that a part may begin with one but never holds one further on;
+    lead goes in front of each text.
+    """
+    texts = pc.replace_substring(pc.fill_null(texts, ""), "\n", " \n")
+    lists = pc.split_pattern(pc.binary_join_element_wise(lead, texts, "") if lead else texts, " ")
+    coded = lists.flatten().dictionary_encode()
+    return coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
+
+
+def strung(values: list[bytes], places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """32-bit numbers of the values at some places one after another, and where each place's begin and end."""
+    flat = np.frombuffer(b"".join(values), dtype="<u4")
+    sizes = np.fromiter(map(len, values), dtype=np.int64, count=len(values)) // 4
+    starts, taken = np.cumsum(sizes) - sizes, sizes[places]
+    ends = np.concatenate(([0], np.cumsum(taken)))
+    return flat[np.repeat(starts[places] - ends[:-1], taken) + np.arange(ends[-1])], ends
