@@ -5,8 +5,10 @@ approximate a Gaussian kernel over the standardised statistics. Every partition
 the normal equations, Spark adds the parts row by row, and one small solve gives the ridge weights. Isotonic
 calibration on a held-back fold turns ridge values into scores of 0 to 1.
 
-Defined results: null text counts as an empty one, and empty texts are scored like any other; without both classes among the labels every score is the share of
-label 1 (0 without labels); repeated rows score alike; other columns don't matter.
+Defined results: null text counts as an empty one, and empty texts are scored like any other; texts of any length are
+scored whole; without both classes among the labels every score is the share of label 1 (0 without labels); an id labelled
+more than once takes its largest label; repeated rows and equal texts score alike; an empty table gives no rows; other
+columns pass through, but for one named score.
 """
 
 from __future__ import annotations
@@ -134,8 +136,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", boun
 
 
 def score_quality(docs: DataFrame, model: QualityModel, text_col: str = "text") -> DataFrame:
-    """docs without the text but with score."""
-    keep = [c for c in docs.columns if c != text_col]
+    """docs without the text but with score, in place of a column of that name."""
+    keep = [c for c in docs.columns if c not in (text_col, "score")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):

@@ -5,12 +5,18 @@ Spark counts the character n-grams of a bounded sample of labelled documents, by
 off to one interpolated Kneser-Ney model of the shared continuation counts, so rare and unseen expressions weigh alike
 in both unless their parts are known. A word's weight is the difference of its two log-likelihoods. A document is
 compared by its mean weight a word over the whole text and over its most toxic window of ``WINDOW`` words, both
-normalised by length, where a word that repeats the one before it weighs nothing; a logistic curve fitted on a held-back fold turns the two into a score of 0 to 1.
+normalised by length; a text of fewer words counts as one of ``WINDOW`` words, as little text is little evidence, and a
+word that repeats the one before it is left out. A logistic curve fitted on a held-back fold, whose slopes can't be
+negative, turns the two into a score of 0 to 1 that never falls as they rise.
 
 The tables hold n-grams of at most ``2 * CLASS_BOUND`` sampled documents, so their broadcast is bounded.
 
-Defined results: null and empty texts get the score of no evidence; without both classes among the labels every score
-is the share of label 1 (0 without labels); repeated rows score alike; other columns don't matter.
+Models are of characters within words: no n-gram crosses a space.
+
+Defined results: null and empty texts get the score of no evidence; texts of any length are scored whole; without both
+classes among the labels every score is the share of label 1 (0 without labels); an id labelled more than once takes its
+largest label; repeated rows and equal texts score alike; an empty table gives no rows; other columns pass through, but
+for those named like the results.
 """
 
 from __future__ import annotations
@@ -24,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hearthline.llm.common import slices
+from hearthline.llm.common import Memo, slices
 from hearthline.llm.labelled import CLASS_BOUND, labelled_sample
 
 #: Longest n-gram; longest n-gram of the shared backoff; least count of n-grams above SHARED + 1; words in a window.
@@ -104,6 +110,11 @@ class ToxicModel:
     curve: tuple[float, ...] = (0.0, 0.0, 0.0)
     constant: float | None = None
 
+    memo: Memo | None = None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"memo": None}
+
     def weigh(self, words: list[str]) -> np.ndarray:
         """log p(word | toxic) - log p(word | ordinary)."""
         grams, ctx, word = gram_hashes(words)
@@ -118,22 +129,21 @@ class ToxicModel:
             out[open_[hit]] += value[at[hit]]
         return np.bincount(word, out, len(words))
 
-    def evidence(self, texts: list[str | None], cache: dict[str, float]) -> np.ndarray:
+    def _weigh_all(self, words: list[str]) -> list[float]:
+        return [x for i in range(0, len(words), 20_000) for x in self.weigh(words[i : i + 20_000]).tolist()]
+
+    def evidence(self, texts: list[str | None]) -> np.ndarray:
         """(texts, 2): mean weight a word of each text, and of its most toxic window."""
-        split = [words_of(t) for t in texts]
-        new = [w for w in set().union(*split) if w not in cache]
-        if len(cache) + len(new) > CACHE:
-            cache.clear()
-            new = list(set().union(*split))
-        for i in range(0, len(new), 20_000):
-            cache.update(zip(new[i : i + 20_000], self.weigh(new[i : i + 20_000]).tolist()))
+        split = [[w for w, last in zip(words, ["", *words]) if w != last] for words in map(words_of, texts)]
+        if self.memo is None:
+            self.memo = Memo(self._weigh_all, CACHE)
+        get = self.memo.of(set().union(*split)).__getitem__
         out = np.zeros((len(texts), 2))
         for i, words in enumerate(split):
             if words:
-                # a word that only repeats the one before adds no evidence
-                x = np.cumsum([0.0, *(cache[w] if w != last else 0.0 for last, w in zip(["", *words], words))])
+                x = np.cumsum([0.0, *map(get, words)])
                 n = min(WINDOW, len(words))
-                out[i] = x[-1] / len(words), (x[n:] - x[:-n]).max() / WINDOW
+                out[i] = x[-1] / max(WINDOW, len(words)), (x[n:] - x[:-n]).max() / WINDOW
         return out
 
     def score(self, evidence: np.ndarray) -> np.ndarray:
@@ -142,8 +152,8 @@ class ToxicModel:
         return 1 / (1 + np.exp(-np.clip(self.curve[0] + evidence @ np.array(self.curve[1:]), -40, 40)))
 
 
-def _class_tables(t: dict[str, np.ndarray]) -> ToxicModel:
-    """The difference tables from the counts, lowest order first."""
+def kneser_ney(t: dict[str, np.ndarray]) -> tuple[dict[int, np.ndarray], dict[int, np.ndarray], dict[int, dict[int, np.ndarray]], dict[int, dict[int, np.ndarray]]]:
+    """By order the sorted n-grams and contexts; then by order and class the n-grams' probabilities and the contexts' backoff weights (class orders only)."""
     of = {k: np.flatnonzero(t["k"] == k) for k in range(1, ORDER + 1)}
     of = {k: i[np.argsort(t["gram"][i])] for k, i in of.items()}
     gram = {k: t["gram"][i] for k, i in of.items()}
@@ -164,18 +174,26 @@ def _class_tables(t: dict[str, np.ndarray]) -> ToxicModel:
         base = shared[at] if k > 1 else shared
         total = np.maximum(total, 1e-9)
         shared = np.where(total[back] > 1e-6, (np.maximum(n - DISCOUNT, 0) + DISCOUNT * kinds[back] * base) / total[back], base)
-    model, low = ToxicModel({}, {}), {c: shared for c in (1, 0)}
+    contexts, probability, backoff = {}, {SHARED: {1: shared, 0: shared}}, {}
     for k in range(SHARED + 1, ORDER + 1):
         at, _ = _find(gram[k - 1], t["suffix"][of[k]])
-        weight = {}
+        probability[k], backoff[k] = {}, {}
         for c in (1, 0):
             n = t[f"n{c}"][of[k]].astype(float)
-            ctx, back, total, kinds = by_context(k, n)
+            contexts[k], back, total, kinds = by_context(k, n)
             seen = total > 0
-            weight[c] = np.where(seen, DISCOUNT * kinds / np.maximum(total, 1), 1.0)
-            low[c] = np.where(seen[back], np.maximum(n - DISCOUNT, 0) / np.maximum(total[back], 1), 0.0) + weight[c][back] * low[c][at]
-        model.grams[k] = gram[k], np.log(low[1]) - np.log(low[0])
-        model.contexts[k] = ctx, np.log(weight[1]) - np.log(weight[0])
+            backoff[k][c] = np.where(seen, DISCOUNT * kinds / np.maximum(total, 1), 1.0)
+            probability[k][c] = np.where(seen[back], np.maximum(n - DISCOUNT, 0) / np.maximum(total[back], 1), 0.0) + backoff[k][c][back] * probability[k - 1][c][at]
+    return gram, contexts, probability, backoff
+
+
+def _class_tables(t: dict[str, np.ndarray]) -> ToxicModel:
+    """The differences of the classes' logarithms."""
+    gram, contexts, probability, backoff = kneser_ney(t)
+    model = ToxicModel({}, {})
+    for k in range(SHARED + 1, ORDER + 1):
+        model.grams[k] = gram[k], np.log(probability[k][1]) - np.log(probability[k][0])
+        model.contexts[k] = contexts[k], np.log(backoff[k][1]) - np.log(backoff[k][0])
     return model
 
 
@@ -192,6 +210,19 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1
     return b
 
 
+def rising_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """A logistic curve without negative slopes: a measure whose slope would be negative is left out."""
+    used = [*range(x.shape[1])]
+    while True:
+        b = _logistic(x[:, used], y, weight)
+        if (b[1:] >= 0).all():
+            break
+        used.pop(int(np.argmin(b[1:])))
+    out = np.zeros(1 + x.shape[1])
+    out[[0, *(i + 1 for i in used)]] = b
+    return out
+
+
 def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", bound: int = CLASS_BOUND, id_col: str = "doc_id", text_col: str = "text") -> ToxicModel:
     """Fitted on about bound documents of each class at most; counts from four folds, the curve from the fifth."""
     sample = labelled_sample(docs, labels, label, bound, id_col, text_col)
@@ -206,28 +237,26 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", bound
     shipped = docs.sparkSession.sparkContext.broadcast(model)
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache: dict[str, float] = {}
         for b in slices(batches):
-            e = shipped.value.evidence(b.column(0).to_pylist(), cache)
+            e = shipped.value.evidence(b.column(0).to_pylist())
             yield pa.RecordBatch.from_arrays([pa.array(e[:, 0]), pa.array(e[:, 1]), b.column(1), b.column(2)], names=["mean", "peak", "label", "weight"])
 
     rows = sample.where("fold = 0").select("text", "label", "weight").mapInArrow(weigh, "mean double, peak double, label int, weight double").toPandas()
     if rows["label"].nunique() < 2:
         model.curve = (float(np.log((share + 1e-6) / (1 - share + 1e-6))), 1.0, 1.0)
     else:
-        model.curve = tuple(_logistic(rows[["mean", "peak"]].to_numpy(), rows["label"].to_numpy(float), rows["weight"].to_numpy()))
+        model.curve = tuple(rising_logistic(rows[["mean", "peak"]].to_numpy(), rows["label"].to_numpy(float), rows["weight"].to_numpy()))
     return model
 
 
 def score_toxicity(docs: DataFrame, model: ToxicModel, text_col: str = "text") -> DataFrame:
-    """docs without the text but with score and the two measures it is made of."""
+    """docs without the text but with score and the two measures it is made of, in place of columns of their names."""
     shipped = docs.sparkSession.sparkContext.broadcast(model)
-    others = [c for c in docs.columns if c != text_col]
+    others = [c for c in docs.columns if c not in (text_col, "score", "mean_weight", "peak_weight")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache: dict[str, float] = {}
         for b in slices(batches):
-            e = shipped.value.evidence(b.column(0).to_pylist(), cache)
+            e = shipped.value.evidence(b.column(0).to_pylist())
             yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(shipped.value.score(e)), pa.array(e[:, 0]), pa.array(e[:, 1])], names=[*others, "score", "mean_weight", "peak_weight"])
 
     schema = docs.select(*others).schema.add("score", "double").add("mean_weight", "double").add("peak_weight", "double")
@@ -241,9 +270,8 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, id_co
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache: dict[str, float] = {}
         for b in slices(batches):
-            e = shipped.value.evidence(b.column(at).to_pylist(), cache)
+            e = shipped.value.evidence(b.column(at).to_pylist())
             yield b.filter(pa.array(shipped.value.score(e) < threshold))
 
     return docs.mapInArrow(run, docs.schema)
