@@ -8,11 +8,14 @@ of its positions or more. With the masks below any 13 tokens with up to two subs
 Items shorter than the window get seeds of their own: cut into one run of tokens more than they may have
 substitutions, some run is left whole, whatever their length.
 
-The benchmark is broadcast in blocks of about ``BLOCK`` positions at most, so any size of benchmark is matched against all
-documents with bounded memory; one block is the usual case.
-
-Defined results: null ids and null or empty texts or items match nothing; rows that share an id count as one document; items
-of fewer than six tokens match nothing unless ``shortest`` lets them, and then only word for word.
+Benchmark items are broadcast in blocks of about ``BLOCK`` tokens, so any size of benchmark is matched against all
+documents with bounded memory; one block is the usual case. Seeds meet and overlaps are verified in the task that reads the
+document: only verified pairs are shuffled, so neither documents nor the hits of a very common seed move.
+
+Defined results: null ids and null or empty texts or items match nothing; texts of any length are matched whole; rows that
+share an id count as one document, items that share one as one item; of several overlaps the largest number of agreeing
+positions counts; empty tables give no pairs; other columns pass through, whatever their names; items of fewer than six
+tokens match nothing unless ``shortest`` lets them, and then only word for word.
 """
 
 from __future__ import annotations
@@ -22,9 +25,11 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hearthline.llm.common import saved, without
+
 #: Token offsets of each mask. Together they have full sensitivity for two substitutions in 13 tokens.
 MASKS = ((0, 1, 2, 3, 6, 8), (0, 1, 3, 4, 5, 7), (0, 1, 2, 3, 4, 5))
-#: Most benchmark positions in one broadcast: some 20 MB.
+#: About the most benchmark tokens in one broadcast: some 20 MB.
 BLOCK = 200_000
 #: Items of fewer tokens have no substitutions.
 EXACT = 6
@@ -39,18 +44,18 @@ def _hash(at: Column, offsets: tuple[int, ...], number: int, n: Column) -> Colum
     return F.when(at + F.lit(offsets[-1]) < n, F.xxhash64(F.lit(number), *(F.get(F.col("_h"), at + F.lit(o)) for o in offsets)))
 
 
-def _positions(df: DataFrame, key: str, masks: tuple[tuple[int, ...], ...]) -> DataFrame:
-    """(key, _at, _key, _s0, _s1, ...) for each position of the token hashes _h: hash of the offsets that all masks share, and of each mask."""
+def _positions(df: DataFrame, key: str, masks: tuple[tuple[int, ...], ...], keep: bool = False) -> DataFrame:
+    """(key, _at, _key, _s0, _s1, ...) for each position of the token hashes _h: hash of the offsets that all masks share, and of each mask; with keep also _h."""
     common = tuple(sorted(set.intersection(*map(set, masks))))
     n, shortest = F.size("_h"), min(m[-1] for m in masks)
     at = F.explode(F.when(n > shortest, F.sequence(F.lit(0), n - F.lit(shortest + 1)))).alias("_at")
     seeds = [_hash(F.col("_at"), m, i, n).alias(f"_s{i}") for i, m in enumerate(masks)]
-    return df.select(key, "_h", at).select(key, "_at", _hash(F.col("_at"), common, -1, n).alias("_key"), *seeds)
+    return df.select(key, "_h", at).select(key, *(["_h"] if keep else []), "_at", _hash(F.col("_at"), common, -1, n).alias("_key"), *seeds)
 
 
-def _by_seed(positions: DataFrame, key: str, masks: tuple[tuple[int, ...], ...]) -> DataFrame:
-    """(key, _at, _seed): one row for each mask that fits."""
-    return positions.select(key, "_at", F.explode(F.array(*(f"_s{i}" for i in range(len(masks))))).alias("_seed")).where("_seed is not null")
+def _by_seed(positions: DataFrame, masks: tuple[tuple[int, ...], ...], *columns: str) -> DataFrame:
+    """(columns, _at, _seed): one row for each mask that fits."""
+    return positions.select(*columns, "_at", F.explode(F.array(*(f"_s{i}" for i in range(len(masks))))).alias("_seed")).where("_seed is not null")
 
 
 def runs(n: int, share: float) -> list[tuple[int, int]]:
@@ -64,25 +69,23 @@ def _run_hash(at: Column, length: int) -> Column:
     return F.xxhash64(F.lit(length), *(F.get(F.col("_h"), at + F.lit(o)) for o in range(length)))
 
 
-def _short_hits(items: DataFrame, texts: DataFrame, window: int, share: float, shortest: int) -> DataFrame | None:
-    """(_doc, _at, _item, _q) where a run of an item shorter than the window stands in a document; None without such items."""
+def _mask_hits(items: DataFrame, texts: DataFrame, masks: tuple[tuple[int, ...], ...]) -> DataFrame:
+    """(_doc, _h, _at, _item, _q) where a masked seed of an item stands in a document."""
+    wanted = _positions(items, "_item", masks)
+    near = _positions(texts, "_doc", masks, keep=True).join(F.broadcast(wanted.select("_key").distinct()), "_key", "left_semi")
+    return _by_seed(near, masks, "_doc", "_h").join(F.broadcast(_by_seed(wanted, masks, "_item").withColumnRenamed("_at", "_q")), "_seed")
+
+
+def _short_hits(items: DataFrame, texts: DataFrame, lengths: list[int], share: float) -> DataFrame:
+    """The same where a run of an item stands in a document; items have the given numbers of tokens."""
     n = F.size("_h")
-    short = items.where(n.between(max(1, shortest), window - 1))
-    counts = {r["n"]: r["items"] for r in short.groupBy(n.alias("n")).agg(F.count("*").alias("items")).collect()}  # a row for each length below the window
-    if not counts:
-        return None
-    cuts = {k: runs(k, share) for k in counts}
+    cuts = {k: runs(k, share) for k in lengths}
     seeds = F.coalesce(*(F.when(n == k, F.array(*(F.struct(F.lit(a).alias("q"), _run_hash(F.lit(a), m).alias("seed")) for a, m in cut))) for k, cut in cuts.items()))
-    wanted = short.select("_item", F.explode(seeds).alias("_r")).select("_item", F.col("_r.q").alias("_q"), F.col("_r.seed").alias("_seed"))
-    lengths = sorted({m for cut in cuts.values() for _, m in cut})
-    at = F.explode(F.when(n >= lengths[0], F.sequence(F.lit(0), n - F.lit(lengths[0])))).alias("_at")
-    here = texts.select("_doc", "_h", at).select("_doc", "_at", F.explode(F.array(*(F.when(F.col("_at") + F.lit(m) <= n, _run_hash(F.col("_at"), m)) for m in lengths))).alias("_seed"))
-    blocks = -(-sum(len(cuts[k]) * c for k, c in counts.items()) // BLOCK)
-    hits = None
-    for i in range(blocks):
-        found = here.join(F.broadcast(wanted.where(F.pmod("_seed", F.lit(blocks)) == i)), "_seed")
-        hits = found if hits is None else hits.unionByName(found)
-    return hits
+    wanted = items.select("_item", F.explode(seeds).alias("_r")).select("_item", F.col("_r.q").alias("_q"), F.col("_r.seed").alias("_seed"))
+    sizes = sorted({m for cut in cuts.values() for _, m in cut})
+    at = F.explode(F.when(n >= sizes[0], F.sequence(F.lit(0), n - F.lit(sizes[0])))).alias("_at")
+    here = texts.select("_doc", "_h", at).select("_doc", "_h", "_at", F.explode(F.array(*(F.when(F.col("_at") + F.lit(m) <= n, _run_hash(F.col("_at"), m)) for m in sizes))).alias("_seed"))
+    return here.join(F.broadcast(wanted), "_seed")
 
 
 def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, window: int = 13, share: float = 0.8, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", masks=MASKS, shortest: int = EXACT) -> DataFrame:
@@ -90,45 +93,45 @@ def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, window: int = 13,
     hashed = lambda c: F.transform(tokens(F.col(c)), lambda t: F.xxhash64(t))
     items = benchmark.where(F.col(item_text).isNotNull() & F.col(item_col).isNotNull()).select(F.col(item_col).alias("_item"), hashed(item_text).alias("_h"))
     texts = docs.where(F.col(text_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_doc"), hashed(text_col).alias("_h"))
-    wanted, here = _positions(items, "_item", masks), _positions(texts, "_doc", masks)
-    blocks = max(1, -(-wanted.count() // BLOCK))
-    part = F.pmod(F.xxhash64("_key"), F.lit(blocks))
-    hits = None
+    n = F.size("_h")
+    # a row for each length below the window
+    short = sorted(r["n"] for r in items.where(n.between(max(1, shortest), window - 1)).select(n.alias("n")).distinct().collect())
+    blocks = max(1, -(-(items.agg(F.sum(n).alias("n")).first()["n"] or 0) // BLOCK))
+    if blocks > 1:
+        texts = saved(texts, "token-hashes")
+    reach = window + max(m[-1] for m in masks)
+    found = None
     for i in range(blocks):
-        some = wanted.where(part == i) if blocks > 1 else wanted
-        near = here.join(F.broadcast(some.select("_key").distinct()), "_key", "left_semi")
-        found = _by_seed(near, "_doc", masks).join(F.broadcast(_by_seed(some, "_item", masks).withColumnRenamed("_at", "_q")), "_seed")
-        hits = found if hits is None else hits.unionByName(found)
-    short = _short_hits(items, texts, window, share, shortest)
-    if short is not None:
-        hits = hits.unionByName(short)
-    # hits that lie close together on one diagonal are looked at together: their windows form one stretch
-    hits = hits.groupBy("_doc", "_item", (F.col("_at") - F.col("_q")).alias("_diag"), F.floor(F.col("_q") / 8).alias("_part")).agg(F.min("_q").alias("_from"), F.max("_q").alias("_to"))
-    hits = hits.join(items.select("_item", F.col("_h").alias("_b")), "_item")
-    low = F.greatest(F.col("_from") - F.lit(window - 1), F.lit(0), -F.col("_diag"))
-    high = F.least(F.col("_to") + F.lit(window + max(m[-1] for m in masks)), F.size("_b"), F.size("_h") - F.col("_diag"))
-    found = hits.join(texts, "_doc").withColumns({"_low": low, "_n": high - low}).where("_n > 0")
-    found = found.select("_doc", "_item", F.least(F.size("_b"), F.lit(window)).alias("_wide"), (F.size("_b") < EXACT).alias("_exact"), F.slice("_h", F.col("_low") + F.col("_diag") + 1, F.col("_n")).alias("_x"), F.slice("_b", F.col("_low") + 1, F.col("_n")).alias("_y"))
-    same = F.zip_with("_x", "_y", lambda x, y: (x == y).cast("int"))
+        some = items.where(F.pmod(F.xxhash64("_item"), F.lit(blocks)) == i) if blocks > 1 else items
+        hits = [_mask_hits(some, texts, masks)] + ([_short_hits(some.where(n.isin(short)), texts, short, share)] if short else [])
+        for hit in hits:
+            # only the tokens around the hit go on, up to a window before it and past its masks
+            left = F.least(F.col("_at"), F.lit(window - 1))
+            hit = hit.select("_doc", "_item", "_q", left.alias("_left"), F.slice("_h", F.col("_at") - left + 1, left + F.lit(reach)).alias("_x"))
+            hit = hit.join(F.broadcast(some.select("_item", F.col("_h").alias("_b"))), "_item")
+            verified = _verified(hit, window, share, reach)
+            found = verified if found is None else found.unionByName(verified)
+    return found.groupBy("_doc", "_item").agg(F.max("_best").cast("long").alias("matched")).select(F.col("_doc").alias(id_col), F.col("_item").alias(item_col), "matched")
+
+
+def _verified(hits: DataFrame, window: int, share: float, reach: int) -> DataFrame:
+    """(_doc, _item, _best) of the hits around which some window agrees in enough positions. Everything here is in the task of the document."""
+    before = F.least("_left", "_q")
+    width = F.least(F.size("_x") - F.col("_left") + before, F.size("_b") - F.col("_q") + before, before + F.lit(reach))
+    wide = F.least(F.size("_b"), F.lit(window))
+    x, y = F.slice("_x", F.col("_left") - before + 1, width), F.slice("_b", F.col("_q") - before + 1, width)
+    same = hits.where(width >= wide).select("_doc", "_item", wide.alias("_wide"), (F.size("_b") < EXACT).alias("_exact"), F.zip_with(x, y, lambda a, b: (a == b).cast("int")).alias("_same"))
     sums = F.transform(
         F.sequence(F.lit(0), F.size("_same") - F.col("_wide")),
         lambda i: F.aggregate(F.slice("_same", i + 1, F.col("_wide")), F.lit(0), lambda a, x: a + x),
     )
-    best = F.when(F.size("_x") >= F.col("_wide"), F.array_max(sums))
-    return (
-        found.withColumn("_same", same)
-        .select("_doc", "_item", "_wide", "_exact", best.alias("_best"))
-        .where(F.col("_best") >= F.when(F.col("_exact"), F.col("_wide")).otherwise(F.ceil(F.col("_wide") * F.lit(share))))
-        .groupBy("_doc", "_item")
-        .agg(F.max("_best").cast("long").alias("matched"))
-        .select(F.col("_doc").alias(id_col), F.col("_item").alias(item_col), "matched")
-    )
+    best = same.select("_doc", "_item", "_wide", "_exact", F.array_max(sums).alias("_best"))
+    return best.where(F.col("_best") >= F.when(F.col("_exact"), F.col("_wide")).otherwise(F.ceil(F.col("_wide") * F.lit(share)))).select("_doc", "_item", "_best")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """docs without those that share a verified overlap with any benchmark item; rows with a null id stay."""
-    bad = contaminated_pairs(docs, benchmark, id_col=id_col, **options).select(F.col(id_col).alias("_bad")).distinct()
-    return docs.join(bad, F.col(id_col) == F.col("_bad"), "left_anti")
+    return without(docs, contaminated_pairs(docs, benchmark, id_col=id_col, **options).select(id_col).distinct(), id_col)
 
 
 def oracle_sql(window: int = 13, share: float = 0.8) -> str:
