@@ -10,8 +10,9 @@ puts every file together in order, and verifies length and digest before the sam
 Texts travel compressed (bz2 packs short texts a seventh tighter than zstd does), so that the joins shuffle about as many
 bytes as the store holds.
 
-Defined results: null text counts as empty and is padded to 192 bytes; equal texts of different keys share one stored file, which
-is stored again only for a row that repeats its key too; rows with the same key each get their result; null keys are stored under the key of an equal file, or alone; other columns don't matter.
+Defined results: null text counts as empty and is padded to 192 bytes; texts of any length are stored whole; equal texts share
+one stored file; rows with the same key each get their result; null keys are stored under the key of an equal file, or
+alone; an empty table gives empty tables; other columns don't matter.
 """
 
 from __future__ import annotations
@@ -113,14 +114,15 @@ def _listing(docs: DataFrame) -> DataFrame:
 
 
 def _packed(docs: DataFrame) -> DataFrame:
-    """(key, packed): the text, compressed."""
+    """(key, file, packed): the digest of the row's file, and its text, compressed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            packed = [bz2.compress((t or "").encode("utf-8", "surrogatepass")) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(packed, pa.binary())], names=["key", "packed"])
+            texts = b.column(1).to_pylist()
+            packed = [bz2.compress((t or "").encode("utf-8", "surrogatepass")) for t in texts]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([digest(to_wave(payload(t))) for t in texts], pa.binary()), pa.array(packed, pa.binary())], names=["key", "file", "packed"])
 
-    return docs.select("key", "text").mapInArrow(run, "key long, packed binary")
+    return docs.select("key", "text").mapInArrow(run, "key long, file binary, packed binary")
 
 
 def store_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -135,10 +137,12 @@ def store_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     listing = saved(_listing(rows), "media-listing")
     firsts = listing.groupBy("file").agg(F.min("key").alias("key"), F.min_by("digests", "key").alias("digests"))
     used = firsts.select("file", "key", F.posexplode("digests").alias("seq", "digest"))
-    shared = used.groupBy("digest").agg(F.min("key").alias("owner"), F.max("key").alias("last")).where("owner <> last").drop("last")
+    # written, so that the join with all users of a very common chunk can be broadcast or split
+    shared = saved(used.groupBy("digest").agg(F.min("key").alias("owner"), F.max("key").alias("last")).where("owner <> last").drop("last"), "media-shared")
     marks = used.join(shared, "digest").groupBy("file").agg(F.collect_set(F.struct("seq", (F.col("key") == F.col("owner")).alias("own"))).alias("marks"))
     plan = firsts.select("file", "key").join(marks, "file", "left")
-    packed = _packed(rows).join(plan, "key")
+    # rows that repeat both key and file are one before they meet the plan, which has each file once
+    packed = _packed(rows).groupBy("key", "file").agg(F.first("packed").alias("packed")).join(plan, ["key", "file"])
 
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -146,8 +150,6 @@ def store_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 out: dict[str, list] = {c: [] for c in ("file", "digests", "sizes", "kinds", "body")}
                 for raw, file, marks in zip(*(whole.column(c).slice(i, 500).to_pylist() for c in ("packed", "file", "marks"))):
                     media = to_wave(payload(bz2.decompress(raw).decode("utf-8", "surrogatepass")))
-                    if digest(media) != file:
-                        continue  # another row of the same key
                     parts = chunks(media)
                     kinds = [1] * len(parts)
                     for m in marks or ():
@@ -214,4 +216,5 @@ def _rebuilt(store: DataFrame) -> DataFrame:
 
 def read_media(listing: DataFrame, store: DataFrame) -> DataFrame:
     """(id, n_bytes, payload_bytes, ... feature) of every row, from the stored bytes."""
-    return listing.join(_rebuilt(store).dropDuplicates(["file"]), "file").drop("file")
+    # each file is stored once: a join without a grouping, which Spark can split where copies abound
+    return listing.join(_rebuilt(store), "file").drop("file")
