@@ -9,8 +9,10 @@ radius, and one spanning edge per joined fingerprint goes on. Components come fr
 
 Shard trees go to their tasks by a shuffle and not by broadcast: a broadcast of all fingerprints has no size bound.
 
-Defined results: null text is an empty one; texts without words have fingerprint zero and link like any other;
-repeated rows share a fingerprint; rows with a null doc_id never name a component; other columns pass through.
+Defined results: null text is an empty one; texts without words have fingerprint zero and link like any other; texts of any
+length are taken whole; repeated rows share a fingerprint, and of rows that share an id all stay or all go; a component is
+named by its smallest id; rows with a null doc_id never name one; an empty table gives no rows; ``simhash_components``
+leaves other columns out, ``drop_near_duplicates`` passes them through, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hearthline.llm.common import saved
+from hearthline.llm.common import saved, without
 from hearthline.llm.components import connected_components
 
 RADIUS, BLOCKS = 2, 6
@@ -44,7 +46,11 @@ def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
     starts = np.concatenate(([0], ends[:-1] + 1))
     k = min(width, len(words))
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[a:b], seed) for a, b in zip(starts[: len(words) - k + 1].tolist(), ends[k - 1 :].tolist())], dtype="<u8")
+    return voted(np.array([digest(joined[a:b], seed) for a, b in zip(starts[: len(words) - k + 1].tolist(), ends[k - 1 :].tolist())], dtype="<u8"))
+
+
+def voted(hashes: np.ndarray) -> int:
+    """The fingerprint whose bits are set in over half of the hashes."""
     votes = np.zeros(64, dtype=np.int64)
     for i in range(0, len(hashes), 8192):
         votes += np.unpackbits(hashes[i : i + 8192].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
@@ -179,22 +185,25 @@ def _shard_edges(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.
 
 
 def simhash_components(docs: DataFrame, width: int = 3, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with _fp (signed long) and _component: the smallest id reachable by links, itself included."""
-    if not 0 <= radius <= RADIUS:
-        raise ValueError(f"shards hold every link up to {RADIUS} bits")
+    """(id_col, _fp, _component) of every row: fingerprint as a signed long, and the smallest id reachable by links, itself included."""
     prints = saved(fingerprints(docs, width, id_col, text_col), "fingerprints")
     reps = prints.groupBy("_fp").agg(F.min(id_col).cast("long").alias("rep"))
+    found = connected_components(print_links(reps, radius))
+    by_print = saved(reps.join(found, reps["rep"] == found["node"], "left").select(F.col("_fp").alias("_fp2"), F.coalesce("component", "rep").alias("_component")), "components")
+    return prints.join(by_print, F.col("_fp") == F.col("_fp2"), "left").select(*prints.columns, "_component")
+
+
+def print_links(reps: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(a, b): edges that span what the tree shards link, between the reps of distinct fingerprints (_fp, rep)."""
+    if not 0 <= radius <= RADIUS:
+        raise ValueError(f"shards hold every link up to {RADIUS} bits")
     shards = F.array(*(F.struct(F.lit(i).cast("int").alias("mask"), F.col("_fp").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(SHARD_MASKS)))
     rows = reps.where("rep is not null").select(F.explode(shards).alias("s"), "_fp", "rep").select("s.mask", "s.key", "_fp", "rep")
     rows = rows.repartition("mask", "key").sortWithinPartitions("mask", "key")
-    edges = rows.mapInArrow(lambda batches: _shard_edges(batches, radius), "a long, b long")
-    found = connected_components(edges)
-    by_print = saved(reps.join(found, reps["rep"] == found["node"], "left").select(F.col("_fp").alias("_fp2"), F.coalesce("component", "rep").alias("_component")), "components")
-    return prints.join(by_print, F.col("_fp") == F.col("_fp2"), "left").select(*prints.columns, "_component")
+    return rows.mapInArrow(lambda batches: _shard_edges(batches, radius), "a long, b long")
 
 
 def drop_near_duplicates(docs: DataFrame, width: int = 3, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one document of each component: the one with the smallest id. Rows with a null id stay."""
     out = simhash_components(docs, width, radius, id_col, text_col)
-    gone = out.where(F.col("_component") < F.col(id_col)).select(F.col(id_col).alias("_gone")).distinct()
-    return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    return without(docs, out.where(F.col("_component") < F.col(id_col)).select(id_col).distinct(), id_col)

@@ -43,6 +43,22 @@ def test_edited_copies_against_brute_force(spark):
     assert sorted(map(tuple, near_copies.near_copies(frame(spark, rows)).collect())) == want
 
 
+def test_large_groups_are_cut_alike(spark, monkeypatch):
+    """Blocks of a few sets, with groups of one cluster and of several."""
+    rng = random.Random(9)
+    rows = corpus()
+    shared = words(rng, 150)
+    for i in range(60):  # half of each text is the same: candidates without being copies
+        rows.append((400 + i, shared + " " + words(rng, 60), "en", "a", 1))
+        rows.append((500 + i, edited(rng, rows[-1][1], rng.randint(1, 6)), "en", "a", 1))
+    rows += [(600 + i, edited(rng, rows[0][1], 1), "en", "a", 1) for i in range(40)]
+    want, _ = expected(rows)
+    for pivots in (0, 3):
+        monkeypatch.setattr(near_copies, "GROUP", 7)
+        monkeypatch.setattr(near_copies, "PIVOTS", pivots)
+        assert sorted(map(tuple, near_copies.near_copies(frame(spark, rows)).collect())) == want
+
+
 def test_stage_takes_edited_copies(spark):
     rows = corpus()
     gone = {i for i, name in expected(rows)[0] if i > name}
