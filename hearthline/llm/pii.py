@@ -1,36 +1,44 @@
 """Personal data: base patterns, and a character BiLSTM with CRF transitions that adds spans.
 
 The base finds e-mail addresses, IP addresses, card and phone numbers by fixed patterns with checks. The network reads
-classes of characters in windows of ``WINDOW`` characters at every ``STRIDE``; it is trained in numpy on windows around the
-base's spans and around other digits and signs, from a bounded sample of documents, with separators varied so that it
-generalises. Windows that hold a digit or ``@`` are decoded (a span without either can't be of these kinds: the decoder
-rules such spans out everywhere, so other windows have none). All windows' spans of a document are reconciled together:
-the set of spans without overlaps that has the greatest total score stays, next to the base spans, which always stay.
-
-Defined results: null text counts as empty; repeated rows give the same spans; without any labelled span in the sample
-only the base spans are returned; other columns don't matter.
+classes of characters in windows of ``WINDOW`` characters at every ``STRIDE`` and learns in numpy from labelled spans in a
+bounded sample of documents: the base's own, and the same spans rewritten in forms that the base can't see (other
+separators, no plus, spelled or bracketed signs), among numbers of other kinds that carry no label. Windows that hold a digit,
+``@``, a bracketed at or dot, or the word dot are decoded; a span without any of these isn't looked for.
+
+Each window gives the probabilities of every label at each of its characters. Where windows overlap these are averaged,
+with more weight the further from a window's edge, and one Viterbi pass under the CRF's label rules runs over each stretch of
+characters that may be in a span, across all windows. So a span may be of any length and a window's edge cuts none. An
+added span must be sure enough and have the digits (and a card's check digit) or sign of its kind; base spans always stay, and
+added ones don't touch them.
+
+Defined results: null text counts as empty; texts of any length are read whole; repeated rows and equal texts give the same
+spans; ties of labels go to the first in order; without any labelled span in the sample only the base spans are returned; an
+empty table gives no rows; other columns pass through, but for those named like the results.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hearthline.llm.common import hash_share
+from hearthline.llm.common import hash_share, slices
 
 KINDS = ("email", "ip", "card", "phone")
 WINDOW, STRIDE, HIDDEN = 64, 32, 16
-#: Most documents that the network is trained on (in expectation), windows, and passes over them.
-TRAIN_DOCS, TRAIN_WINDOWS, EPOCHS, BATCH, RATE = 2_000, 3_000, 6, 64, 0.02
-#: Least mean marginal probability of an added span's labels.
-CONFIDENCE = 0.9
+#: Most documents that the network is trained on (in expectation), most windows of these, and passes over them.
+TRAIN_DOCS, TRAIN_WINDOWS, EPOCHS, BATCH, RATE = 2_000, 4_000, 8, 128, 0.03
+#: Least mean probability of an added span's labels; least probability of any span at a character that the decoder looks at.
+CONFIDENCE, LOOK = 0.8, 0.05
 
 _IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
@@ -38,6 +46,9 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _MAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DIGIT = re.compile("[0-9]")
+_SPELLED = re.compile(r"[\[({<] ?(?:at|dot|\.) ?[\])}>]|\bdot\b", re.IGNORECASE)
+_AT = re.compile(r"@|[\[({<] ?at ?[\])}>]|\bat\b", re.IGNORECASE)
+_EDGE = re.compile(r"[\w+(](?:.*[\w)])?", re.DOTALL)
 
 Span = tuple[str, int, int]
 
@@ -81,8 +92,8 @@ def base_spans(text: str) -> list[Span]:
 
 # ---- the network
 
-#: Classes of characters: 0 padding, then by rule.
-_SIGNS = "@.-_+() \n:/=\"%,'#*"
+#: Classes of characters: 0 padding, then by rule; some signs and the letters of "at" and "dot" have their own.
+_SIGNS = "@.-_+() \n:/=\"%,'#*[]{}<>atdo"
 CLASSES, LABELS = 6 + len(_SIGNS), 1 + 2 * len(KINDS)
 
 
@@ -90,7 +101,7 @@ def _class_table() -> np.ndarray:
     out = np.full(0x3000, 4, dtype=np.uint8)  # letters beyond ASCII and the rest
     for c in range(128):
         x = chr(c)
-        out[c] = 1 if x.isdigit() else 2 if x.islower() else 3 if x.isupper() else 6 + _SIGNS.index(x) if x in _SIGNS else 5
+        out[c] = 1 if x.isdigit() else 6 + _SIGNS.index(x.lower()) if x.lower() in _SIGNS else 2 if x.islower() else 3 if x.isupper() else 5
     return out
 
 
@@ -106,11 +117,6 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.tanh(0.5 * x))
 
 
-def _logsumexp(x: np.ndarray, axis: int) -> np.ndarray:
-    top = x.max(axis=axis, keepdims=True)
-    return (top + np.log(np.exp(x - top).sum(axis=axis, keepdims=True))).squeeze(axis)
-
-
 #: Label 1 + 2k begins a span of kind k, 2 + 2k goes on with it; from row to column.
 _ALLOWED = np.array([[b == 0 or b % 2 == 1 or (a > 0 and (a - 1) // 2 == (b - 1) // 2) for b in range(LABELS)] for a in range(LABELS)])
 _BARRED = np.where(_ALLOWED, 0.0, -1e4)
@@ -155,15 +161,16 @@ class Tagger:
         return np.concatenate([self._run(x, d)[0] for d in "fb"], axis=2) @ self.w["wo"] + self.w["bo"]
 
     @staticmethod
-    def _sums(e: np.ndarray, tr: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Log-sums of all label sequences up to each position, from it on, and of whole windows."""
-        a, b = np.zeros_like(e), np.zeros_like(e)
-        a[:, 0] = e[:, 0] + _FIRST
-        for i in range(1, e.shape[1]):
-            a[:, i] = e[:, i] + _logsumexp(a[:, i - 1, :, None] + tr, 1)
+    def _passes(e: np.ndarray, step: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of all label sequences the scaled sums up to each position and from it on, and the scales, whose product is the sum of whole windows."""
+        a, b, c = np.empty_like(e), np.ones_like(e), np.empty(e.shape[:2], dtype=e.dtype)
+        for i in range(e.shape[1]):
+            a[:, i] = e[:, i] * (a[:, i - 1] @ step if i else (_FIRST == 0))
+            c[:, i] = a[:, i].sum(1)
+            a[:, i] /= c[:, i, None]
         for i in range(e.shape[1] - 2, -1, -1):
-            b[:, i] = _logsumexp(tr + (e[:, i + 1] + b[:, i + 1])[:, None, :], 2)
-        return a, b, _logsumexp(a[:, -1], 1)
+            b[:, i] = (e[:, i + 1] * b[:, i + 1]) @ step.T / c[:, i + 1, None]
+        return a, b, c
 
     def loss_and_gradient(self, x: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Mean negative log-likelihood a window of label sequences y."""
@@ -171,14 +178,16 @@ class Tagger:
         both = np.concatenate([hf, hb], axis=2)
         e, tr = both @ self.w["wo"] + self.w["bo"], self.w["tr"] + _BARRED
         n, t, _ = e.shape
-        a, b, z = self._sums(e, tr)
+        top, step = e.max(2, keepdims=True), np.exp(self.w["tr"]) * _ALLOWED
+        scaled = np.exp(e - top)
+        a, b, c = self._passes(scaled, step)
+        z = np.log(c).sum(1) + top.sum((1, 2))
         rows = np.arange(n)[:, None]
         gold = e[rows, np.arange(t), y].sum(1) + tr[y[:, :-1], y[:, 1:]].sum(1)
-        de = np.exp(a + b - z[:, None, None])
+        de = a * b
         de[rows, np.arange(t), y] -= 1
-        dtr = np.zeros_like(tr)
-        for i in range(1, t):
-            dtr += np.exp(a[:, i - 1, :, None] + tr + (e[:, i] + b[:, i])[:, None, :] - z[:, None, None]).sum(0)
+        ahead = scaled[:, 1:] * b[:, 1:] / c[:, 1:, None]
+        dtr = np.tensordot(a[:, :-1], ahead, ((0, 1), (0, 1))) * step
         np.add.at(dtr, (y[:, :-1], y[:, 1:]), -1)
         g = {"wo": np.tensordot(both, de, ((0, 1), (0, 1))), "bo": de.sum((0, 1)), "tr": np.where(_ALLOWED, dtr, 0)}
         dh_out = de @ self.w["wo"].T
@@ -192,7 +201,7 @@ class Tagger:
                 dc = dc + dh * s[:, 2 * HIDDEN :] * (1 - tc**2)
                 dz = np.concatenate([dc * cell, dc * c0, dh * tc], axis=1) * s * (1 - s)
                 dz = np.concatenate([dz, dc * s[:, :HIDDEN] * (1 - cell**2)], axis=1)
-                np.add.at(gx, x[:, i], dz)
+                gx += (x[:, i, None] == np.arange(CLASSES)).T.astype(float) @ dz
                 gh += h0.T @ dz
                 gb += dz.sum(0)
                 dh, dc = dz @ wh.T, dc * s[:, HIDDEN : 2 * HIDDEN]
@@ -218,26 +227,46 @@ class Tagger:
             losses.append(total / len(x))
         return losses
 
-    def decode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Best label sequence of each window, and the marginal probability of each of its labels."""
-        e, tr = self.emissions(x), self.w["tr"] + _BARRED
-        n, t, _ = e.shape
-        best, back = e[:, 0] + _FIRST, np.zeros((n, t, LABELS), dtype=np.int64)
-        for i in range(1, t):
-            scores = best[:, :, None] + tr
-            back[:, i] = scores.argmax(1)
-            best = scores.max(1) + e[:, i]
-        y = np.zeros((n, t), dtype=np.int64)
-        y[:, -1] = best.argmax(1)
-        for i in range(t - 1, 0, -1):
-            y[:, i - 1] = back[np.arange(n), i, y[:, i]]
-        a, b, z = self._sums(e, tr)
-        return y, np.exp(np.take_along_axis(a + b, y[:, :, None], 2)[:, :, 0] - z[:, None])
-
-
-def _window_starts(c: np.ndarray) -> np.ndarray:
-    """Starts, on the stride, of the windows that hold a digit or @."""
+    def probabilities(self, x: np.ndarray) -> np.ndarray:
+        """(windows, WINDOW, LABELS): how probable each label is at each character, over all label sequences."""
+        w = {k: v.astype(np.float32) for k, v in self.w.items()}
+        n, t = x.shape
+        e = np.zeros((n, t, LABELS), dtype=np.float32) + w["bo"]
+        for d, half in (("f", slice(0, HIDDEN)), ("b", slice(HIDDEN, None))):
+            h = c = np.zeros((n, HIDDEN), dtype=np.float32)
+            for i in range(t) if d == "f" else range(t - 1, -1, -1):
+                z = (w["wx" + d] + w["b" + d])[x[:, i]] + h @ w["wh" + d]
+                s = _sigmoid(z[:, : 3 * HIDDEN])
+                c = s[:, HIDDEN : 2 * HIDDEN] * c + s[:, :HIDDEN] * np.tanh(z[:, 3 * HIDDEN :])
+                h = s[:, 2 * HIDDEN :] * np.tanh(c)
+                e[:, i] += h @ w["wo"][half]
+        e, step = np.exp(e - e.max(2, keepdims=True)), np.exp(w["tr"]) * _ALLOWED
+        a, b, _ = self._passes(e, step.astype(np.float32))
+        p = a * b
+        return p / p.sum(2, keepdims=True)
+
+
+def best_labels(p: np.ndarray) -> np.ndarray:
+    """(runs, characters): of some runs of equal length the likeliest labels that keep the rules, by the labels' probabilities."""
+    score = np.log(np.maximum(p, 1e-12))
+    best, back = score[:, 0] + _FIRST, np.zeros(p.shape, dtype=np.int64)
+    for i in range(1, p.shape[1]):
+        ways = best[:, :, None] + _BARRED
+        back[:, i] = ways.argmax(1)
+        best = ways.max(1) + score[:, i]
+    y = np.zeros(p.shape[:2], dtype=np.int64)
+    y[:, -1] = best.argmax(1)
+    for i in range(p.shape[1] - 1, 0, -1):
+        y[:, i - 1] = back[np.arange(len(y)), i, y[:, i]]
+    return y
+
+
+def _window_starts(text: str, c: np.ndarray) -> np.ndarray:
+    """Starts, on the stride, of the windows that hold a digit, @, or a spelled or bracketed sign."""
     at = np.flatnonzero((c == 1) | (c == 6))
+    spelled = [m.start() for m in _SPELLED.finditer(text)]
+    if spelled:
+        at = np.union1d(at, spelled)
     first = np.maximum(at - WINDOW, -1) // STRIDE + 1
     return np.unique(np.concatenate([first, at // STRIDE])) * STRIDE if len(at) else at
 
@@ -247,27 +276,93 @@ def _windows(c: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return padded[starts[:, None] + np.arange(WINDOW)]
 
 
-def _varied(text: str, spans: list[Span], rng: np.random.Generator) -> str:
-    """The text with other digits and, in some cards and phones, other separators of the same length."""
-    out = list(text)
-    for kind, a, b in spans:
-        swap = dict(zip(" -", rng.permutation(list(" -.")))) if kind in ("card", "phone") and rng.random() < 0.3 else {}
-        for i in range(a, b):
-            out[i] = str(rng.integers(10)) if out[i].isascii() and out[i].isdigit() else swap.get(out[i], out[i])
-    return "".join(out)
+# ---- training
 
 
-def training_windows(texts: list[str], seed: int = 3) -> tuple[np.ndarray, np.ndarray]:
-    """Windows of character classes and labels around spans and other digits and signs."""
+def _digits(rng: np.random.Generator, n: int) -> str:
+    return "".join(map(str, rng.integers(0, 10, n)))
+
+
+def _rewritten(kind: str, part: str, rng: np.random.Generator) -> str:
+    """A span's text with other digits, and mostly in a form that the base patterns don't take."""
+    pick = lambda *x: x[int(rng.integers(len(x)))]
+    part = "".join(_digits(rng, 1) if "0" <= c <= "9" else c for c in part)
+    if rng.random() < 0.35:
+        return part
+    digits = "".join(c for c in part if "0" <= c <= "9")
+    if kind == "email":
+        user, _, host = part.rpartition("@")
+        if rng.random() < 0.3:
+            return f"{user} @ {host}"
+        return user + pick(" at ", " [at] ", "[at]", "(at)", " (at) ", "{at}", " AT ", "<at>") + host.replace(".", pick(" dot ", "[dot]", "(dot)", " [dot] ", " DOT ", ".", ".", ".", "[.]"))
+    if kind == "ip":
+        return pick("[.]", "(.)", " . ", "[dot]", " dot ", ". ").join(str(rng.integers(256)) for _ in range(4))
+    if kind == "card":
+        size = pick(4, 4, 4, len(digits))
+        return pick(".", "  ", "/", " - ", "_", "--").join(digits[i : i + size] for i in range(0, len(digits), size))
+    digits = (digits + _digits(rng, 11))[:11]
+    code, area, a, b = pick(digits[:1], digits[:2]), digits[-10:-7], digits[-7:-4], digits[-4:]
+    return pick(
+        f"{code} ({area}) {a}-{b}", f"({area}) {a}-{b}", f"({area}) {a} {b}", f"{area}-{a}-{b}", f"{area}.{a}.{b}", f"{code}-{area}-{a}-{b}", f"{code} {area} {a} {b}",
+        f"00{code} {area} {a}{b}", f"0{area}/{a}{b}", f"0{area}-{a}{b}", f"00{code}-{area}-{a}-{b}", f"{code}.{area}.{a}.{b}",
+    )
+
+
+def _made(kind: str, rng: np.random.Generator) -> str:
+    """A span of the kind, before it is rewritten."""
+    word = lambda: "".join(chr(97 + i) for i in rng.integers(0, 26, rng.integers(2, 10)))
+    if kind == "email":
+        many = lambda n: int(rng.choice(n, p=np.array([0.5, 0.3, 0.1, 0.1][:n]) / sum([0.5, 0.3, 0.1, 0.1][:n]))) + 1
+        user = ("." if rng.random() < 0.6 else "_").join(word() for _ in range(many(4))) + (_digits(rng, 2) if rng.random() < 0.3 else "")
+        return user + "@" + ".".join(word() for _ in range(many(4))) + "." + word()[:3]
+    if kind == "ip":
+        return ".".join(str(rng.integers(256)) for _ in range(4))
+    if kind == "card":
+        d = _digits(rng, 16)
+        return " ".join(d[i : i + 4] for i in range(0, 16, 4))
+    return "+" + _digits(rng, int(rng.integers(9, 13)))
+
+
+def _other_number(rng: np.random.Generator) -> str:
+    """A number that is no span: dates, times, amounts, versions, serial and account-like numbers, lists."""
+    d = lambda n: _digits(rng, n)
+    forms = (
+        lambda: f"20{d(2)}-{d(2)}-{d(2)}", lambda: f"{d(2)}/{d(2)}/{d(4)}", lambda: f"{d(2)}.{d(2)}.{d(4)}", lambda: f"{d(2)}:{d(2)}:{d(2)}", lambda: f"{d(1)},{d(3)}.{d(2)}", lambda: f"{d(1)}.{d(2)}.{d(1)}", lambda: f"{d(3)}-{d(2)}-{d(4)}",
+        lambda: f"INV-{d(4)}-{d(5)}", lambda: f"#{d(7)}", lambda: d(int(rng.integers(1, 12))), lambda: f"978-{d(1)}-{d(2)}-{d(6)}-{d(1)}", lambda: f"{d(2)}.{d(5)}, {d(1)}.{d(5)}", lambda: f"19{d(2)}-20{d(2)}", lambda: ", ".join(d(1) for _ in range(5)),
+        lambda: f"{d(2)}%", lambda: f"v{d(1)}.{d(2)}", lambda: f"id={d(8)}", lambda: f"${d(3)}.{d(2)}", lambda: f"{d(4)}-{d(4)}", lambda: f"20{d(2)}-{d(2)}-{d(2)}T{d(2)}:{d(2)}:{d(2)}Z", lambda: "dot", lambda: f"at {d(2)}:{d(2)}", lambda: f"{d(3)} {d(3)}",
+    )
+    return forms[int(rng.integers(len(forms)))]()
+
+
+def _varied(text: str, spans: list[Span], rng: np.random.Generator) -> tuple[str, list[Span]]:
+    """The text with its spans rewritten and, between words, some spans more and some other numbers; and where the spans are."""
+    taken, last, out, found, size = sorted(spans, key=lambda s: s[1]), 0, [], [], 0
+    gaps = [m.start() for m in re.finditer(" ", text) if not any(a <= m.start() < b for _, a, b in spans)]
+    some = rng.choice(gaps, min(len(gaps), 1 + len(gaps) // 25), replace=False).tolist() if gaps else []
+    edits = [(a, b, kind, None) for kind, a, b in taken] + [(g, g, None, _other_number(rng) if rng.random() < 0.5 else KINDS[int(rng.integers(len(KINDS)))]) for g in some]
+    for a, b, kind, more in sorted(edits, key=lambda e: e[:2]):
+        if a < last:
+            continue
+        new = _rewritten(kind, text[a:b], rng) if kind else " " + (_rewritten(more, _made(more, rng), rng) if more in KINDS else more)
+        out += [text[last:a], new]
+        size += a - last
+        if kind or more in KINDS:
+            found.append((kind or more, size + (not kind), size + len(new)))
+        size, last = size + len(new), b
+    return "".join([*out, text[last:]]), found
+
+
+def training_windows(texts: list[str], most: int = TRAIN_WINDOWS, seed: int = 3) -> tuple[np.ndarray, np.ndarray]:
+    """Most windows of character classes and labels around spans and other digits and signs, chosen at random."""
     rng, xs, ys = np.random.default_rng(seed), [], []
     for text in texts:
-        spans = base_spans(text)
-        c = classes(_varied(text, spans, rng))
+        text, spans = _varied(text, base_spans(text), rng)
+        c = classes(text)
         y = np.zeros(len(c) + WINDOW, dtype=np.int64)
         for kind, a, b in spans:
             y[a:b] = 2 + 2 * KINDS.index(kind)
             y[a] -= 1
-        starts = _window_starts(c)
+        starts = _window_starts(text, c)
         if len(starts):
             starts = np.unique(np.clip(starts + rng.integers(-STRIDE // 2, STRIDE // 2, len(starts)), 0, max(0, len(c) - 1)))
             xs.append(_windows(c, starts))
@@ -276,12 +371,12 @@ def training_windows(texts: list[str], seed: int = 3) -> tuple[np.ndarray, np.nd
         return np.zeros((0, WINDOW), dtype=np.uint8), np.zeros((0, WINDOW), dtype=np.int64)
     x, y = np.concatenate(xs), np.concatenate(ys)
     y[:, 0] = np.where((y[:, 0] > 0) & (y[:, 0] % 2 == 0), y[:, 0] - 1, y[:, 0])  # a span that is cut begins at the edge
-    keep = rng.permutation(len(x))[:TRAIN_WINDOWS]
+    keep = rng.permutation(len(x))[:most]
     return x[keep], y[keep]
 
 
-def fit_tagger(docs: DataFrame, bound: int = TRAIN_DOCS, id_col: str = "doc_id", text_col: str = "text") -> Tagger | None:
-    """Trained on about bound documents with a digit or @ at most, chosen by hash of the id; None without labelled spans."""
+def fit_tagger(docs: DataFrame, bound: int = TRAIN_DOCS, windows: int = TRAIN_WINDOWS, id_col: str = "doc_id", text_col: str = "text") -> Tagger | None:
+    """Trained on about bound documents with a digit or @ at most, chosen by hash of the id, and on so many of their windows at most; None without labelled spans."""
     some = docs.where(F.col(text_col).rlike("[0-9@]"))
     n = some.count()
     keep = some.where(hash_share(n, bound, id_col, "pii"))
@@ -293,9 +388,9 @@ def fit_tagger(docs: DataFrame, bound: int = TRAIN_DOCS, id_col: str = "doc_id",
             yield pa.RecordBatch.from_arrays([pa.array(parts, pa.string())], names=["text"])
 
     texts = sorted(keep.select(text_col).mapInArrow(cut, "text string").toArrow()["text"].to_pylist())
-    x, y = training_windows(texts)
-    if not (y > 0).any():
+    if not any(map(base_spans, texts)):
         return None
+    x, y = training_windows(texts, windows)
     tagger = Tagger.fresh()
     tagger.fit(x, y)
     return tagger
@@ -314,76 +409,91 @@ def _surroundings(text: str, reach: int = 96) -> Iterator[str]:
 
 
 def _plausible(kind: str, part: str) -> bool:
-    """Whether the span passes the checks that its kind can't do without, the base's own among them."""
+    """Whether the span has what its kind can't do without."""
     digits = "".join(c for c in part if "0" <= c <= "9")
     if kind == "email":
-        return "@" in part[1:-1] and "." in part[part.index("@") :]
+        return bool(_AT.search(part, 1)) and any(c.isalpha() for c in part)
+    if kind == "ip":
+        parts = re.findall("[0-9]+", part)
+        return len(parts) == 4 and all(len(x) <= 3 and int(x) <= 255 for x in parts)
     if any(c.isalpha() for c in part):
         return False
-    if kind == "ip":
-        parts = part.split(".")
-        return len(parts) == 4 and all(x.isdecimal() and len(x) <= 3 and int(x) <= 255 for x in parts)
     return 13 <= len(digits) <= 19 and luhn(digits) if kind == "card" else 9 <= len(digits) <= 15
 
 
-def _kept(kind: str, text: str, start: int, end: int) -> list[tuple[int, int]]:
-    """The span if it is plausible, or else those of its parts between spaces that are: the base and the decoder may run neighbours together."""
-    if _plausible(kind, text[start:end]):
-        return [(start, end)]
-    return [(start + m.start(), start + m.end()) for m in re.finditer(r"\S+", text[start:end]) if _plausible(kind, m[0])]
-
-
-def _reconciled(spans: list[tuple[int, int, str, float]]) -> list[tuple[int, int, str]]:
-    """Spans without overlaps of the greatest total score; ties by the earlier end, then kind."""
-    spans = sorted(set(spans), key=lambda s: (s[1], s[0], s[2]))
-    ends = [s[1] for s in spans]
-    best: list[tuple[float, tuple | None, int]] = [(0.0, None, 0)]
-    for i, (a, _, _, score) in enumerate(spans):
-        j = int(np.searchsorted(ends[:i], a, side="right"))
-        take = best[j][0] + score
-        best.append((take, spans[i], j) if take > best[i][0] else (best[i][0], None, i))
-    out, i = [], len(spans)
-    while i:
-        _, span, j = best[i]
-        if span:
-            out.append(span[:3])
-        i = j
-    return out[::-1]
+def _block_probabilities(tagger: Tagger, x: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the blocks of STRIDE characters that windows cover, and the labels' probabilities there, averaged over windows. places: of each window's first block."""
+    blocks, at = np.unique(np.concatenate([places, places + 1]), return_inverse=True)
+    trust = np.minimum(np.arange(1, WINDOW + 1), np.arange(WINDOW, 0, -1)).astype(np.float32)
+    p, total = np.zeros((len(blocks), STRIDE, LABELS), dtype=np.float32), np.zeros((len(blocks), STRIDE), dtype=np.float32)
+    for i in range(0, len(x), 2048):
+        some = tagger.probabilities(x[i : i + 2048]) * trust[None, :, None]
+        for half, k in ((slice(0, STRIDE), at[i : len(places)][: len(some)]), (slice(STRIDE, None), at[len(places) + i :][: len(some)])):
+            np.add.at(p, k, some[:, half])
+            np.add.at(total, k, trust[half])
+    return blocks, p / total[:, :, None]
+
+
+def _added(text: str, taken: list[tuple[int, int]], runs: list[tuple[int, np.ndarray, np.ndarray]]) -> list[Span]:
+    """The sure and plausible spans of decoded runs (start, labels, their probabilities) that touch no span of the base."""
+    out, begins, ends = [], [a for a, _ in taken], list(accumulate((b for _, b in taken), max))
+    for at, y, sure in runs:
+        for a in np.flatnonzero(y % 2 == 1).tolist():
+            b = a + 1
+            while b < len(y) and y[b] == y[a] + 1:
+                b += 1
+            kind = KINDS[(int(y[a]) - 1) // 2]
+            # letters and digits that belong to a word at either end come along
+            start, end = min(at + a, len(text)), min(at + b, len(text))
+            while 0 < start < len(text) and text[start].isalnum() and text[start - 1].isalnum():
+                start -= 1
+            while 0 < end < len(text) and text[end - 1].isalnum() and text[end].isalnum():
+                end += 1
+            m = _EDGE.search(text, start, end)
+            if not m or sure[a:b].mean() < CONFIDENCE or not _plausible(kind, m[0]):
+                continue
+            before = bisect_left(begins, m.end())
+            if not before or ends[before - 1] <= m.start():
+                out.append((kind, *m.span()))
+    return out
 
 
 def find_spans(texts: list[str | None], tagger: Tagger | None) -> list[tuple[list[Span], list[Span]]]:
     """For each text its base spans and its added ones."""
     base = [base_spans(t or "") for t in texts]
-    added: list[list] = [[] for _ in texts]
-    if tagger:
-        held, owner, places = [], [], []
-        for i, t in enumerate(texts):
-            if t and ("@" in t or _DIGIT.search(t)):
-                c = classes(t)
-                starts = _window_starts(c)
-                held.append(_windows(c, starts))
-                owner += [i] * len(starts)
-                places += starts.tolist()
-        x = np.concatenate(held) if held else np.zeros((0, WINDOW), dtype=np.uint8)
-        for s in range(0, len(x), 2048):
-            y, sure = tagger.decode(x[s : s + 2048])
-            for r in np.flatnonzero((y > 0).any(1)).tolist():
-                text, at = texts[owner[s + r]], places[s + r]
-                begins = np.flatnonzero(y[r] % 2 == 1).tolist()
-                for a in begins:
-                    b = a + 1
-                    while b < WINDOW and y[r, b] == y[r, a] + 1:
-                        b += 1
-                    if (a == 0 and at > 0) or (b == WINDOW and at + b < len(text)) or at + b > len(text):
-                        continue  # cut by the window: the next one has it whole
-                    kind, score = KINDS[(y[r, a] - 1) // 2], float(sure[r, a:b].mean())
-                    if score >= CONFIDENCE:
-                        added[owner[s + r]] += [(start, end, kind, score * (end - start)) for start, end in _kept(kind, text, at + a, at + b)]
-    out = []
-    for spans, more in zip(base, added):
-        taken = [(a, b) for _, a, b in spans]
-        more = [m for m in more if not any(m[0] < b and a < m[1] for a, b in taken)]
-        out.append((spans, [(k, a, b) for a, b, k in _reconciled(more)]))
+    out: list[tuple[list[Span], list[Span]]] = [(spans, []) for spans in base]
+    if not tagger:
+        return out
+    held, places, ends = [], [], [0]
+    for t in texts:  # a text's blocks are numbered from ends on, with one between texts that none has
+        if t and ("@" in t or _DIGIT.search(t) or _SPELLED.search(t)):
+            c = classes(t)
+            starts = _window_starts(t, c)
+            held.append(_windows(c, starts))
+            places.append(ends[-1] + starts // STRIDE)
+        ends.append(ends[-1] + len(t or "") // STRIDE + 3)
+    if not held:
+        return out
+    blocks, p = _block_probabilities(tagger, np.concatenate(held), np.concatenate(places))
+    owner = np.searchsorted(ends, blocks, side="right") - 1
+    # runs of characters that may be in a span, by length
+    at = (blocks[:, None] * STRIDE + np.arange(STRIDE)).ravel()
+    p = p.reshape(-1, LABELS)
+    near = np.flatnonzero(p[:, 0] < 1 - LOOK)
+    runs: dict[int, list[np.ndarray]] = {}
+    for run in np.split(near, np.flatnonzero(np.diff(at[near]) != 1) + 1) if len(near) else ():
+        runs.setdefault(len(run), []).append(run)
+    decoded: dict[int, list] = {}
+    for rows in (np.array(x) for x in runs.values()):
+        some = p[rows]
+        y = best_labels(some)
+        sure = np.take_along_axis(some, y[:, :, None], 2)[:, :, 0]
+        for i in np.flatnonzero((y > 0).any(1)).tolist():
+            text = int(owner[rows[i, 0] // STRIDE])
+            decoded.setdefault(text, []).append((int(at[rows[i, 0]]) - ends[text] * STRIDE, y[i], sure[i]))
+    for i, some in decoded.items():
+        taken = sorted((a, b) for _, a, b in base[i])
+        out[i][1].extend(_added(texts[i], taken, sorted(some, key=lambda r: r[0])))
     return out
 
 
@@ -392,21 +502,19 @@ def spans_string(spans: list[Span]) -> str:
 
 
 def tag_documents(docs: DataFrame, tagger: Tagger | None, text_col: str = "text") -> DataFrame:
-    """docs without the text but with n_email, n_ip, n_card, n_phone and base_sha256 of the base, spans (all) and n_added."""
+    """docs without the text but with n_email, n_ip, n_card, n_phone and base_sha256 of the base, spans (all) and n_added; these replace columns of their names."""
     shipped = docs.sparkSession.sparkContext.broadcast(tagger)
-    others = [c for c in docs.columns if c != text_col]
+    others = [c for c in docs.columns if c not in (text_col, *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_added")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for i in range(0, whole.num_rows, 1000):
-                b = whole.slice(i, 1000)
-                found = find_spans(b.column(0).to_pylist(), shipped.value)
-                counts = [pa.array([sum(k == kind for k, _, _ in base) for base, _ in found], pa.int64()) for kind in KINDS]
-                sha = [hashlib.sha256(spans_string(base).encode()).hexdigest() for base, _ in found]
-                yield pa.RecordBatch.from_arrays(
-                    [*b.columns[1:], *counts, pa.array(sha, pa.string()), pa.array([spans_string(base + more) for base, more in found], pa.string()), pa.array([len(more) for _, more in found], pa.int64())],
-                    names=[*others, *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_added"],
-                )
+        for b in slices(batches, 1000, 1 << 22):
+            found = find_spans(b.column(0).to_pylist(), shipped.value)
+            counts = [pa.array([sum(k == kind for k, _, _ in base) for base, _ in found], pa.int64()) for kind in KINDS]
+            sha = [hashlib.sha256(spans_string(base).encode()).hexdigest() for base, _ in found]
+            yield pa.RecordBatch.from_arrays(
+                [*b.columns[1:], *counts, pa.array(sha, pa.string()), pa.array([spans_string(base + more) for base, more in found], pa.string()), pa.array([len(more) for _, more in found], pa.int64())],
+                names=[*others, *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_added"],
+            )
 
     schema = docs.select(*others).schema
     for k in KINDS:
