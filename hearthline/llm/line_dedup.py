@@ -1,31 +1,33 @@
 """Line deduplication by a fixed-depth tree of log templates, in DataFrame functions alone.
 
-A line goes down the tree by its token count and its first tokens, with tokens that hold a digit generalised
-to ``<*>``. Below, a leaf has one template with every remaining token fixed and, for lines of ``wild_from`` tokens
-or more, one template for each of four segments of the remaining tokens in which that segment is a variable field.
-A template that occurs in ``min_docs`` documents or more recurs. Of each recurring template the first line stays
-(by doc_id, then position) and the later ones are dropped.
-
-Defined results: null text counts as no lines and stays null; blank lines stay; rows with a null doc_id stay as they
-are; rows that share a doc_id count as one document. Other columns pass through.
+A line goes down the tree by its token count and its first tokens (two, or one below ``deep_from`` tokens), with tokens that
+hold a digit generalised to ``<*>``. Below, its remaining tokens are cut into four segments. Lines of ``wild_from``
+tokens or more fall under one template for each segment, in which it is a variable field; lines of ``two_from`` tokens or
+more under one for every two segments, in which both are, so that fields may vary in two places far apart. Every line
+also has the template with all tokens fixed. A template that occurs in ``min_docs`` documents or more recurs. Of each
+recurring template the first line stays (by doc_id, then position) and the later ones are dropped.
+
+Templates meet by 96-bit keys, made of 64-bit hashes of the leading tokens and of each segment.
+
+Defined results: null text counts as no lines and stays null; blank lines stay; lines of any length are parsed whole; rows
+with a null doc_id stay as they are; rows that share a doc_id count as one document; a line that is first under one
+template may go by another; an empty table gives no rows. Other columns pass through.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SEGMENTS = 4
+#: Segments that are variable fields of a template, for lines with one field and with two.
+ONE, TWO = [*combinations(range(SEGMENTS), 1)], [*combinations(range(SEGMENTS), 2)]
 
 
-def _words(n: Column, start: Column, end: Column) -> Column:
-    return F.array_join(F.slice(F.col("_w"), start + 1, end - start), " ")
-
-
-def line_templates(docs: DataFrame, depth: int = 2, wild_from: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(_doc, _pos, _k1, _k2): 128-bit keys of every template that each line of the documents falls under."""
+def line_templates(docs: DataFrame, depth: int = 2, deep_from: int = 10, wild_from: int = 4, two_from: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(_doc, _pos, _k1, _k2): 96-bit keys of every template that each line of the documents falls under."""
     lines = (
         docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull())
         .select(F.col(id_col).alias("_doc"), F.posexplode(F.split(F.col(text_col), "\n")).alias("_pos", "_line"))
@@ -33,25 +35,21 @@ def line_templates(docs: DataFrame, depth: int = 2, wild_from: int = 10, id_col:
         .where(F.col("_line") != "")
         .withColumn("_line", F.when(F.col("_line").rlike("[0-9]"), F.regexp_replace("_line", "[^ 0-9]*+[0-9][^ ]*", "<*>")).otherwise(F.col("_line")))
     )
-    n, rest = F.col("_n"), F.col("_n") - F.lit(depth)
-    cut = [F.lit(depth) + F.floor(rest * F.lit(i) / F.lit(SEGMENTS)).cast("int") for i in range(SEGMENTS + 1)]
-    whole = F.array(F.struct(F.xxhash64(F.lit(0), n, F.col("_line")).alias("k1"), F.xxhash64(F.lit("b"), n, F.col("_line")).alias("k2")))
-    lead = F.array_join(F.slice("_w", 1, depth), " ")
-    parts = F.array(*(_words(n, cut[i], cut[i + 1]) for i in range(SEGMENTS)))
-
-    def wild(j: int) -> Column:
-        kept = [F.col("_p")[i] for i in range(SEGMENTS) if i != j]
-        return F.struct(F.xxhash64(F.lit(j + 1), n, F.col("_lead"), *kept).alias("k1"), F.xxhash64(F.lit(f"b{j}"), n, F.col("_lead"), *kept).alias("k2"))
-
-    long_enough = n >= F.lit(wild_from)
-    return (
-        lines.withColumn("_w", F.split("_line", " "))
-        .withColumn("_n", F.size("_w"))
-        .withColumn("_lead", F.when(long_enough, lead))
-        .withColumn("_p", F.when(long_enough, parts))
-        .select("_doc", "_pos", F.explode(F.when(long_enough, F.concat(whole, F.array(*(wild(j) for j in range(SEGMENTS))))).otherwise(whole)).alias("_k"))
-        .select("_doc", "_pos", F.col("_k.k1").alias("_k1"), F.col("_k.k2").alias("_k2"))
-    )
+    n, lead = F.col("_n"), F.when(F.col("_n") >= deep_from, F.lit(depth)).otherwise(F.least(F.col("_n"), F.lit(min(1, depth))))
+    edge = [F.col("_d") + F.floor((n - F.col("_d")) * F.lit(i) / F.lit(SEGMENTS)).cast("int") for i in range(SEGMENTS + 1)]
+    words = lines.withColumn("_w", F.split("_line", " ")).withColumn("_n", F.size("_w")).withColumn("_d", lead)
+    parts = words.select(
+        "_doc", "_pos", "_n", F.xxhash64(n, F.slice("_w", 1, F.col("_d"))).alias("_b"),
+        *(F.xxhash64(F.slice("_w", edge[i] + 1, edge[i + 1] - edge[i])).alias(f"_h{i}") for i in range(SEGMENTS)),
+    )
+
+    def key(wild: tuple[int, ...]) -> Column:
+        fixed = [F.lit(sum(1 << j for j in wild)), F.col("_b"), *(F.col(f"_h{i}") for i in range(SEGMENTS) if i not in wild)]
+        return F.struct(F.xxhash64(*fixed).alias("k1"), F.hash(*fixed).alias("k2"))
+
+    of = lambda fields: F.array(key(()), *map(key, fields))
+    keys = F.when(n >= two_from, of(TWO)).when(n >= wild_from, of(ONE)).otherwise(of([]))
+    return parts.select("_doc", "_pos", F.explode(keys).alias("_k")).select("_doc", "_pos", F.col("_k.k1").alias("_k1"), F.col("_k.k2").alias("_k2"))
 
 
 def recurring_lines(docs: DataFrame, min_docs: int = 2, **options) -> DataFrame:
@@ -67,9 +65,9 @@ def recurring_lines(docs: DataFrame, min_docs: int = 2, **options) -> DataFrame:
     return keys.join(found.select("_k1", "_k2", "_first"), ["_k1", "_k2"]).where(at > F.col("_first")).select("_doc", "_pos")
 
 
-def drop_recurring_lines(docs: DataFrame, min_docs: int = 2, depth: int = 2, wild_from: int = 10, id_col: str = "doc_id", text_col: str = "text", counts: bool = False) -> DataFrame:
-    """docs with recurring lines taken out of the text; with counts, also n_lines and n_dropped."""
-    gone = recurring_lines(docs, min_docs, depth=depth, wild_from=wild_from, id_col=id_col, text_col=text_col)
+def drop_recurring_lines(docs: DataFrame, min_docs: int = 2, id_col: str = "doc_id", text_col: str = "text", counts: bool = False, **options) -> DataFrame:
+    """docs with recurring lines taken out of the text; with counts, also n_lines and n_dropped. options: those of line_templates."""
+    gone = recurring_lines(docs, min_docs, id_col=id_col, text_col=text_col, **options)
     gone = gone.groupBy(F.col("_doc").alias("__dedup_doc")).agg(F.collect_set("_pos").alias("__dedup_gone"))
     lines = F.split(F.col(text_col), "\n")
     kept = F.array_sort(F.array_except(F.sequence(F.lit(0), F.size("__dedup_lines") - 1), F.col("__dedup_gone")))
@@ -81,17 +79,21 @@ def drop_recurring_lines(docs: DataFrame, min_docs: int = 2, depth: int = 2, wil
     return out.select(*columns)
 
 
-def oracle_sql(depth: int = 2, wild_from: int = 10) -> str:
+def oracle_sql(depth: int = 2, deep_from: int = 10, wild_from: int = 4, two_from: int = 16) -> str:
     """The same in SQL, with templates as strings in place of hashes."""
-    edges = [f"{depth} + floor((n - {depth}) * {i} / {SEGMENTS}.0)::int" for i in range(SEGMENTS + 1)]
+    edges = [f"d + floor((n - d) * {i} / {SEGMENTS}.0)::int" for i in range(SEGMENTS + 1)]
     parts = [f"array_to_string(w[{edges[i]} + 1 : {edges[i + 1]}], ' ')" for i in range(SEGMENTS)]
-    wild = reduce(lambda a, b: f"{a}, {b}", ("concat_ws('|', '%d', n, array_to_string(w[1:%d], ' '), %s)" % (j + 1, depth, ", ".join(parts[i] for i in range(SEGMENTS) if i != j)) for j in range(SEGMENTS)))
+
+    def some(fields: list[tuple[int, ...]]) -> str:
+        of = lambda wild: "concat_ws('|', '%s', n, array_to_string(w[1:d], ' '), %s)" % ("".join(map(str, wild)), ", ".join(f"'{i}:' || {parts[i]}" for i in range(SEGMENTS) if i not in wild))
+        return ", ".join(map(of, [(), *fields]))
+
     return f"""
 WITH raw AS (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL),
 l AS (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) - 1 AS pos FROM raw),
 m AS (SELECT doc_id, pos, regexp_replace(trim(regexp_replace(line, '[\\x20\\t\\x0B\\f\\r]+', ' ', 'g'), ' '), '[^ ]*[0-9][^ ]*', '<*>', 'g') AS line FROM l),
-t AS (SELECT doc_id, pos, line, string_split(line, ' ') AS w, len(string_split(line, ' ')) AS n FROM m WHERE line <> ''),
-k AS (SELECT doc_id, pos, unnest(CASE WHEN n >= {wild_from} THEN [concat_ws('|', '0', n, line), {wild}] ELSE [concat_ws('|', '0', n, line)] END) AS k FROM t),
+t AS (SELECT *, CASE WHEN n >= {deep_from} THEN {depth} ELSE {min(1, depth)} END AS d FROM (SELECT doc_id, pos, string_split(line, ' ') AS w, len(string_split(line, ' ')) AS n FROM m WHERE line <> '')),
+k AS (SELECT doc_id, pos, unnest(CASE WHEN n >= {two_from} THEN [{some(TWO)}] WHEN n >= {wild_from} THEN [{some(ONE)}] ELSE [{some([])}] END) AS k FROM t),
 f AS (SELECT k, min((doc_id, pos)) AS first FROM k GROUP BY k HAVING count(DISTINCT doc_id) >= 2),
 g AS (SELECT DISTINCT k.doc_id, k.pos FROM k JOIN f USING (k) WHERE (k.doc_id, k.pos) > f.first),
 kept AS (SELECT l.doc_id, string_agg(l.line, chr(10) ORDER BY l.pos) FILTER (WHERE g.pos IS NULL) AS kept, count(*) AS n_lines, count(g.pos) AS n_dropped

@@ -33,6 +33,56 @@ def test_a_segment_may_vary_in_long_lines(spark):
     assert dedup(spark, [line, line.replace("four", "x").replace("twelve", "y")])[1] != ""  # two segments
 
 
+def test_fields_of_short_lines(spark):
+    assert dedup(spark, ["user alice logged in", "user bob logged in\nmore"])[1] == "more"
+    assert dedup(spark, ["user alice logged in", "user bob logged out"])[1] != ""
+    assert dedup(spark, ["one two three", "one two four"])[1] != ""  # under four tokens all are fixed
+
+
+def test_two_fields_of_long_lines(spark):
+    line = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen"
+    two = line.replace("four ", "x ").replace("seventeen", "y")
+    assert dedup(spark, [line, two])[1] == ""
+    assert dedup(spark, [line, two.replace("nine", "z")])[1] != ""  # three segments
+
+
+def slow_templates(line, deep_from=10, wild_from=4, two_from=16):
+    import re
+    from itertools import combinations
+
+    w = ["<*>" if re.search("[0-9]", t) else t for t in line.split()]
+    n = len(w)
+    d = 2 if n >= deep_from else 1
+    cut = [d + (n - d) * i // 4 for i in range(5)]
+    for k in [0] + [2] * (n >= two_from) + [1] * (wild_from <= n < two_from):
+        for wild in combinations(range(4), k):
+            yield n, wild, tuple(t if i < d or next(j for j in range(4) if cut[j] <= i < cut[j + 1]) not in wild else "*" for i, t in enumerate(w))
+
+
+def test_against_brute_force(spark):
+    import random
+
+    rng = random.Random(3)
+    base = [" ".join(f"w{chr(97 + rng.randrange(26))}{chr(97 + rng.randrange(26))}" for _ in range(rng.choice([1, 2, 3, 4, 5, 8, 9, 10, 14, 16, 20, 41]))) for _ in range(60)]
+    texts = []
+    for _ in range(40):
+        lines = []
+        for _ in range(6):
+            w = rng.choice(base).split()
+            for _ in range(rng.randint(0, 3)):
+                w[rng.randrange(len(w))] = rng.choice(["x", "y", "7z"])
+            lines.append(" ".join(w))
+        texts.append("\n".join(lines))
+    first, docs = {}, defaultdict(set)
+    for i, t in enumerate(texts):
+        for j, line in enumerate(t.split("\n")):
+            for key in slow_templates(line):
+                first.setdefault(key, (i, j))
+                docs[key].add(i)
+    want = {i: "\n".join(x for j, x in enumerate(t.split("\n")) if not any(len(docs[k]) > 1 and first[k] < (i, j) for k in slow_templates(x))) for i, t in enumerate(texts)}
+    assert dedup(spark, texts) == want and sum(len(t) for t in want.values()) < 0.7 * sum(map(len, texts))
+
+
 def test_edges(spark):
     out = {r["doc_id"]: r for r in k.drop_recurring_lines(frame(spark), counts=True).where("doc_id is not null").collect()}
     assert out[60]["text"] is None and out[60]["n_lines"] == 0
@@ -70,7 +120,7 @@ def test_sql_agrees(spark, seed):
 def test_no_line_is_lost_but_by_a_template(spark):
     rows = [r for r in corpus() if r[0] is not None and r[1]]
     out = defaultdict(list)
-    for r in k.drop_recurring_lines(frame(spark, rows), wild_from=10**6).collect():
+    for r in k.drop_recurring_lines(frame(spark, rows), wild_from=10**6, two_from=10**6).collect():
         out[r["doc_id"]].append(r["text"])
     everything = {line.strip() for r in rows for line in r[1].split("\n")}
     assert {line.strip() for texts in out.values() for t in texts for line in t.split("\n")} >= {x for x in everything if sum(x in r[1] for r in rows) == 1 and x}
