@@ -4,7 +4,8 @@ The base finds e-mail addresses, IP addresses, card and phone numbers by fixed p
 classes of characters in windows of ``WINDOW`` characters at every ``STRIDE`` and learns in numpy from labelled spans in a
 bounded sample of documents: the base's own, and the same spans rewritten in forms that the base can't see (other
 separators, no plus, spelled or bracketed signs), among numbers of other kinds that carry no label. Windows that hold a digit,
-``@``, a bracketed at or dot, or the word dot are decoded; a span without any of these isn't looked for.
+``@``, a bracketed at or dot, the word dot, or at before a dotted word are decoded, and their neighbours; a span without
+any of these isn't looked for.
 
 Each window gives the probabilities of every label at each of its characters. Where windows overlap these are averaged,
 with more weight the further from a window's edge, and one Viterbi pass under the CRF's label rules runs over each stretch of
@@ -36,8 +37,8 @@ from hearthline.llm.common import hash_share, slices
 KINDS = ("email", "ip", "card", "phone")
 WINDOW, STRIDE, HIDDEN = 64, 32, 16
 #: Most documents that the network is trained on (in expectation), most windows of these, and passes over them.
-TRAIN_DOCS, TRAIN_WINDOWS, EPOCHS, BATCH, RATE = 2_000, 4_000, 8, 128, 0.03
-#: Least mean probability of an added span's labels; least probability of any span at a character that the decoder looks at.
+TRAIN_DOCS, TRAIN_WINDOWS, EPOCHS, BATCH, RATE = 2_000, 4_000, 8, 96, 0.03
+#: Least mean probability that the characters of an added span are in one; least probability of any span at a character that the decoder looks at.
 CONFIDENCE, LOOK = 0.8, 0.05
 
 _IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
@@ -46,7 +47,7 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _MAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DIGIT = re.compile("[0-9]")
-_SPELLED = re.compile(r"[\[({<] ?(?:at|dot|\.) ?[\])}>]|\bdot\b", re.IGNORECASE)
+_SPELLED = re.compile(r"[\[({<] ?(?:at|dot|\.) ?[\])}>]|\bdot\b|\bat [\w-]+\.\w", re.IGNORECASE)
 _AT = re.compile(r"@|[\[({<] ?at ?[\])}>]|\bat\b", re.IGNORECASE)
 _EDGE = re.compile(r"[\w+(](?:.*[\w)])?", re.DOTALL)
 
@@ -262,17 +263,17 @@ def best_labels(p: np.ndarray) -> np.ndarray:
 
 
 def _window_starts(text: str, c: np.ndarray) -> np.ndarray:
-    """Starts, on the stride, of the windows that hold a digit, @, or a spelled or bracketed sign."""
+    """Starts, on the stride, of the windows that hold a digit, @, or a spelled or bracketed sign, and of their neighbours."""
     at = np.flatnonzero((c == 1) | (c == 6))
     spelled = [m.start() for m in _SPELLED.finditer(text)]
     if spelled:
         at = np.union1d(at, spelled)
-    first = np.maximum(at - WINDOW, -1) // STRIDE + 1
-    return np.unique(np.concatenate([first, at // STRIDE])) * STRIDE if len(at) else at
+    first, last = np.maximum(at - WINDOW, -1) // STRIDE + 1, at // STRIDE
+    return np.unique(np.concatenate([np.maximum(first - 1, 0), first, last, last + 1])) * STRIDE if len(at) else at
 
 
 def _windows(c: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    padded = np.concatenate([c, np.zeros(WINDOW, dtype=np.uint8)])
+    padded = np.concatenate([c, np.zeros(WINDOW + STRIDE, dtype=np.uint8)])
     return padded[starts[:, None] + np.arange(WINDOW)]
 
 
@@ -286,7 +287,7 @@ def _digits(rng: np.random.Generator, n: int) -> str:
 def _rewritten(kind: str, part: str, rng: np.random.Generator) -> str:
     """A span's text with other digits, and mostly in a form that the base patterns don't take."""
     pick = lambda *x: x[int(rng.integers(len(x)))]
-    part = "".join(_digits(rng, 1) if "0" <= c <= "9" else c for c in part)
+    part = _made(kind, rng) if kind == "ip" else "".join(_digits(rng, 1) if "0" <= c <= "9" else c for c in part)
     if rng.random() < 0.35:
         return part
     digits = "".join(c for c in part if "0" <= c <= "9")
@@ -435,14 +436,16 @@ def _block_probabilities(tagger: Tagger, x: np.ndarray, places: np.ndarray) -> t
 
 
 def _added(text: str, taken: list[tuple[int, int]], runs: list[tuple[int, np.ndarray, np.ndarray]]) -> list[Span]:
-    """The sure and plausible spans of decoded runs (start, labels, their probabilities) that touch no span of the base."""
+    """The sure and plausible spans of decoded runs (start, labels, all labels' probabilities) that touch no span of the base.
+
+    A span takes the likeliest kind whose check it passes, which need not be the decoded one.
+    """
     out, begins, ends = [], [a for a, _ in taken], list(accumulate((b for _, b in taken), max))
-    for at, y, sure in runs:
+    for at, y, p in runs:
         for a in np.flatnonzero(y % 2 == 1).tolist():
             b = a + 1
             while b < len(y) and y[b] == y[a] + 1:
                 b += 1
-            kind = KINDS[(int(y[a]) - 1) // 2]
             # letters and digits that belong to a word at either end come along
             start, end = min(at + a, len(text)), min(at + b, len(text))
             while 0 < start < len(text) and text[start].isalnum() and text[start - 1].isalnum():
@@ -450,7 +453,11 @@ def _added(text: str, taken: list[tuple[int, int]], runs: list[tuple[int, np.nda
             while 0 < end < len(text) and text[end - 1].isalnum() and text[end].isalnum():
                 end += 1
             m = _EDGE.search(text, start, end)
-            if not m or sure[a:b].mean() < CONFIDENCE or not _plausible(kind, m[0]):
+            if not m or 1 - p[a:b, 0].mean() < CONFIDENCE:
+                continue
+            of_kind = p[a:b, 1::2].mean(0) + p[a:b, 2::2].mean(0)
+            kind = next((KINDS[k] for k in np.argsort(-of_kind, kind="stable") if of_kind[k] >= LOOK and _plausible(KINDS[k], m[0])), None)
+            if kind is None:
                 continue
             before = bisect_left(begins, m.end())
             if not before or ends[before - 1] <= m.start():
@@ -487,10 +494,9 @@ def find_spans(texts: list[str | None], tagger: Tagger | None) -> list[tuple[lis
     for rows in (np.array(x) for x in runs.values()):
         some = p[rows]
         y = best_labels(some)
-        sure = np.take_along_axis(some, y[:, :, None], 2)[:, :, 0]
         for i in np.flatnonzero((y > 0).any(1)).tolist():
             text = int(owner[rows[i, 0] // STRIDE])
-            decoded.setdefault(text, []).append((int(at[rows[i, 0]]) - ends[text] * STRIDE, y[i], sure[i]))
+            decoded.setdefault(text, []).append((int(at[rows[i, 0]]) - ends[text] * STRIDE, y[i], some[i]))
     for i, some in decoded.items():
         taken = sorted((a, b) for _, a, b in base[i])
         out[i][1].extend(_added(texts[i], taken, sorted(some, key=lambda r: r[0])))
