@@ -69,6 +69,12 @@ def is_comfortable(indoor: str | Column, setpoint: str | Column, occupied: str |
     return F.when(known & _c(occupied), (t >= s - F.lit(float(under))) & (t <= s + F.lit(float(over)))).when(known, F.lit(True))
 
 
+def in_comfort_zone(indoor: str | Column, occupied: str | Column, low: float, high: float) -> Column:
+    """Without a set point: within a fixed zone while occupied; true while not; null where the temperature is missing."""
+    t = _c(indoor)
+    return F.when(t.isNotNull() & _c(occupied), t.between(F.lit(float(low)), F.lit(float(high)))).when(t.isNotNull(), F.lit(True))
+
+
 def clip(c: str | Column, low: float | None = None, high: float | None = None) -> Column:
     """The value held within the limits; null stays null."""
     out = _c(c)
@@ -95,6 +101,21 @@ def gas_conversion(df: DataFrame, gas_m3_s: str, actual_hhv: str, air_pressure:
     )
 
 
+def corrected_power(power: str | Column, factors: list[str]) -> Column:
+    """A power times its factors (calorific value, pressure, temperature): a meter that corrects for one itself goes without that one."""
+    return reduce(lambda a, f: a * F.col(f), factors, _c(power))
+
+
+def boiler_gas_use(df: DataFrame, power_kw: str, valve_open: str, factors: list[str], purposes: dict[str, str]) -> DataFrame:
+    """df with the actual gas power of a boiler from its power at reference gas, while the valve is open, and its parts by purpose.
+
+    Adds use_hhv__W, and use_<purpose>_hhv__W for each purpose with the flag column that says when the gas is for it.
+    """
+    flag = lambda c: F.col(c).cast("int").cast("double")
+    df = df.withColumn("use_hhv__W", corrected_power(flag(valve_open) * F.col(power_kw) * F.lit(1000.0), factors))
+    return df.withColumns({f"use_{p}_hhv__W": F.col("use_hhv__W") * flag(c) for p, c in purposes.items()})
+
+
 def carbon(power: str | Column, hhv: float = G_NORM_HHV_J_M3) -> Column:
     """Grams of CO2 a second of burning gas at a power in W."""
     return _c(power) * F.lit(CO2_GAS_G_M3 / hhv)

@@ -81,10 +81,26 @@ def periods_union(a: DataFrame, b: DataFrame, keys: Keys = ("id",)) -> DataFrame
 
 
 def periods_intersect(a: DataFrame, b: DataFrame, keys: Keys = ("id",)) -> DataFrame:
-    """All overlaps of a period of a with one of b; touching ends overlap for no time. Null ends are open."""
-    b = b.select(*keys, F.col("start").alias("_bs"), F.col("end").alias("_be"))
-    meet = (F.col("start").isNull() | F.col("_be").isNull() | (F.col("start") <= F.col("_be"))) & (F.col("_bs").isNull() | F.col("end").isNull() | (F.col("_bs") <= F.col("end")))
-    return a.join(b, [*keys]).where(meet).select(*keys, F.greatest("start", "_bs").alias("start"), F.least("end", "_be").alias("end"))
+    """All overlaps of a period of a with one of b; touching ends overlap for no time. Null ends are open.
+
+    Each key's time is cut into steps of about a period's mean length, no more than four for each period, and periods meet
+    by key and step, so the work is about that of the overlaps found, also for a key with very many periods.
+    """
+    both = a.select(*keys, "start", "end").unionByName(b.select(*keys, "start", "end"))
+    s, e = micros(both, "start"), micros(both, "end")
+    span = both.select(*keys, F.least(s, e).alias("_l"), F.greatest(s, e).alias("_h"), (e - s).alias("_d")).groupBy(*keys).agg(F.min("_l").alias("_lo"), F.max("_h").alias("_hi"), F.avg(F.abs("_d")).alias("_mean"), F.count("*").alias("_n"))
+    step = F.greatest(F.coalesce("_mean", F.lit(0)), (F.col("_hi") - F.col("_lo")) / (4 * F.col("_n")), F.lit(1e6))
+    span = span.select(*keys, F.coalesce("_lo", F.lit(0)).alias("_lo"), F.coalesce("_hi", F.lit(0)).alias("_hi"), F.coalesce(step, F.lit(1e6)).alias("_step"))
+
+    def dealt(df: DataFrame, side: str) -> DataFrame:
+        at = lambda c, none: F.floor((F.coalesce(micros(df, c), F.col(none)) - F.col("_lo")) / F.col("_step")).cast("long")
+        df = df.join(span, [*keys]).select(*keys, F.col("start").alias(f"{side}s"), F.col("end").alias(f"{side}e"), at("start", "_lo").alias(f"{side}i"), at("end", "_hi").alias("_j"))
+        return df.withColumn("_step", F.explode(F.sequence(F.least(f"{side}i", "_j"), F.greatest(f"{side}i", "_j")))).drop("_j")
+
+    meet = (F.col("_as").isNull() | F.col("_be").isNull() | (F.col("_as") <= F.col("_be"))) & (F.col("_bs").isNull() | F.col("_ae").isNull() | (F.col("_bs") <= F.col("_ae")))
+    # two periods may meet in several steps: the one that holds the later start counts
+    met = dealt(a, "_a").join(dealt(b, "_b"), [*keys, "_step"]).where(meet & (F.col("_step") == F.greatest("_ai", "_bi")))
+    return met.select(*keys, F.greatest("_as", "_bs").alias("start"), F.least("_ae", "_be").alias("end"))
 
 
 def period_extend(periods: DataFrame, delta_s: float) -> DataFrame:
@@ -135,8 +151,8 @@ def periodic_learn_list(df: DataFrame, sane: str, days: int, threshold_s: float,
 
 
 def seeded_sample(df: DataFrame, n: int, keys: list[str], seed: int = 42) -> DataFrame:
-    """n rows, the same for the same keys and seed."""
-    return df.orderBy(F.xxhash64(F.lit(seed), *keys), *keys).limit(n)
+    """n rows, the same for the same keys and seed: those whose keys have the least digests."""
+    return df.orderBy(F.md5(F.concat_ws("|", F.lit(str(seed)), *(F.col(k).cast("string") for k in keys))), *keys).limit(n)
 
 
 def valid_learn_list(df: DataFrame, required: list[str], max_gap_s: float = 60.0, threshold_s: float = 0.0, id_col: str = "id", ts: str = "timestamp") -> DataFrame:

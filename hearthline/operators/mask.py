@@ -8,6 +8,8 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from hearthline.sources.io import kept
+
 _OPS = {
     "=": lambda c, v: c == v, ">": lambda c, v: c > v, "<": lambda c, v: c < v, ">=": lambda c, v: c >= v, "<=": lambda c, v: c <= v, "<>": lambda c, v: c != v,
 }
@@ -84,8 +86,13 @@ def remove_measurement_outliers(df: DataFrame, column: str, n_sigma: float = 3)
 
 
 def remove_weather_outliers(df: DataFrame, columns: list[str], n_sigma: float = 3) -> DataFrame:
-    """Column by column: rows far from the mean (sample deviation) lose all their values, before the next column is looked at."""
-    for c in columns:
+    """Column by column: rows far from the mean (sample deviation) lose all their values, before the next column is looked at.
+
+    Between columns the rows are written, so that no column's means read the whole chain again.
+    """
+    for i, c in enumerate(columns):
+        if i:
+            df = kept(df, "weather-outliers")
         about = F.broadcast(df.agg(F.avg(c).alias("_m"), F.stddev_samp(c).alias("_s")))  # one row
         far = F.coalesce((F.col("_s") > 0) & (F.abs(F.col(c) - F.col("_m")) > n_sigma * F.col("_s")), F.lit(False))
         df = df.crossJoin(about).withColumn("_far", far)

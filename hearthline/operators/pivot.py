@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from hearthline.operators.mask import cast_by_property_types
 
+#: Most values that may become columns, or rows for each row, without being named.
+MOST_COLUMNS = 1_000
 LONG_KEY = ("id", "source_category", "source_type", "timestamp")
 
 
@@ -40,11 +42,19 @@ def unstack_source(df: DataFrame, columns: list[str], labels: list[str] | None =
     label = F.concat_ws("_", "source_category", "source_type") if prefix is None else prefix
     df = df.withColumn("_label", label)
     if labels is None:
-        labels = sorted(r[0] for r in df.select("_label").distinct().collect())  # a name for each source
-    cells = [F.avg(F.when(F.col("_label") == p, F.col(c))).alias(f"{p}_{c}") for p in labels for c in columns]
-    out = df.groupBy(*keys).agg(*cells)
-    found = out.agg(*(F.count(c).alias(c) for c in out.columns if c not in keys)).first().asDict()
-    return out.select(*keys, *(c for c, n in found.items() if n))
+        labels = _observed(df.select("_label"), "labels")
+    cells = {f"{p}_{c}": F.when(F.col("_label") == p, F.col(c)) for p in labels for c in columns}
+    # a column has a mean if the source has any value of it, which needs no grouping
+    found = df.agg(*(F.count(v).alias(c) for c, v in cells.items())).first().asDict() if cells else {}
+    return df.groupBy(*keys).agg(*(F.avg(v).alias(c) for c, v in cells.items() if found[c])) if any(found.values()) else df.select(*keys).distinct()
+
+
+def _observed(df: DataFrame, what: str) -> list:
+    """The sorted distinct values of the one column, no more than a table can have columns."""
+    found = [r[0] for r in df.where(F.col(df.columns[0]).isNotNull()).distinct().limit(MOST_COLUMNS + 1).collect()]
+    if len(found) > MOST_COLUMNS:
+        raise ValueError(f"more than {MOST_COLUMNS} {what}: name those that become columns")
+    return sorted(found)
 
 
 def encode_categorical_bool(df: DataFrame, prop: str, names: dict[str, str], categories: list[str] | None = None) -> DataFrame:
@@ -55,7 +65,7 @@ def encode_categorical_bool(df: DataFrame, prop: str, names: dict[str, str], cat
     """
     own = df.where(F.col("property") == prop)
     if categories is None:
-        categories = sorted(r[0] for r in own.where("value is not null").select("value").distinct().collect())  # labels, few by nature
+        categories = _observed(own.select("value"), "categories")
     name = {c: names.get(c, c).lower().replace(" ", "_") + "__bool" for c in categories}
     cells = F.array(*(F.struct(F.lit(name[c]).alias("p"), F.when(F.col("value") == c, "True").otherwise("False").alias("v")) for c in categories))
     rows = own.select("*", F.explode(cells).alias("_c")).withColumns({"property": F.col("_c.p"), "value": F.col("_c.v")}).drop("_c")
@@ -101,20 +111,17 @@ def latest_per_key(df: DataFrame, keys: list[str], ts: str = "timestamp") -> Dat
 def asof_label_regime(periods: DataFrame, changes: DataFrame, label: str = "number", id_col: str = "id", at: str = "changed") -> DataFrame:
     """Periods that hold no change get the label of the last change before their start, or null; the others are null too.
 
-    Both tables meet on the id in one sorted union: the last change at or before each end is a running maximum.
+    Both tables meet on the id in one sorted union, in which each period stands at its end and goes along whole. The last
+    change at or before the end is a running maximum; if it lies before the start, the period holds none.
     """
-    p = periods.withColumn("_p", F.monotonically_increasing_id())
-    ends = [p.select(id_col, "_p", F.col(e).alias("_t"), F.lit(e).alias("_e")) for e in ("start", "end")]
-    marks = changes.select(id_col, F.lit(None).cast("long").alias("_p"), F.col(at).alias("_t"), F.lit("").alias("_e"), F.struct(F.col(at).alias("_at"), F.col(label).alias("_l")).alias("_c"))
-    rows = ends[0].unionByName(ends[1]).unionByName(marks, allowMissingColumns=True)
+    whole = F.struct(*(F.col(c).alias(f"_{i}") for i, c in enumerate(periods.columns))).alias("_row")
+    ends = periods.select(F.col(id_col).alias("_id"), F.col("end").alias("_t"), F.lit(1).alias("_e"), F.col("start").alias("_start"), whole)
+    marks = changes.select(F.col(id_col).alias("_id"), F.col(at).alias("_t"), F.lit(0).alias("_e"), F.struct(F.col(at).alias("_at"), F.col(label).alias("_l")).alias("_c"))
     # a change at the very time of a period's end comes first and counts as inside
-    w = Window.partitionBy(id_col).orderBy("_t", "_e").rowsBetween(Window.unboundedPreceding, 0)
-    seen = rows.withColumn("_last", F.max("_c").over(w)).where("_p is not null")
-    by = seen.groupBy(id_col, "_p").agg(F.max(F.when(F.col("_e") == "start", F.col("_last"))).alias("_a"), F.max(F.when(F.col("_e") == "end", F.col("_last"))).alias("_b"), F.min("_t").alias("_s"))
-    # nothing changed between start and end, nor at the start itself
-    clear = F.col("_a").eqNullSafe(F.col("_b")) & ~F.coalesce(F.col("_a._at") == F.col("_s"), F.lit(False))
-    by = by.select("_p", F.when(clear, F.col("_a._l")).alias(label))
-    return p.join(by, "_p", "left").drop("_p")
+    w = Window.partitionBy("_id").orderBy("_t", "_e").rowsBetween(Window.unboundedPreceding, 0)
+    seen = ends.unionByName(marks, allowMissingColumns=True).withColumn("_last", F.max("_c").over(w)).where("_e = 1")
+    found = F.when((F.col("_last._at") < F.col("_start")) & F.col("_t").isNotNull(), F.col("_last._l"))
+    return seen.select(*(F.col(f"_row._{i}").alias(c) for i, c in enumerate(periods.columns)), found.alias(label))
 
 
 def valid_interval_lookup(df: DataFrame, programs: DataFrame, id_col: str = "id", ts: str = "timestamp") -> DataFrame:

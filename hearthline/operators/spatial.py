@@ -5,10 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-
-#: Most stations in one set whose weights are solved for; a country has some dozens.
-MAX_STATIONS, MAX_SETS = 500, 2_000
-
+from pyspark.sql import types as T
 
 def haversine_km(lat1: str, lon1: str, lat2: str, lon2: str) -> Column:
     """Great-circle distance on a sphere of 6371 km."""
@@ -17,83 +14,98 @@ def haversine_km(lat1: str, lon1: str, lat2: str, lon2: str) -> Column:
     return F.lit(2 * 6371.0) * F.asin(F.sqrt(F.least(h, F.lit(1.0))))
 
 
+def _tile(lat: str, lon: str, step: float) -> Column:
+    """Number of a place's tile of step degrees; 180 degrees east are 180 west."""
+    wide = int(np.ceil(360 / step))
+    row = F.least(F.floor((F.col(lat) + 90) / F.lit(step)), F.lit(int(np.ceil(180 / step)) - 1))  # the pole is in the last row
+    column = F.floor(F.pmod(F.col(lon) + 180, F.lit(360.0)) / F.lit(step))
+    return F.when(F.col(lat).isNotNull(), row * wide + column).cast("long")
+
+
+def _tile_centres(tiles: np.ndarray, step: float) -> np.ndarray:
+    wide = int(np.ceil(360 / step))
+    return np.radians(np.column_stack([tiles // wide * step - 90 + step / 2, tiles % wide * step - 180 + step / 2]))
+
+
 def nearest_k(cells: DataFrame, points: DataFrame, k: int, cell_id: str = "cell", point_id: str = "point", lat: str = "lat", lon: str = "lon", tile_deg: float = 2.0) -> DataFrame:
     """The k nearest points of each cell, ties by the point's id.
 
-    Points are dealt out by tiles of tile_deg degrees. A cell looks at its own and the eight tiles around, which hold
-    every point within one tile's width; cells whose k-th point is not within that width go on with wider tiles, of half the
-    globe in the end.
+    The globe is cut into tiles of tile_deg degrees, some 16,000 at two degrees whatever the data, and the number of points in
+    each is broadcast. For each tile with cells the distances between tiles bound how far its cells' k-th point can be, and so
+    give the tiles that may hold one of the k, across the date line and the poles too. Cells meet the points of these
+    tiles alone, in one join.
     """
-    rest, found, tile = cells.select(F.col(cell_id).alias("_c"), F.col(lat).alias("_la"), F.col(lon).alias("_lo")), None, float(tile_deg)
-    p = points.select(F.col(point_id).alias("_p"), F.col(lat).alias("_pla"), F.col(lon).alias("_plo"))
-    while True:
-        last = tile >= 180
-        key = lambda x: F.floor(F.col(x) / tile)
-        around = F.explode(F.array(*(F.lit(i) for i in (-1, 0, 1))))
-        near = rest.select("*", around.alias("_i")).select("*", around.alias("_j")).withColumns({"_x": key("_la") + F.col("_i"), "_y": key("_lo") + F.col("_j")})
-        met = near.join(p.withColumns({"_x": key("_pla"), "_y": key("_plo")}), ["_x", "_y"])
-        met = met.withColumn("distance__km", haversine_km("_la", "_lo", "_pla", "_plo"))
-        ranked = met.withColumn("rank", F.row_number().over(Window.partitionBy("_c").orderBy("distance__km", "_p"))).where(F.col("rank") <= k)
-        if last:
-            done = ranked
-        else:
-            # a degree of longitude is the narrower side; points beyond it may lie outside the nine tiles
-            reach = F.lit(111.19 * tile) * F.cos(F.radians(F.least(F.abs("_la") + tile, F.lit(89.0))))
-            inner = F.abs("_lo") + tile <= 180  # away from the date line
-            full = ranked.where((F.col("rank") == k) & (F.col("distance__km") <= reach) & inner).select("_c")
-            done = ranked.join(full, "_c", "left_semi")
-            rest = rest.join(full, "_c", "left_anti")
-        done = done.select(F.col("_c").alias(cell_id), F.col("_p").alias(point_id), "rank", "distance__km")
-        found = done if found is None else found.unionByName(done)
-        if last:
-            return found
-        tile = tile * 8 if tile * 8 < 180 else 180.0
-
-
-def spline_weights(stations: np.ndarray, places: np.ndarray) -> np.ndarray:
-    """(places, stations): weights of the station values in a thin-plate spline with a linear trend.
-
-    A spline's value at a place is linear in the station values, so the weights serve all times. With under three
-    stations, or stations on a line, the least-norm solution is taken.
-    """
-    def kernel(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        r2 = ((a[:, None, :] - b[None, :, :]) ** 2).sum(2)
-        return np.where(r2 > 0, 0.5 * r2 * np.log(np.maximum(r2, 1e-300)), 0.0)
+    c = cells.select(F.col(cell_id).alias("_c"), F.col(lat).alias("_la"), F.col(lon).alias("_lo")).withColumn("_from", _tile("_la", "_lo", tile_deg))
+    p = points.select(F.col(point_id).alias("_p"), F.col(lat).alias("_pla"), F.col(lon).alias("_plo")).withColumn("_to", _tile("_pla", "_plo", tile_deg))
+    counts = p.where("_to is not null").groupBy("_to").agg(F.count("*").alias("n")).toPandas()  # a row for each tile of the globe at most
+    to, n = counts["_to"].to_numpy(np.int64), counts["n"].to_numpy(np.int64)
+    centres, radius = _tile_centres(to, tile_deg), 6371.0 * np.radians(tile_deg) / np.sqrt(2) * 1.001
+
+    def reached(batches):
+        import pandas as pd
 
-    n = len(stations)
-    trend = lambda x: np.column_stack([np.ones(len(x)), x])
-    system = np.block([[kernel(stations, stations), trend(stations)], [trend(stations).T, np.zeros((3, 3))]])
-    right = np.column_stack([kernel(places, stations), trend(places)])
-    return (right @ np.linalg.pinv(system))[:, :n]
+        for b in batches:
+            here = b["_from"].to_numpy(np.int64)
+            for tile, at in zip(here, _tile_centres(here, tile_deg)):
+                h = np.sin((centres[:, 0] - at[0]) / 2) ** 2 + np.cos(at[0]) * np.cos(centres[:, 0]) * np.sin((centres[:, 1] - at[1]) / 2) ** 2
+                d = 2 * 6371.0 * np.arcsin(np.sqrt(np.minimum(h, 1.0)))
+                order = np.argsort(d, kind="stable")
+                enough = order[min(int(np.searchsorted(np.cumsum(n[order]), k)), len(order) - 1)]
+                yield pd.DataFrame({"_from": tile, "_to": to[d - 2 * radius <= d[enough] + 2 * radius]})
+
+    if not len(to):
+        return c.join(p, F.lit(False)).select(F.col("_c").alias(cell_id), F.col("_p").alias(point_id), F.lit(1).alias("rank"), F.lit(0.0).alias("distance__km"))
+    near = c.where("_from is not null").select("_from").distinct().mapInPandas(reached, "_from long, _to long")
+    met = c.join(near, "_from").join(p, "_to").withColumn("distance__km", haversine_km("_la", "_lo", "_pla", "_plo"))
+    ranked = met.withColumn("rank", F.row_number().over(Window.partitionBy("_c").orderBy("distance__km", "_p"))).where(F.col("rank") <= k)
+    return ranked.select(F.col("_c").alias(cell_id), F.col("_p").alias(point_id), "rank", "distance__km")
+
+
+def spline_coefficients(stations: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Of the thin-plate spline with a linear trend through the stations' values: one for each station, then constant, latitude and longitude.
+
+    With under three stations, or stations on a line, the least-norm solution is taken.
+    """
+    r2 = ((stations[:, None, :] - stations[None, :, :]) ** 2).sum(2)
+    kernel = np.where(r2 > 0, 0.5 * r2 * np.log(np.maximum(r2, 1e-300)), 0.0)
+    trend = np.column_stack([np.ones(len(stations)), stations])
+    system = np.block([[kernel, trend], [trend.T, np.zeros((3, 3))]])
+    return np.linalg.pinv(system)[:, : len(stations)] @ values
 
 
-def spatial_interpolate(weather: DataFrame, homes: DataFrame, stations: DataFrame, station_id: str = "station", id_col: str = "id", ts: str = "timestamp", lat: str = "lat", lon: str = "lon") -> DataFrame:
+def spatial_interpolate(weather: DataFrame, homes: DataFrame, stations: DataFrame, station_id: str = "station", id_col: str = "id", ts: str = "timestamp", lat: str = "lat", lon: str = "lon", parts: int = 16) -> DataFrame:
     """(id, timestamp, property, value) at the homes from (station, timestamp, property, value).
 
-    Weights are solved once for each set of stations that reports together, by place, inside the tasks that hold the
-    homes; the station sets are few and bounded.
+    The values of a time and property make one row, whose spline is solved in the task that holds it; splines of the same
+    stations share their system there. Each spline then meets every home, dealt into parts by time, and is evaluated by Spark.
     """
-    sets = weather.where("value is not null").groupBy(ts, "property").agg(F.sort_array(F.collect_set(station_id)).alias("_set"))
-    distinct = sets.select("_set").distinct().limit(MAX_SETS + 1).collect()  # a bounded number of short lists
-    where = {r[station_id]: (r[lat], r[lon]) for r in stations.select(station_id, lat, lon).limit(MAX_STATIONS + 1).collect()}
-    if len(distinct) > MAX_SETS or len(where) > MAX_STATIONS:
-        raise ValueError("too many stations or sets of them")
-    members = [[s for s in r["_set"] if s in where] for r in distinct]
-    kinds = homes.schema[id_col].dataType.simpleString(), stations.schema[station_id].dataType.simpleString()
-
-    def weights(batches):
+    known = weather.where("value is not null").join(stations.select(F.col(station_id).alias("_s"), F.col(lat).alias("_sla"), F.col(lon).alias("_slo")), F.col(station_id) == F.col("_s"))
+    sets = known.groupBy(ts, "property").agg(F.sort_array(F.collect_list(F.struct("_s", "_sla", "_slo", "value"))).alias("_m"))
+    sets = sets.select(ts, "property", *(F.col(f"_m.{c}").alias(c) for c in ("_sla", "_slo", "value")))
+
+    def solved(batches):
         import pandas as pd
 
         for b in batches:
-            for i, m in enumerate(members):
-                w = spline_weights(np.array([where[s] for s in m]), b[[lat, lon]].to_numpy())
-                yield pd.DataFrame({id_col: np.repeat(b[id_col].to_numpy(), len(m)), "_n": i, station_id: m * len(b), "_w": w.ravel()})
-
-    table = homes.select(id_col, lat, lon).mapInPandas(weights, f"`{id_col}` {kinds[0]}, _n int, `{station_id}` {kinds[1]}, _w double")
-    numbers = weather.sparkSession.createDataFrame([(i, r["_set"]) for i, r in enumerate(distinct)], "_n int, _set array<" + kinds[1] + ">")
-    at = sets.join(F.broadcast(numbers), "_set").select(ts, "property", "_n")
-    rows = weather.where("value is not null").join(at, [ts, "property"]).join(table, ["_n", station_id])
-    return rows.groupBy(id_col, ts, "property").agg(F.sum(F.col("_w") * F.col("value")).alias("value"))
+            rows = [np.column_stack([x, y]) for x, y in zip(b["_sla"], b["_slo"])]
+            same: dict[bytes, list[int]] = {}
+            for i, r in enumerate(rows):
+                same.setdefault(r.tobytes(), []).append(i)
+            out: list = [None] * len(rows)
+            for at in same.values():
+                for i, c in zip(at, spline_coefficients(rows[at[0]], np.column_stack([b["value"].iloc[i] for i in at])).T):
+                    out[i] = c
+            yield pd.DataFrame({ts: b[ts], "property": b["property"], "_sla": b["_sla"], "_slo": b["_slo"], "_k": out})
+
+    schema = sets.select(ts, "property", "_sla", "_slo").schema.add("_k", T.ArrayType(T.DoubleType()))
+    splines = sets.mapInPandas(solved, schema).withColumn("_part", F.pmod(F.xxhash64(ts, "property"), F.lit(parts)))
+    places = homes.select(F.col(id_col).alias("_h"), F.col(lat).alias("_la"), F.col(lon).alias("_lo"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("_part"))
+    r2 = lambda s: F.pow(F.col("_la") - s["_sla"], F.lit(2)) + F.pow(F.col("_lo") - s["_slo"], F.lit(2))
+    kernel = lambda s: F.when(r2(s) > 0, F.lit(0.5) * r2(s) * F.log(r2(s))).otherwise(F.lit(0.0))
+    n = F.size("_sla")
+    near = F.aggregate(F.arrays_zip("_sla", "_slo", F.slice("_k", 1, n).alias("_c")), F.lit(0.0), lambda total, s: total + s["_c"] * kernel(s))
+    value = near + F.get("_k", n) + F.get("_k", n + 1) * F.col("_la") + F.get("_k", n + 2) * F.col("_lo")
+    return splines.join(places, "_part").select(F.col("_h").alias(id_col), ts, "property", value.alias("value"))
 
 
 def weather_metric_scale(df: DataFrame, metrics: dict[str, tuple[str, float]], keys: list[str]) -> DataFrame:

@@ -198,10 +198,14 @@ def interval_summary(df: DataFrame, keys: list[str], column: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.avg(column).alias("mean"), F.stddev_samp(column).alias("std"), F.min(column).alias("min"), F.max(column).alias("max"), F.mode(column, True).alias("mode"))
 
 
-def suspect_share(df: DataFrame, column: str, low: float, high: float, keys: list[str]) -> DataFrame:
-    """Values out of range, all values, the fraction, and the number of ids that have any."""
+def suspect_share(df: DataFrame, column: str, low: float, high: float, keys: list[str], places: DataFrame | None = None, cell: str = "cell") -> DataFrame:
+    """Values out of range, all values, the fraction, and the number of ids that have any; with places (id, cell) also the sorted cells of these ids."""
     bad = (F.col(column) < low) | (F.col(column) > high)
-    out = df.groupBy(*keys).agg(F.count_if(bad).alias("n_suspect"), F.count(column).alias("n"), F.count_distinct(F.when(bad, F.col("id"))).alias("n_ids"))
+    more = []
+    if places is not None:
+        df = df.join(places.select("id", F.col(cell).alias("_cell")), "id", "left")
+        more = [F.array_sort(F.collect_set(F.when(bad, F.col("_cell")))).alias("cells")]
+    out = df.groupBy(*keys).agg(F.count_if(bad).alias("n_suspect"), F.count(column).alias("n"), F.count_distinct(F.when(bad, F.col("id"))).alias("n_ids"), *more)
     return out.withColumn("fraction", F.col("n_suspect") / F.col("n"))
 
 
@@ -210,11 +214,24 @@ def lookup_ranges(df: DataFrame, model: str, x: str, y: str, value: str) -> Data
     return df.where(F.col(value).isNotNull()).groupBy(model).agg(F.min(x).alias(f"min_{x}"), F.max(x).alias(f"max_{x}"), F.min(y).alias(f"min_{y}"), F.max(y).alias(f"max_{y}"))
 
 
+def lookup_means(df: DataFrame, model: str, y: str, value: str) -> DataFrame:
+    """The mean of a model's values at each y, across all x."""
+    return df.groupBy(model, y).agg(F.avg(value).alias(value))
+
+
 def spread_ratios(df: DataFrame, column: str) -> DataFrame:
     lo, mid, hi = F.min(column), F.avg(column), F.max(column)
     return df.agg((hi / mid).alias("max_mean"), (mid / lo).alias("mean_min"), (hi / lo).alias("max_min"))
 
 
+def availability(df: DataFrame, mandatory: list[str], id_col: str = "id", ts: str = "timestamp") -> DataFrame:
+    """(timestamp, id, available) of all ids: whether all mandatory values are there, from the first to the last timestamp at which any id has them."""
+    df = df.withColumn("_ok", all_present(mandatory))
+    span = F.broadcast(df.where("_ok").agg(F.min(ts).alias("_a"), F.max(ts).alias("_b")))  # one row
+    rows = df.join(span, F.col(ts).between(F.col("_a"), F.col("_b")))
+    return rows.groupBy(ts, id_col).agg(F.bool_or("_ok").alias("available"))
+
+
 def availability_matrix(df: DataFrame, mandatory: list[str], ids: list, id_col: str = "id", ts: str = "timestamp") -> DataFrame:
     """By timestamp whether each id has all mandatory values, from the first to the last timestamp at which any id has."""
     df = df.withColumn("_ok", all_present(mandatory))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from hearthline.plans.registry import measurements, query, table
@@ -48,22 +50,36 @@ def q_read_csv_house(spark, sf):
     return io.read_csv_house(spark, path, "2024-01-05 00:00:00", "2024-01-06 12:00:00", ["click", "view"])
 
 
-@query("SELECT property AS grid_area, date_trunc('second', timestamp) AS timestamp, value * 1e6 AS gas_hhv__J_m_3 FROM m WHERE id < 20")
+@query("SELECT property AS grid_area, date_trunc('second', timestamp) AS timestamp, value * 1e6 AS gas_hhv__J_m_3 FROM m")
 def q_read_csv_union(spark, sf):
     paths = [io.scratch(spark, f"month{i}") for i in (0, 1)]
-    m = measurements(spark, sf).where("id < 20").select("event_id", F.col("property").alias("grid_area"), F.concat(F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+0000")).alias("date_time"), "value")
+    m = measurements(spark, sf).select("event_id", F.col("property").alias("grid_area"), F.concat(F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+0000")).alias("date_time"), "value")
     for i, p in enumerate(paths):
         m.where(F.col("event_id") % 2 == i).drop("event_id").write.option("header", True).csv(p)
     out = io.read_csv_union(spark, paths)
     return out.withColumn("timestamp", F.to_utc_timestamp("timestamp", spark.conf.get("spark.sql.session.timeZone")).cast("timestamp_ntz"))
 
 
-_STAR = """SELECT DISTINCT o_custkey AS id, s_name AS source_type, l_shipdate AS timestamp, CASE p_brand WHEN 'Brand#1' THEN 'first' ELSE p_brand END AS property, l_quantity AS value
-FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey WHERE p_brand IN ('Brand#1', 'Brand#2') AND o_custkey < 100 AND l_shipdate >= TIMESTAMP '1996-01-01 00:00:00' AND l_shipdate < TIMESTAMP '1999-01-01 00:00:00'"""
-
-
-@query(_STAR)
+@query("""SELECT DISTINCT c_custkey AS id, 'device ' || o_orderkey AS device_name, n_name AS source, (l_shipdate AT TIME ZONE 'UTC') AT TIME ZONE 'Europe/Amsterdam' AS timestamp, CASE p_brand WHEN 'Brand#1' THEN 'first' ELSE p_brand END AS property, l_quantity AS value, 'unit ' || p_brand AS unit
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN part ON l_partkey = p_partkey JOIN nation ON n_nationkey = o_orderkey % 25
+WHERE p_brand IN ('Brand#1', 'Brand#2') AND c_custkey < 100 AND l_shipdate >= TIMESTAMP '1995-12-31 00:00:00' AND l_shipdate <= TIMESTAMP '1999-01-01 00:00:00'""")
 def q_read_jdbc_measurements(spark, sf):
+    t = lambda n: table(spark, sf, n)
+    tables = {
+        "measurement": t("lineitem").select(F.col("l_orderkey").alias("device_id"), F.col("l_partkey").alias("property_id"), F.col("l_shipdate").alias("timestamp"), F.col("l_quantity").alias("value")),
+        "property": t("part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("name"), F.concat(F.lit("unit "), "p_brand").alias("unit")),
+        "device": t("orders").select(F.col("o_orderkey").alias("id"), F.concat(F.lit("device "), F.col("o_orderkey")).alias("name"), F.col("o_custkey").alias("building_id"), (F.col("o_orderkey") % 25).alias("device_type_id")),
+        "device_type": t("nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name")),
+        "building": t("customer").select(F.col("c_custkey").alias("id"), F.col("c_custkey").alias("account_id")),
+        "account": t("customer").select(F.col("c_custkey").alias("id"), F.col("c_custkey").alias("pseudonym")),
+    }
+    first, last = (dt.datetime(*d, tzinfo=dt.UTC) for d in ((1996, 1, 1), (1998, 12, 31)))
+    return io.raw_measurements(tables, [*range(100)], ["Brand#1", "Brand#2"], first, last, {"Brand#1": "first"})
+
+
+@query("""SELECT DISTINCT o_custkey AS id, s_name AS source_type, l_shipdate AS timestamp, CASE p_brand WHEN 'Brand#1' THEN 'first' ELSE p_brand END AS property, l_quantity AS value
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey WHERE p_brand IN ('Brand#1', 'Brand#2') AND o_custkey < 100 AND l_shipdate >= TIMESTAMP '1996-01-01 00:00:00' AND l_shipdate < TIMESTAMP '1999-01-01 00:00:00'""")
+def q_read_jdbc_by_home(spark, sf):
     li = table(spark, sf, "lineitem").select("l_orderkey", F.col("l_partkey").alias("property_id"), "l_suppkey", F.col("l_shipdate").alias("timestamp"), F.col("l_quantity").alias("value"))
     measured = li.withColumn("device_id", F.struct("l_orderkey", "l_suppkey")).drop("l_orderkey", "l_suppkey")
     orders = table(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("id"))
@@ -74,14 +90,6 @@ def q_read_jdbc_measurements(spark, sf):
     return io.star_measurements(measured, props, devices, [*range(100)], ["Brand#1", "Brand#2"], at(1996), at(1999), {"Brand#1": "first"})
 
 
-@query("SELECT event_id, id, timestamp, property, value FROM m WHERE id IN (3, 4, 5) AND value > 10 AND value BETWEEN 5 AND 300")
-def q_read_jdbc_by_home(spark, sf):
-    from hearthline.operators import mask
-
-    m = measurements(spark, sf).select("event_id", "id", "timestamp", "property", "value")
-    return mask.filter_between(mask.filter_value_op(mask.filter_in(m, "id", [3, 4, 5]), "value", ">", 10), "value", 5, 300)
-
-
 @query("SELECT c_custkey AS house, n_name AS location, r_name AS region FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")
 def q_read_jdbc_dims(spark, sf):
     c, n, r = (table(spark, sf, x) for x in ("customer", "nation", "region"))

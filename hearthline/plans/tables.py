@@ -12,9 +12,9 @@ from hearthline.plans.registry import PROPERTIES, measurements, query, rounded,
 P = PROPERTIES
 
 
-@query("SELECT count(*) AS n FROM (SELECT DISTINCT user_id, event_type FROM events)")
+@query("SELECT DISTINCT user_id, event_type, date_trunc('hour', ts) AS hour FROM events")
 def q_dedup_rows(spark, sf):
-    return p.dedup_rows(table(spark, sf, "events").select("user_id", "event_type")).agg(F.count("*").alias("n"))
+    return p.dedup_rows(table(spark, sf, "events").select("user_id", "event_type", F.date_trunc("HOUR", "ts").cast("timestamp_ntz").alias("hour")))
 
 
 @query("SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY id, property ORDER BY timestamp, event_id) = 1")
@@ -78,10 +78,10 @@ def q_cross_join_broadcast_series(spark, sf):
 
 
 @query("""SELECT l_orderkey, l_linenumber, o_orderdate, c_name, n_name, r_name, s_name FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
-JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey JOIN supplier ON l_suppkey = s_suppkey WHERE l_quantity > 45""")
+JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey JOIN supplier ON l_suppkey = s_suppkey""")
 def q_star_join(spark, sf):
     t = lambda n: table(spark, sf, n)
-    out = p.star_join(t("lineitem").where("l_quantity > 45"), (t("orders"), "l_orderkey", "o_orderkey"), (t("customer"), "o_custkey", "c_custkey"), (t("nation"), "c_nationkey", "n_nationkey"), (t("region"), "n_regionkey", "r_regionkey"), (t("supplier"), "l_suppkey", "s_suppkey"))
+    out = p.star_join(t("lineitem"), (t("orders"), "l_orderkey", "o_orderkey"), (t("customer"), "o_custkey", "c_custkey"), (t("nation"), "c_nationkey", "n_nationkey"), (t("region"), "n_regionkey", "r_regionkey"), (t("supplier"), "l_suppkey", "s_suppkey"))
     return out.select("l_orderkey", "l_linenumber", "o_orderdate", "c_name", "n_name", "r_name", "s_name")
 
 
@@ -124,9 +124,9 @@ def q_merge_learned(spark, sf):
     return rounded(p.merge_predictions(homes, learned, ["id"], "learned_"))
 
 
-@query("SELECT c_custkey AS id, s_name, s_acctbal FROM customer JOIN supplier ON c_nationkey = s_nationkey WHERE s_acctbal > 5000")
+@query("SELECT c_custkey AS id, s_name, s_acctbal FROM customer JOIN supplier ON c_nationkey = s_nationkey")
 def q_location_expand(spark, sf):
-    weather = table(spark, sf, "supplier").where("s_acctbal > 5000").select(F.col("s_nationkey").alias("place"), "s_name", "s_acctbal")
+    weather = table(spark, sf, "supplier").select(F.col("s_nationkey").alias("place"), "s_name", "s_acctbal")
     homes = table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("place"))
     return p.locations_expand(weather, homes, ["place"])
 
@@ -349,14 +349,20 @@ def q_interval_summary(spark, sf):
     return rounded(s.interval_summary(table(spark, sf, "lineitem"), ["l_returnflag"], "l_quantity"))
 
 
-@query("SELECT property, count_if(value < 1 OR value > 200)::bigint AS n_suspect, count(value) AS n, count(DISTINCT CASE WHEN value < 1 OR value > 200 THEN id END) AS n_ids, round(count_if(value < 1 OR value > 200) / count(value), 6) AS fraction FROM m GROUP BY property")
+@query("""WITH c AS (SELECT c_custkey AS id, c_nationkey // 5 AS cell FROM customer) SELECT property, count_if(value < 1 OR value > 200)::bigint AS n_suspect, count(value) AS n, count(DISTINCT CASE WHEN value < 1 OR value > 200 THEN m.id END) AS n_ids, round(count_if(value < 1 OR value > 200) / count(value), 6) AS fraction,
+array_to_string(list_sort(list(DISTINCT CASE WHEN value < 1 OR value > 200 THEN cell END)), ',') AS cells FROM m LEFT JOIN c ON c.id = m.id GROUP BY property""")
 def q_suspect_share(spark, sf):
-    return rounded(s.suspect_share(measurements(spark, sf), "value", 1, 200, ["property"]), 6)
+    places = table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.floor(F.col("c_nationkey") / 5).alias("cell"))
+    out = s.suspect_share(measurements(spark, sf), "value", 1, 200, ["property"], places, "cell")
+    return rounded(out.withColumn("cells", F.array_join(F.transform("cells", lambda c: c.cast("string")), ",")), 6)
 
 
-@query("SELECT p_brand, min(p_size) AS min_p_size, max(p_size) AS max_p_size, min(p_partkey) AS min_p_partkey, max(p_partkey) AS max_p_partkey FROM part WHERE p_retailprice IS NOT NULL GROUP BY p_brand")
+@query("""WITH r AS (SELECT p_brand, min(p_size) AS min_p_size, max(p_size) AS max_p_size, min(p_partkey) AS min_p_partkey, max(p_partkey) AS max_p_partkey FROM part WHERE p_retailprice IS NOT NULL GROUP BY p_brand),
+a AS (SELECT p_brand, p_partkey // 100 AS y, round(avg(p_retailprice) + 3e-9, 6) AS mean FROM part GROUP BY ALL) SELECT r.*, y, mean FROM r JOIN a USING (p_brand)""")
 def q_lookup_ranges_means(spark, sf):
-    return s.lookup_ranges(table(spark, sf, "part"), "p_brand", "p_size", "p_partkey", "p_retailprice")
+    part = table(spark, sf, "part")
+    means = s.lookup_means(part.withColumn("y", F.floor(F.col("p_partkey") / 100)), "p_brand", "y", "p_retailprice").withColumnRenamed("p_retailprice", "mean")
+    return rounded(s.lookup_ranges(part, "p_brand", "p_size", "p_partkey", "p_retailprice").join(means, "p_brand"))
 
 
 @query("SELECT round(max(o_totalprice) / avg(o_totalprice) + 3e-9, 6) AS max_mean, round(avg(o_totalprice) / min(o_totalprice) + 3e-9, 6) AS mean_min, round(max(o_totalprice) / min(o_totalprice) + 3e-9, 6) AS max_min FROM orders")
@@ -365,9 +371,9 @@ def q_spread_ratios(spark, sf):
 
 
 @query("""WITH b AS (SELECT id, timestamp, click IS NOT NULL AND view IS NOT NULL AS ok FROM w), a AS (SELECT min(timestamp) AS a, max(timestamp) AS b FROM b WHERE ok)
-SELECT timestamp, """ + ", ".join(f'bool_or(ok) FILTER (id = {i}) AS "{i}"' for i in range(1, 11)) + " FROM b, a WHERE timestamp BETWEEN a.a AND a.b GROUP BY timestamp")
+SELECT timestamp, id, bool_or(ok) AS available FROM b, a WHERE timestamp BETWEEN a.a AND a.b GROUP BY timestamp, id""")
 def q_availability_matrix(spark, sf):
-    return s.availability_matrix(wide(spark, sf), ["click", "view"], [*range(1, 11)])
+    return s.availability(wide(spark, sf), ["click", "view"])
 
 
 @query("""WITH a AS (SELECT min(value) AS lo, (max(value) - min(value)) / 200 AS width FROM m), b AS (SELECT property, least(floor((value - lo) / width), 199)::int AS bin, lo, width FROM m, a)
@@ -387,13 +393,12 @@ def q_top_values(spark, sf):
     return s.top_values(table(spark, sf, "lineitem"), "l_quantity", 10, F.col("l_returnflag") == "A")
 
 
-@query("SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey)::int AS place FROM orders ORDER BY place LIMIT 1000")
+@query("SELECT o_orderkey, o_custkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey")
 def q_sort_by(spark, sf):
-    top = table(spark, sf, "orders").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(1000)
-    return top.withColumn("place", F.row_number().over(p.Window.orderBy(F.desc("o_totalprice"), "o_orderkey"))).select("o_orderkey", "place")
+    return table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_totalprice").orderBy(F.desc("o_totalprice"), "o_orderkey")
 
 
-@query()
+@query("SELECT * FROM orders ORDER BY md5('42|' || o_orderkey), o_orderkey LIMIT 1000")
 def q_seeded_sample(spark, sf):
     from hearthline.operators.islands import seeded_sample
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import tempfile
 import uuid
+from zoneinfo import ZoneInfo
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,6 +22,13 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{base}/hearthline/{name}-{uuid.uuid4().hex}"
 
 
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """df written to the shared folder and read again: what comes after doesn't compute it twice."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def read_stage(spark: SparkSession, path: str, schema: str | T.StructType | None = None) -> DataFrame:
     """A Parquet stage; NaN becomes null."""
     df = (spark.read.schema(schema) if schema else spark.read).parquet(path)
@@ -66,9 +74,11 @@ def read_lookup_matrix(spark: SparkSession, path: str, schema: str, keys: list[s
     return out.select(*keys, (F.col(column).cast("double") * scale).alias(column), value)
 
 
-def day_bounds(first: dt.datetime, last: dt.datetime) -> tuple[str, str]:
-    """The days that a query for a period asks for: an hour more on either side, in whole days."""
-    return f"{first - dt.timedelta(hours=1):%Y-%m-%d}", f"{last + dt.timedelta(hours=1):%Y-%m-%d}"
+def day_bounds(first: dt.datetime | None, last: dt.datetime | None, zone: str = "UTC") -> tuple[str | None, str | None]:
+    """The days, in the source's zone, that a query for a period asks for: an hour before the first day, and an hour after the last one's end."""
+    at, hour = ZoneInfo(zone), dt.timedelta(hours=1)
+    low = None if first is None else f"{(first - hour).astimezone(at):%Y-%m-%d}"
+    return low, None if last is None else f"{(last + dt.timedelta(days=1) + hour).astimezone(at):%Y-%m-%d}"
 
 
 def read_jdbc_table(spark: SparkSession, url: str, table: str, partition: tuple[str, int, int, int] | None = None, fetch: int = 100_000, **options) -> DataFrame:
@@ -80,6 +90,27 @@ def read_jdbc_table(spark: SparkSession, url: str, table: str, partition: tuple[
     return reader.load()
 
 
+def raw_measurements(tables: dict[str, DataFrame], ids: list, names: list[str], first: dt.datetime | None = None, last: dt.datetime | None = None, rename: dict[str, str] | None = None, zone: str = "UTC", home_zone: str = "Europe/Amsterdam") -> DataFrame:
+    """(id, device_name, source, timestamp, property, value, unit) from the six tables of the normalised database.
+
+    measurement (device_id, property_id, timestamp, value), property (id, name, unit), device (id, name, building_id,
+    device_type_id), device_type (id, name), building (id, account_id), account (id, pseudonym). Times are naive in zone and
+    come out naive in home_zone; both day bounds count in. Filters reach the tables' own scans.
+    """
+    low, high = day_bounds(first, last, zone)
+    t = {n: df.select(*(F.col(c).alias(f"{n}_{c}") for c in df.columns)) for n, df in tables.items()}
+    rows = t["measurement"]
+    rows = rows if low is None else rows.where(F.col("measurement_timestamp") >= F.lit(low).cast("timestamp_ntz"))
+    rows = rows if high is None else rows.where(F.col("measurement_timestamp") <= F.lit(high).cast("timestamp_ntz"))
+    rows = rows.join(t["property"].where(F.col("property_name").isin(names)), F.col("measurement_property_id") == F.col("property_id"))
+    rows = rows.join(t["device"], F.col("measurement_device_id") == F.col("device_id")).join(t["building"], F.col("device_building_id") == F.col("building_id"))
+    rows = rows.join(t["account"].where(F.col("account_pseudonym").isin(ids)), F.col("building_account_id") == F.col("account_id")).join(t["device_type"], F.col("device_device_type_id") == F.col("device_type_id"))
+    at = F.convert_timezone(F.lit(zone), F.lit(home_zone), F.col("measurement_timestamp"))
+    out = rows.select(F.col("account_pseudonym").alias("id"), "device_name", F.col("device_type_name").alias("source"), at.alias("timestamp"), F.col("property_name").alias("property"), F.col("measurement_value").alias("value"), F.col("property_unit").alias("unit"))
+    out = out.dropDuplicates(["id", "timestamp", "source", "device_name", "property", "value"])
+    return out if not rename else out.replace(rename, subset=["property"])
+
+
 def star_measurements(measurement: DataFrame, properties: DataFrame, devices: DataFrame, ids: list | None = None, names: list[str] | None = None, first=None, last=None, rename: dict[str, str] | None = None) -> DataFrame:
     """(id, source_type, timestamp, property, value) from normalised tables, filtered by id, property and time, without duplicates.
 

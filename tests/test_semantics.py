@@ -214,9 +214,15 @@ def test_schedules(spark):
 def test_spline_is_exact_at_stations_and_on_planes():
     rng = np.random.default_rng(3)
     s, p = rng.uniform(0, 5, (12, 2)), rng.uniform(0, 5, (7, 2))
-    w = spatial.spline_weights(s, p)
-    assert np.allclose(w.sum(1), 1) and np.allclose(w @ (2 + s @ [1.5, -0.5]), 2 + p @ [1.5, -0.5])
-    assert np.allclose(spatial.spline_weights(s, s), np.eye(12), atol=1e-6)
+    def at(places, values):
+        k = spatial.spline_coefficients(s, values)
+        r2 = ((places[:, None] - s[None]) ** 2).sum(2)
+        return 0.5 * r2 * np.log(r2 + (r2 == 0)) @ k[:-3] + k[-3] + places @ k[-2:]
+
+    plane = lambda x: 2 + x @ [1.5, -0.5]
+    assert np.allclose(at(p, plane(s)), plane(p))
+    values = rng.normal(size=12)
+    assert np.allclose(at(s, values), values, atol=1e-6)
 
 
 def test_nearest_far_away(spark):
@@ -226,6 +232,74 @@ def test_nearest_far_away(spark):
     assert got == {(1, 1): 1, (1, 2): 3, (2, 1): 2, (2, 2): 3}
 
 
+def test_nearest_against_all_distances(spark):
+    rng = np.random.default_rng(5)
+    c = np.column_stack([rng.uniform(-90, 90, 60), rng.uniform(-180, 180, 60)])
+    p = np.concatenate([np.column_stack([rng.uniform(50, 53, 200), rng.uniform(3, 7, 200)]), np.column_stack([rng.uniform(-90, 90, 40), rng.uniform(-180, 180, 40)]), [[90, 0], [-90, 10], [10, 180], [10, -180]]])
+    cells = spark.createDataFrame([(i, *map(float, x)) for i, x in enumerate(c)] + [(99, None, 1.0)], "cell long, lat double, lon double")
+    points = spark.createDataFrame([(i, *map(float, x)) for i, x in enumerate(p)], "point long, lat double, lon double")
+    got = {}
+    for r in spatial.nearest_k(cells, points, 5).orderBy("cell", "rank").collect():
+        got.setdefault(r["cell"], []).append(r["point"])
+    a, b = np.radians(c), np.radians(p)
+    h = np.sin((b[None, :, 0] - a[:, None, 0]) / 2) ** 2 + np.cos(a[:, None, 0]) * np.cos(b[None, :, 0]) * np.sin((b[None, :, 1] - a[:, None, 1]) / 2) ** 2
+    d = 2 * 6371.0 * np.arcsin(np.sqrt(np.minimum(h, 1)))
+    assert got.keys() == {*range(60)}
+    for i, found in got.items():
+        assert d[i, found] == pytest.approx(np.sort(d[i])[:5])
+
+
+def test_overlaps_against_all_pairs(spark):
+    rng = np.random.default_rng(6)
+    t = lambda x: None if x is None else T0 + dt.timedelta(seconds=int(x))
+    some = lambda n: [(int(rng.integers(2)), *sorted((int(a), int(a + d)))) for a, d in zip(rng.integers(0, 5000, n), rng.integers(0, 400, n))]
+    a, b = some(80) + [(0, None, 300), (1, 4000, None), (2, None, None)], some(80) + [(0, None, None), (1, 100, None), (2, 5, 9), (3, 1, 2)]
+    inf = 10**9
+    want = [(i, None if max(s if s is not None else -inf, u if u is not None else -inf) == -inf else max(s if s is not None else -inf, u if u is not None else -inf), None if min(e if e is not None else inf, v if v is not None else inf) == inf else min(e if e is not None else inf, v if v is not None else inf))
+        for i, s, e in a for j, u, v in b if i == j and (s is None or v is None or s <= v) and (u is None or e is None or u <= e)]
+    make = lambda rows: spark.createDataFrame([(i, t(s), t(e)) for i, s, e in rows], "id long, start timestamp_ntz, end timestamp_ntz")
+    got = islands.periods_intersect(make(a), make(b)).collect()
+    back = lambda x: None if x is None else int((x - T0).total_seconds())
+    key = lambda r: tuple(-inf if x is None else x for x in r)
+    assert sorted(((r["id"], back(r["start"]), back(r["end"])) for r in got), key=key) == sorted(want, key=key)
+
+
+def test_day_bounds():
+    from hearthline.sources.io import day_bounds
+
+    first, last = dt.datetime(2024, 3, 1, tzinfo=dt.UTC), dt.datetime(2024, 3, 3, tzinfo=dt.UTC)
+    assert day_bounds(first, last) == ("2024-02-29", "2024-03-04") and day_bounds(None, None) == (None, None)
+    # midnight in Amsterdam, less an hour, is 22:00 UTC of the day before
+    amsterdam = dt.timezone(dt.timedelta(hours=1))
+    assert day_bounds(first.replace(tzinfo=amsterdam), last.replace(tzinfo=amsterdam)) == ("2024-02-29", "2024-03-04")
+    assert day_bounds(first.replace(hour=0, tzinfo=amsterdam), None, "Asia/Tokyo")[0] == "2024-03-01"
+
+
+def test_database_read(spark):
+    """Through the database that comes with Spark, in parallel parts, down to home measurements."""
+    from hearthline.sources import io
+
+    url, driver = "jdbc:derby:memory:hearthline;create=true", {"driver": "org.apache.derby.jdbc.EmbeddedDriver"}
+    rows = {
+        "measurement": ("device_id int, property_id int, timestamp timestamp_ntz, value double", [(1, 1, T0 + dt.timedelta(hours=h), float(h)) for h in range(-3, 60)] + [(1, 1, T0, 0.0), (2, 2, T0, 7.0), (3, 1, T0, 8.0)]),
+        "property": ("id int, name string, unit string", [(1, "temp", "C"), (2, "wind", "m/s")]),
+        "device": ("id int, name string, building_id int, device_type_id int", [(1, "a", 1, 1), (2, "b", 1, 1), (3, "c", 2, 1)]),
+        "device_type": ("id int, name string", [(1, "meter")]), "building": ("id int, account_id int", [(1, 1), (2, 2)]), "account": ("id int, pseudonym int", [(1, 100), (2, 200)]),
+    }
+    tables = {}
+    for name, (schema, data) in rows.items():
+        df = spark.createDataFrame(data, schema.replace("timestamp timestamp_ntz", "at timestamp_ntz").replace("value double", "measured double"))
+        texts = ", ".join(f"{c} VARCHAR(40)" for c, t in df.dtypes if t == "string")
+        df.write.format("jdbc").options(url=url, dbtable=f"t_{name}", **driver, **({"createTableColumnTypes": texts} if texts else {})).save()
+        read = io.read_jdbc_table(spark, url, f"t_{name}", ("DEVICE_ID", 0, 4, 3) if name == "measurement" else None, preferTimestampNTZ=True, **driver)
+        assert read.rdd.getNumPartitions() == (3 if name == "measurement" else 1)
+        tables[name] = read.toDF(*(c.lower() for c in read.columns)).withColumnsRenamed({"at": "timestamp", "measured": "value"})
+    day = T0.replace(tzinfo=dt.UTC)
+    got = io.raw_measurements(tables, [100], ["temp"], day, day, {"temp": "temp__degC"}).orderBy("timestamp").collect()
+    assert [r["value"] for r in got] == [float(h) for h in range(-3, 25)]
+    assert got[3]["timestamp"] == T0 + dt.timedelta(hours=1) and {(r["id"], r["property"], r["source"], r["unit"]) for r in got} == {(100, "temp__degC", "meter", "C")}
+
+
 def heated_home(spark, n=2000, h=250.0, c=3e6, a=4.0, wind_loss=8.0):
     rng = np.random.default_rng(1)
     heat, sol, out, wind = rng.uniform(0, 8000, n), rng.uniform(0, 500, n), rng.uniform(-5, 15, n), rng.uniform(0, 8, n)
