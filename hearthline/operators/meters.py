@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -83,13 +85,34 @@ def property_preprocess(df: DataFrame, step_s: int, target_s: int, limit: int, l
     return interpolate_time(df, step_s, target_s, limit, column, keys, ts)
 
 
-def home_dataset(df: DataFrame, properties: dict[str, dict], step_s: int, weather: DataFrame | None = None, ts: str = "timestamp") -> DataFrame:
-    """Wide rows of all homes: each property prepared by its own options, and weather joined by time."""
+def home_dataset(df: DataFrame, properties: dict[str, dict], step_s: int, weather: DataFrame | None = None, powers: dict[str, tuple[list[str], float]] | None = None, ts: str = "timestamp") -> DataFrame:
+    """Wide rows of all homes: each property prepared by its own options, weather joined by time, and uses as mean powers.
+
+    powers names columns of power in W by the use columns that they are the sum of and the J in one unit; these go. A use
+    is spread over the seconds to the home's next row; the last row has no power.
+    """
     parts = [property_preprocess(df.where(F.col("property") == p), step_s, step_s, keys=("id", "property"), ts=ts, **options) for p, options in properties.items()]
     long = parts[0]
     for p in parts[1:]:
         long = long.unionByName(p)
     out = long.groupBy("id", ts).pivot("property", [*properties]).agg(F.first("value"))
+    out = out if weather is None else out.join(weather, ts)
+    if not powers:
+        return out
+    from hearthline.operators.islands import interval_seconds
+
+    out = interval_seconds(out, ("id",), ts)
+    known = F.when(F.col("interval__s") > 0, F.col("interval__s"))
+    total = lambda columns: reduce(lambda a, b: a + b, map(F.col, columns))
+    out = out.withColumns({name: total(columns) * F.lit(float(unit)) / known for name, (columns, unit) in powers.items()})
+    return out.drop(*{c for columns, _ in powers.values() for c in columns})
+
+
+def room_dataset(rooms: DataFrame, columns: list[str], sources: list[str] | None = None, weather: DataFrame | None = None, ts: str = "timestamp") -> DataFrame:
+    """Prepared room values with a column for each source and property, <source>_<property>, and weather joined by time."""
+    from hearthline.operators.pivot import unstack_source
+
+    out = unstack_source(rooms, columns, sources, ("id", ts), F.col("source_type"))
     return out if weather is None else out.join(weather, ts)
 
 

@@ -133,12 +133,19 @@ def q_property_preprocess(spark, sf):
 _HOME = f"hm AS (SELECT id, property, timestamp, CASE WHEN property = 'click' AND (value < 5 OR value > 300) THEN NULL ELSE value END AS value FROM m WHERE property IN ('click', 'view')), hm3 AS (SELECT * FROM hm QUALIFY count(value) OVER (PARTITION BY id, property) > 2), {_first(DAY, 'hm3')}, {_filled(DAY, 2)}"
 
 
-@query(f"WITH {_HOME}, n AS (SELECT date_trunc('day', timestamp) AS timestamp, avg(value) AS temp FROM m GROUP BY 1) SELECT l.id, make_timestamp(b) AS timestamp, round(max(value) FILTER (property = 'click') + 3e-9, 6) AS click, round(max(value) FILTER (property = 'view') + 3e-9, 6) AS view, round(any_value(temp) + 3e-9, 6) AS temp FROM l JOIN n ON n.timestamp = make_timestamp(b) GROUP BY 1, 2".replace(", n AS (SELECT date_trunc", ", nat AS (SELECT date_trunc").replace("JOIN n ON n.", "JOIN nat ON nat."))
+@query(f"""WITH {_HOME}, nat AS (SELECT date_trunc('day', timestamp) AS timestamp, avg(value) AS temp FROM m GROUP BY 1),
+h AS (SELECT l.id, make_timestamp(b) AS timestamp, max(value) FILTER (property = 'click') AS click, max(value) FILTER (property = 'view') AS view, any_value(temp) AS temp FROM l JOIN nat ON nat.timestamp = make_timestamp(b) GROUP BY 1, 2),
+i AS (SELECT *, coalesce(epoch(lead(timestamp) OVER (PARTITION BY id ORDER BY timestamp)) - epoch(timestamp), 0) AS s FROM h)
+SELECT id, timestamp, round(click + 3e-9, 6) AS click, round(temp + 3e-9, 6) AS temp, round(s + 3e-9, 6) AS interval__s, round(CASE WHEN s > 0 THEN (view + click) * 3.6e6 / s END + 3e-9, 6) AS e_use__W FROM i""")
 def q_home_dataset(spark, sf):
     from hearthline.plans.tables import national
 
     weather = national(spark, sf).select("timestamp", F.col("value").alias("temp"))
-    return rounded(e.home_dataset(measurements(spark, sf), {"click": {"limit": 2, "low": 5, "high": 300}, "view": {"limit": 2}}, DAY, weather))
+    m = measurements(spark, sf)
+    # the same uses by two names: the high tariff's column goes into the power, the other stays
+    m = m.unionByName(m.where("property = 'click'").withColumn("property", F.lit("click_hi")))
+    out = e.home_dataset(m, {"click": {"limit": 2, "low": 5, "high": 300}, "click_hi": {"limit": 2, "low": 5, "high": 300}, "view": {"limit": 2}}, DAY, weather, {"e_use__W": (["view", "click_hi"], 3.6e6)})
+    return rounded(out)
 
 
 _ROOM = """rk AS (SELECT id, source_type, timestamp, CASE WHEN value >= 5 THEN value END AS value FROM m WHERE property = 'view'),
@@ -146,10 +153,14 @@ rs AS (SELECT *, stddev_samp(value) OVER (PARTITION BY id, source_type) AS sd FR
 ra AS (SELECT id, source_type, timestamp, value + (416.0 - min(value) OVER (PARTITION BY id, source_type)) AS value FROM rb), r3 AS (SELECT * FROM ra QUALIFY count(value) OVER (PARTITION BY id, source_type) > 2)"""
 
 
-@query(f"WITH {_ROOM}, {_first(900, 'r3', 'id, source_type')}, {_filled(900, 5, 'id, source_type')} {_mean(DAY, 'id, source_type')}".replace("AS value FROM l GROUP BY", "AS co2 FROM l GROUP BY"))
+@query(f"""WITH {_ROOM}, {_first(900, 'r3', 'id, source_type')}, {_filled(900, 5, 'id, source_type')}, rm AS ({_mean(DAY, 'id, source_type')}), nat AS (SELECT date_trunc('day', timestamp) AS timestamp, avg(value) AS temp FROM m GROUP BY 1)
+SELECT id, rm.timestamp, max(value) FILTER (source_type = 's0') AS s0_co2, max(value) FILTER (source_type = 's1') AS s1_co2, round(any_value(temp) + 3e-9, 6) AS temp FROM rm JOIN nat USING (timestamp) GROUP BY id, rm.timestamp""")
 def q_room_preprocess(spark, sf):
+    from hearthline.plans.tables import national
+
     df = measurements(spark, sf).where("property = 'view'").select("id", "source_type", "timestamp", F.col("value").alias("co2"))
-    return rounded(e.room_preprocess(df, "co2", DAY))
+    weather = national(spark, sf).select("timestamp", F.col("value").alias("temp"))
+    return rounded(e.room_dataset(e.room_preprocess(df, "co2", DAY), ["co2"], ["s0", "s1"], weather))
 
 
 # ---- calibration
