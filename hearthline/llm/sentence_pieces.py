@@ -10,7 +10,11 @@ The vocabulary file holds merge ranks r as scores -r, so a piece weighs -log(r +
 pieces stand for unknown characters only. ``raw_scores`` takes the scores as they are, for vocabularies that hold
 log-probabilities. Ties go to the longer last piece.
 
-Defined results: null text encodes as an empty one, to no ids; repeated rows encode alike; other columns pass through.
+Words of more than ``LONG`` characters are taken one at a time: all their pieces are found by sliding hashes, then one
+pass over the ends stores score and backpointer, so a text without spaces takes time in proportion to its length.
+
+Defined results: null text encodes as an empty one, to no ids; texts of any length are encoded whole; an empty table
+gives no rows; repeated rows encode alike; other columns pass through, but for those named like the results.
 """
 
 from __future__ import annotations
@@ -24,9 +28,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from hearthline.llm.common import Memo, parts_of, strung
+
 SPACE = "▁"
-#: Encoded words that a task keeps.
-CACHE = 200_000
+#: Encoded words that a process keeps, of late and of before.
+CACHE = 300_000
+#: Words of more characters are taken one at a time, all their pieces found at once.
+LONG = 256
 _BASE = np.uint64(0x100000001B3)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 #: Spaces with what follows, line breaks, and a ▁ of the text itself.
@@ -68,7 +76,10 @@ class PieceModel:
         self.begin[lead] = starts
         self.deep = int(sizes.max())
         self.keys_end = np.concatenate([self.keys, np.zeros(self.deep, dtype=np.uint64)])
-        self.cache: dict[str, np.ndarray] = {}
+        self.texts = [x.replace(SPACE, " ") for x in self.pieces]
+        self.is_byte = np.zeros(n, dtype=bool)
+        self.is_byte[[*self.byte_ids.values()]] = True
+        self.words, self.chunks = Memo(self._encoded, CACHE), Memo(self._encoded_chunks, CACHE)
 
     @staticmethod
     def key(piece: str) -> int:
@@ -107,8 +118,44 @@ class PieceModel:
             hit[more[here]] = True
         return rows[hit], at[hit]
 
+    def arcs(self, word: str) -> tuple[list[int], list[int], list[int]]:
+        """For each end in the word where its pieces begin in the lists of their sizes (shortest first) and places."""
+        codes = self._codes([word])[0] + np.uint64(1)
+        h, ends, sizes, places = np.zeros(len(codes) + 1, dtype=np.uint64), [], [], []
+        for size in range(1, min(self.longest, len(codes)) + 1):
+            h = h[:-1] * _BASE + codes[size - 1 :]
+            starts, at = self.probe(self._finish(h))
+            ends.append(starts + size)
+            sizes.append(np.full(len(starts), size))
+            places.append(at)
+        end = np.concatenate(ends)
+        order = np.argsort(end, kind="stable")
+        first = np.searchsorted(end[order], np.arange(len(codes) + 2))
+        return first.tolist(), np.concatenate(sizes)[order].tolist(), np.concatenate(places)[order].tolist()
+
+    def _viterbi_long(self, word: str) -> np.ndarray:
+        """The same for one word."""
+        first, sizes, places = self.arcs(word)
+        score, best, back = self.score.tolist(), [0.0], [(1, -1)]
+        for j in range(1, len(word) + 1):
+            top, how = best[j - 1] + self.lost, (1, -1)
+            for i in range(first[j], first[j + 1]):
+                x = best[j - sizes[i]] + score[places[i]]
+                if x >= top:
+                    top, how = x, (sizes[i], places[i])
+            best.append(top)
+            back.append(how)
+        out, j = [], len(word)
+        while j:
+            size, at = back[j]
+            out += [int(self.ids[at])] if at >= 0 else [self.byte_ids[b] for b in reversed(word[j - 1].encode("utf-8", "surrogatepass"))]
+            j -= size
+        return np.array(out[::-1], dtype=np.int32)
+
     def viterbi(self, words: list[str]) -> list[np.ndarray]:
         """Ids of the best segmentation of each of some equally long words."""
+        if len(words[0]) > LONG:
+            return [*map(self._viterbi_long, words)]
         codes = self._codes(words)
         n, length = codes.shape
         h = self._prefixes(codes)
@@ -146,40 +193,56 @@ class PieceModel:
                 out[i] = np.array([x for p, e in zip(out[i], ends[i]) for x in ([p] if p >= 0 else [self.byte_ids[b] for b in words[i][e - 1].encode("utf-8", "surrogatepass")])], dtype=np.int32)
         return out
 
-    def _learn(self, words: list[str]) -> None:
-        """Puts new words' ids into the cache. A ▁ of the text becomes its bytes, as the piece ▁ stands for a space."""
+    def _encoded(self, words: list[str]) -> list[bytes]:
+        """Ids of words. A ▁ of the text becomes its bytes, as the piece ▁ stands for a space."""
+        out = {SPACE: np.array([self.byte_ids[b] for b in SPACE.encode()], dtype=np.int32).tobytes()}
         by_length: dict[int, list[str]] = {}
         for w in words:
-            if w == SPACE:
-                self.cache[w] = np.array([self.byte_ids[b] for b in w.encode()], dtype=np.int32)
-            else:
+            if w != SPACE:
                 by_length.setdefault(len(w), []).append(w)
         for length, group in by_length.items():
             most = max(1, 400_000 // (length + 1))
             for i in range(0, len(group), most):
                 part = group[i : i + most]
-                self.cache.update(zip(part, self.viterbi([w.replace(" ", SPACE) for w in part])))
-
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        split = [_WORD.findall(" " + t) if t else [] for t in texts]
-        new = [w for w in set().union(*split) if w not in self.cache]
-        if len(self.cache) + len(new) > CACHE:
-            self.cache.clear()
-            new = list(set().union(*split))
-        self._learn(new)
-        get = self.cache.__getitem__
-        return [np.concatenate([*map(get, words)]) if words else np.empty(0, dtype=np.int32) for words in split]
+                out.update(zip(part, (x.astype(np.int32).tobytes() for x in self.viterbi([w.replace(" ", SPACE) for w in part]))))
+        return [out[w] for w in words]
+
+    def _encoded_chunks(self, chunks: list[str]) -> list[bytes | None]:
+        """Ids of the parts between single spaces, each with its space, or with the line break before it; None where only the pattern tells words apart."""
+        plain = [c for c in chunks if c and SPACE not in c]
+        words = {c[1:] if c[0] == "\n" else " " + c for c in plain} - {""} | {"\n"}
+        get = self.words.of(words)
+        ids = {c: (get["\n"] + (get[c[1:]] if len(c) > 1 else b"")) if c[0] == "\n" else get[" " + c] for c in plain}
+        return [ids.get(c) for c in chunks]
+
+    def encode(self, texts: list[str | None] | pa.Array) -> list[np.ndarray]:
+        texts = pa.array(texts, pa.string()) if isinstance(texts, list) else texts
+        parts, places, bounds = parts_of(texts)
+        known = [*map(self.chunks.of({*parts}).__getitem__, parts)]
+        odd = np.concatenate(([0], np.cumsum(np.array([x is None for x in known], dtype=bool)[places])))
+        ids, ends = strung([x or b"" for x in known], places)
+        out, ids, ends = [], ids.view(np.int32), ends[bounds]
+        for i, other in enumerate((odd[bounds[1:]] > odd[bounds[:-1]]).tolist()):
+            if other:
+                words = _WORD.findall(" " + t) if (t := texts[i].as_py()) else []
+                out.append(np.frombuffer(b"".join([*map(self.words.of({*words}).__getitem__, words)]), dtype=np.int32))
+            else:
+                out.append(ids[ends[i] : ends[i + 1]])
+        return out
 
     def decode(self, ids) -> str:
-        out, raw, pieces, byte_of = [], bytearray(), self.pieces, self.byte_of
-        for i in ids:
+        ids = np.asarray(ids, dtype=np.int64)
+        if not self.is_byte[ids].any():
+            return "".join([*map(self.texts.__getitem__, ids.tolist())])[1:]
+        out, raw, byte_of = [], bytearray(), self.byte_of
+        for i in ids.tolist():
             if i in byte_of:
                 raw.append(byte_of[i])
                 continue
             if raw:
                 out.append(raw.decode("utf-8", "surrogatepass"))
                 raw = bytearray()
-            out.append(pieces[i].replace(SPACE, " "))
+            out.append(self.texts[i])
         if raw:
             out.append(raw.decode("utf-8", "surrogatepass"))
         return "".join(out)[1:]
@@ -192,9 +255,9 @@ def model(path: str, raw_scores: bool = False) -> PieceModel:
 
 
 def encode_pieces(docs: DataFrame, path: str | None = None, raw_scores: bool = False, text_col: str = "text", keep_text: bool = False) -> DataFrame:
-    """docs with piece_ids (array of int), n_pieces and round_trip: whether decoding the ids gives the text back."""
+    """docs with piece_ids (array of int), n_pieces and round_trip: whether decoding the ids gives the text back; these replace columns of their names."""
     path = path or vocabulary_path()
-    others = [c for c in docs.columns if c != text_col or keep_text]
+    others = [c for c in docs.columns if (c != text_col or keep_text) and c not in ("piece_ids", "n_pieces", "round_trip")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(path, raw_scores)
@@ -202,10 +265,10 @@ def encode_pieces(docs: DataFrame, path: str | None = None, raw_scores: bool = F
             for i in range(0, whole.num_rows, 500):
                 b = whole.slice(i, 500)
                 texts = b.column(0).to_pylist()
-                ids = m.encode(texts)
+                ids = m.encode(b.column(0))
                 n = np.array([len(x) for x in ids], dtype=np.int64)
-                same = [m.decode(x.tolist()) == (t or "") for x, t in zip(ids, texts)]
-                values = pa.array(np.concatenate(ids).astype(np.int32)) if len(ids) else pa.array([], pa.int32())
+                same = [m.decode(x) == (t or "") for x, t in zip(ids, texts)]
+                values = pa.array(np.concatenate(ids)) if len(ids) else pa.array([], pa.int32())
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))).astype(np.int32)), values)
                 yield pa.RecordBatch.from_arrays([*b.columns[1:], lists, pa.array(n), pa.array(same)], names=[*names, "piece_ids", "n_pieces", "round_trip"])
 
@@ -215,8 +278,9 @@ def encode_pieces(docs: DataFrame, path: str | None = None, raw_scores: bool = F
 
 
 def decode_pieces(df: DataFrame, path: str | None = None, ids_col: str = "piece_ids", text_col: str = "text") -> DataFrame:
-    """df with the text that its ids stand for; null ids give null."""
+    """df with the text that its ids stand for, in place of a column of that name; null ids give null."""
     path = path or vocabulary_path()
+    df = df.drop(text_col)
     schema = T.StructType([*df.schema.fields, T.StructField(text_col, T.StringType())])
     at = df.columns.index(ids_col)
 

@@ -30,9 +30,17 @@ def test_viterbi_against_plain_one():
     m = k.PieceModel(PATH)
     rng = random.Random(1)
     words = [" " + "".join(rng.choice("theoraniédß漢z'") for _ in range(rng.randint(1, 14))) for _ in range(400)] + [" " * 5, "\n"]
-    m._learn(words)
-    for w in words:
-        assert m.cache[w].tolist() == slow(m, w.replace(" ", k.SPACE)), w
+    for w, ids in zip(words, m._encoded(words)):
+        assert np.frombuffer(ids, dtype=np.int32).tolist() == slow(m, w.replace(" ", k.SPACE)), w
+
+
+def test_long_words_are_cut_alike(monkeypatch):
+    m = k.PieceModel(PATH)
+    rng = random.Random(2)
+    words = ["".join(rng.choice("theoraniédß漢z'") for _ in range(n)) for n in (1, 3, 40, 40, 250)]
+    want = [slow(m, w) for w in words]
+    monkeypatch.setattr(k, "LONG", 0)
+    assert [m.viterbi([w])[0].tolist() for w in words] == want
 
 
 def test_round_trips():
@@ -50,10 +58,10 @@ def test_known_words_are_single_pieces():
 
 
 def test_cache_may_overflow(monkeypatch):
-    m = k.PieceModel(PATH)
     texts = [r[1] for r in corpus()]
-    want = [x.tolist() for x in m.encode(texts)]
+    want = [x.tolist() for x in k.PieceModel(PATH).encode(texts)]
     monkeypatch.setattr(k, "CACHE", 5)
+    m = k.PieceModel(PATH)
     assert [m.encode([t])[0].tolist() for t in texts] == want
 
 
