@@ -48,12 +48,13 @@ def resample_agg(df: DataFrame, step_s: int, how: str = "mean", column: str = "v
 def _neighbours(df: DataFrame, column: str, keys: Keys, order: str) -> DataFrame:
     """_v0, _p0: value and place of the last row with a value up to here; _v1, _p1: of the next from here on."""
     has = F.col(column).isNotNull()
-    w = Window.partitionBy(*keys).orderBy(order)
-    back, ahead = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
+    w = Window.partitionBy(*keys)
+    # backwards in time for the next value: a frame to the end of the partition is computed anew for each row
+    back, ahead = (w.orderBy(o).rowsBetween(Window.unboundedPreceding, 0) for o in (F.asc(order), F.desc(order)))
     out = {}
     for name, what in (("v", F.col(column)), ("p", F.col(order))):
         out[f"_{name}0"] = F.last(F.when(has, what), ignorenulls=True).over(back)
-        out[f"_{name}1"] = F.first(F.when(has, what), ignorenulls=True).over(ahead)
+        out[f"_{name}1"] = F.last(F.when(has, what), ignorenulls=True).over(ahead)
     return df.withColumns(out)
 
 

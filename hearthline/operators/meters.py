@@ -60,9 +60,9 @@ def meter_timestamp_parse(df: DataFrame, telegram: str, limit: int = 2, keys: Ke
     w = Window.partitionBy(*keys).orderBy(ts)
     us = F.unix_micros(telegram_time(telegram)).cast("double")
     df = df.withColumns({"_i": F.row_number().over(w).cast("long"), "_u": us})
-    back, ahead = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
+    back, ahead = (Window.partitionBy(*keys).orderBy(o).rowsBetween(Window.unboundedPreceding, 0) for o in (F.asc("_i"), F.desc("_i")))
     known = lambda x: F.when(F.col("_u").isNotNull(), F.col(x))
-    df = df.withColumns({f"_{x}0": F.last(known(c), ignorenulls=True).over(back) for x, c in (("u", "_u"), ("i", "_i"))} | {f"_{x}1": F.first(known(c), ignorenulls=True).over(ahead) for x, c in (("u", "_u"), ("i", "_i"))})
+    df = df.withColumns({f"_{x}0": F.last(known(c), ignorenulls=True).over(back) for x, c in (("u", "_u"), ("i", "_i"))} | {f"_{x}1": F.last(known(c), ignorenulls=True).over(ahead) for x, c in (("u", "_u"), ("i", "_i"))})
     after = F.col("_i") - F.col("_i0")
     between = F.col("_u0") + (F.col("_u1") - F.col("_u0")) * after / (F.col("_i1") - F.col("_i0"))
     time = F.coalesce("_u", F.when(after <= limit, F.coalesce(between, F.col("_u0"))))
