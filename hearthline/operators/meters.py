@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hearthline.functions.time import from_micros, micros, seconds_between
+from hearthline.functions.time import from_micros, seconds_between
 from hearthline.functions.units import joules_per_unit, power_name
 from hearthline.operators.grid import fill_limited, resample_first
 from hearthline.operators.mask import filter_min_max, filter_static_outliers
