@@ -41,9 +41,12 @@ def unused(df: DataFrame, name: str) -> str:
 
 
 def without(docs: DataFrame, keys: DataFrame, id_col: str) -> DataFrame:
-    """docs without the rows whose id is in the one column of keys; rows with a null id stay."""
+    """docs without the rows whose id is in the one column of keys; rows with a null id stay.
+
+    The keys are written first: by their size Spark knows whether to send them to all tasks or to shuffle the documents.
+    """
     gone = unused(docs, "_gone")
-    return docs.join(keys.toDF(gone), F.col(id_col) == F.col(gone), "left_anti")
+    return docs.join(saved(keys.toDF(gone), "gone"), F.col(id_col) == F.col(gone), "left_anti")
 
 
 def saved(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:

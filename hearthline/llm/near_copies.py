@@ -34,7 +34,7 @@ from hearthline.llm.simhash import print_links, voted
 WIDTH, LEAST = 5, 0.8
 BANDS, ROWS = 20, 5
 #: Sets of one block of a group, and about how many pivots a cut group has.
-GROUP, PIVOTS = 1000, 8
+GROUP, PIVOTS = 250, 8
 _FACTORS = np.random.default_rng(42).integers(0, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 

@@ -26,7 +26,7 @@ def corpus(n=60, seed=1):
 def frame(spark, rows=None):
     """The corpus with columns whose names clash with helpers."""
     df = spark.createDataFrame(corpus() if rows is None else rows, SCHEMA)
-    return df.selectExpr("*", "1 as _doc", "2 as n", "3 as word", "4 as label", "5 as key", "6 as _fp", "7 as component", "8 as u")
+    return df.selectExpr("*", "1 as _doc", "2 as n", "3 as word", "4 as label", "5 as key", "6 as _fp", "7 as component", "8 as u", "9 as _bad", "10 as _gone", "11 as score", "12 as spans", "13 as n_email", "14 as _id", "15 as _set", "16 as _h", "17 as _k", "18 as peak_weight")
 
 
 def empty(spark):

@@ -144,7 +144,7 @@ def test_slopes_are_never_negative():
 
 def test_results_replace_columns_of_their_names(spark):
     docs, labels = labelled(spark, 60)
-    clash = docs.selectExpr("*", "1 as score", "2 as mean_weight", "3 as n_email", "4 as spans")
+    clash = docs.selectExpr("*", "2 as mean_weight", "3 as n_phone", "4 as base_sha256")
     a = toxicity.score_toxicity(clash, toxicity.fit_toxicity(clash, labels))
     b = quality.score_quality(clash, quality.fit_quality(clash, labels))
     c = pii.tag_documents(clash, None)

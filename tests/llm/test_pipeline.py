@@ -39,6 +39,16 @@ def test_stages(spark, tmp_path):
     assert ids[3] == ids[4] and all(r["round_trip"] for r in docs.collect())
 
 
+def test_empty_tables(spark, tmp_path):
+    make(spark, tmp_path)
+    for some, empty in (("all", ("documents", "labels", "benchmark")), ("documents", ("documents",)), ("labels", ("labels", "benchmark"))):
+        for name in ("documents", "labels", "benchmark"):
+            df = spark.read.parquet(f"{tmp_path}/{name}.parquet")
+            (df.limit(0) if name in empty else df).write.parquet(f"{tmp_path}/{some}/{name}.parquet")
+        n = p.run(spark, f"{tmp_path}/{some}").count()
+        assert n == 0 if "documents" in empty else n > 100
+
+
 def test_run_is_the_stages(spark, tmp_path):
     make(spark, tmp_path)
     out = p.run(spark, str(tmp_path))
