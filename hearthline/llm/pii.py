@@ -37,7 +37,7 @@ from hearthline.llm.common import hash_share, slices
 KINDS = ("email", "ip", "card", "phone")
 WINDOW, STRIDE, HIDDEN = 64, 32, 16
 #: Most documents that the network is trained on (in expectation), most windows of these, and passes over them.
-TRAIN_DOCS, TRAIN_WINDOWS, EPOCHS, BATCH, RATE = 2_000, 4_000, 8, 96, 0.03
+TRAIN_DOCS, TRAIN_WINDOWS, EPOCHS, BATCH, RATE = 2_000, 4_000, 12, 96, 0.03
 #: Least mean probability that the characters of an added span are in one; least probability of any span at a character that the decoder looks at.
 CONFIDENCE, LOOK = 0.8, 0.05
 
@@ -459,9 +459,13 @@ def _added(text: str, taken: list[tuple[int, int]], runs: list[tuple[int, np.nda
             kind = next((KINDS[k] for k in np.argsort(-of_kind, kind="stable") if of_kind[k] >= LOOK and _plausible(KINDS[k], m[0])), None)
             if kind is None:
                 continue
-            before = bisect_left(begins, m.end())
-            if not before or ends[before - 1] <= m.start():
-                out.append((kind, *m.span()))
+            start, end = m.span()
+            if kind == "email":  # what stands before its sign is one word
+                name = m[0][: _AT.search(m[0], 1).start()].rstrip()
+                start += len(name) - len(name.split()[-1])
+            before = bisect_left(begins, end)
+            if not before or ends[before - 1] <= start:
+                out.append((kind, start, end))
     return out
 
 
