@@ -26,7 +26,10 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by a similarity of 0.8 or more over five-word shingles, the one with the smallest id stays."""
+    """Of documents linked by a similarity of 0.8 or more over five-word shingles, the one with the smallest id stays.
+
+    Candidates are what the BK-trees of SimHash fingerprints link, and what shares a MinHash band.
+    """
     return drop_near_copies(docs)
 
 
