@@ -281,7 +281,7 @@ def write_shards(docs: DataFrame, path: str | None = None, id_col: str = "doc_id
                 names=["part", "seq", "first_key", "last_key", "n_docs", "n_ids", "image"],
             )
 
-        for b in slices(batches, 4000, 1 << 22):
+        for b in slices(batches, 500, 1 << 21):
             for k, x in zip(b.column(0).to_pylist(), encoder.encode(b.column(1))):
                 keys.append(k)
                 ids.append(x)
