@@ -262,14 +262,22 @@ def best_labels(p: np.ndarray) -> np.ndarray:
     return y
 
 
+def _spelled(text: str) -> list[int]:
+    """Where spelled and bracketed signs are; texts without their letters are not searched."""
+    low = text.lower()
+    if not any(x in low for x in ("dot", "at)", "at]", "at}", "at>", "at )", "at ]", "[.]", "(.)", " at ")):
+        return []
+    return [m.start() for m in _SPELLED.finditer(text)]
+
+
 def _window_starts(text: str, c: np.ndarray) -> np.ndarray:
-    """Starts, on the stride, of the windows that hold a digit, @, or a spelled or bracketed sign, and of their neighbours."""
-    at = np.flatnonzero((c == 1) | (c == 6))
-    spelled = [m.start() for m in _SPELLED.finditer(text)]
-    if spelled:
-        at = np.union1d(at, spelled)
-    first, last = np.maximum(at - WINDOW, -1) // STRIDE + 1, at // STRIDE
-    return np.unique(np.concatenate([np.maximum(first - 1, 0), first, last, last + 1])) * STRIDE if len(at) else at
+    """Starts, on the stride, of the windows that hold four digits (an IP address has no fewer), and of those that hold @ or a spelled or bracketed sign, with their neighbours."""
+    digit, at = np.flatnonzero(c == 1), np.union1d(np.flatnonzero(c == 6), _spelled(text)).astype(np.int64)
+    first = lambda x: np.maximum(x - WINDOW, -1) // STRIDE + 1
+    some = np.unique(np.concatenate([first(digit), digit // STRIDE]))
+    some = some[np.searchsorted(digit, some * STRIDE + WINDOW) - np.searchsorted(digit, some * STRIDE) >= 4]
+    signs = [np.maximum(first(at) - 1, 0), first(at), at // STRIDE, at // STRIDE + 1]
+    return np.unique(np.concatenate([some, *signs])).astype(np.int64) * STRIDE
 
 
 def _windows(c: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -477,7 +485,7 @@ def find_spans(texts: list[str | None], tagger: Tagger | None) -> list[tuple[lis
         return out
     held, places, ends = [], [], [0]
     for t in texts:  # a text's blocks are numbered from ends on, with one between texts that none has
-        if t and ("@" in t or _DIGIT.search(t) or _SPELLED.search(t)):
+        if t and ("@" in t or _DIGIT.search(t) or _spelled(t)):
             c = classes(t)
             starts = _window_starts(t, c)
             held.append(_windows(c, starts))
