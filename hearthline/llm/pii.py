@@ -3,9 +3,9 @@
 The base finds e-mail addresses, IP addresses, card and phone numbers by fixed patterns with checks. The network reads
 classes of characters in windows of ``WINDOW`` characters at every ``STRIDE`` and learns in numpy from labelled spans in a
 bounded sample of documents: the base's own, and the same spans rewritten in forms that the base can't see (other
-separators, no plus, spelled or bracketed signs), among numbers of other kinds that carry no label. Windows that hold a digit,
-``@``, a bracketed at or dot, the word dot, or at before a dotted word are decoded, and their neighbours; a span without
-any of these isn't looked for.
+separators, no plus, spelled or bracketed signs), among numbers of other kinds that carry no label. Windows that hold four digits
+are decoded, and those with ``@``, a bracketed at or dot, the word dot, or at before a dotted word, with their neighbours; a
+span without any of these isn't looked for.
 
 Each window gives the probabilities of every label at each of its characters. Where windows overlap these are averaged,
 with more weight the further from a window's edge, and one Viterbi pass under the CRF's label rules runs over each stretch of
