@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hearthline.llm import decontaminate, lattice_lm, line_dedup, media, pii, quality, sentence_pieces, simhash, token_store, toxicity
+from hearthline.llm import decontaminate, lattice_lm, lexical_search, line_dedup, media, minhash, pii, quality, sentence_pieces, simhash, token_store, toxicity, whitening
 from hearthline.llm.common import table
 from hearthline.llm.labelled import held_out
 
@@ -61,6 +61,20 @@ def op10_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentence_pieces.encode_pieces(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_pieces", "piece_ids", "round_trip")
 
 
+def op11_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = minhash.minhash_components(table(spark, sf_dir, "documents"))
+    kept = F.coalesce(F.col("_component") == F.col("_id"), F.lit(True))
+    return out.select(F.col("_id").alias("doc_id"), F.col("_n").alias("n_shingles"), F.col("_component").alias("component_id"), kept.alias("kept"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_quality": op2_quality,
@@ -72,9 +86,14 @@ QUERIES = {
     "op8_media": op8_media,
     "op9_toxicity": op9_toxicity,
     "op10_sentence_pieces": op10_sentence_pieces,
+    "op11_minhash": op11_minhash,
+    "op12_whitening": op12_whitening,
+    "op13_lexical_search": op13_lexical_search,
 }
 
 SQL = {
     "op1_line_dedup": line_dedup.oracle_sql(),
     "op5_decontaminate": decontaminate.oracle_sql(),
+    "op11_minhash": minhash.oracle_sql(),
+    "op13_lexical_search": lexical_search.oracle_sql(),
 }
