@@ -1,4 +1,7 @@
-"""Regular grids: resampling and interpolation that knows its limits. Bins are counted from 1970 in whole steps."""
+"""Regular grids: resampling and interpolation that knows its limits. Bins are counted from 1970 in whole steps.
+
+Grids are laid out, and gaps filled, by chunks of a series (see ``scan``), so that a long one is many tasks.
+"""
 
 from __future__ import annotations
 
@@ -6,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hearthline.functions.time import from_micros, micros, seconds_between
+from hearthline.operators.scan import CHUNK_S, neighbours
 
 Keys = tuple[str, ...]
 LONG = ("id", "property")
@@ -16,19 +20,26 @@ def _binned(df: DataFrame, step_s: int, ts: str) -> DataFrame:
     return df.withColumns({"_us": us, "_bin": us - F.pmod(us, F.lit(int(step_s) * 1_000_000))})
 
 
-def _full_grid(bins: DataFrame, step_s: int, keys: Keys) -> DataFrame:
-    """Every bin of a key from its first to its last, with the values where there are any."""
+def _full_grid(bins: DataFrame, step_s: int, keys: Keys, chunk_s: float = CHUNK_S, least: int = 0) -> DataFrame:
+    """Every bin of a key from its first to its last, with the values where there are any. least: keys whose _n adds up to less are left out."""
     step = int(step_s) * 1_000_000
-    span = bins.groupBy(*keys).agg(F.min("_bin").alias("_a"), F.max("_bin").alias("_b"))
-    every = span.select(*keys, F.explode(F.sequence("_a", "_b", F.lit(step))).alias("_bin"))
-    return every.join(bins, [*keys, "_bin"], "left")
-
-
-def resample_first(df: DataFrame, step_s: int, column: str = "value", keys: Keys = LONG, ts: str = "timestamp") -> DataFrame:
-    """The first value in each bin, and null in bins without one; all bins from the key's first row to its last."""
+    span = bins.groupBy(*keys).agg(F.min("_bin").alias("_a"), F.max("_bin").alias("_b"), *([F.sum("_n").alias("_n")] if least else []))
+    if least:
+        span = span.where(F.col("_n") >= least)
+        bins = bins.drop("_n")
+    # a whole number of bins a chunk; each chunk's bins are laid out in a task of their own
+    wide = max(1, int(chunk_s * 1_000_000) // step) * step
+    chunks = span.select(*keys, "_a", "_b", F.explode(F.sequence(F.floor(F.col("_a") / wide).cast("long"), F.floor(F.col("_b") / wide).cast("long"))).alias("_chunk")).repartition(*keys, "_chunk")
+    every = F.sequence(F.greatest("_a", F.col("_chunk") * wide), F.least("_b", (F.col("_chunk") + 1) * wide - step), F.lit(step))
+    return chunks.select(*keys, F.explode(every).alias("_bin")).join(bins, [*keys, "_bin"], "left")
+
+
+def resample_first(df: DataFrame, step_s: int, column: str = "value", keys: Keys = LONG, ts: str = "timestamp", chunk_s: float = CHUNK_S, least: int = 0) -> DataFrame:
+    """The first value in each bin, and null in bins without one; all bins from the key's first row to its last. Keys of fewer than least values are left out."""
     b = _binned(df, step_s, ts)
-    bins = b.groupBy(*keys, "_bin").agg(F.min_by(column, F.when(F.col(column).isNotNull(), F.col("_us"))).alias(column))
-    return _full_grid(bins, step_s, keys).select(*keys, from_micros(df, ts, F.col("_bin")).alias(ts), column)
+    count = [F.count(column).alias("_n")] if least else []
+    bins = b.groupBy(*keys, "_bin").agg(F.min_by(column, F.when(F.col(column).isNotNull(), F.col("_us"))).alias(column), *count)
+    return _full_grid(bins, step_s, keys, chunk_s, least).select(*keys, from_micros(df, ts, F.col("_bin")).alias(ts), column)
 
 
 #: Summaries by name; an empty bin sums up to 0 and counts 0, its mean is null. "first" takes a bin's mean, as means of equal steps do.
@@ -46,16 +57,14 @@ def resample_agg(df: DataFrame, step_s: int, how: str = "mean", column: str = "v
 
 
 def _neighbours(df: DataFrame, column: str, keys: Keys, order: str) -> DataFrame:
-    """_v0, _p0: value and place of the last row with a value up to here; _v1, _p1: of the next from here on."""
-    has = F.col(column).isNotNull()
+    """As ``scan.neighbours``, for a series within one task."""
+    here = F.when(F.col(column).isNotNull(), F.struct(F.col(column).alias("v"), F.col(order).alias("p")))
     w = Window.partitionBy(*keys)
     # backwards in time for the next value: a frame to the end of the partition is computed anew for each row
-    back, ahead = (w.orderBy(o).rowsBetween(Window.unboundedPreceding, 0) for o in (F.asc(order), F.desc(order)))
-    out = {}
-    for name, what in (("v", F.col(column)), ("p", F.col(order))):
-        out[f"_{name}0"] = F.last(F.when(has, what), ignorenulls=True).over(back)
-        out[f"_{name}1"] = F.last(F.when(has, what), ignorenulls=True).over(ahead)
-    return df.withColumns(out)
+    for i, o in ((0, F.asc(order)), (1, F.desc(order))):
+        near = F.last(here, ignorenulls=True).over(w.orderBy(o).rowsBetween(Window.unboundedPreceding, 0))
+        df = df.withColumn("_n", near).withColumns({f"_v{i}": F.col("_n.v"), f"_p{i}": F.col("_n.p")}).drop("_n")
+    return df
 
 
 def _linear(x: str) -> Column:
@@ -63,9 +72,9 @@ def _linear(x: str) -> Column:
     return F.when(span == 0, F.col("_v0")).otherwise(F.col("_v0") + (F.col("_v1") - F.col("_v0")) * (F.col(x) - F.col("_p0")) / span)
 
 
-def fill_limited(df: DataFrame, step_s: int, limit: int | None, column: str = "value", keys: Keys = LONG, ts: str = "timestamp") -> DataFrame:
+def fill_limited(df: DataFrame, step_s: int, limit: int | None, column: str = "value", keys: Keys = LONG, ts: str = "timestamp", chunk_s: float = CHUNK_S) -> DataFrame:
     """A regular grid's gaps filled linearly in time, at most limit rows after each value; after the last value it is held as long."""
-    df = _neighbours(df.withColumn("_us", micros(df, ts)), column, keys, "_us")
+    df = neighbours(df.withColumn("_us", micros(df, ts)), column, keys, "_us", "_us", chunk_s)
     after = (F.col("_us") - F.col("_p0")) / F.lit(int(step_s) * 1_000_000)
     value = F.when(F.col("_p1").isNull(), F.col("_v0")).otherwise(_linear("_us"))
     if limit is not None:
@@ -73,21 +82,19 @@ def fill_limited(df: DataFrame, step_s: int, limit: int | None, column: str = "v
     return df.withColumn(column, F.when(F.col("_p0").isNotNull(), value)).drop("_us", "_v0", "_v1", "_p0", "_p1")
 
 
-def interpolate_time(df: DataFrame, step_s: int, target_s: int, limit: int | None, column: str = "value", keys: Keys = LONG, ts: str = "timestamp", as_integer: bool = False) -> DataFrame:
+def interpolate_time(df: DataFrame, step_s: int, target_s: int, limit: int | None, column: str = "value", keys: Keys = LONG, ts: str = "timestamp", as_integer: bool = False, chunk_s: float = CHUNK_S) -> DataFrame:
     """First values at step_s, gaps filled up to limit rows, means at target_s. Series of two values or fewer are left out.
 
     as_integer restores whole numbers, halves to even.
     """
-    enough = F.count(column).over(Window.partitionBy(*keys)) > 2
-    df = df.withColumn("_n", enough).where("_n").drop("_n")
-    out = resample_agg(fill_limited(resample_first(df, step_s, column, keys, ts), step_s, limit, column, keys, ts), target_s, "mean", column, keys, ts, every=False)
+    out = resample_agg(fill_limited(resample_first(df, step_s, column, keys, ts, chunk_s, least=3), step_s, limit, column, keys, ts, chunk_s), target_s, "mean", column, keys, ts, every=False)
     return out.withColumn(column, F.rint(column).cast("long")) if as_integer else out
 
 
 def fill_text(df: DataFrame, step_s: int, target_s: int, limit: int, column: str, keys: Keys = LONG, ts: str = "timestamp") -> DataFrame:
     """Texts: first at step_s, held for limit rows, first at target_s."""
     df = resample_first(df, step_s, column, keys, ts)
-    df = _neighbours(df.withColumn("_us", micros(df, ts)), column, keys, "_us")
+    df = neighbours(df.withColumn("_us", micros(df, ts)), column, keys, "_us", "_us")
     held = F.when((F.col("_us") - F.col("_p0")) <= limit * int(step_s) * 1_000_000, F.col("_v0"))
     df = df.withColumn(column, held).drop("_us", "_v0", "_v1", "_p0", "_p1")
     return resample_first(df, target_s, column, keys, ts)

@@ -1,17 +1,20 @@
 """Runs, islands and periods: sequences of rows of a key, ordered by time.
 
-Functions take rows with key columns, a timestamp and a value, and order ties of time by the columns in ``tie``.
+Functions take rows with key columns, a timestamp and a value, and order ties of time by the columns in ``tie``. Those that
+number runs or merge periods cut each series into chunks of ``chunk_s`` seconds (see ``scan``), so that one long series is many tasks.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from hearthline.functions.time import from_micros, micros, seconds_between, shifted
+from hearthline.operators.intervals import times_in
 from hearthline.operators.mask import all_present, compare
+from hearthline.operators.scan import CHUNK_S, before, behind, running_sum, segmented, turns, up_to
 
 Keys = tuple[str, ...]
 
@@ -20,40 +23,51 @@ def _w(keys: Keys, *order: str):
     return Window.partitionBy(*keys).orderBy(*order)
 
 
-def with_run(df: DataFrame, changed: Column, keys: Keys, order: Keys, name: str = "run") -> DataFrame:
-    """A running number that goes up at every row where changed holds."""
-    w = _w(keys, *order)
-    return df.withColumn("_c", F.coalesce(changed.cast("int"), F.lit(0))).withColumn(name, F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_c")
+def with_run(df: DataFrame, changed: Column, keys: Keys, order: Keys, name: str = "run", chunk_s: float = CHUNK_S) -> DataFrame:
+    """A running number that goes up at every row where changed holds. order begins with the time."""
+    return running_sum(df.withColumn("_c", F.coalesce(changed.cast("long"), F.lit(0).cast("long"))), "_c", keys, order, name, chunk_s).drop("_c")
 
 
-def streak_ids(df: DataFrame, flag: str, keys: Keys = ("id",), ts: str = "timestamp", tie: Keys = (), name: str = "streak_id") -> DataFrame:
+def streak_ids(df: DataFrame, flag: str, keys: Keys = ("id",), ts: str = "timestamp", tie: Keys = (), name: str = "streak_id", chunk_s: float = CHUNK_S) -> DataFrame:
     """Numbers the runs of equal flags."""
-    changed = ~F.col(flag).eqNullSafe(F.lag(flag).over(_w(keys, ts, *tie)))
-    return with_run(df.withColumn("_ch", changed), F.col("_ch"), keys, (ts, *tie), name).drop("_ch")
+    return turns(df, flag, keys, (ts, *tie), name, chunk_s)
 
 
-def filtered_islands(df: DataFrame, valid: str, keys: Keys = ("id",), ts: str = "timestamp", tie: Keys = ()) -> DataFrame:
+def filtered_islands(df: DataFrame, valid: str, keys: Keys = ("id",), ts: str = "timestamp", tie: Keys = (), chunk_s: float = CHUNK_S) -> DataFrame:
     """Valid rows with the number of the island they are in; rows that aren't valid part the islands."""
-    return with_run(df, ~F.coalesce(F.col(valid), F.lit(False)), keys, (ts, *tie), "island").where(F.coalesce(F.col(valid), F.lit(False)))
+    return with_run(df, ~F.coalesce(F.col(valid), F.lit(False)), keys, (ts, *tie), "island", chunk_s).where(F.coalesce(F.col(valid), F.lit(False)))
 
 
-def _periods(df: DataFrame, hit: Column, keys: Keys, ts: str, tie: Keys, start: str) -> DataFrame:
+def _periods(df: DataFrame, hit: Column, keys: Keys, ts: str, tie: Keys, start: str, chunk_s: float) -> DataFrame:
     """Runs of rows where hit holds; start names the column to take the first time from."""
-    df = with_run(df.withColumn("_hit", F.coalesce(hit, F.lit(False))), ~F.col("_hit"), keys, (ts, *tie), "_run").where("_hit")
+    df = with_run(df.withColumn("_hit", F.coalesce(hit, F.lit(False))), ~F.col("_hit"), keys, (ts, *tie), "_run", chunk_s).where("_hit")
     return df.groupBy(*keys, "_run").agg(F.min(start).alias("start"), F.max(ts).alias("end"), F.count("*").alias("n_samples")).drop("_run")
 
 
-def periods_by_value(df: DataFrame, op: str, value: float, column: str = "value", keys: Keys = ("id", "property"), ts: str = "timestamp", tie: Keys = (), singles: bool = False) -> DataFrame:
+def periods_by_value(df: DataFrame, op: str, value: float, column: str = "value", keys: Keys = ("id", "property"), ts: str = "timestamp", tie: Keys = (), singles: bool = False, chunk_s: float = CHUNK_S) -> DataFrame:
     """Longest runs of samples that satisfy the comparison, from the first to the last of them; single samples only if asked."""
-    out = _periods(df, compare(column, op, value), keys, ts, tie, ts)
+    out = _periods(df, compare(column, op, value), keys, ts, tie, ts, chunk_s)
     return out if singles else out.where("n_samples > 1")
 
 
-def periods_custom(df: DataFrame, step: Callable[..., Column], column: str = "value", keys: Keys = ("id", "property"), ts: str = "timestamp", tie: Keys = ()) -> DataFrame:
+def periods_custom(df: DataFrame, step: Callable[..., Column], column: str = "value", keys: Keys = ("id", "property"), ts: str = "timestamp", tie: Keys = (), chunk_s: float = CHUNK_S) -> DataFrame:
     """Longest runs of steps for which step(before, after, t_before, t_after) holds, from the sample before the first step to the last."""
-    w = _w(keys, ts, *tie)
-    df = df.withColumns({"_t0": F.lag(ts).over(w), "_v0": F.lag(column).over(w)})
-    return _periods(df, step(F.col("_v0"), F.col(column), F.col("_t0"), F.col(ts)), keys, ts, tie, "_t0").withColumnRenamed("n_samples", "n_steps")
+    order, row = (ts, *tie), F.struct(F.col(ts).alias("t"), F.col(column).alias("v"))
+    holds = lambda a, b: F.coalesce(step(a["v"], b["v"], a["t"], b["t"]), F.lit(False))
+
+    def local(d: DataFrame, w: WindowSpec) -> DataFrame:
+        d = d.withColumns({"_now": row, "_was": F.lag(row).over(w)})
+        # a chunk's first step comes from the chunk before and is counted among the summaries
+        d = d.withColumn("_off", F.when(F.col("_was").isNotNull(), ~holds(F.col("_was"), F.col("_now"))).otherwise(F.lit(False)).cast("long"))
+        return d.withColumn("_own", F.sum("_off").over(up_to(w)))
+
+    def carried(d: DataFrame, w: WindowSpec) -> DataFrame:
+        d = d.withColumn("_edge", F.lag("_tail").over(w)).withColumn("_cut", (~holds(F.col("_edge"), F.col("_head"))).cast("long"))
+        return d.withColumn("_base", F.sum("_cut").over(up_to(w)) + F.coalesce(F.sum("_many").over(before(w)), F.lit(0))).drop("_head", "_tail", "_many", "_cut")
+
+    df = segmented(df, keys, order, chunk_s, local, {"_many": F.sum("_off"), "_head": F.min_by(row, behind(order)), "_tail": F.max_by(row, behind(order))}, carried)
+    df = df.withColumn("_was", F.coalesce("_was", "_edge")).where(holds(F.col("_was"), F.col("_now"))).withColumn("_run", F.col("_own") + F.coalesce("_base", F.lit(0)))
+    return df.groupBy(*keys, "_run").agg(F.min("_was.t").alias("start"), F.max(ts).alias("end"), F.count("*").alias("n_steps")).drop("_run")
 
 
 def periods_relative(df: DataFrame, op: str, column: str = "value", **where) -> DataFrame:
@@ -61,15 +75,27 @@ def periods_relative(df: DataFrame, op: str, column: str = "value", **where) ->
     return periods_custom(df, lambda before, after, *_: compare(after, op, before), column, **where)
 
 
-def close_period_gaps(periods: DataFrame, delta_s: float = 0.0, keys: Keys = ("id",)) -> DataFrame:
-    """Periods that overlap or lie at most delta_s apart become one; an open end swallows what follows."""
-    w = _w(keys, "_s", "_e").rowsBetween(Window.unboundedPreceding, -1)
-    last = F.lit((1 << 63) - 1)
+def close_period_gaps(periods: DataFrame, delta_s: float = 0.0, keys: Keys = ("id",), chunk_s: float = CHUNK_S) -> DataFrame:
+    """Periods that overlap or lie at most delta_s apart become one; an open end swallows what follows.
+
+    A merged period is named by the period that begins it. Within a chunk of starts these are marked as if nothing came before; a mark stands
+    if it also lies apart from the greatest end of all chunks before, and periods without a mark go to the last one before.
+    """
+    last, delta = F.lit(1 << 62), F.lit(int(delta_s * 1e6))
     df = periods.withColumns({"_s": F.coalesce(micros(periods, "start"), -last), "_e": F.coalesce(micros(periods, "end"), last)})
-    reach = F.max("_e").over(w)
-    apart = (reach < last) & (F.col("_s") - reach > F.lit(int(delta_s * 1e6)))
-    df = with_run(df.withColumn("_new", apart), F.col("_new"), keys, ("_s", "_e"), "_run")
-    out = df.groupBy(*keys, "_run").agg(F.min("_s").alias("_s"), F.max("_e").alias("_e"))
+    apart = lambda s, reach: reach.isNull() | ((reach < last) & (s - reach > delta))
+
+    def local(d: DataFrame, w: WindowSpec) -> DataFrame:
+        mark = F.when(apart(F.col("_s"), F.max("_e").over(before(w))), F.struct("_s", "_e"))
+        return d.withColumn("_mark", mark).withColumn("_own", F.max("_mark").over(up_to(w)))
+
+    def carried(d: DataFrame, w: WindowSpec) -> DataFrame:
+        d = d.withColumn("_reach", F.max("_most").over(before(w)))
+        return d.withColumn("_open", F.last(F.when(apart(F.col("_final._s"), F.col("_reach")), F.col("_final")), ignorenulls=True).over(before(w))).drop("_most", "_final")
+
+    df = segmented(df, keys, ("_s", "_e"), chunk_s, local, {"_most": F.max("_e"), "_final": F.max("_mark")}, carried)
+    run = F.when(apart(F.col("_own._s"), F.col("_reach")), F.col("_own")).otherwise(F.col("_open"))
+    out = df.groupBy(*keys, run.alias("_run")).agg(F.min("_s").alias("_s"), F.max("_e").alias("_e"))
     at = lambda c, none: F.when(F.col(c) != none, from_micros(periods, "start", F.col(c)))
     return out.select(*keys, at("_s", -last).alias("start"), at("_e", last).alias("end"))
 
@@ -83,24 +109,25 @@ def periods_union(a: DataFrame, b: DataFrame, keys: Keys = ("id",)) -> DataFrame
 def periods_intersect(a: DataFrame, b: DataFrame, keys: Keys = ("id",)) -> DataFrame:
     """All overlaps of a period of a with one of b; touching ends overlap for no time. Null ends are open.
 
-    Each key's time is cut into steps of about a period's mean length, no more than four for each period, and periods meet
-    by key and step, so the work is about that of the overlaps found, also for a key with very many periods.
+    Of two periods that overlap the later start lies in the other one, so starts of each side meet the periods of the other (see
+    ``intervals``) and each overlap comes from one of both. Open ends lie at the least and greatest time that there is.
     """
-    both = a.select(*keys, "start", "end").unionByName(b.select(*keys, "start", "end"))
+    both = a.select("start", "end").unionByName(b.select("start", "end"))
     s, e = micros(both, "start"), micros(both, "end")
-    span = both.select(*keys, F.least(s, e).alias("_l"), F.greatest(s, e).alias("_h"), (e - s).alias("_d")).groupBy(*keys).agg(F.min("_l").alias("_lo"), F.max("_h").alias("_hi"), F.avg(F.abs("_d")).alias("_mean"), F.count("*").alias("_n"))
-    step = F.greatest(F.coalesce("_mean", F.lit(0)), (F.col("_hi") - F.col("_lo")) / (4 * F.col("_n")), F.lit(1e6))
-    span = span.select(*keys, F.coalesce("_lo", F.lit(0)).alias("_lo"), F.coalesce("_hi", F.lit(0)).alias("_hi"), F.coalesce(step, F.lit(1e6)).alias("_step"))
+    span = F.broadcast(both.agg(F.least(F.min(s), F.min(e)).alias("_lo"), F.greatest(F.max(s), F.max(e)).alias("_hi")))  # one row
 
-    def dealt(df: DataFrame, side: str) -> DataFrame:
-        at = lambda c, none: F.floor((F.coalesce(micros(df, c), F.col(none)) - F.col("_lo")) / F.col("_step")).cast("long")
-        df = df.join(span, [*keys]).select(*keys, F.col("start").alias(f"{side}s"), F.col("end").alias(f"{side}e"), at("start", "_lo").alias(f"{side}i"), at("end", "_hi").alias("_j"))
-        return df.withColumn("_step", F.explode(F.sequence(F.least(f"{side}i", "_j"), F.greatest(f"{side}i", "_j")))).drop("_j")
+    def side(df: DataFrame, n: str) -> DataFrame:
+        df = df.crossJoin(span)
+        at = lambda c, none: F.coalesce(micros(df, c), F.col(none), F.lit(0).cast("long")).alias(f"_{n}{c[0]}")
+        return df.select(*(F.col(k).alias(f"_{n}_{k}") for k in keys), F.col("start").alias(f"_{n}_start"), F.col("end").alias(f"_{n}_end"), at("start", "_lo"), at("end", "_hi"))
 
-    meet = (F.col("_as").isNull() | F.col("_be").isNull() | (F.col("_as") <= F.col("_be"))) & (F.col("_bs").isNull() | F.col("_ae").isNull() | (F.col("_bs") <= F.col("_ae")))
-    # two periods may meet in several steps: the one that holds the later start counts
-    met = dealt(a, "_a").join(dealt(b, "_b"), [*keys, "_step"]).where(meet & (F.col("_step") == F.greatest("_ai", "_bi")))
-    return met.select(*keys, F.greatest("_as", "_bs").alias("start"), F.least("_ae", "_be").alias("end"))
+    x, y = side(a, "a"), side(b, "b")
+    pairs = [(f"_a_{k}", f"_b_{k}") for k in keys]
+    # equal starts are found from the side of b alone
+    later_b = times_in(y, "_bs", x, "_as", "_ae", [(q, p) for p, q in pairs])
+    later_a = times_in(x, "_as", y.withColumn("_past", F.col("_bs") + 1), "_past", "_be", pairs).drop("_past")
+    met = later_b.unionByName(later_a).where("_as <= _be and _bs <= _ae")
+    return met.select(*(F.col(p).alias(k) for k, (p, _) in zip(keys, pairs)), F.greatest("_a_start", "_b_start").alias("start"), F.least("_a_end", "_b_end").alias("end"))
 
 
 def period_extend(periods: DataFrame, delta_s: float) -> DataFrame:
@@ -164,9 +191,10 @@ def valid_learn_list(df: DataFrame, required: list[str], max_gap_s: float = 60.0
 
 
 def job_rows(df: DataFrame, jobs: DataFrame, id_col: str = "id", ts: str = "timestamp") -> DataFrame:
-    """The rows of each job, start included and end not, with the job's start and end."""
-    j = jobs.select(F.col(id_col).alias("_id"), "start", "end")
-    return df.join(j, (F.col(id_col) == F.col("_id")) & (F.col(ts) >= F.col("start")) & (F.col(ts) < F.col("end"))).drop("_id")
+    """The rows of each job, start included and end not, with the job's start and end; jobs of an id may overlap (see ``intervals``)."""
+    first, last = micros(jobs, "start"), micros(jobs, "end") - 1
+    j = jobs.select(F.col(id_col).alias("_id"), "start", "end", first.alias("_first"), last.alias("_last"))
+    return times_in(df.withColumn("_us", micros(df, ts)), "_us", j, "_first", "_last", [(id_col, "_id")]).drop("_id", "_us", "_first", "_last")
 
 
 def time_info(df: DataFrame, keys: Keys = ("id",), ts: str = "timestamp") -> DataFrame:

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from hearthline.functions.time import from_micros, seconds_between
 from hearthline.functions.units import joules_per_unit, power_name
 from hearthline.operators.grid import fill_limited, resample_first
 from hearthline.operators.mask import filter_min_max, filter_static_outliers
+from hearthline.operators.scan import CHUNK_S, before, behind, segmented, up_to
 
 Keys = tuple[str, ...]
 
@@ -28,16 +29,34 @@ def cumulative_to_power(df: DataFrame, keys: Keys = ("id",), ts: str = "timestam
     return df.withColumns(new).drop(*old)
 
 
-def meter_reading_repair(df: DataFrame, column: str = "value", keys: Keys = ("id", "property"), ts: str = "timestamp", tie: Keys = ()) -> DataFrame:
+def meter_reading_repair(df: DataFrame, column: str = "value", keys: Keys = ("id", "property"), ts: str = "timestamp", tie: Keys = (), chunk_s: float = CHUNK_S) -> DataFrame:
     """Readings that fall below the one before go, with the first one; what still falls is a change of meter and adds nothing.
 
-    The column becomes the sum of the steps since the first reading that is left.
+    The column becomes the sum of the steps since the first reading that is left. Series are scanned by chunks of chunk_s seconds: whether a
+    chunk's first reading stays hangs on the chunk before, so its step, and the step from it to the next one left, are taken from the summaries.
     """
-    w = Window.partitionBy(*keys).orderBy(ts, *tie)
-    df = df.withColumn("_d", F.col(column) - F.lag(column).over(w)).where("_d >= 0")
-    df = df.withColumn("_d", F.col(column) - F.lag(column).over(w))
-    step = F.when(F.col("_d") > 0, F.col("_d")).otherwise(F.lit(0.0))
-    return df.withColumn("_d", step).withColumn(column, F.sum("_d").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_d")
+    order, v = (ts, *tie), F.col(column).cast("double")
+    rise = lambda a, b: F.coalesce(F.greatest(b - a, F.lit(0.0)), F.lit(0.0))
+
+    def local(d: DataFrame, w: WindowSpec) -> DataFrame:
+        d = d.withColumns({"_at": F.row_number().over(w), "_left": F.coalesce(v - F.lag(v).over(w) >= 0, F.lit(False))})
+        # the last one left before each row, the chunk's first reading aside
+        d = d.withColumn("_was", F.last(F.when(F.col("_left"), v), ignorenulls=True).over(before(w)))
+        d = d.withColumn("_step", F.when(F.col("_left"), rise(F.col("_was"), v)).otherwise(F.lit(0.0)))
+        return d.withColumn("_own", F.sum("_step").over(up_to(w)))
+
+    def carried(d: DataFrame, w: WindowSpec) -> DataFrame:
+        d = d.withColumn("_stays", F.coalesce(F.col("_first.v") >= F.lag("_final").over(w)["v"], F.lit(False)))
+        d = d.withColumn("_second", F.when(F.col("_stays") & F.col("_next").isNotNull(), rise(F.col("_first.v"), F.col("_next"))).otherwise(F.lit(0.0)))
+        head, tail = F.when(F.col("_stays"), F.col("_first.v")).otherwise(F.col("_next")), F.coalesce("_end", F.when(F.col("_stays"), F.col("_first.v")))
+        d = d.withColumns({"_tail": tail, "_head": head}).withColumn("_cross", rise(F.last("_tail", ignorenulls=True).over(before(w)), F.col("_head")))
+        return d.withColumn("_base", F.coalesce(F.sum(F.col("_sum") + F.col("_second") + F.col("_cross")).over(before(w)), F.lit(0.0)) + F.col("_cross")).drop("_first", "_final", "_next", "_end", "_sum", "_tail", "_head", "_cross")
+
+    row, left = F.struct(v.alias("v")), F.when(F.col("_left"), behind(order))
+    summary = {"_first": F.min_by(row, behind(order)), "_final": F.max_by(row, behind(order)), "_next": F.min_by(v, left), "_end": F.max_by(v, left), "_sum": F.sum("_step")}
+    out = segmented(df, keys, order, chunk_s, local, summary, carried).where(F.col("_left") | ((F.col("_at") == 1) & F.coalesce("_stays", F.lit(False))))
+    second = F.when(F.col("_at") > 1, F.col("_second")).otherwise(F.lit(0.0))
+    return out.withColumn(column, F.col("_own") + F.coalesce(F.col("_base") + second, F.lit(0.0))).drop("_at", "_left", "_was", "_step", "_own", "_stays", "_second", "_base")
 
 
 def meter_use(df: DataFrame, step_s: int, limit: int, column: str = "value", keys: Keys = ("id", "property"), ts: str = "timestamp", tie: Keys = ()) -> DataFrame:

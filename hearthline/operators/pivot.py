@@ -10,6 +10,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from hearthline.functions.time import micros
+from hearthline.operators.intervals import times_in
 from hearthline.operators.mask import cast_by_property_types
 
 #: Most values that may become columns, or rows for each row, without being named.
@@ -125,9 +127,9 @@ def asof_label_regime(periods: DataFrame, changes: DataFrame, label: str = "numb
 
 
 def valid_interval_lookup(df: DataFrame, programs: DataFrame, id_col: str = "id", ts: str = "timestamp") -> DataFrame:
-    """Rows with each program valid at their time, in (valid_from, valid_to]."""
-    p = programs.withColumnRenamed(id_col, "_id")
-    return df.join(p, (F.col(id_col) == F.col("_id")) & (F.col(ts) > F.col("valid_from")) & (F.col(ts) <= F.col("valid_to"))).drop("_id")
+    """Rows with each program valid at their time, in (valid_from, valid_to]; programs of an id may overlap (see ``intervals``)."""
+    p = programs.withColumns({"_first": micros(programs, "valid_from") + 1, "_last": micros(programs, "valid_to")}).withColumnRenamed(id_col, "_id")
+    return times_in(df.withColumn("_us", micros(df, ts)), "_us", p, "_first", "_last", [(id_col, "_id")]).drop("_id", "_us", "_first", "_last")
 
 
 def locations_expand(weather: DataFrame, homes: DataFrame, place: list[str]) -> DataFrame:

@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from hearthline.sources.io import kept
+
+
 def haversine_km(lat1: str, lon1: str, lat2: str, lon2: str) -> Column:
     """Great-circle distance on a sphere of 6371 km."""
     a, b, c, d = (F.radians(x) for x in (lat1, lon1, lat2, lon2))
@@ -14,51 +18,128 @@ def haversine_km(lat1: str, lon1: str, lat2: str, lon2: str) -> Column:
     return F.lit(2 * 6371.0) * F.asin(F.sqrt(F.least(h, F.lit(1.0))))
 
 
-def _tile(lat: str, lon: str, step: float) -> Column:
-    """Number of a place's tile of step degrees; 180 degrees east are 180 west."""
-    wide = int(np.ceil(360 / step))
-    row = F.least(F.floor((F.col(lat) + 90) / F.lit(step)), F.lit(int(np.ceil(180 / step)) - 1))  # the pole is in the last row
-    column = F.floor(F.pmod(F.col(lon) + 180, F.lit(360.0)) / F.lit(step))
-    return F.when(F.col(lat).isNotNull(), row * wide + column).cast("long")
+#: Most places that shape a quadtree, and about the most places of a sample in one leaf.
+SAMPLE, LEAF = 200_000, 64
+#: Halvings of each axis at most.
+DEPTH = 24
+
+
+class Quadtree:
+    """Leaves of a globe in degrees, split while more than leaf of some sampled places are inside; leaves cover everything, so any place has one."""
+
+    def __init__(self, lat: np.ndarray, lon: np.ndarray, leaf: int = LEAF):
+        code = self.code(lat, lon)
+        code.sort()
+        starts, todo = [], [(0, 0, 0, len(code))]
+        while todo:
+            depth, start, a, b = todo.pop()
+            if b - a <= leaf or depth == DEPTH:
+                starts.append(start)
+                continue
+            size = 1 << 2 * (DEPTH - depth - 1)
+            edges = [a, *(int(np.searchsorted(code, start + i * size)) for i in (1, 2, 3)), b]
+            todo += [(depth + 1, start + i * size, edges[i], edges[i + 1]) for i in range(4)]
+        self.starts = np.sort(np.array(starts, dtype=np.int64))
+
+    @staticmethod
+    def code(lat: np.ndarray, lon: np.ndarray) -> np.ndarray:
+        """The places' cells at full depth, bits of both axes interleaved."""
+        out = np.zeros(len(lat), dtype=np.int64)
+        last = (1 << DEPTH) - 1
+        y = np.clip((lat + 90) / 180 * (last + 1), 0, last).astype(np.int64)
+        x = np.clip(np.mod(lon + 180, 360) / 360 * (last + 1), 0, last).astype(np.int64)
+        for i in range(DEPTH):
+            out |= ((y >> i & 1) << (2 * i + 1)) | ((x >> i & 1) << (2 * i))
+        return out
+
+    def leaf(self, lat: np.ndarray, lon: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.starts, self.code(lat, lon), side="right") - 1
+
+
+def _sampled(places: DataFrame, n: int) -> np.ndarray:
+    """About SAMPLE of n places at most, chosen by hash."""
+    some = places if n <= SAMPLE else places.where(F.pmod(F.xxhash64("_la", "_lo"), F.lit(1 << 30)) < int((1 << 30) * SAMPLE / n))
+    return some.select("_la", "_lo").toPandas().to_numpy(np.float64)
+
+
+def _leaved(places: DataFrame, tree: Quadtree, name: str) -> DataFrame:
+    def run(batches):
+        for b in batches:
+            b[name] = tree.leaf(b["_la"].to_numpy(), b["_lo"].to_numpy())
+            yield b
 
+    return places.mapInPandas(run, T.StructType([*places.schema.fields, T.StructField(name, T.LongType())]))
 
-def _tile_centres(tiles: np.ndarray, step: float) -> np.ndarray:
-    wide = int(np.ceil(360 / step))
-    return np.radians(np.column_stack([tiles // wide * step - 90 + step / 2, tiles % wide * step - 180 + step / 2]))
 
+def _boxes(places: DataFrame, leaf: str) -> dict[str, np.ndarray]:
+    """By leaf the number of its places, and a circle that holds them all: centre and angle in radians."""
+    b = places.groupBy(leaf).agg(F.count("*").alias("n"), *(f(c).alias(f"{k}{c}") for c in ("_la", "_lo") for k, f in (("a", F.min), ("b", F.max)))).toPandas()
+    lat, lon = np.radians((b["a_la"] + b["b_la"]) / 2).to_numpy(), np.radians((b["a_lo"] + b["b_lo"]) / 2).to_numpy()
+    wide = np.radians((b["b_lo"] - b["a_lo"]) / 2).to_numpy()
+    # the farthest place of a box from its centre is a corner, unless the box is wider than half the globe
+    r = np.maximum(*(_angle(lat, lon, np.radians(b[c]).to_numpy(), lon + wide) for c in ("a_la", "b_la"))) if len(b) else np.empty(0)
+    return {"leaf": b[leaf].to_numpy(np.int64), "n": b["n"].to_numpy(np.int64), "lat": lat, "lon": lon, "r": np.where(wide > np.pi / 2, np.pi, r * (1 + 1e-9) + 1e-12)}
 
-def nearest_k(cells: DataFrame, points: DataFrame, k: int, cell_id: str = "cell", point_id: str = "point", lat: str = "lat", lon: str = "lon", tile_deg: float = 2.0) -> DataFrame:
-    """The k nearest points of each cell, ties by the point's id.
 
-    The globe is cut into tiles of tile_deg degrees, some 16,000 at two degrees whatever the data, and the number of points in
-    each is broadcast. For each tile with cells the distances between tiles bound how far its cells' k-th point can be, and so
-    give the tiles that may hold one of the k, across the date line and the poles too. Cells meet the points of these
-    tiles alone, in one join.
-    """
-    c = cells.select(F.col(cell_id).alias("_c"), F.col(lat).alias("_la"), F.col(lon).alias("_lo")).withColumn("_from", _tile("_la", "_lo", tile_deg))
-    p = points.select(F.col(point_id).alias("_p"), F.col(lat).alias("_pla"), F.col(lon).alias("_plo")).withColumn("_to", _tile("_pla", "_plo", tile_deg))
-    counts = p.where("_to is not null").groupBy("_to").agg(F.count("*").alias("n")).toPandas()  # a row for each tile of the globe at most
-    to, n = counts["_to"].to_numpy(np.int64), counts["n"].to_numpy(np.int64)
-    centres, radius = _tile_centres(to, tile_deg), 6371.0 * np.radians(tile_deg) / np.sqrt(2) * 1.001
+def _angle(lat1, lon1, lat2, lon2):
+    h = np.sin((lat2 - lat1) / 2) ** 2 + np.cos(lat1) * np.cos(lat2) * np.sin((lon2 - lon1) / 2) ** 2
+    return 2 * np.arcsin(np.sqrt(np.minimum(h, 1.0)))
 
-    def reached(batches):
-        import pandas as pd
 
-        for b in batches:
-            here = b["_from"].to_numpy(np.int64)
-            for tile, at in zip(here, _tile_centres(here, tile_deg)):
-                h = np.sin((centres[:, 0] - at[0]) / 2) ** 2 + np.cos(at[0]) * np.cos(centres[:, 0]) * np.sin((centres[:, 1] - at[1]) / 2) ** 2
-                d = 2 * 6371.0 * np.arcsin(np.sqrt(np.minimum(h, 1.0)))
-                order = np.argsort(d, kind="stable")
-                enough = order[min(int(np.searchsorted(np.cumsum(n[order]), k)), len(order) - 1)]
-                yield pd.DataFrame({"_from": tile, "_to": to[d - 2 * radius <= d[enough] + 2 * radius]})
-
-    if not len(to):
-        return c.join(p, F.lit(False)).select(F.col("_c").alias(cell_id), F.col("_p").alias(point_id), F.lit(1).alias("rank"), F.lit(0.0).alias("distance__km"))
-    near = c.where("_from is not null").select("_from").distinct().mapInPandas(reached, "_from long, _to long")
-    met = c.join(near, "_from").join(p, "_to").withColumn("distance__km", haversine_km("_la", "_lo", "_pla", "_plo"))
-    ranked = met.withColumn("rank", F.row_number().over(Window.partitionBy("_c").orderBy("distance__km", "_p"))).where(F.col("rank") <= k)
-    return ranked.select(F.col("_c").alias(cell_id), F.col("_p").alias(point_id), "rank", "distance__km")
+def _reached(box: dict[str, np.ndarray], i: int, to: dict[str, np.ndarray], k: int) -> np.ndarray:
+    """Places in to of the leaves that may hold one of the k nearest points of any place of leaf i of box."""
+    d = _angle(box["lat"][i], box["lon"][i], to["lat"], to["lon"])
+    most = d + box["r"][i] + to["r"]
+    order = np.argsort(most, kind="stable")
+    enough = order[min(int(np.searchsorted(np.cumsum(to["n"][order]), k)), len(order) - 1)]
+    return np.flatnonzero(d - box["r"][i] - to["r"] <= most[enough])
+
+
+def nearest_k(cells: DataFrame, points: DataFrame, k: int, cell_id: str = "cell", point_id: str = "point", lat: str = "lat", lon: str = "lon", leaf: int = LEAF) -> DataFrame:
+    """The k nearest points of each cell, ties by the point's id. Cells and points without a place have no rows.
+
+    Distinct places of cells, and of points (with the k least ids of each place), are dealt by two quadtrees, whose leaves split by the number of places
+    in a bounded sample of each side; samples shape the trees alone. Exact counts and extents by leaf bound how far the k-th
+    point of any place in a leaf can be, across the date line and the poles too, and so give the leaves of points to compare; a task compares
+    the places of a leaf with the points of the leaves in reach, and keeps k for each. The number of leaves, which is what the
+    driver holds, is bounded by the samples.
+    """
+    side = lambda df, i, n: df.select(F.col(i).alias(n), F.col(lat).cast("double").alias("_la"), F.col(lon).cast("double").alias("_lo")).where("_la is not null and _lo is not null and not isnan(_la) and not isnan(_lo)")
+    c, p = side(cells, cell_id, "_c"), side(points, point_id, "_p")
+    places = c.select("_la", "_lo").distinct()
+    first = F.row_number().over(Window.partitionBy("_la", "_lo").orderBy("_p"))
+    p = p.withColumn("_i", first).where(F.col("_i") <= k).drop("_i")
+    schema = T.StructType([*places.schema.fields, *p.select("_p").schema.fields, T.StructField("rank", T.IntegerType()), T.StructField("distance__km", T.DoubleType())])
+    n_places, n_points = places.count(), p.count()
+    if not n_places or not n_points:
+        found = cells.sparkSession.createDataFrame([], schema)
+    else:
+        places = kept(_leaved(places, Quadtree(*_sampled(places, n_places).T, leaf), "_from"), "cell-places")
+        p = kept(_leaved(p, Quadtree(*_sampled(p, n_points).T, leaf), "_to"), "point-places")
+        box, to = _boxes(places, "_from"), _boxes(p, "_to")
+
+        def pairs(batches):
+            for b in batches:
+                for i in b["i"]:
+                    near = _reached(box, i, to, k)
+                    yield pd.DataFrame({"_from": np.full(len(near), box["leaf"][i]), "_to": to["leaf"][near]})
+
+        near = cells.sparkSession.range(len(box["leaf"])).toDF("i").mapInPandas(pairs, "_from long, _to long")
+        dealt = near.join(p, "_to").select("_from", "_la", "_lo", "_p")
+
+        def chosen(here: pd.DataFrame, there: pd.DataFrame) -> pd.DataFrame:
+            there = there.sort_values("_p", kind="stable")
+            ids, tlat, tlon = there["_p"].to_numpy(), np.radians(there["_la"].to_numpy()), np.radians(there["_lo"].to_numpy())
+            m, out, step = min(k, len(ids)), [], max(1, (1 << 20) // max(1, len(ids)))
+            for i in range(0, len(here), step):
+                la, lo = here["_la"].to_numpy()[i : i + step], here["_lo"].to_numpy()[i : i + step]
+                d = 6371.0 * _angle(np.radians(la)[:, None], np.radians(lo)[:, None], tlat[None], tlon[None])
+                best = np.argsort(d, axis=1, kind="stable")[:, :m]  # equal distances stay in order of ids
+                out.append(pd.DataFrame({"_la": la.repeat(m), "_lo": lo.repeat(m), "_p": ids[best.ravel()], "rank": np.tile(np.arange(1, m + 1, dtype=np.int32), len(la)), "distance__km": np.take_along_axis(d, best, axis=1).ravel()}))
+            return pd.concat(out) if out else pd.DataFrame(columns=schema.names)
+
+        found = places.groupBy("_from").cogroup(dealt.groupBy("_from")).applyInPandas(chosen, schema)
+    return c.join(found, ["_la", "_lo"]).select(F.col("_c").alias(cell_id), F.col("_p").alias(point_id), "rank", "distance__km")
 
 
 def spline_coefficients(stations: np.ndarray, values: np.ndarray) -> np.ndarray:

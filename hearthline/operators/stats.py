@@ -1,4 +1,7 @@
-"""Counts, coverage, summaries and error metrics. All are grouped aggregates of one pass unless they say otherwise."""
+"""Counts, coverage, summaries and error metrics. All are grouped aggregates of one pass unless they say otherwise.
+
+Medians and quartiles are exact and take groups of any size (see ``order_stats``).
+"""
 
 from __future__ import annotations
 
@@ -9,6 +12,7 @@ from pyspark.sql import functions as F
 
 from hearthline.functions.time import seconds_between
 from hearthline.operators.mask import all_present
+from hearthline.operators.order_stats import joined, quantiles, quantiles_from
 
 
 def count_total(parts: list[DataFrame]) -> DataFrame:
@@ -26,16 +30,12 @@ def size_per_group(df: DataFrame, keys: list[str], pivot: str | None = None, val
     return grouped.agg(F.count("*").alias("n")) if pivot is None else grouped.pivot(pivot, values).agg(F.count(F.lit(1))).fillna(0)
 
 
-def describe(column: str) -> list[Column]:
-    """count, mean, std (sample), min, quartiles (exact, linear) and max."""
+def describe_per_group(df: DataFrame, keys: list[str], column: str, large: int | None = None) -> DataFrame:
+    """count, mean, std (sample), min, quartiles (exact, linear) and max; large: see ``order_stats``."""
     c = F.col(column)
-    out = {"count": F.count(c), "mean": F.avg(c), "std": F.stddev_samp(c), "min": F.min(c)}
-    out |= {f"p{int(q * 100)}": F.percentile(c, q) for q in (0.25, 0.5, 0.75)} | {"max": F.max(c)}
-    return [v.alias(k) for k, v in out.items()]
-
-
-def describe_per_group(df: DataFrame, keys: list[str], column: str) -> DataFrame:
-    return df.groupBy(*keys).agg(*describe(column))
+    out = df.groupBy(*keys).agg(F.count(c).alias("count"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).alias("min"), F.max(c).alias("max"))
+    out = joined(out, quantiles(df, keys, column, {"p25": 0.25, "p50": 0.5, "p75": 0.75}, large), keys)
+    return out.select(*keys, "count", "mean", "std", "min", "p25", "p50", "p75", "max")
 
 
 def variance_per_id(df: DataFrame, keys: list[str], column: str = "value") -> DataFrame:
@@ -146,35 +146,55 @@ def period_means(df: DataFrame, jobs: DataFrame, columns: list[str], flags: list
     return rows.groupBy(id_col, "start", "end").agg(*means)
 
 
-def median_learned(df: DataFrame, columns: list[str], duration: str, least: float, id_col: str = "id") -> DataFrame:
-    return df.where(F.col(duration) >= least).groupBy(id_col).agg(*(F.median(c).alias(c) for c in columns))
+def _medians(df: DataFrame, columns: list[str], keys: list[str], large: int | None) -> DataFrame:
+    """The exact medians of several columns, for every group of df."""
+    out = df.select(*keys).distinct()
+    for c in columns:
+        out = joined(out, quantiles(df, keys, c, {c: 0.5}, large), keys)
+    return out
+
+
+def median_learned(df: DataFrame, columns: list[str], duration: str, least: float, id_col: str = "id", large: int | None = None) -> DataFrame:
+    return _medians(df.where(F.col(duration) >= least), columns, [id_col], large)
+
+
+def median_when(df: DataFrame, column: str, flag: str, keys: list[str] | None = None, large: int | None = None) -> DataFrame:
+    return _medians(df.where(F.col(flag)), [column], keys or ["id"], large)
 
 
-def median_when(df: DataFrame, column: str, flag: str, keys: list[str] | None = None) -> DataFrame:
-    return df.where(F.col(flag)).groupBy(*(keys or ["id"])).agg(F.median(column).alias(column))
+def _level(weight: str, first: int, last: int, step: int) -> Column:
+    """How many of the thresholds after the first a weight reaches; null where it reaches none."""
+    return F.when(F.col(weight) >= first, F.floor((F.least(F.col(weight), F.lit(last)) - first) / step).cast("int"))
 
 
-def weighted_stats_by_threshold(df: DataFrame, column: str, weight: str, first: int, last: int, step: int, keys: list[str] | None = None) -> DataFrame:
+def weighted_stats_by_threshold(df: DataFrame, column: str, weight: str, first: int, last: int, step: int, keys: list[str] | None = None, large: int | None = None) -> DataFrame:
     """For thresholds from first to last: median, weighted mean and weighted deviation of the rows whose weight reaches them.
 
-    Each row is repeated for the thresholds it reaches, so the list of thresholds is what multiplies the rows.
+    Sums are taken by the highest threshold that a row reaches, and cumulated from above; medians see ``order_stats.quantiles_from``.
     """
     keys = keys or []
-    reached = F.sequence(F.lit(first), F.least(F.lit(last), F.floor(F.col(weight)).cast("int")), F.lit(step))
-    rows = df.where((F.col(weight) >= first) & F.col(column).isNotNull()).select(*keys, F.col(column).alias("_x"), F.col(weight).alias("_w"), F.explode(reached).alias("threshold"))
-    out = rows.groupBy(*keys, "threshold").agg(F.median("_x").alias("median"), F.sum("_w").alias("_s"), F.sum(F.col("_w") * F.col("_x")).alias("_sx"), F.sum(F.col("_w") * F.col("_x") ** 2).alias("_sxx"))
+    rows = df.where(F.col(column).isNotNull()).select(*keys, F.col(column).alias("_x"), F.col(weight).alias("_w"), _level(weight, first, last, step).alias("_level")).where("_level is not null")
+    sums = rows.groupBy(*keys, "_level").agg(F.sum("_w").alias("_s"), F.sum(F.col("_w") * F.col("_x")).alias("_sx"), F.sum(F.col("_w") * F.col("_x") ** 2).alias("_sxx"))
+    # a level that no row has as its highest is reached by those above
+    every = sums.groupBy(*keys).agg(F.max("_level").alias("_most")).select(*keys, F.explode(F.sequence(F.lit(0), F.col("_most"))).alias("_level"))
+    sums = joined(every, sums, [*keys, "_level"])
+    above = Window.partitionBy(*keys).orderBy(F.desc("_level")).rowsBetween(Window.unboundedPreceding, 0)
+    sums = sums.withColumns({c: F.sum(c).over(above) for c in ("_s", "_sx", "_sxx")})
+    out = joined(sums, quantiles_from(rows, keys, "_x", "_level", {"median": 0.5}, large), [*keys, "_level"])
     mean = F.col("_sx") / F.col("_s")
-    return out.select(*keys, "threshold", "median", mean.alias("mean"), F.sqrt(F.greatest(F.col("_sxx") / F.col("_s") - mean * mean, F.lit(0.0))).alias("std"))
+    return out.select(*keys, (F.col("_level") * step + first).alias("threshold"), "median", mean.alias("mean"), F.sqrt(F.greatest(F.col("_sxx") / F.col("_s") - mean * mean, F.lit(0.0))).alias("std"))
 
 
-def quartiles_by_threshold(df: DataFrame, column: str, weight: str, first: int, last: int, step: int, keys: list[str]) -> DataFrame:
-    reached = F.sequence(F.lit(first), F.least(F.lit(last), F.floor(F.col(weight)).cast("int")), F.lit(step))
-    rows = df.where(F.col(weight) >= first).select(*keys, F.col(column).alias("_x"), F.explode(reached).alias("threshold"))
-    return rows.groupBy(*keys, "threshold").agg(*(F.percentile("_x", q).alias(n) for n, q in (("q1", 0.25), ("median", 0.5), ("q3", 0.75))))
+def quartiles_by_threshold(df: DataFrame, column: str, weight: str, first: int, last: int, step: int, keys: list[str], large: int | None = None) -> DataFrame:
+    """For thresholds from first to last the quartiles of the rows whose weight reaches them; groups and thresholds without a value have no row."""
+    rows = df.select(*keys, F.col(column).alias("_x"), _level(weight, first, last, step).alias("_level"))
+    out = quantiles_from(rows, keys, "_x", "_level", {"q1": 0.25, "median": 0.5, "q3": 0.75}, large)
+    return out.select(*keys, (F.col("_level") * step + first).alias("threshold"), "q1", "median", "q3")
 
 
-def group_median_mean_std(df: DataFrame, keys: list[str], column: str) -> DataFrame:
-    return df.groupBy(*keys).agg(F.median(column).alias("median"), F.avg(column).alias("mean"), F.stddev_samp(column).alias("std"))
+def group_median_mean_std(df: DataFrame, keys: list[str], column: str, large: int | None = None) -> DataFrame:
+    out = df.groupBy(*keys).agg(F.avg(column).alias("mean"), F.stddev_samp(column).alias("std"))
+    return joined(out, quantiles(df, keys, column, {"median": 0.5}, large), keys).select(*keys, "median", "mean", "std")
 
 
 def flow_regression(df: DataFrame, y: str, x: str, delta: str, least_delta: float, keys: list[str] | None = None) -> DataFrame:
@@ -254,13 +274,13 @@ def histogram_bins(df: DataFrame, column: str, n: int = 200, keys: list[str] | N
     return out.drop("_a", "_w")
 
 
-def boxplot_stats(df: DataFrame, keys: list[str], column: str) -> DataFrame:
-    """Quartiles, the ends of the whiskers (1.5 times the box), and the place by mean from the greatest down."""
-    box = df.groupBy(*keys).agg(F.percentile(column, 0.25).alias("q1"), F.median(column).alias("median"), F.percentile(column, 0.75).alias("q3"), F.avg(column).alias("mean"))
+def boxplot_stats(df: DataFrame, keys: list[str], column: str, large: int | None = None) -> DataFrame:
+    """Quartiles (exact), the mean, and the ends of the whiskers (1.5 times the box)."""
+    box = joined(df.groupBy(*keys).agg(F.avg(column).alias("mean")), quantiles(df, keys, column, {"q1": 0.25, "median": 0.5, "q3": 0.75}, large), keys)
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     ends = df.join(box.select(*keys, (F.col("q1") - reach).alias("_a"), (F.col("q3") + reach).alias("_b")), keys).where(F.col(column).between(F.col("_a"), F.col("_b")))
     ends = ends.groupBy(*keys).agg(F.min(column).alias("low_whisker"), F.max(column).alias("high_whisker"))
-    return box.join(ends, keys, "left")
+    return box.select(*keys, "q1", "median", "q3", "mean").join(ends, keys, "left")
 
 
 def top_values(df: DataFrame, column: str, n: int = 10, mask: Column | None = None) -> DataFrame:

@@ -8,6 +8,8 @@ from hearthline.operators import islands as k
 from hearthline.plans.registry import measurements, query, rounded, table, wide
 
 TIE = ("event_id",)
+#: Seconds of a chunk of a series: the month of the table is cut into several.
+CHUNK = 5 * 86_400
 
 #: Runs of samples over 50 in SQL, by the difference of two row numbers.
 _RUNS = """o AS (SELECT *, row_number() OVER (PARTITION BY id, property ORDER BY timestamp, event_id) AS a FROM m),
@@ -16,7 +18,7 @@ p AS (SELECT id, property, g, min(timestamp) AS "start", max(timestamp) AS "end"
 
 
 def _high(spark, sf, value=50.0, singles=False):
-    return k.periods_by_value(measurements(spark, sf), ">", value, tie=TIE, singles=singles)
+    return k.periods_by_value(measurements(spark, sf), ">", value, tie=TIE, singles=singles, chunk_s=CHUNK)
 
 
 @query(f"""WITH {_RUNS.format(50)}, q AS (SELECT * FROM p WHERE n_samples > 1),
@@ -25,7 +27,7 @@ s AS (SELECT *, sum(CASE WHEN epoch("start") - epoch(reach) > 21600 THEN 1 ELSE
 c AS (SELECT id, property, n, min("start") AS "start", max("end") AS "end" FROM s GROUP BY ALL)
 SELECT property, count(*) AS n_periods, round(sum(epoch("end") - epoch("start")), 1) AS total_s FROM c GROUP BY property""")
 def q_high_value_periods(spark, sf):
-    found = k.close_period_gaps(_high(spark, sf), 6 * 3600, ("id", "property"))
+    found = k.close_period_gaps(_high(spark, sf), 6 * 3600, ("id", "property"), CHUNK)
     return k.period_delta(found).groupBy("property").agg(F.count("*").alias("n_periods"), F.round(F.sum("duration_s"), 1).alias("total_s"))
 
 
@@ -41,13 +43,13 @@ SELECT id, property, min(t0) AS "start", max(timestamp) AS "end", count(*) AS n_
 
 @query("WITH " + _STEPS.format("value > v0"))
 def q_periods_relative(spark, sf):
-    return k.periods_relative(measurements(spark, sf), ">", tie=TIE)
+    return k.periods_relative(measurements(spark, sf), ">", tie=TIE, chunk_s=CHUNK)
 
 
 @query("WITH " + _STEPS.format("abs(value - v0) < 20 AND epoch(timestamp) - epoch(t0) < 604800"))
 def q_periods_custom(spark, sf):
     near = lambda a, b, ta, tb: (F.abs(b - a) < 20) & (k.seconds_between(ta, tb) < 604_800)
-    return k.periods_custom(measurements(spark, sf), near, tie=TIE)
+    return k.periods_custom(measurements(spark, sf), near, tie=TIE, chunk_s=CHUNK)
 
 
 @query(f"""WITH {_RUNS.format(20)}, q AS (SELECT * FROM p),
@@ -55,7 +57,7 @@ r AS (SELECT *, max("end") OVER (PARTITION BY id ORDER BY "start", "end" ROWS BE
 s AS (SELECT *, sum(CASE WHEN epoch("start") - epoch(reach) > 3600 THEN 1 ELSE 0 END) OVER (PARTITION BY id ORDER BY "start", "end" ROWS UNBOUNDED PRECEDING) AS n FROM r)
 SELECT id, min("start") AS "start", max("end") AS "end" FROM s GROUP BY id, n""")
 def q_close_period_gaps(spark, sf):
-    return k.close_period_gaps(_high(spark, sf, 20.0, True), 3600)
+    return k.close_period_gaps(_high(spark, sf, 20.0, True), 3600, chunk_s=CHUNK)
 
 
 @query(f"""WITH {_RUNS.format(100)}, u AS (SELECT id, "start", "end" FROM p WHERE property = 'click' UNION ALL SELECT id, "start", "end" FROM p WHERE property = 'view'),
@@ -100,13 +102,13 @@ def q_period_order(spark, sf):
 SELECT event_id, id, island FROM x WHERE value >= 50""")
 def q_filtered_islands(spark, sf):
     df = measurements(spark, sf).withColumn("ok", F.col("value") >= 50)
-    return k.filtered_islands(df, "ok", tie=TIE).select("event_id", "id", "island")
+    return k.filtered_islands(df, "ok", tie=TIE, chunk_s=CHUNK).select("event_id", "id", "island")
 
 
 @query("""WITH x AS (SELECT *, value > 50 AS f, lag(value > 50) OVER (PARTITION BY id ORDER BY timestamp, event_id) AS pf FROM m)
 SELECT event_id, sum(CASE WHEN pf IS DISTINCT FROM f THEN 1 ELSE 0 END) OVER (PARTITION BY id ORDER BY timestamp, event_id ROWS UNBOUNDED PRECEDING)::bigint AS streak_id FROM x""")
 def q_streak_ids(spark, sf):
-    return k.streak_ids(measurements(spark, sf).withColumn("f", F.col("value") > 50), "f", tie=TIE).select("event_id", "streak_id")
+    return k.streak_ids(measurements(spark, sf).withColumn("f", F.col("value") > 50), "f", tie=TIE, chunk_s=CHUNK).select("event_id", "streak_id")
 
 
 _SANE = """x AS (SELECT m.*, {0} AS g, value > 20 AS f, coalesce(epoch_us(lead(timestamp) OVER o) - epoch_us(timestamp), 0) / 1e6 AS len, row_number() OVER o - row_number() OVER q AS r

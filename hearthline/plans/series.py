@@ -11,6 +11,8 @@ from hearthline.operators import meters as e
 from hearthline.plans.registry import measurements, query, rounded, table, wide
 
 H12, DAY = 43_200, 86_400
+#: Seconds of a chunk of a series: the tables' series are cut into several.
+CHUNK = 7 * DAY
 
 
 def _first(step: int, source: str = "m", keys: str = "id, property") -> str:
@@ -37,7 +39,7 @@ def _mean(step: int, keys: str = "id, property") -> str:
 
 @query(f"WITH {_first(H12)} SELECT id, property, make_timestamp(b) AS timestamp, value FROM f")
 def q_resample_first(spark, sf):
-    return g.resample_first(measurements(spark, sf), H12)
+    return g.resample_first(measurements(spark, sf), H12, chunk_s=CHUNK)
 
 
 @query(f"""WITH {_first(DAY)}, s AS (SELECT id, property, epoch_us(timestamp) // 86400000000 * 86400000000 AS b, sum(value) AS value FROM m GROUP BY ALL)
@@ -51,7 +53,7 @@ _M3 = "m3 AS (SELECT * FROM m QUALIFY count(value) OVER (PARTITION BY id, proper
 
 @query(f"WITH {_M3}, {_first(H12, 'm3')}, {_filled(H12, 3)} {_mean(2 * DAY)}".replace("FROM m3", "FROM m3"))
 def q_interpolate_time(spark, sf):
-    return rounded(g.interpolate_time(measurements(spark, sf), H12, 2 * DAY, 3))
+    return rounded(g.interpolate_time(measurements(spark, sf), H12, 2 * DAY, 3, chunk_s=CHUNK))
 
 
 _GAP = """x AS (SELECT id, timestamp, click, click IS NOT NULL AND view IS NOT NULL AS ok, row_number() OVER (PARTITION BY id ORDER BY timestamp) AS i FROM w),
@@ -106,7 +108,7 @@ y AS (SELECT *, v - lag(v) OVER (PARTITION BY id ORDER BY timestamp, o_orderkey)
 SELECT id, o_orderkey, timestamp, round(sum(CASE WHEN d2 > 0 THEN d2 ELSE 0 END) OVER (PARTITION BY id ORDER BY timestamp, o_orderkey ROWS UNBOUNDED PRECEDING) + 3e-9, 3) AS value FROM y""")
 def q_meter_reading_repair(spark, sf):
     df = table(spark, sf, "orders").select(F.col("o_custkey").alias("id"), "o_orderkey", F.col("o_orderdate").alias("timestamp"), F.col("o_totalprice").alias("value"))
-    return rounded(e.meter_reading_repair(df, keys=("id",), tie=("o_orderkey",)), 3)
+    return rounded(e.meter_reading_repair(df, keys=("id",), tie=("o_orderkey",), chunk_s=100 * DAY), 3)
 
 
 @query("""WITH x AS (SELECT id, event_id, timestamp, row_number() OVER (PARTITION BY id ORDER BY timestamp) AS i, CASE WHEN event_id % 6 IN (0, 1, 2) THEN epoch_us(date_trunc('second', timestamp)) - CASE event_id % 6 WHEN 0 THEN 3600000000 WHEN 1 THEN 7200000000 ELSE 3600000000 END END AS u FROM m),

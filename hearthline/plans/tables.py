@@ -10,6 +10,8 @@ from hearthline.plans.periods import _WEEKS, weeks
 from hearthline.plans.registry import PROPERTIES, measurements, query, rounded, table, wide
 
 P = PROPERTIES
+#: Groups of more values are told in bins: the tables' groups are.
+LARGE = 300
 
 
 @query("SELECT DISTINCT user_id, event_type, date_trunc('hour', ts) AS hour FROM events")
@@ -197,7 +199,7 @@ def q_size_per_group(spark, sf):
 @query("""SELECT property, count(value) AS "count", round(avg(value) + 3e-9, 6) AS mean, round(stddev_samp(value) + 3e-9, 6) AS std, min(value) AS min, round(quantile_cont(value, 0.25) + 3e-9, 6) AS p25, round(quantile_cont(value, 0.5) + 3e-9, 6) AS p50,
 round(quantile_cont(value, 0.75) + 3e-9, 6) AS p75, max(value) AS max FROM m GROUP BY property""")
 def q_describe_per_group(spark, sf):
-    return rounded(s.describe_per_group(measurements(spark, sf), ["property"], "value"))
+    return rounded(s.describe_per_group(measurements(spark, sf), ["property"], "value", LARGE))
 
 
 @query("SELECT id, property, round(var_samp(value) + 3e-9, 6) AS variance FROM m GROUP BY ALL")
@@ -317,7 +319,7 @@ def q_median_when(spark, sf):
 @query(f"""WITH {_LEARNED}, t AS (SELECT unnest(range(20, 241, 5)) AS threshold)
 SELECT threshold::int AS threshold, round(median(x) + 3e-9, 6) AS median, round(sum(duration * x) / sum(duration) + 3e-9, 6) AS mean, round(sqrt(sum(duration * x * x) / sum(duration) - (sum(duration * x) / sum(duration)) ** 2) + 3e-9, 6) AS std FROM o JOIN t ON duration >= threshold GROUP BY threshold""")
 def q_weighted_stats_by_threshold(spark, sf):
-    return rounded(s.weighted_stats_by_threshold(learned(spark, sf), "x", "duration", 20, 240, 5))
+    return rounded(s.weighted_stats_by_threshold(learned(spark, sf), "x", "duration", 20, 240, 5, large=LARGE))
 
 
 @query(f"""WITH {_LEARNED}, t AS (SELECT unnest(range(20, 241, 20)) AS threshold)
@@ -328,7 +330,7 @@ def q_quartiles_by_threshold(spark, sf):
 
 @query("SELECT c_mktsegment, round(median(c_acctbal) + 3e-9, 6) AS median, round(avg(c_acctbal) + 3e-9, 6) AS mean, round(stddev_samp(c_acctbal) + 3e-9, 6) AS std FROM customer GROUP BY 1")
 def q_group_median_mean_std(spark, sf):
-    return rounded(s.group_median_mean_std(table(spark, sf, "customer"), ["c_mktsegment"], "c_acctbal"))
+    return rounded(s.group_median_mean_std(table(spark, sf, "customer"), ["c_mktsegment"], "c_acctbal", LARGE))
 
 
 @query("""WITH r AS (SELECT l_suppkey AS id, regr_slope(l_extendedprice, l_quantity) AS slope, regr_intercept(l_extendedprice, l_quantity) AS intercept, regr_r2(l_extendedprice, l_quantity) AS r2, count(*) AS n FROM lineitem WHERE l_discount >= 0.05 GROUP BY 1)
@@ -385,7 +387,7 @@ def q_histogram_bins(spark, sf):
 @query("""WITH b AS (SELECT property, quantile_cont(value, 0.25) AS q1, median(value) AS median, quantile_cont(value, 0.75) AS q3, avg(value) AS mean FROM m GROUP BY 1)
 SELECT property, round(any_value(q1) + 3e-9, 6) AS q1, round(any_value(median) + 3e-9, 6) AS median, round(any_value(q3) + 3e-9, 6) AS q3, round(any_value(mean) + 3e-9, 6) AS mean, min(value) AS low_whisker, max(value) AS high_whisker FROM m JOIN b USING (property) WHERE value BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1) GROUP BY property""")
 def q_boxplot_stats(spark, sf):
-    return rounded(s.boxplot_stats(measurements(spark, sf), ["property"], "value"))
+    return rounded(s.boxplot_stats(measurements(spark, sf), ["property"], "value", LARGE))
 
 
 @query("SELECT l_quantity, count(*) AS n FROM lineitem WHERE l_returnflag = 'A' GROUP BY 1 ORDER BY n DESC, l_quantity LIMIT 10")
