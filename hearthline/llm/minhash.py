@@ -28,8 +28,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hearthline.llm.common import saved, slices, without
+from hearthline.llm.components import connected_components
 from hearthline.llm.near_copies import set_hash, shingles
-from hearthline.llm.set_links import set_components
+from hearthline.llm.set_links import candidate_edges, group_links, with_names
 
 WIDTH, SHARE = 5, 85
 BANDS, ROWS = 24, 5
@@ -84,10 +85,10 @@ def _rebuilt(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Recor
 
 
 def full_sets(rows: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """(_set, _hashes), written: the sets of wanted (_set, _rep), each from the text of row _rep. rows: (_id, _text)."""
-    texts = wanted.join(rows, F.col("_rep") == F.col("_id")).select("_set", "_text")
+    """(_set, _hashes): the sets of wanted (_set, _rep), written, each from the text of row _rep. rows: (_id, _text)."""
+    texts = wanted.select("_set", "_rep").join(rows, F.col("_rep") == F.col("_id")).select("_set", "_text")
     # another text, or the same once more, may share the id
-    return saved(texts.mapInArrow(lambda batches: _rebuilt(batches, width), "_set long, _hashes array<long>").dropDuplicates(["_set"]), "full-sets")
+    return texts.mapInArrow(lambda batches: _rebuilt(batches, width), "_set long, _hashes array<long>").dropDuplicates(["_set"])
 
 
 def minhash_components(docs: DataFrame, width: int = WIDTH, share: int = SHARE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -95,17 +96,14 @@ def minhash_components(docs: DataFrame, width: int = WIDTH, share: int = SHARE,
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
     schema = T.StructType.fromDDL("_id long, _set long, _n long, _bands array<long>")
     signs = saved(rows.mapInArrow(lambda batches: _signed(batches, width), schema), "circulant-signs")
-    reps = saved(signs.where("_id is not null and _n > 0").groupBy("_set").agg(F.min("_id").alias("_rep"), F.first("_n").alias("_n"), F.first("_bands").alias("_bands")), "minhash-reps")
-    keys = reps.select(F.explode("_bands").alias("_bucket"), "_set", "_n")
-    shared = keys.groupBy("_bucket").agg(F.min("_set").alias("_a"), F.max("_set").alias("_b")).where("_a <> _b").select("_bucket")
-    buckets = saved(keys.join(shared, "_bucket", "left_semi"), "minhash-buckets")
-    wanted = reps.join(buckets.select("_set").distinct(), "_set", "left_semi").select("_set", "_rep")
-    found = saved(set_components(buckets, full_sets(rows, wanted, width), share), "minhash-components")
-    # a component is named by a set of it, which isn't among the nodes
-    inside = found.select(F.col("node").alias("_node"), "component").union(found.select("component", "component").distinct())
-    inside = saved(inside.join(reps.select("_set", "_rep"), F.col("_node") == F.col("_set")).select("_node", "_rep", "component"), "minhash-inside")
-    names = inside.select("_node", "component").join(inside.groupBy("component").agg(F.min("_rep").alias("_name")), "component").select("_node", "_name")
-    own = saved(reps.select("_set", "_rep").join(names, F.col("_set") == F.col("_node"), "left").select("_set", F.coalesce("_name", "_rep").alias("_name")), "minhash-names")
+    reps = saved(signs.where("_id is not null and _n > 0").groupBy("_set").agg(F.min("_id").alias("_rep"), F.first("_bands").alias("_bands")), "minhash-reps")
+    groups = with_names(connected_components(candidate_edges(reps.select("_set", F.explode("_bands").alias("_key")))))
+    wanted = saved(groups.join(reps.select("_set", "_rep"), F.col("node") == F.col("_set")).select(F.col("component").alias("_group"), "_set", "_rep"), "minhash-groups")
+    members = saved(wanted.join(full_sets(rows, wanted, width), "_set").select("_group", "_set", "_hashes"), "minhash-members")
+    found = saved(with_names(connected_components(group_links(members, share))), "minhash-components")
+    inside = saved(found.join(reps.select("_set", "_rep"), F.col("node") == F.col("_set")).select("_set", "_rep", "component"), "minhash-inside")
+    names = saved(inside.select("_set", "component").join(inside.groupBy("component").agg(F.min("_rep").alias("_name")), "component").select(F.col("_set").alias("_node"), "_name"), "minhash-names")
+    own = saved(reps.select("_set", "_rep").join(names, F.col("_set") == F.col("_node"), "left").select("_set", F.coalesce("_name", "_rep").alias("_name")), "minhash-owners")
     return signs.join(own, "_set", "left").select("_id", "_n", F.when(F.col("_id").isNotNull(), F.when(F.col("_n") > 0, F.col("_name")).otherwise(F.col("_id"))).alias("_component"))
 
 
