@@ -2,8 +2,11 @@
 
 Texts become lower-case runs of letters and digits. At every position each mask picks some of the next tokens and
 hashes them; positions the mask skips may differ. Hashes of the benchmark meet those of the documents in a broadcast
-hash join, after a semi join on the offsets that all masks share has left few positions. Around each hit the tokens of both sides are compared position by position, and a document is contaminated
-by an item if some window of ``window`` tokens (the whole item, if shorter) that overlaps the hit agrees in ``share``
+hash join, after a semi join on the offsets that all masks share has left few positions. Where a mask also fits one position
+earlier on both sides, the two lie on one diagonal, and only the first hit of such a run and every ``STEP``-th place of the item go
+on, so repetitive text has about one hit a diagonal. From each hit on the tokens of both sides are compared position by
+position up to the next one, and a document is contaminated
+by an item if some window of ``window`` tokens (the whole item, if shorter) there agrees in ``share``
 of its positions or more. With the masks below any 13 tokens with up to two substitutions have a seed in common.
 Items shorter than the window get seeds of their own: cut into one run of tokens more than they may have
 substitutions, some run is left whole, whatever their length.
@@ -31,6 +34,8 @@ from hearthline.llm.common import saved, without
 MASKS = ((0, 1, 2, 3, 6, 8), (0, 1, 3, 4, 5, 7), (0, 1, 2, 3, 4, 5))
 #: About the most benchmark tokens in one broadcast: some 20 MB.
 BLOCK = 200_000
+#: Places of an item between hits of one diagonal.
+STEP = 64
 #: Items of fewer tokens have no substitutions.
 EXACT = 6
 
@@ -44,18 +49,19 @@ def _hash(at: Column, offsets: tuple[int, ...], number: int, n: Column) -> Colum
     return F.when(at + F.lit(offsets[-1]) < n, F.xxhash64(F.lit(number), *(F.get(F.col("_h"), at + F.lit(o)) for o in offsets)))
 
 
-def _positions(df: DataFrame, key: str, masks: tuple[tuple[int, ...], ...], keep: bool = False) -> DataFrame:
-    """(key, _at, _key, _s0, _s1, ...) for each position of the token hashes _h: hash of the offsets that all masks share, and of each mask; with keep also _h."""
+def _positions(df: DataFrame, key: str, masks: tuple[tuple[int, ...], ...]) -> DataFrame:
+    """(key, _h, _at, _key) for each position of the token hashes _h at which a mask fits: hash of the offsets that all masks share."""
     common = tuple(sorted(set.intersection(*map(set, masks))))
     n, shortest = F.size("_h"), min(m[-1] for m in masks)
     at = F.explode(F.when(n > shortest, F.sequence(F.lit(0), n - F.lit(shortest + 1)))).alias("_at")
-    seeds = [_hash(F.col("_at"), m, i, n).alias(f"_s{i}") for i, m in enumerate(masks)]
-    return df.select(key, "_h", at).select(key, *(["_h"] if keep else []), "_at", _hash(F.col("_at"), common, -1, n).alias("_key"), *seeds)
+    return df.select(key, "_h", at).select(key, "_h", "_at", _hash(F.col("_at"), common, -1, n).alias("_key"))
 
 
 def _by_seed(positions: DataFrame, masks: tuple[tuple[int, ...], ...], *columns: str) -> DataFrame:
-    """(columns, _at, _seed): one row for each mask that fits."""
-    return positions.select(*columns, "_at", F.explode(F.array(*(f"_s{i}" for i in range(len(masks))))).alias("_seed")).where("_seed is not null")
+    """(columns, _at, _seed, _before): one row for each mask that fits, with the mask's hash there and one position earlier, null at the start."""
+    at, n = F.col("_at"), F.size("_h")
+    seeds = F.array(*(F.struct(_hash(at, m, i, n).alias("s"), F.when(at > 0, _hash(at - 1, m, i, n)).alias("b")) for i, m in enumerate(masks)))
+    return positions.select(*columns, "_at", F.explode(seeds).alias("_m")).where("_m.s is not null").select(*columns, "_at", F.col("_m.s").alias("_seed"), F.col("_m.b").alias("_before"))
 
 
 def runs(n: int, share: float) -> list[tuple[int, int]]:
@@ -70,10 +76,12 @@ def _run_hash(at: Column, length: int) -> Column:
 
 
 def _mask_hits(items: DataFrame, texts: DataFrame, masks: tuple[tuple[int, ...], ...]) -> DataFrame:
-    """(_doc, _h, _at, _item, _q) where a masked seed of an item stands in a document."""
+    """(_doc, _h, _at, _item, _q) where a masked seed of an item stands in a document, for the first hit of each run on a diagonal and every STEP-th place of the item."""
     wanted = _positions(items, "_item", masks)
-    near = _positions(texts, "_doc", masks, keep=True).join(F.broadcast(wanted.select("_key").distinct()), "_key", "left_semi")
-    return _by_seed(near, masks, "_doc", "_h").join(F.broadcast(_by_seed(wanted, masks, "_item").withColumnRenamed("_at", "_q")), "_seed")
+    near = _positions(texts, "_doc", masks).join(F.broadcast(wanted.select("_key").distinct()), "_key", "left_semi")
+    seeds = _by_seed(wanted, masks, "_item").select("_item", F.col("_at").alias("_q"), F.col("_seed").alias("_seed2"), F.col("_before").alias("_before2"))
+    goes_on = F.coalesce(F.col("_before") == F.col("_before2"), F.lit(False)) & (F.col("_q") % STEP != 0)
+    return _by_seed(near, masks, "_doc", "_h").join(F.broadcast(seeds), (F.col("_seed") == F.col("_seed2")) & ~goes_on).select("_doc", "_h", "_at", "_item", "_q")
 
 
 def _short_hits(items: DataFrame, texts: DataFrame, lengths: list[int], share: float) -> DataFrame:
@@ -99,13 +107,13 @@ def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, window: int = 13,
     blocks = max(1, -(-(items.agg(F.sum(n).alias("n")).first()["n"] or 0) // BLOCK))
     if blocks > 1:
         texts = saved(texts, "token-hashes")
-    reach = window + max(m[-1] for m in masks)
+    reach = window + max(m[-1] for m in masks) + STEP
     found = None
     for i in range(blocks):
         some = items.where(F.pmod(F.xxhash64("_item"), F.lit(blocks)) == i) if blocks > 1 else items
         hits = [_mask_hits(some, texts, masks)] + ([_short_hits(some.where(n.isin(short)), texts, short, share)] if short else [])
         for hit in hits:
-            # only the tokens around the hit go on, up to a window before it and past its masks
+            # only the tokens around the hit go on, from a window before it to a window past the next hit
             left = F.least(F.col("_at"), F.lit(window - 1))
             hit = hit.select("_doc", "_item", "_q", left.alias("_left"), F.slice("_h", F.col("_at") - left + 1, left + F.lit(reach)).alias("_x"))
             hit = hit.join(F.broadcast(some.select("_item", F.col("_h").alias("_b"))), "_item")
@@ -135,22 +143,14 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_
 
 
 def oracle_sql(window: int = 13, share: float = 0.8) -> str:
-    """The same in SQL, with masked token strings in place of hashes."""
-    seed = " UNION ALL ".join(
-        f"SELECT id, p, concat_ws(' ', '{i}', {', '.join(f'w[p + {o + 1}]' for o in m)}) AS seed FROM {{0}} WHERE p + {m[-1]} < n" for i, m in enumerate(MASKS)
-    )
+    """All positions with the same token, by diagonal; no seeds."""
     toks = "list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')"
-    reach = window + max(m[-1] for m in MASKS)
     return f"""
-WITH d AS (SELECT doc_id AS id, {toks} AS w FROM documents WHERE text IS NOT NULL),
-b AS (SELECT item_id AS id, {toks} AS w FROM benchmark WHERE text IS NOT NULL),
-dp AS (SELECT id, w, len(w) AS n, unnest(range(len(w))) AS p FROM d),
-bp AS (SELECT id, w, len(w) AS n, unnest(range(len(w))) AS p FROM b),
-ds AS ({seed.replace("{0}", "dp")}),
-bs AS ({seed.replace("{0}", "bp")}),
-hit AS (SELECT DISTINCT ds.id AS doc, bs.id AS item, ds.p, bs.p AS q FROM ds JOIN bs USING (seed)),
-lim AS (SELECT doc, item, p, q, d.w AS dw, b.w AS bw, least(len(b.w), {window}) AS wide, least(p, q, {window - 1}) AS l,
-  least(len(d.w) - p, len(b.w) - q, {reach}) AS r FROM hit JOIN d ON d.id = doc JOIN b ON b.id = item),
-al AS (SELECT doc, item, wide, list_transform(range(l + r), lambda i: CASE WHEN dw[p - l + i + 1] = bw[q - l + i + 1] THEN 1 ELSE 0 END) AS same FROM lim WHERE l + r >= wide),
-best AS (SELECT doc, item, wide, list_max(list_transform(range(len(same) - wide + 1), lambda i: list_sum(same[i + 1 : i + wide]))) AS best FROM al)
+WITH d AS (SELECT doc_id AS id, {toks} AS w FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL),
+b AS (SELECT item_id AS id, {toks} AS w FROM benchmark WHERE text IS NOT NULL AND item_id IS NOT NULL),
+dt AS (SELECT id, len(w) AS n, unnest(w) AS t, unnest(range(len(w))) AS p FROM d),
+bt AS (SELECT id, len(w) AS n, unnest(w) AS t, unnest(range(len(w))) AS q FROM b WHERE len(w) >= {EXACT}),
+m AS (SELECT dt.id AS doc, bt.id AS item, p - q AS diag, q - greatest(0, q - p) AS i, least(dt.n - greatest(0, p - q), bt.n - greatest(0, q - p)) AS overlap, least(bt.n, {window}) AS wide FROM dt JOIN bt USING (t)),
+c AS (SELECT *, count(*) OVER (PARTITION BY doc, item, diag ORDER BY i RANGE BETWEEN CURRENT ROW AND {window - 1} FOLLOWING) AS ahead FROM m WHERE overlap >= wide),
+best AS (SELECT doc, item, diag, any_value(wide) AS wide, greatest(coalesce(max(CASE WHEN i <= overlap - wide THEN ahead END), 0), count_if(i >= overlap - wide)) AS best FROM c GROUP BY doc, item, diag)
 SELECT doc AS doc_id, item AS item_id, max(best)::bigint AS matched FROM best WHERE best >= ceil(wide * {share}) GROUP BY doc, item"""

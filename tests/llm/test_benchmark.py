@@ -50,6 +50,28 @@ def test_against_brute_force(spark):
     assert got == want
 
 
+def test_repetitive_text(spark, monkeypatch):
+    """Runs along diagonals, also past several steps: repeated words, cycles of two and three, and long items with breaks."""
+    rng = random.Random(6)
+    cycle = lambda n, k: " ".join(f"c{i % k}" for i in range(n))
+    long = words(rng, 120).split()
+    broken = [t if i % 17 else "zz" for i, t in enumerate(long)]
+    items = ["ho " * 30, cycle(25, 2), cycle(40, 3), " ".join(long), "ho ho ho ho hi " * 6]
+    texts = ["ho " * 70, "a " + "ho " * 12 + "b", "ho ho ho ho ho he " * 9, cycle(33, 2), "x " + cycle(60, 3), " ".join(broken), " ".join(long[40:90]), " ".join(broken[:30] + long[70:]), "hi ho ho ho ho " * 7]
+    want = {(i, j): b for i, t in enumerate(texts) for j, x in enumerate(items) if (b := brute(t, x))}
+    assert pairs(spark, texts, items) == want and len(want) > 10
+    monkeypatch.setattr(k, "STEP", 5)
+    assert pairs(spark, texts, items) == want
+
+
+def test_a_run_has_few_hits(spark):
+    docs = spark.createDataFrame([(0, "ho " * 2000), (1, "ho " * 2000)], "doc_id long, text string")
+    bench = spark.createDataFrame([(0, "ho " * 50)], "item_id long, text string")
+    hashed = lambda df, key: df.selectExpr(f"{key} as _{'doc' if key == 'doc_id' else 'item'}", "transform(filter(split(text, ' '), t -> t <> ''), t -> xxhash64(t)) as _h")
+    hits = k._mask_hits(hashed(bench, "item_id"), hashed(docs, "doc_id"), k.MASKS)
+    assert hits.count() < 2 * 3 * (2000 + 50)
+
+
 def test_blocks_give_the_same(spark, monkeypatch):
     rng = random.Random(5)
     items = [words(rng, 20) for _ in range(5)]
