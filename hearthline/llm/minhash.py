@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 
 from hearthline.llm.common import saved, slices, without
 from hearthline.llm.components import connected_components
-from hearthline.llm.near_copies import set_hash, shingles
+from hearthline.llm.near_copies import full_sets, set_hash, shingles
 from hearthline.llm.set_links import candidate_edges, group_links, with_names
 
 WIDTH, SHARE = 5, 85
@@ -77,20 +77,6 @@ def _signed(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Record
         )
 
 
-def _rebuilt(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    """Rows (_set, text); the set's hashes where the text has that set."""
-    for b in slices(batches):
-        found = [(k, x) for k, t in zip(b.column(0).to_pylist(), b.column(1)) if set_hash(x := shingles(t.as_py(), width)) == k]
-        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.int64()), pa.array([x.view(np.int64) for _, x in found], pa.list_(pa.int64()))], names=["_set", "_hashes"])
-
-
-def full_sets(rows: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """(_set, _hashes): the sets of wanted (_set, _rep), written, each from the text of row _rep. rows: (_id, _text)."""
-    texts = wanted.select("_set", "_rep").join(rows, F.col("_rep") == F.col("_id")).select("_set", "_text")
-    # another text, or the same once more, may share the id
-    return texts.mapInArrow(lambda batches: _rebuilt(batches, width), "_set long, _hashes array<long>").dropDuplicates(["_set"])
-
-
 def minhash_components(docs: DataFrame, width: int = WIDTH, share: int = SHARE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(_id, _n, _component) of every row: size of its set, and the smallest id reachable by links of share percent or more."""
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))

@@ -4,14 +4,9 @@ Texts of equal shingle sets are one from the start. Candidates come from two sid
 fingerprints differ in two bits or fewer, and MinHash bands propose the rest, as at similarity 0.8 some 10 of 64 bits
 differ and 15 often do, a radius at which no choice of blocks keeps tree shards small. Two sets of similarity 0.8 share a
 band with probability 1 - (1 - 0.8**5)**20, more than 0.9996. Candidates that hang together form a group, and within it
-every pair whose similarity can reach the bound is compared exactly, so trees and bands only propose. The components of the
+every pair whose similarity can reach the bound is told exactly (see ``set_links``), so trees and bands only propose. The components of the
 exact links are the result.
 
-A group of more than ``GROUP`` sets is cut into blocks by hash. Each block is linked by itself first, together with
-some pivots that go to all blocks of the group; among true copies that leaves one cluster. Where several clusters are left,
-every two blocks meet in one task, which compares only what may still join two clusters. So no task has more than
-about two blocks and the pivots, no pairs are written, and only links that span a cluster are.
-
 Defined results: null text is an empty one; texts without words are copies of each other; a text of fewer words than
 a shingle is one shingle; texts of any length are compared whole; rows with a null id stay and make no row go; an empty
 table gives no rows; a component is named by its smallest id; ``drop_near_copies`` passes other columns through.
@@ -29,12 +24,11 @@ from pyspark.sql import functions as F
 
 from hearthline.llm.common import saved, slices, without
 from hearthline.llm.components import connected_components
+from hearthline.llm.set_links import candidate_edges, group_links, with_names
 from hearthline.llm.simhash import print_links, voted
 
 WIDTH, LEAST = 5, 0.8
 BANDS, ROWS = 20, 5
-#: Sets of one block of a group, and about how many pivots a cut group has.
-GROUP, PIVOTS = 250, 8
 _FACTORS = np.random.default_rng(42).integers(0, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -66,43 +60,6 @@ def bands(found: np.ndarray) -> list[int]:
     return np.array([xxhash.xxh64_intdigest(r.tobytes()) for r in rows], dtype=np.uint64).astype(np.int64).tolist()
 
 
-def linked(sets: list[np.ndarray], least: float = LEAST, clusters: list | None = None, sides: list | None = None) -> list[int]:
-    """For each distinct set the number of its component under links of similarity least or more.
-
-    clusters: what is known to be linked from the start. sides: sets of one side have been compared before.
-    """
-    number = {c: i for i, c in enumerate(dict.fromkeys(clusters or range(len(sets))))}
-    of = [number[c] for c in clusters or range(len(sets))]
-    members: list[set[int]] = [set() for _ in number]
-    for i, c in enumerate(of):
-        members[c].add(i)
-    held: dict[int, list[int]] = {}
-    for i in sorted(range(len(sets)), key=lambda i: len(sets[i])):
-        x = sets[i]
-        # sets that similar share one of the first hashes of each
-        first = x[: len(x) - int(np.ceil(least * len(x) - 1e-9)) + 1].tolist()
-        near = set().union(*(held.get(h, ()) for h in first)) - members[of[i]]
-        if sides:
-            near = {j for j in near if sides[j] != sides[i]}
-        while near:
-            j = near.pop()
-            y = sets[j]
-            if len(y) < least * len(x) - 1e-9:
-                continue
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            if both / (len(x) + len(y) - both) < least:
-                continue
-            a, b = sorted((of[i], of[j]), key=lambda c: len(members[c]))
-            near -= members[of[j]]
-            for k in members[a]:
-                of[k] = b
-            members[b] |= members[a]
-            members[a] = set()
-        for h in first:
-            held.setdefault(h, []).append(i)
-    return of
-
-
 def _signatures(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     for b in slices(batches):
         found = [shingles(t, width) for t in b.column(1).to_pylist()]
@@ -112,54 +69,19 @@ def _signatures(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Re
         )
 
 
-def _group_links(batches: Iterator[pa.RecordBatch], width: int, least: float) -> Iterator[pa.RecordBatch]:
-    """Rows (component, low, high, side, cluster, set, text) ordered by the first three; edges (a, b) between sets that join clusters."""
+def _rebuilt(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """Rows (_set, text); the set's hashes where the text has that set."""
+    for b in slices(batches):
+        found = [(k, x) for k, t in zip(b.column(0).to_pylist(), b.column(1)) if set_hash(x := shingles(t.as_py(), width)) == k]
+        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.int64()), pa.array([x.view(np.int64) for _, x in found], pa.list_(pa.int64()))], names=["_set", "_hashes"])
 
-    def done(group: dict[int, tuple[int, int, np.ndarray]]) -> pa.RecordBatch:
-        keys, clusters = list(group), [c for c, _, _ in group.values()]
-        of = linked([x for _, _, x in group.values()], least, clusters, [s for _, s, _ in group.values()])
-        first: dict[int, int] = {}
-        joined = {c: (k, first.setdefault(n, k)) for k, c, n in zip(keys, clusters, of)}  # one edge a cluster
-        out = [(a, b) for a, b in joined.values() if a != b]
-        return pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], names=["a", "b"])
 
-    now, held = None, {}
-    for b in slices(batches):
-        for component, low, high, side, cluster, key, text in zip(*(c.to_pylist() for c in b.columns)):
-            if (component, low, high) != now:
-                if len(held) > 1:
-                    yield done(held)
-                now, held = (component, low, high), {}
-            found = shingles(text, width)
-            if set_hash(found) == key:  # another text may share the rep's id
-                # where one block is alone all its sets are compared
-                held[key] = (cluster, side if low != high else len(held), found)
-    if len(held) > 1:
-        yield done(held)
-
-
-def _exact_links(members: DataFrame, width: int, least: float) -> DataFrame:
-    """(a, b): links that span the components of each group's exact links. members: (component, _set, _text), written."""
-    sizes = saved(members.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") > GROUP), "large-groups")
-    sized = members.join(sizes, "component", "left")
-    n_blocks = F.coalesce(F.ceil(F.col("n") / GROUP), F.lit(1)).cast("int")
-    block = F.pmod(F.xxhash64("_set"), n_blocks).cast("int")
-    pivot = F.col("n").isNotNull() & (F.pmod(F.xxhash64(F.lit("pivot"), F.col("_set")), F.col("n")) < PIVOTS)
-    blocks = F.when(pivot, F.sequence(F.lit(0), n_blocks - 1)).otherwise(F.array(block))
-    compared = lambda df: df.repartition("component", "low", "high").sortWithinPartitions("component", "low", "high").select("component", "low", "high", "side", "cluster", "_set", "_text").mapInArrow(lambda batches: _group_links(batches, width, least), "a long, b long")
-    alone = sized.select("component", "_set", "_text", F.col("_set").alias("cluster"), F.lit(0).alias("side"), F.explode(blocks).alias("low")).withColumn("high", F.col("low"))
-    links = saved(compared(alone), "near-links")
-    if sizes.isEmpty():
-        return links
-    clusters = saved(connected_components(links), "near-clusters").select(F.col("node").alias("_node"), F.col("component").alias("_cluster"))
-    cut = sized.where("n is not null").join(clusters, F.col("_set") == F.col("_node"), "left").withColumn("cluster", F.coalesce("_cluster", "_set"))
-    left = saved(cut.groupBy("component").agg(F.min("cluster").alias("a"), F.max("cluster").alias("b")).where("a <> b").select(F.col("component").alias("_left")), "open-groups")
-    if left.isEmpty():
-        return links
-    cut = cut.join(left, F.col("component") == F.col("_left"), "left_semi").withColumn("side", block)
-    pairs = cut.select("component", "_set", "_text", "cluster", "side", F.explode(F.sequence(F.lit(0), n_blocks - 1)).alias("other")).where("side <> other")
-    pairs = pairs.withColumns({"low": F.least("side", "other"), "high": F.greatest("side", "other")})
-    return links.unionByName(saved(compared(pairs), "near-links"))
+def full_sets(rows: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """(_set, _hashes): the sets of wanted (_set, _rep), written, each from the text of row _rep. rows: (_id, _text)."""
+    # one plan at every size: a broadcast would only work for few sets
+    texts = wanted.select("_set", "_rep").hint("merge").join(rows, F.col("_rep") == F.col("_id")).select("_set", "_text")
+    # another text, or the same once more, may share the id
+    return texts.mapInArrow(lambda batches: _rebuilt(batches, width), "_set long, _hashes array<long>").dropDuplicates(["_set"])
 
 
 def near_copies(docs: DataFrame, width: int = WIDTH, least: float = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -167,20 +89,14 @@ def near_copies(docs: DataFrame, width: int = WIDTH, least: float = LEAST, id_co
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
     signs = saved(rows.mapInArrow(lambda batches: _signatures(batches, width), "_id long, _set long, _fp long, _bands array<long>"), "shingle-sets")
     reps = saved(signs.groupBy("_set").agg(F.min("_id").alias("_rep"), F.first("_fp").alias("_fp"), F.first("_bands").alias("_bands")), "shingle-reps")
-    # equal fingerprints are one band more; hubs are written, so that the join with a very common band can be broadcast or split
-    keys = reps.select("_set", F.posexplode(F.concat("_bands", F.array("_fp"))).alias("_band", "_key"))
-    hubs = saved(keys.groupBy("_band", "_key").agg(F.min("_set").alias("_hub"), F.max("_set").alias("_last")).where("_hub <> _last").drop("_last"), "band-hubs")
-    proposed = keys.join(hubs, ["_band", "_key"]).where("_set <> _hub").select(F.col("_set").alias("a"), F.col("_hub").alias("b"))
+    # equal fingerprints are one band more
+    proposed = candidate_edges(reps.select("_set", F.explode(F.concat("_bands", F.array("_fp"))).alias("_key")))
     trees = print_links(reps.groupBy("_fp").agg(F.min("_set").alias("rep")))
-    groups = connected_components(proposed.unionByName(trees))
-    # the component's own name is a member of it too
-    groups = groups.union(groups.select(F.col("component").alias("node"), "component")).distinct()
-    wanted = groups.join(reps.select("_set", "_rep"), F.col("node") == F.col("_set")).select("component", "_set", "_rep")
-    members = saved(wanted.join(rows, F.col("_rep") == F.col("_id")).select("component", "_set", "_text"), "near-groups")
-    found = saved(connected_components(_exact_links(members, width, least)), "near-components")
-    # the component is the smallest set of it, which isn't among the nodes
-    inside = found.select(F.col("node").alias("_node"), "component").union(found.select("component", "component").distinct())
-    inside = saved(inside.join(reps.select("_set", "_rep"), F.col("_node") == F.col("_set")).select("_node", "_rep", "component"), "near-inside")
+    groups = with_names(connected_components(proposed.unionByName(trees)))
+    wanted = saved(groups.join(reps.select("_set", "_rep"), F.col("node") == F.col("_set")).select(F.col("component").alias("_group"), "_set", "_rep"), "near-groups")
+    members = saved(wanted.join(full_sets(rows, wanted, width), "_set").select("_group", "_set", "_hashes"), "near-members")
+    found = with_names(connected_components(group_links(members, round(100 * least))))
+    inside = saved(found.join(reps.select("_set", "_rep"), F.col("node") == F.col("_set")).select(F.col("_set").alias("_node"), "_rep", "component"), "near-inside")
     names = saved(inside.groupBy("component").agg(F.min("_rep").alias("_name")), "near-names")
     names = inside.select("_node", "component").join(names, "component").select("_node", "_name")
     own = reps.select("_set", "_rep").join(names, F.col("_set") == F.col("_node"), "left").select("_set", F.least("_rep", "_name").alias("_name"))

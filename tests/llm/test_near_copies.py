@@ -4,7 +4,7 @@ import corpus_pipeline
 from tests.llm.data import empty, frame, words
 from tests.llm.test_near import groups
 
-from hearthline.llm import near_copies
+from hearthline.llm import near_copies, set_links
 
 
 def slow_shingles(text):
@@ -53,9 +53,8 @@ def test_large_groups_are_cut_alike(spark, monkeypatch):
         rows.append((500 + i, edited(rng, rows[-1][1], rng.randint(1, 6)), "en", "a", 1))
     rows += [(600 + i, edited(rng, rows[0][1], 1), "en", "a", 1) for i in range(40)]
     want, _ = expected(rows)
-    for pivots in (0, 3):
-        monkeypatch.setattr(near_copies, "GROUP", 7)
-        monkeypatch.setattr(near_copies, "PIVOTS", pivots)
+    for group in (7, 30):
+        monkeypatch.setattr(set_links, "GROUP", group)
         assert sorted(map(tuple, near_copies.near_copies(frame(spark, rows)).collect())) == want
 
 
@@ -72,5 +71,5 @@ def test_a_band_alone_links_nothing():
     rng = random.Random(3)
     a = words(rng, 100)
     sets = [near_copies.shingles(t) for t in (a, edited(rng, a, 1), edited(rng, a, 12), words(rng, 100))]
-    of = near_copies.linked(sets)
+    of = set_links.linked(sets, 80)
     assert of[0] == of[1] and len(set(of)) == 3
