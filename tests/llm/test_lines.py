@@ -26,24 +26,46 @@ def test_digits_are_variable(spark):
     assert got == {0: "user 17 logged in", 1: "other"}
 
 
+def varied(line, *words):
+    """The line with each of some words in five other forms."""
+    out = []
+    for i in range(5):
+        w = line.split()
+        out.append(" ".join(f"{t}{'abcde'[i]}" if t in words else t for t in w))
+    return out
+
+
+def left(spark, lines):
+    """Documents of one line whose line stays."""
+    return [i for i, t in dedup(spark, lines).items() if t]
+
+
 def test_a_segment_may_vary_in_long_lines(spark):
     line = "one two three four five six seven eight nine ten eleven twelve"
-    assert dedup(spark, [line, line.replace("seven", "other")])[1] == ""
-    assert dedup(spark, [line, line.replace("one", "other")])[1] != ""  # leading tokens are fixed
-    assert dedup(spark, [line, line.replace("four", "x").replace("twelve", "y")])[1] != ""  # two segments
+    assert left(spark, varied(line, "seven")) == [0]
+    assert left(spark, varied(line, "one")) == [0, 1, 2, 3, 4]  # leading tokens are fixed
+    assert left(spark, varied(line, "four", "twelve")) == [0, 1, 2, 3, 4]  # two segments
 
 
 def test_fields_of_short_lines(spark):
-    assert dedup(spark, ["user alice logged in", "user bob logged in\nmore"])[1] == "more"
-    assert dedup(spark, ["user alice logged in", "user bob logged out"])[1] != ""
-    assert dedup(spark, ["one two three", "one two four"])[1] != ""  # under four tokens all are fixed
+    assert left(spark, varied("user alice logged in", "alice")) == [0]
+    assert left(spark, varied("user alice logged in", "alice", "in")) == [0, 1, 2, 3, 4]
+    assert left(spark, varied("one two three", "three")) == [0, 1, 2, 3, 4]  # under four tokens all are fixed
 
 
 def test_two_fields_of_long_lines(spark):
     line = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen"
-    two = line.replace("four ", "x ").replace("seventeen", "y")
-    assert dedup(spark, [line, two])[1] == ""
-    assert dedup(spark, [line, two.replace("nine", "z")])[1] != ""  # three segments
+    assert left(spark, varied(line, "four", "seventeen")) == [0]
+    assert left(spark, varied(line, "four", "nine", "seventeen")) == [0, 1, 2, 3, 4]  # three segments
+
+
+def test_unlike_sentences_are_no_template(spark):
+    tea = ["She likes green tea", "She likes black tea", "She hates green tea"]
+    assert left(spark, [*tea, "Paris is near France", "Paris is in France"]) == [0, 1, 2, 3, 4]
+    some = varied("user alice logged in", "alice")
+    assert left(spark, some[:4]) == [0, 1, 2, 3] and left(spark, some[:4] + some[:1]) == [0, 1, 2, 3]  # a repeated line is no fifth filling
+    df = spark.createDataFrame(list(enumerate(some[:3])), "doc_id long, text string")
+    assert [r["text"] for r in k.drop_recurring_lines(df, field_values=3).orderBy("doc_id").collect()] == [some[0], "", ""]
 
 
 def slow_templates(line, deep_from=10, wild_from=4, two_from=16):
@@ -56,7 +78,8 @@ def slow_templates(line, deep_from=10, wild_from=4, two_from=16):
     cut = [d + (n - d) * i // 4 for i in range(5)]
     for k in [0] + [2] * (n >= two_from) + [1] * (wild_from <= n < two_from):
         for wild in combinations(range(4), k):
-            yield n, wild, tuple(t if i < d or next(j for j in range(4) if cut[j] <= i < cut[j + 1]) not in wild else "*" for i, t in enumerate(w))
+            fill = tuple(tuple(w[cut[j] : cut[j + 1]]) for j in wild)
+            yield (n, wild, tuple(t if i < d or next(j for j in range(4) if cut[j] <= i < cut[j + 1]) not in wild else "*" for i, t in enumerate(w))), fill
 
 
 def test_against_brute_force(spark):
@@ -65,22 +88,25 @@ def test_against_brute_force(spark):
     rng = random.Random(3)
     base = [" ".join(f"w{chr(97 + rng.randrange(26))}{chr(97 + rng.randrange(26))}" for _ in range(rng.choice([1, 2, 3, 4, 5, 8, 9, 10, 14, 16, 20, 41]))) for _ in range(60)]
     texts = []
-    for _ in range(40):
+    for _ in range(60):
         lines = []
-        for _ in range(6):
+        for _ in range(8):
             w = rng.choice(base).split()
             for _ in range(rng.randint(0, 3)):
-                w[rng.randrange(len(w))] = rng.choice(["x", "y", "7z"])
+                w[rng.randrange(len(w))] = rng.choice(["x", "y", "7z", "u", "v", "t", "s"])
             lines.append(" ".join(w))
         texts.append("\n".join(lines))
-    first, docs = {}, defaultdict(set)
+    first, docs, fills = {}, defaultdict(set), defaultdict(set)
     for i, t in enumerate(texts):
         for j, line in enumerate(t.split("\n")):
-            for key in slow_templates(line):
+            for key, fill in slow_templates(line):
                 first.setdefault(key, (i, j))
                 docs[key].add(i)
-    want = {i: "\n".join(x for j, x in enumerate(t.split("\n")) if not any(len(docs[k]) > 1 and first[k] < (i, j) for k in slow_templates(x))) for i, t in enumerate(texts)}
-    assert dedup(spark, texts) == want and sum(len(t) for t in want.values()) < 0.7 * sum(map(len, texts))
+                fills[key].add(fill)
+    recurs = lambda key: len(docs[key]) > 1 and (not key[1] or len(fills[key]) >= k.FIELD_VALUES)
+    want = {i: "\n".join(x for j, x in enumerate(t.split("\n")) if not any(recurs(t) and first[t] < (i, j) for t, _ in slow_templates(x))) for i, t in enumerate(texts)}
+    assert dedup(spark, texts) == want and sum(len(t) for t in want.values()) < 0.8 * sum(map(len, texts))
+    assert any(recurs(t) and t[1] for t in first)
 
 
 def test_edges(spark):
