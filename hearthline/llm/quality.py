@@ -5,7 +5,7 @@ approximate a Gaussian kernel over the standardised statistics. Every partition
 the normal equations, Spark adds the parts row by row, and one small solve gives the ridge weights. Isotonic
 calibration on a held-back fold turns ridge values into scores of 0 to 1.
 
-Defined results: null text counts as an empty one, and empty texts are scored like any other; texts of any length are
+Ties: equal statistics have equal scores, also where their labels differ. Defined results: null text counts as an empty one, and empty texts are scored like any other; texts of any length are
 scored whole; without both classes among the labels every score is the share of label 1 (0 without labels); an id labelled
 more than once takes its largest label; repeated rows and equal texts score alike; an empty table gives no rows; other
 columns pass through, but for one named score.
@@ -76,10 +76,11 @@ class QualityModel:
 
 
 def isotonic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Least-squares non-decreasing fit by pooling neighbours; the mean x and the value of each pool."""
-    order = np.argsort(x, kind="stable")
+    """Least-squares non-decreasing fit by pooling neighbours; the mean x and the value of each pool. Equal x are one from the start, in whatever order they come."""
+    x, of = np.unique(x, return_inverse=True)
+    total = np.bincount(of, weight)
     pools: list[list[float]] = []  # value, weight, sum of weighted x
-    for xi, yi, wi in zip(x[order], y[order], weight[order]):
+    for xi, yi, wi in zip(x, np.bincount(of, y * weight) / total, total):
         pools.append([yi, wi, xi * wi])
         while len(pools) > 1 and pools[-2][0] >= pools[-1][0]:
             v, w, s = pools.pop()
