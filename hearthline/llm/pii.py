@@ -1,17 +1,18 @@
 """Personal data: base patterns, and a character BiLSTM with CRF transitions that adds spans.
 
 The base finds e-mail addresses, IP addresses, card and phone numbers by fixed patterns with checks. The network reads
-classes of characters in windows of ``WINDOW`` characters at every ``STRIDE`` and learns in numpy from labelled spans in a
-bounded sample of documents: the base's own, and the same spans rewritten in forms that the base can't see (other
-separators, no plus, spelled or bracketed signs), among numbers of other kinds that carry no label. Windows that hold four digits
-are decoded, and those with ``@``, a bracketed at or dot, the word dot, or at before a dotted word, with their neighbours; a
+classes of characters (letters without case and accents, digits, signs; wide forms and blanks like the plain ones) in windows of ``WINDOW`` characters at every ``STRIDE`` and learns in numpy from labelled spans in a
+bounded sample of documents: the base's own, and made ones in forms that the base can't see (other
+separators, no plus, spelled or bracketed signs of four languages), among amounts, dates, lists and other numbers that carry no label. The texts of
+the sample are varied until there are enough windows, so a small sample trains as well. Windows that hold four digits
+are decoded, and those with ``@`` (or its wide form), a bracketed at or dot, the word dot, a written-out at sign, or at before a dotted word, with their neighbours; a
 span without any of these isn't looked for.
 
 Each window gives the probabilities of every label at each of its characters. Where windows overlap these are averaged,
 with more weight the further from a window's edge, and one Viterbi pass under the CRF's label rules runs over each stretch of
 characters that may be in a span, across all windows. So a span may be of any length and a window's edge cuts none. An
-added span must be sure enough and have the digits (and a card's check digit) or sign of its kind; base spans always stay, and
-added ones don't touch them.
+added span must be sure enough; its ends are settled by its kind (``_settled``), and it must have the digits (and a card's check digit) or the sign, name and host of its kind; base spans always stay, and
+added ones don't touch them or each other.
 
 Defined results: null text counts as empty; texts of any length are read whole; repeated rows and equal texts give the same
 spans; ties of labels go to the first in order; without any labelled span in the sample only the base spans are returned; an
@@ -22,6 +23,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import unicodedata
 from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -35,20 +37,27 @@ from pyspark.sql import functions as F
 from hearthline.llm.common import hash_share, slices
 
 KINDS = ("email", "ip", "card", "phone")
-WINDOW, STRIDE, HIDDEN = 64, 32, 16
+WINDOW, STRIDE, HIDDEN = 64, 32, 24
 #: Most documents that the network is trained on (in expectation), most windows of these, and passes over them.
-TRAIN_DOCS, TRAIN_WINDOWS, EPOCHS, BATCH, RATE = 2_000, 4_000, 12, 96, 0.03
+TRAIN_DOCS, TRAIN_WINDOWS, EPOCHS, BATCH, RATE = 2_000, 10_000, 12, 96, 0.02
 #: Least mean probability that the characters of an added span are in one; least probability of any span at a character that the decoder looks at.
-CONFIDENCE, LOOK = 0.8, 0.05
+CONFIDENCE, LOOK = 0.5, 0.05
 
 _IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _MAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+_DIGITS = "0123456789"
 _DIGIT = re.compile("[0-9]")
-_SPELLED = re.compile(r"[\[({<] ?(?:at|dot|\.) ?[\])}>]|\bdot\b|\bat [\w-]+\.\w", re.IGNORECASE)
-_AT = re.compile(r"@|[\[({<] ?at ?[\])}>]|\bat\b", re.IGNORECASE)
+#: How an at sign is written out in the four languages of the corpus.
+_AT_WORDS = ("at", "ät", "arroba", "arobase", "klammeraffe")
+_BRACKETED = r"[\[({<] ?(?:%s) ?[\])}>]"
+_SPELLED = re.compile(_BRACKETED % "|".join((*_AT_WORDS, "dot", r"\.")) + r"|\bdot\b|\bat [\w-]+\.\w|\b(?:arroba|arobase|klammeraffe)\b|\uff20", re.IGNORECASE)
+_AT = re.compile("[@\uff20]|" + _BRACKETED % "|".join(_AT_WORDS) + r"|\b(?:%s)\b" % "|".join(_AT_WORDS), re.IGNORECASE)
+#: What stands at both sides of an address's sign.
+_NAME = re.compile(r"[\w.%+-]+\s*\Z")
+_HOST = re.compile(r"\s*[\w-]+(?:(?:[.\uff0e]|\s*[\[({<] ?(?:dot|punkt|punto|point|\.) ?[\])}>]\s*|\s+(?:dot|punkt|punto|point)\s+)[\w-]+)+", re.IGNORECASE)
 _EDGE = re.compile(r"[\w+(](?:.*[\w)])?", re.DOTALL)
 
 Span = tuple[str, int, int]
@@ -93,16 +102,20 @@ def base_spans(text: str) -> list[Span]:
 
 # ---- the network
 
-#: Classes of characters: 0 padding, then by rule; some signs and the letters of "at" and "dot" have their own.
-_SIGNS = "@.-_+() \n:/=\"%,'#*[]{}<>atdo"
-CLASSES, LABELS = 6 + len(_SIGNS), 1 + 2 * len(KINDS)
+#: Classes of characters: 0 padding, 1 digits, then other letters, other characters, and one for each sign and letter. Signs and letters that are
+#: written alike share a class: wide forms, accents, and the blanks that don't break a line.
+_SIGNS = "@.-_+() \n:/=\"%,'#*[]{}<>abcdefghijklmnopqrstuvwxyz"
+CLASSES, LABELS = 4 + len(_SIGNS), 1 + 2 * len(KINDS)
 
 
 def _class_table() -> np.ndarray:
-    out = np.full(0x3000, 4, dtype=np.uint8)  # letters beyond ASCII and the rest
-    for c in range(128):
+    out = np.full(0x10000, 2, dtype=np.uint8)
+    for c in range(0x10000):
         x = chr(c)
-        out[c] = 1 if x.isdigit() else 6 + _SIGNS.index(x.lower()) if x.lower() in _SIGNS else 2 if x.islower() else 3 if x.isupper() else 5
+        if c >= 128:
+            x = unicodedata.normalize("NFKD", x)[:1] if not 0xD800 <= c < 0xE000 else x
+        x = {"\u2010": "-", "\u2011": "-", "\u2012": "-", "\u2013": "-", "\u2212": "-"}.get(x, x).lower()
+        out[c] = 3 if not x else 1 if x in "0123456789" else 4 + _SIGNS.index(x) if x in _SIGNS else 2 if x.isalpha() else 3
     return out
 
 
@@ -144,7 +157,7 @@ class Tagger:
     def _run(self, x: np.ndarray, d: str) -> tuple[np.ndarray, list]:
         """States of one direction; what the gradient needs."""
         n, t = x.shape
-        h, c, out, kept = np.zeros((n, HIDDEN)), np.zeros((n, HIDDEN)), np.zeros((n, t, HIDDEN)), [None] * t
+        h, c, out, kept = (*(np.zeros(size, dtype=self.w["wo"].dtype) for size in ((n, HIDDEN), (n, HIDDEN), (n, t, HIDDEN))), [None] * t)
         wx, wh, b = self.w["wx" + d], self.w["wh" + d], self.w["b" + d]
         for i in range(t) if d == "f" else range(t - 1, -1, -1):
             z = wx[x[:, i]] + h @ wh + b
@@ -177,7 +190,8 @@ class Tagger:
         """Mean negative log-likelihood a window of label sequences y."""
         (hf, kf), (hb, kb) = self._run(x, "f"), self._run(x, "b")
         both = np.concatenate([hf, hb], axis=2)
-        e, tr = both @ self.w["wo"] + self.w["bo"], self.w["tr"] + _BARRED
+        kind = both.dtype
+        e, tr = both @ self.w["wo"] + self.w["bo"], self.w["tr"] + _BARRED.astype(kind)
         n, t, _ = e.shape
         top, step = e.max(2, keepdims=True), np.exp(self.w["tr"]) * _ALLOWED
         scaled = np.exp(e - top)
@@ -194,15 +208,15 @@ class Tagger:
         dh_out = de @ self.w["wo"].T
         for d, kept, half in (("f", kf, slice(0, HIDDEN)), ("b", kb, slice(HIDDEN, None))):
             wh = self.w["wh" + d]
-            gx, gh, gb = np.zeros_like(self.w["wx" + d]), np.zeros_like(wh), np.zeros(4 * HIDDEN)
-            dh, dc = np.zeros((n, HIDDEN)), np.zeros((n, HIDDEN))
+            gx, gh, gb = np.zeros_like(self.w["wx" + d]), np.zeros_like(wh), np.zeros(4 * HIDDEN, dtype=kind)
+            dh, dc = np.zeros((n, HIDDEN), dtype=kind), np.zeros((n, HIDDEN), dtype=kind)
             for i in range(t - 1, -1, -1) if d == "f" else range(t):
                 h0, c0, s, cell, tc = kept[i]
                 dh = dh + dh_out[:, i, half]
                 dc = dc + dh * s[:, 2 * HIDDEN :] * (1 - tc**2)
                 dz = np.concatenate([dc * cell, dc * c0, dh * tc], axis=1) * s * (1 - s)
                 dz = np.concatenate([dz, dc * s[:, :HIDDEN] * (1 - cell**2)], axis=1)
-                gx += (x[:, i, None] == np.arange(CLASSES)).T.astype(float) @ dz
+                gx += (x[:, i, None] == np.arange(CLASSES)).T.astype(kind) @ dz
                 gh += h0.T @ dz
                 gb += dz.sum(0)
                 dh, dc = dz @ wh.T, dc * s[:, HIDDEN : 2 * HIDDEN]
@@ -210,7 +224,8 @@ class Tagger:
         return float((z - gold).mean()), {k: v / n for k, v in g.items()}
 
     def fit(self, x: np.ndarray, y: np.ndarray, epochs: int = EPOCHS, seed: int = 11) -> list[float]:
-        """Adam over shuffled batches; the mean loss of each pass."""
+        """Adam over shuffled batches, in single precision; the mean loss of each pass."""
+        self.w = {k: q.astype(np.float32) for k, q in self.w.items()}
         rng, m, v, step, losses = np.random.default_rng(seed), {}, {}, 0, []
         for epoch in range(epochs):
             order, total = rng.permutation(len(x)), 0.0
@@ -224,7 +239,7 @@ class Tagger:
                     q = q * min(1.0, 5 / max(norm, 1e-9))
                     m[k] = 0.9 * m.get(k, 0) + 0.1 * q
                     v[k] = 0.999 * v.get(k, 0) + 0.001 * q**2
-                    self.w[k] = self.w[k] - RATE / (1 + epoch) ** 0.5 * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)
+                    self.w[k] = (self.w[k] - RATE / (1 + epoch) ** 0.5 * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
             losses.append(total / len(x))
         return losses
 
@@ -265,14 +280,14 @@ def best_labels(p: np.ndarray) -> np.ndarray:
 def _spelled(text: str) -> list[int]:
     """Where spelled and bracketed signs are; texts without their letters are not searched."""
     low = text.lower()
-    if not any(x in low for x in ("dot", "at)", "at]", "at}", "at>", "at )", "at ]", "[.]", "(.)", " at ")):
+    if not any(x in low for x in ("dot", "at)", "at]", "at}", "at>", "at )", "at ]", "ät", "[.]", "(.)", " at ", "arroba", "arobase", "klammeraffe", "\uff20")):
         return []
     return [m.start() for m in _SPELLED.finditer(text)]
 
 
 def _window_starts(text: str, c: np.ndarray) -> np.ndarray:
     """Starts, on the stride, of the windows that hold four digits (an IP address has no fewer), and of those that hold @ or a spelled or bracketed sign, with their neighbours."""
-    digit, at = np.flatnonzero(c == 1), np.union1d(np.flatnonzero(c == 6), _spelled(text)).astype(np.int64)
+    digit, at = np.flatnonzero(c == 1), np.union1d(np.flatnonzero(c == 4 + _SIGNS.index("@")), _spelled(text)).astype(np.int64)
     first = lambda x: np.maximum(x - WINDOW, -1) // STRIDE + 1
     some = np.unique(np.concatenate([first(digit), digit // STRIDE]))
     some = some[np.searchsorted(digit, some * STRIDE + WINDOW) - np.searchsorted(digit, some * STRIDE) >= 4]
@@ -292,29 +307,57 @@ def _digits(rng: np.random.Generator, n: int) -> str:
     return "".join(map(str, rng.integers(0, 10, n)))
 
 
+#: Words before numbers that are read out as telephone numbers, and before others.
+_CALL_WORDS = "tel tel: tel. phone phone: call mobile mobile: cell fax whatsapp telefon telefon: handy anrufen rückruf móvil teléfono llama llámame tél tél. téléphone portable appelez ring dial sms".split()
+_COUNT_WORDS = "page pages order invoice id no. nr. ref ref: part serial batch total population pop. sum result results tax code item lot case ticket account isbn ean seite bestellung rechnung página pedido factura commande facture lines row rows rank score year copies visitors".split()
+
+
+def _blank(rng: np.random.Generator) -> str:
+    return (" ", " ", " ", "\u00a0", "\u202f", "\u2009")[int(rng.integers(6))]
+
+
 def _rewritten(kind: str, part: str, rng: np.random.Generator) -> str:
     """A span's text with other digits, and mostly in a form that the base patterns don't take."""
     pick = lambda *x: x[int(rng.integers(len(x)))]
     part = _made(kind, rng) if kind == "ip" else "".join(_digits(rng, 1) if "0" <= c <= "9" else c for c in part)
-    if rng.random() < 0.35:
+    if rng.random() < 0.3:
         return part
-    digits = "".join(c for c in part if "0" <= c <= "9")
+    digits, s = "".join(c for c in part if "0" <= c <= "9"), _blank(rng)
     if kind == "email":
         user, _, host = part.rpartition("@")
         if rng.random() < 0.3:
-            return f"{user} @ {host}"
-        return user + pick(" at ", " [at] ", "[at]", "(at)", " (at) ", "{at}", " AT ", "<at>") + host.replace(".", pick(" dot ", "[dot]", "(dot)", " [dot] ", " DOT ", ".", ".", ".", "[.]"))
+            return user + pick(" @ ", "\uff20", "@ ", " @") + host
+        at = pick("at", "at", "at", "AT", "At", "ät", "arroba", "arobase")
+        dot = pick("dot", "dot", "DOT", "punkt", "punto", "point", ".")
+        sign = pick(f" {at} ", f" [{at}] ", f"[{at}]", f"({at})", f" ({at}) ", f"{{{at}}}", f"<{at}>", f"[ {at} ]", f"( {at} )")
+        return user + sign + host.replace(".", pick(f" {dot} ", f"[{dot}]", f"({dot})", f" [{dot}] ", f" ({dot}) ", ".", ".", ".", "[.]"))
     if kind == "ip":
-        return pick("[.]", "(.)", " . ", "[dot]", " dot ", ". ").join(str(rng.integers(256)) for _ in range(4))
+        return pick("[.]", "(.)", " . ", "[dot]", " dot ", ". ", "-", ",", ", ", " - ", "\uff0e", "(dot)", f".{s}", "{.}", "_").join(str(rng.integers(256)) for _ in range(4))
     if kind == "card":
-        size = pick(4, 4, 4, len(digits))
-        return pick(".", "  ", "/", " - ", "_", "--").join(digits[i : i + size] for i in range(0, len(digits), size))
+        digits = _with_check(digits)
+        size = pick(4, 4, 4, len(digits), 6)
+        return pick(".", "  ", "/", " - ", "_", "--", "\u00a0", "\u202f", ", ", ",", " . ", "\u2013").join(digits[i : i + size] for i in range(0, len(digits), size))
     digits = (digits + _digits(rng, 11))[:11]
     code, area, a, b = pick(digits[:1], digits[:2]), digits[-10:-7], digits[-7:-4], digits[-4:]
-    return pick(
-        f"{code} ({area}) {a}-{b}", f"({area}) {a}-{b}", f"({area}) {a} {b}", f"{area}-{a}-{b}", f"{area}.{a}.{b}", f"{code}-{area}-{a}-{b}", f"{code} {area} {a} {b}",
-        f"00{code} {area} {a}{b}", f"0{area}/{a}{b}", f"0{area}-{a}{b}", f"00{code}-{area}-{a}-{b}", f"{code}.{area}.{a}.{b}",
+    sure = pick(
+        f"{code} ({area}) {a}-{b}", f"({area}) {a}-{b}", f"({area}){s}{a}{s}{b}", f"{area}-{a}-{b}", f"{area}.{a}.{b}", f"{code}-{area}-{a}-{b}", f"{code} {area} {a} {b}",
+        f"00{code} {area} {a}{b}", f"0{area}/{a}{b}", f"0{area}-{a}{b}", f"00{code}-{area}-{a}-{b}", f"{code}.{area}.{a}.{b}", f"00{code}{s}{area}{s}{a}{s}{b}", f"0{digits[0]}{s}{s.join(digits[i : i + 2] for i in range(1, 9, 2))}", f"0{digits[0]}{s}{s.join(digits[i : i + 2] for i in range(1, 9, 2))}", f"0{digits[:2]}{s}{digits[2:6]}{s}{digits[6:10]}", f"0{digits[:3]}{s}{digits[3:10]}",
+        f"{area}-{a}-{b}", f"00{code}{s}{digits[0]}{s}{s.join(digits[i : i + 2] for i in range(1, 9, 2))}", f"00{code}-{digits[:2]}-{digits[2:9]}", f"{digits[0]}-{area}-{a}-{b}", f"0{digits[:4]}-{digits[4:9]}",
+        f"(0{area}) {a} {b}", f"0{area} / {a} {b}", f"00{code}-{digits[:2]}-{digits[2:8]}", f"+{code}/{area}/{a}{b}", f"+{code}\u00a0{area}\u00a0{a}\u00a0{b}", f"(+{code}) {area} {a} {b}", f"+{code} ({area}) {a}\u2013{b}",
     )
+    return sure
+
+
+def _unsure_number(rng: np.random.Generator) -> str:
+    """Groups of digits that a word before them makes a telephone number or not."""
+    d, s = (lambda n: _digits(rng, n)), _blank(rng)
+    forms = (lambda: s.join(d(3) for _ in range(3)), lambda: d(10), lambda: d(9), lambda: f"{d(3)}-{d(3)}-{d(3)}", lambda: f"{d(4)}{s}{d(3)}{s}{d(3)}", lambda: f"{d(5)}{s}{d(6)}", lambda: f"{d(3)}{s}{d(7)}", lambda: f"{d(2)}{s}{d(4)}{s}{d(4)}")
+    return forms[int(rng.integers(len(forms)))]()
+
+
+def _with_check(digits: str) -> str:
+    """The digits with the last one such that they pass Luhn's check."""
+    return next(x for x in (digits[:-1] + str(i) for i in range(10)) if luhn(x))
 
 
 def _made(kind: str, rng: np.random.Generator) -> str:
@@ -323,22 +366,30 @@ def _made(kind: str, rng: np.random.Generator) -> str:
     if kind == "email":
         many = lambda n: int(rng.choice(n, p=np.array([0.5, 0.3, 0.1, 0.1][:n]) / sum([0.5, 0.3, 0.1, 0.1][:n]))) + 1
         user = ("." if rng.random() < 0.6 else "_").join(word() for _ in range(many(4))) + (_digits(rng, 2) if rng.random() < 0.3 else "")
-        return user + "@" + ".".join(word() for _ in range(many(4))) + "." + word()[:3]
+        part = lambda: word() + ("-" + word() if rng.random() < 0.25 else "")
+        return user + "@" + ".".join(part() for _ in range(many(4))) + "." + word()[: int(rng.integers(2, 8))]
     if kind == "ip":
         return ".".join(str(rng.integers(256)) for _ in range(4))
     if kind == "card":
-        d = _digits(rng, 16)
+        d = _with_check(_digits(rng, 16))
         return " ".join(d[i : i + 4] for i in range(0, 16, 4))
     return "+" + _digits(rng, int(rng.integers(9, 13)))
 
 
 def _other_number(rng: np.random.Generator) -> str:
     """A number that is no span: dates, times, amounts, versions, serial and account-like numbers, lists."""
-    d = lambda n: _digits(rng, n)
+    d, s = (lambda n: _digits(rng, n)), _blank(rng)
+    if rng.random() < 0.25:
+        return f"{_COUNT_WORDS[int(rng.integers(len(_COUNT_WORDS)))]} {_unsure_number(rng)}"
     forms = (
         lambda: f"20{d(2)}-{d(2)}-{d(2)}", lambda: f"{d(2)}/{d(2)}/{d(4)}", lambda: f"{d(2)}.{d(2)}.{d(4)}", lambda: f"{d(2)}:{d(2)}:{d(2)}", lambda: f"{d(1)},{d(3)}.{d(2)}", lambda: f"{d(1)}.{d(2)}.{d(1)}", lambda: f"{d(3)}-{d(2)}-{d(4)}",
         lambda: f"INV-{d(4)}-{d(5)}", lambda: f"#{d(7)}", lambda: d(int(rng.integers(1, 12))), lambda: f"978-{d(1)}-{d(2)}-{d(6)}-{d(1)}", lambda: f"{d(2)}.{d(5)}, {d(1)}.{d(5)}", lambda: f"19{d(2)}-20{d(2)}", lambda: ", ".join(d(1) for _ in range(5)),
         lambda: f"{d(2)}%", lambda: f"v{d(1)}.{d(2)}", lambda: f"id={d(8)}", lambda: f"${d(3)}.{d(2)}", lambda: f"{d(4)}-{d(4)}", lambda: f"20{d(2)}-{d(2)}-{d(2)}T{d(2)}:{d(2)}:{d(2)}Z", lambda: "dot", lambda: f"at {d(2)}:{d(2)}", lambda: f"{d(3)} {d(3)}",
+        # amounts in groups of three, numbers in series, ranges, measures, long serial numbers
+        lambda: s.join([str(rng.integers(1, 1000)), *(d(3) for _ in range(int(rng.integers(2, 4))))]), lambda: ".".join([str(rng.integers(1, 1000)), d(3), d(3)]), lambda: ",".join([str(rng.integers(1, 1000)), d(3), d(3), d(3)][: int(rng.integers(3, 5))]),
+        lambda: " ".join(str(rng.integers(1, 100)) for _ in range(int(rng.integers(4, 9)))), lambda: " ".join(str(n + i) for n in [int(rng.integers(10, 90))] for i in range(6)), lambda: f"{d(2)} {d(3)} {d(3)} {d(3)}", lambda: f"20{d(2)}-{d(9)}", lambda: f"{d(4)}-20{d(2)}-{d(4)}",
+        lambda: f"{d(3)}.{d(3)}.{d(3)}-{d(2)}", lambda: f"{d(1)}.{d(1)}.{d(1)}.{d(3)}.{d(1)}", lambda: f"{d(4)} {d(4)} {d(4)}", lambda: f"20{d(2)} 20{d(2)} 20{d(2)}", lambda: f"{d(2)}:{d(2)} - {d(2)}:{d(2)}", lambda: f"{d(3)} x {d(3)} x {d(2)} mm", lambda: f"{d(2)}, {d(2)}, {d(2)}, {d(2)}, {d(2)}", lambda: f"{d(1)}-{d(1)}, {d(2)}-{d(2)}, {d(3)}-{d(3)}",
+        lambda: f"20{d(2)}{d(4)}{d(6)}", lambda: d(12), lambda: f"{d(4)}/{d(4)}/{d(4)}", lambda: f"{d(3)}/{d(3)}/{d(5)}", lambda: "look at this. dot", lambda: f"at home. {d(2)}", lambda: f"point {d(1)}.{d(1)}", lambda: f"§ {d(3)} {d(3)} {d(2)}",
     )
     return forms[int(rng.integers(len(forms)))]()
 
@@ -352,19 +403,33 @@ def _varied(text: str, spans: list[Span], rng: np.random.Generator) -> tuple[str
     for a, b, kind, more in sorted(edits, key=lambda e: e[:2]):
         if a < last:
             continue
-        new = _rewritten(kind, text[a:b], rng) if kind else " " + (_rewritten(more, _made(more, rng), rng) if more in KINDS else more)
+        lead = "" if kind else " "
+        if not kind and more == "phone" and rng.random() < 0.25:
+            lead += f"{_CALL_WORDS[int(rng.integers(len(_CALL_WORDS)))]} "
+            new = lead + _unsure_number(rng)
+        elif not kind and more not in KINDS and rng.random() < 0.4:
+            new = lead + f"{_COUNT_WORDS[int(rng.integers(len(_COUNT_WORDS)))]} {more}"
+        else:
+            new = lead + (_rewritten(kind, text[a:b], rng) if kind else _rewritten(more, _made(more, rng), rng) if more in KINDS else more)
         out += [text[last:a], new]
         size += a - last
         if kind or more in KINDS:
-            found.append((kind or more, size + (not kind), size + len(new)))
+            found.append((kind or more, size + len(lead), size + len(new)))
         size, last = size + len(new), b
     return "".join([*out, text[last:]]), found
 
 
 def training_windows(texts: list[str], most: int = TRAIN_WINDOWS, seed: int = 3) -> tuple[np.ndarray, np.ndarray]:
-    """Most windows of character classes and labels around spans and other digits and signs, chosen at random."""
+    """Most windows of character classes and labels around spans and other digits and signs, chosen at random.
+
+    The texts are varied anew until there are enough, so that a small sample gives as many windows as a large one.
+    """
     rng, xs, ys = np.random.default_rng(seed), [], []
-    for text in texts:
+    texts = [t for t in texts if " " in t]
+    held, rounds = 0, iter(range(200))
+    for text in (t for _ in rounds for t in rng.permutation(np.array(texts, dtype=object)).tolist()):
+        if held > 2 * most:
+            break
         text, spans = _varied(text, base_spans(text), rng)
         c = classes(text)
         y = np.zeros(len(c) + WINDOW, dtype=np.int64)
@@ -374,6 +439,7 @@ def training_windows(texts: list[str], most: int = TRAIN_WINDOWS, seed: int = 3)
         starts = _window_starts(text, c)
         if len(starts):
             starts = np.unique(np.clip(starts + rng.integers(-STRIDE // 2, STRIDE // 2, len(starts)), 0, max(0, len(c) - 1)))
+            held += len(starts)
             xs.append(_windows(c, starts))
             ys.append(y[starts[:, None] + np.arange(WINDOW)])
     if not xs:
@@ -419,6 +485,7 @@ def _surroundings(text: str, reach: int = 96) -> Iterator[str]:
 
 def _plausible(kind: str, part: str) -> bool:
     """Whether the span has what its kind can't do without."""
+    part = unicodedata.normalize("NFKC", part)
     digits = "".join(c for c in part if "0" <= c <= "9")
     if kind == "email":
         return bool(_AT.search(part, 1)) and any(c.isalpha() for c in part)
@@ -430,6 +497,30 @@ def _plausible(kind: str, part: str) -> bool:
     return 13 <= len(digits) <= 19 and luhn(digits) if kind == "card" else 9 <= len(digits) <= 15
 
 
+def _settled(kind: str, text: str, start: int, end: int) -> tuple[int, int]:
+    """Ends of a span by its kind: an address has one word before its sign and a host of several parts behind, a number goes on while digits and the span's own separators do.
+
+    An address whose sign isn't at or near the span, or has no name or host, is an empty span.
+    """
+    if kind == "email":
+        for sign in reversed([*_AT.finditer(text, max(0, start - 2), min(len(text), end + 16))]):
+            name, host = _NAME.search(text, max(0, start - 64), sign.start()), _HOST.match(text, sign.end())
+            if name and host and name.start() < end and host.end() > start:
+                return name.start(), host.end()
+        return end, end
+    part = text[start:end]
+    if any(c.isalpha() for c in part):
+        return start, end
+    own = {c for c in part if not c.isdigit()} | {*_DIGITS}
+    a, b = start, end
+    while a and text[a - 1] in own:
+        a -= 1
+    while b < len(text) and text[b] in own:
+        b += 1
+    m = _EDGE.search(text, a, b)
+    return m.span() if m and not _plausible(kind, part) else (start, end)
+
+
 def _block_probabilities(tagger: Tagger, x: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Places of the blocks of STRIDE characters that windows cover, and the labels' probabilities there, averaged over windows. places: of each window's first block."""
     blocks, at = np.unique(np.concatenate([places, places + 1]), return_inverse=True)
@@ -464,15 +555,12 @@ def _added(text: str, taken: list[tuple[int, int]], runs: list[tuple[int, np.nda
             if not m or 1 - p[a:b, 0].mean() < CONFIDENCE:
                 continue
             of_kind = p[a:b, 1::2].mean(0) + p[a:b, 2::2].mean(0)
-            kind = next((KINDS[k] for k in np.argsort(-of_kind, kind="stable") if of_kind[k] >= LOOK and _plausible(KINDS[k], m[0])), None)
+            found = ((KINDS[k], *_settled(KINDS[k], text, *m.span())) for k in np.argsort(-of_kind, kind="stable") if of_kind[k] >= LOOK)
+            kind, start, end = next((f for f in found if _plausible(f[0], text[f[1] : f[2]])), (None, 0, 0))
             if kind is None:
                 continue
-            start, end = m.span()
-            if kind == "email":  # what stands before its sign is one word
-                name = m[0][: _AT.search(m[0], 1).start()].rstrip()
-                start += len(name) - len(name.split()[-1])
             before = bisect_left(begins, end)
-            if not before or ends[before - 1] <= start:
+            if start < end and (not before or ends[before - 1] <= start) and not any(start < e and s < end for _, s, e in out[-4:]):  # runs come in order
                 out.append((kind, start, end))
     return out
 
