@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -58,6 +58,22 @@ def local_date(ts: str | Column, zone: str) -> Column:
     return F.to_date(F.from_utc_timestamp(F.col(ts) if isinstance(ts, str) else ts, zone))
 
 
+def with_instants(df: DataFrame, local: str, keys: list[str], order: list[str], zone: str, name: str) -> DataFrame:
+    """name: the UTC time of a local one. In the hour that comes twice when clocks go back it is the first of both, until a series' local times fall back within it.
+
+    Only rows of such an hour are ordered, by series and day; the others are not shuffled.
+    """
+    early = F.to_utc_timestamp(local, zone)
+    late = F.timestamp_add("HOUR", F.lit(1), early)
+    df = df.withColumn("_twice", F.coalesce((F.from_utc_timestamp(late, zone) == F.col(local)) & (F.from_utc_timestamp(early, zone) == F.col(local)), F.lit(False)))
+    w = Window.partitionBy(*keys, F.to_date(local)).orderBy(*order)
+    fell = F.coalesce((F.col(local) < F.lag(local).over(w)).cast("int"), F.lit(0))
+    twice = df.where("_twice").withColumn("_fell", fell)
+    second = F.sum("_fell").over(w.rowsBetween(Window.unboundedPreceding, 0)) > 0
+    twice = twice.withColumn(name, F.when(second, late).otherwise(early)).drop("_fell")
+    return df.where("not _twice").withColumn(name, early).unionByName(twice).drop("_twice")
+
+
 def weekday_number(name: str | Column) -> Column:
     """ISO number of an English weekday name, null for others."""
     c = F.lower(F.col(name) if isinstance(name, str) else name)

@@ -1,12 +1,13 @@
 """Least-squares fits of heat and CO2 balances, by id and period.
 
 A balance dy/dt = sum of b_k x_k is taken from each row to the next. Spark adds up the products of the terms by period,
-and a small solve of one row of sums a period gives the coefficients; no period's rows ever meet in Python.
+and a small solve of one row of sums a period gives the coefficients; no period's rows ever meet in Python. What can't be negative
+in nature is bounded below by 0 while it is fitted, so the other coefficients are the best ones within the bounds.
 """
 
 from __future__ import annotations
 
-from itertools import combinations_with_replacement
+from itertools import combinations, combinations_with_replacement
 
 import numpy as np
 import pandas as pd
@@ -21,8 +22,27 @@ from hearthline.operators.pivot import merge_predictions
 JOB = ["id", "start", "end"]
 
 
-def least_squares(df: DataFrame, y: Column, terms: dict[str, Column], keys: list[str], least_rows: int | None = None) -> DataFrame:
-    """By key the coefficients of y ~ terms without a constant, and n; null where the terms don't determine them."""
+def _nonnegative(a: np.ndarray, r: np.ndarray) -> np.ndarray:
+    """For each of some positive definite systems the x >= 0 that minimises x'ax / 2 - r'x.
+
+    There are few terms, so every set of terms that may be above 0 is solved for all systems at once, and the best that keeps the bounds is taken.
+    """
+    k = a.shape[1]
+    best, out = np.zeros(len(a)), np.zeros((len(a), k))
+    for size in range(1, k + 1):
+        for free in map(list, combinations(range(k), size)):
+            x = np.linalg.solve(a[:, free][:, :, free], r[:, free, None])[:, :, 0]
+            value = -0.5 * (x * r[:, free]).sum(1)
+            better = (x >= 0).all(1) & (value < best)
+            best[better] = value[better]
+            rows = np.zeros((int(better.sum()), k))
+            rows[:, free] = x[better]
+            out[better] = rows
+    return out
+
+
+def least_squares(df: DataFrame, y: Column, terms: dict[str, Column], keys: list[str], least_rows: int | None = None, bounded: bool = False) -> DataFrame:
+    """By key the coefficients of y ~ terms without a constant, and n; null where the terms don't determine them. bounded: none is below 0."""
     names = [*terms]
     df = df.select(*keys, y.alias("_y"), *(c.alias(f"_x{i}") for i, c in enumerate(terms.values())))
     cells = [f"_x{i}" for i in range(len(names))] + ["_y"]
@@ -42,7 +62,9 @@ def least_squares(df: DataFrame, y: Column, terms: dict[str, Column], keys: list
             good = (b["n"].to_numpy() >= least) & (np.linalg.cond(scaled) < 1e10 if len(b) else np.zeros(0, bool))
             out = np.full((len(b), k), np.nan)
             if good.any():
-                out[good] = np.linalg.solve(scaled[good], (r / scale)[good][:, :, None])[:, :, 0] / scale[good]
+                right = (r / scale)[good]
+                x = _nonnegative(scaled[good], right) if bounded else np.linalg.solve(scaled[good], right[:, :, None])[:, :, 0]
+                out[good] = x / scale[good]
             result = b[[*keys, "n"]].copy()
             for i, name in enumerate(names):
                 result[name] = pd.array(out[:, i], dtype="Float64")
@@ -62,26 +84,25 @@ def with_steps(rows: DataFrame, columns: list[str], keys: list[str] = JOB, ts: s
 
 
 def fit_heat_distribution(df: DataFrame, jobs: DataFrame, heat: str = "heat_dstr__W", flow: str = "temp_flow__degC", ret: str = "temp_ret__degC", indoor: str = "temp_indoor__degC") -> DataFrame:
-    """C dT/dt = heat - H (T - T_in) with T the mean of flow and return: learned_H__W_K, learned_C__J_K and their quotient."""
+    """C dT/dt = heat - H (T - T_in) with T the mean of flow and return, H and 1 / C not negative: learned_H__W_K, learned_C__J_K and their quotient; null where 1 / C (or H) is 0."""
     rows = job_rows(df, jobs).withColumn("_t", (F.col(flow) + F.col(ret)) / 2)
     rows = with_steps(rows, ["_t"])
-    out = least_squares(rows, F.col("_d__t") / F.col("_dt"), {"_a": F.col(heat), "_b": F.col("_t") - F.col(indoor)}, JOB)
+    out = least_squares(rows, F.col("_d__t") / F.col("_dt"), {"_a": F.col(heat), "_b": F.col(indoor) - F.col("_t")}, JOB, bounded=True)
     c = F.when(F.col("_a") > 0, 1 / F.col("_a"))
-    return out.select(*JOB, "n", (-F.col("_b") * c).alias("learned_H__W_K"), c.alias("learned_C__J_K"), (F.when(F.col("_b") < 0, -1 / F.col("_b"))).alias("learned_C_H__s"))
+    return out.select(*JOB, "n", (F.col("_b") * c).alias("learned_H__W_K"), c.alias("learned_C__J_K"), (F.when(F.col("_b") > 0, 1 / F.col("_b"))).alias("learned_C_H__s"))
 
 
 def fit_ventilation(df: DataFrame, jobs: DataFrame, volume: str = "room__m3", occupancy: str = "occupancy__p", co2: str = "co2_indoor__ppm", wind: str = "wind__m_s_1", outside_ppm: float = 415.0, co2_person_m3_s: float = 5.0e-6, block_s: int = 1800, most_per_s: float = 0.02) -> DataFrame:
     """dCO2/dt = occupancy k / V - (vent / V + wind A / V) (CO2 - outside): infiltration area A and ventilation by block of time.
 
-    A comes from the whole period with one mean ventilation; each block's ventilation then from its own rows, held between 0 and a bound.
+    A comes from the whole period with one mean ventilation, neither below 0; each block's ventilation then from its own rows, held between 0 and a bound.
     """
     rows = with_steps(job_rows(df, jobs), [co2])
     over = F.col(co2) - outside_ppm
     source = F.col(occupancy) * co2_person_m3_s * 1e6 / F.col(volume)
     rest = F.col(f"_d_{co2}") / F.col("_dt") - source
-    whole = least_squares(rows, rest, {"_v": -over / F.col(volume), "_a": -F.col(wind) * over / F.col(volume)}, JOB)
-    area = F.greatest(F.col("_a"), F.lit(0.0))
-    known = whole.select(*JOB, area.alias("learned_A_inf__m2"))
+    whole = least_squares(rows, rest, {"_v": -over / F.col(volume), "_a": -F.col(wind) * over / F.col(volume)}, JOB, bounded=True)
+    known = whole.select(*JOB, F.col("_a").alias("learned_A_inf__m2"))
     rows = rows.join(known, JOB).withColumn("block", F.floor(seconds_between("start", "timestamp") / block_s).cast("long"))
     blocks = least_squares(rows, rest + F.col(wind) * F.col("learned_A_inf__m2") * over / F.col(volume), {"vent": -over / F.col(volume)}, [*JOB, "block", "learned_A_inf__m2"], 2)
     vent = F.when(F.col("vent").isNotNull(), F.least(F.greatest(F.col("vent"), F.lit(0.0)), F.lit(most_per_s)))
@@ -89,10 +110,10 @@ def fit_ventilation(df: DataFrame, jobs: DataFrame, volume: str = "room__m3", oc
 
 
 def fit_building(df: DataFrame, jobs: DataFrame, heat: str = "heat_dstr__W", sol: str = "sol_ghi__W_m_2", internal: str = "heat_int__W", indoor: str = "temp_indoor__degC", outdoor: str = "temp_outdoor__degC", wind: str = "wind__m_s_1") -> DataFrame:
-    """C dT/dt = heat + A_s sol + internal - (H + c wind)(T_in - T_out): learned H, time constant, solar aperture and wind loss."""
+    """C dT/dt = heat + A_s sol + internal - (H + c wind)(T_in - T_out): learned H, time constant, solar aperture and wind loss, none negative; null where 1 / C is 0."""
     rows = with_steps(job_rows(df, jobs), [indoor])
     delta = F.col(indoor) - F.col(outdoor)
-    out = least_squares(rows, F.col(f"_d_{indoor}") / F.col("_dt"), {"_q": F.col(heat) + F.col(internal), "_s": F.col(sol), "_h": -delta, "_w": -F.col(wind) * delta}, JOB)
+    out = least_squares(rows, F.col(f"_d_{indoor}") / F.col("_dt"), {"_q": F.col(heat) + F.col(internal), "_s": F.col(sol), "_h": -delta, "_w": -F.col(wind) * delta}, JOB, bounded=True)
     c = F.when(F.col("_q") > 0, 1 / F.col("_q"))
     return out.select(
         *JOB, "n", c.alias("learned_C__J_K"), (F.col("_h") * c).alias("learned_H__W_K"), (F.col("_s") * c).alias("learned_A_sol__m2"), (F.col("_w") * c).alias("learned_wind_loss__J_m_1_K"),

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from hearthline.functions.time import from_micros, seconds_between
+from hearthline.functions.time import from_micros, seconds_between, with_instants
 from hearthline.functions.units import joules_per_unit, power_name
 from hearthline.operators.grid import fill_limited, resample_first
 from hearthline.operators.mask import filter_min_max, filter_static_outliers
@@ -65,20 +65,32 @@ def meter_use(df: DataFrame, step_s: int, limit: int, column: str = "value", key
     return grid.withColumn(column, F.lead(column).over(Window.partitionBy(*keys).orderBy(ts)) - F.col(column))
 
 
-def telegram_time(c: str | Column, zone: str = "Europe/Amsterdam") -> Column:
-    """The UTC time of YYMMDDhhmmss with S (summer, +2 h) or W (winter, +1 h), or without either in local time; null if malformed."""
-    c = F.col(c) if isinstance(c, str) else c
+def _telegram_parts(c: Column) -> tuple[Column, Column]:
+    """The clock's reading, null if malformed, and its sign."""
     plain = F.when(c.rlike(r"^\d{12}[WS]?$"), F.try_to_timestamp(F.concat(F.lit("20"), F.substring(c, 1, 12)), F.lit("yyyyMMddHHmmss")))
-    sign = F.substring(c, 13, 1)
+    return plain, F.substring(c, 13, 1)
+
+
+def telegram_time(c: str | Column, zone: str = "Europe/Amsterdam") -> Column:
+    """The UTC time of YYMMDDhhmmss with S (summer, +2 h) or W (winter, +1 h), or without either in local time; null if malformed.
+
+    A local time that comes twice is the first of both; ``meter_timestamp_parse`` tells them by order.
+    """
+    plain, sign = _telegram_parts(F.col(c) if isinstance(c, str) else c)
     hours = lambda h: F.timestamp_add("HOUR", F.lit(-h), plain)
     return F.when(sign == "S", hours(2)).when(sign == "W", hours(1)).otherwise(F.to_utc_timestamp(plain, zone))
 
 
-def meter_timestamp_parse(df: DataFrame, telegram: str, limit: int = 2, keys: Keys = ("id",), ts: str = "timestamp") -> DataFrame:
-    """Row times from the meter's own clock; up to limit missing ones in a row are interpolated, others go, and so do equal times of a key."""
+def meter_timestamp_parse(df: DataFrame, telegram: str, limit: int = 2, keys: Keys = ("id",), ts: str = "timestamp", zone: str = "Europe/Amsterdam") -> DataFrame:
+    """Row times from the meter's own clock; up to limit missing ones in a row are interpolated, others go, and so do equal times of a key.
+
+    Telegrams without a sign are in local time; in the hour that comes twice those after a fall of the clock, in the rows' order, are in its second pass.
+    """
+    plain, sign = _telegram_parts(F.col(telegram))
+    df = with_instants(df.withColumn("_local", F.when(sign == "", plain)), "_local", [*keys], [ts], zone, "_told").drop("_local")
     w = Window.partitionBy(*keys).orderBy(ts)
-    us = F.unix_micros(telegram_time(telegram)).cast("double")
-    df = df.withColumns({"_i": F.row_number().over(w).cast("long"), "_u": us})
+    us = F.unix_micros(F.coalesce(F.col("_told"), telegram_time(telegram, zone))).cast("double")
+    df = df.withColumns({"_i": F.row_number().over(w).cast("long"), "_u": us}).drop("_told")
     back, ahead = (Window.partitionBy(*keys).orderBy(o).rowsBetween(Window.unboundedPreceding, 0) for o in (F.asc("_i"), F.desc("_i")))
     known = lambda x: F.when(F.col("_u").isNotNull(), F.col(x))
     df = df.withColumns({f"_{x}0": F.last(known(c), ignorenulls=True).over(back) for x, c in (("u", "_u"), ("i", "_i"))} | {f"_{x}1": F.last(known(c), ignorenulls=True).over(ahead) for x, c in (("u", "_u"), ("i", "_i"))})

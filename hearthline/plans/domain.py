@@ -326,8 +326,29 @@ def _solved(x: list[str], y: str, source: str, keys: str, name: str) -> str:
     return ", ".join([*out, f"{name} AS (SELECT {keys}, n, " + ", ".join(f"a{i}_{k} / a{i}_{i} AS b{i}" for i in range(k)) + f" FROM {name}_{k})"])
 
 
-@query(f"""WITH {_JOB}, {_STEPPED}, x AS (SELECT id, s, e, error * 100 AS a, (click + view) / 2 - purchase AS b, dt_dstr / dt AS y FROM st), {_solved(["a", "b"], "y", "x", "id, s, e", "k")}
-SELECT id, s AS "start", e AS "end", n, {_text("CASE WHEN b0 > 0 THEN -b1 / b0 END", "learned_H__W_K")}, {_text("CASE WHEN b0 > 0 THEN 1 / b0 END", "learned_C__J_K")}, {_text("CASE WHEN b1 < 0 THEN -1 / b1 END", "learned_C_H__s")} FROM k WHERE n >= 8""")
+def _bounded(x: list[str], y: str, source: str, keys: str, name: str) -> str:
+    """As _solved, with no coefficient below 0: every set of terms is solved by itself, and the best that keeps the bounds is taken."""
+    k, cells = len(x), [*x, y]
+    sums = ", ".join(f"sum(({cells[i]}) * ({cells[j]})) AS a{i}_{j}" for i in range(k) for j in range(k + 1))
+    out = [f"{name}_s AS (SELECT {keys}, count(*) AS n, {sums} FROM {source} WHERE {' AND '.join(f'({c}) IS NOT NULL' for c in cells)} GROUP BY ALL)"]
+    found = [f"SELECT {keys}, n, {', '.join(f'0::double AS b{i}' for i in range(k))}, 0::double AS gain FROM {name}_s"]
+    for mask in range(1, 2**k):
+        free, last = [i for i in range(k) if mask >> i & 1], f"{name}_s"
+        right = ", ".join(f"a{i}_{k} AS r{i}" for i in free)
+        out.append(f"{name}_{mask}_ AS (SELECT *, {right} FROM {last})")
+        last = f"{name}_{mask}_"
+        for p in free:
+            rest = ", ".join(f"a{i}_{j}" if i == p else f"a{i}_{j} - a{i}_{p} / a{p}_{p} * a{p}_{j} AS a{i}_{j}" for i in free for j in [*free, k])
+            out.append(f"{name}_{mask}_{p} AS (SELECT {keys}, n, {', '.join(f'r{i}' for i in free)}, {rest} FROM {last})")
+            last = f"{name}_{mask}_{p}"
+        b = [f"a{i}_{k} / a{i}_{i}" if i in free else "0" for i in range(k)]
+        found.append(f"SELECT {keys}, n, {', '.join(f'({v})::double AS b{i}' for i, v in enumerate(b))}, {' + '.join(f'({b[i]}) * r{i}' for i in free)} AS gain FROM {last} WHERE {' AND '.join(f'{b[i]} >= 0' for i in free)}")
+    best = f"{name} AS (SELECT * FROM ({' UNION ALL '.join(found)}) QUALIFY row_number() OVER (PARTITION BY {keys} ORDER BY gain DESC) = 1)"
+    return ", ".join([*out, best])
+
+
+@query(f"""WITH {_JOB}, {_STEPPED}, x AS (SELECT id, s, e, error * 100 AS a, purchase - (click + view) / 2 AS b, dt_dstr / dt AS y FROM st), {_bounded(["a", "b"], "y", "x", "id, s, e", "k")}
+SELECT id, s AS "start", e AS "end", n, {_text("CASE WHEN b0 > 0 THEN b1 / b0 END", "learned_H__W_K")}, {_text("CASE WHEN b0 > 0 THEN 1 / b0 END", "learned_C__J_K")}, {_text("CASE WHEN b1 > 0 THEN 1 / b1 END", "learned_C_H__s")} FROM k WHERE n >= 8""")
 def q_fit_heat_distribution(spark, sf):
     df = homes(spark, sf).select("id", "timestamp", (F.col("error") * 100).alias("heat_dstr__W"), F.col("click").alias("temp_flow__degC"), F.col("view").alias("temp_ret__degC"), F.col("purchase").alias("temp_indoor__degC"))
     return digits(fit.fit_heat_distribution(df, _jobs(spark, sf)).where("n >= 8"), "learned_H__W_K", "learned_C__J_K", "learned_C_H__s")
@@ -335,8 +356,8 @@ def q_fit_heat_distribution(spark, sf):
 
 @query(f"""WITH {_JOB}, r AS (SELECT w.id, j.s, j.e, w.timestamp, coalesce(click, 50) * 10 + 420 AS co2, coalesce(view, 50) / 50 AS occ, coalesce(error, 50) / 10 AS wind FROM w JOIN j ON w.id = j.id AND w.timestamp >= j.s AND w.timestamp < j.e),
 x AS (SELECT *, co2 - 415 AS over, (lead(co2) OVER o - co2) / (epoch(lead(timestamp) OVER o) - epoch(timestamp)) - occ * 5e-6 * 1e6 / 60 AS rest FROM r WINDOW o AS (PARTITION BY id ORDER BY timestamp)),
-{_solved(["-over / 60", "-wind * over / 60"], "rest", "x", "id, s, e", "k")},
-y AS (SELECT x.id, x.s, x.e, floor((epoch(timestamp) - epoch(x.s)) / 864000)::bigint AS block, greatest(b1, 0) AS area, -over / 60 AS v, rest + wind * greatest(b1, 0) * over / 60 AS z FROM x JOIN k ON k.id = x.id AND k.s = x.s WHERE k.n >= 8), {_solved(["v"], "z", "y", "id, s, e, block, area", "q")}
+{_bounded(["-over / 60", "-wind * over / 60"], "rest", "x", "id, s, e", "k")},
+y AS (SELECT x.id, x.s, x.e, floor((epoch(timestamp) - epoch(x.s)) / 864000)::bigint AS block, b1 AS area, -over / 60 AS v, rest + wind * b1 * over / 60 AS z FROM x JOIN k ON k.id = x.id AND k.s = x.s WHERE k.n >= 8), {_solved(["v"], "z", "y", "id, s, e, block, area", "q")}
 SELECT id, s AS "start", e AS "end", block, n, {_text("area", "learned_A_inf__m2")}, {_text("CASE WHEN n >= 2 THEN least(greatest(b0, 0), 0.02) END", "learned_ventilation__m3_s")} FROM q""")
 def q_fit_ventilation(spark, sf):
     df = homes(spark, sf).select("id", "timestamp", (F.col("click") * 10 + 420).alias("co2_indoor__ppm"), (F.col("view") / 50).alias("occupancy__p"), (F.col("error") / 10).alias("wind__m_s_1"), F.lit(60.0).alias("room__m3"))
@@ -352,7 +373,7 @@ def _building(spark, sf):
 
 _BUILDING = f"""{_JOB}, r AS (SELECT w.id, j.s, j.e, w.timestamp, coalesce(click, 50) / 10 AS inside, coalesce(view, 50) / 20 AS outside, coalesce(error, 50) * 100 + coalesce(signup, 50) * 2 AS heat, coalesce(purchase, 50) AS sol, coalesce(view, 50) / 30 AS wind FROM w JOIN j ON w.id = j.id AND w.timestamp >= j.s AND w.timestamp < j.e),
 x AS (SELECT *, inside - outside AS delta, (lead(inside) OVER o - inside) / (epoch(lead(timestamp) OVER o) - epoch(timestamp)) AS y FROM r WINDOW o AS (PARTITION BY id ORDER BY timestamp)),
-{_solved(["heat", "sol", "-delta", "-wind * delta"], "y", "x", "id, s, e", "k")}, fitted AS (SELECT id, s, e, n, CASE WHEN b0 > 0 THEN 1 / b0 END AS c, b0, b1, b2, b3 FROM k WHERE n >= 8)"""
+{_bounded(["heat", "sol", "-delta", "-wind * delta"], "y", "x", "id, s, e", "k")}, fitted AS (SELECT id, s, e, n, CASE WHEN b0 > 0 THEN 1 / b0 END AS c, b0, b1, b2, b3 FROM k WHERE n >= 8)"""
 _LEARNED = ", ".join(_text(x, n) for x, n in (("c", "learned_C__J_K"), ("b2 * c", "learned_H__W_K"), ("b1 * c", "learned_A_sol__m2"), ("b3 * c", "learned_wind_loss__J_m_1_K"), ("CASE WHEN b2 > 0 THEN 1 / b2 / 3600 END", "learned_tau__h")))
 _LEARNED_NAMES = ["learned_C__J_K", "learned_H__W_K", "learned_A_sol__m2", "learned_wind_loss__J_m_1_K", "learned_tau__h"]
 

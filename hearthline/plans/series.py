@@ -123,6 +123,20 @@ def q_meter_timestamp_parse(spark, sf):
     return e.meter_timestamp_parse(df, "telegram").select("id", "event_id", F.date_trunc("SECOND", "timestamp").cast("timestamp_ntz").alias("timestamp"))
 
 
+@query("""WITH x AS (SELECT id, event_id, TIMESTAMP '2024-10-26 22:00:00' + to_microseconds(epoch_us(timestamp) // 1000000 * 1000000 % 21600000000) AS u FROM m),
+l AS (SELECT *, u + CASE WHEN u < TIMESTAMP '2024-10-27 01:00:00' THEN INTERVAL 2 HOUR ELSE INTERVAL 1 HOUR END AS l FROM x),
+d AS (SELECT id, l, u, CASE WHEN l >= TIMESTAMP '2024-10-27 02:00:00' AND l < TIMESTAMP '2024-10-27 03:00:00' THEN 1 ELSE 0 END AS twice FROM l),
+f AS (SELECT *, CASE WHEN twice = 1 AND l < lag(l) OVER (PARTITION BY id, twice ORDER BY u) THEN 1 ELSE 0 END AS fell FROM d),
+g AS (SELECT *, sum(fell) OVER (PARTITION BY id, twice ORDER BY u ROWS UNBOUNDED PRECEDING) AS passes FROM f)
+SELECT DISTINCT id, l - CASE WHEN twice = 1 AND passes = 0 OR l < TIMESTAMP '2024-10-27 02:00:00' THEN INTERVAL 2 HOUR ELSE INTERVAL 1 HOUR END AS timestamp FROM g""")
+def q_doubled_hour(spark, sf):
+    """Every event in the six hours around the end of summer time, read from clocks that show local time without a sign."""
+    us = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', timestamp) div 1000000 * 1000000 % 21600000000")
+    df = measurements(spark, sf).select("id", F.timestamp_add("MICROSECOND", us, F.lit("2024-10-26 22:00:00").cast("timestamp")).alias("timestamp"))
+    df = df.withColumn("telegram", F.date_format(F.from_utc_timestamp("timestamp", "Europe/Amsterdam"), "yyMMddHHmmss"))
+    return e.meter_timestamp_parse(df, "telegram").select("id", F.col("timestamp").cast("timestamp_ntz").alias("timestamp"))
+
+
 _K3 = "k3 AS (SELECT id, property, timestamp, CASE WHEN sd > 0 AND abs(value - mu) / sd > 2 THEN NULL ELSE value END AS value FROM (SELECT *, avg(value) OVER (PARTITION BY id) AS mu, stddev_pop(value) OVER (PARTITION BY id) AS sd FROM (SELECT id, property, timestamp, CASE WHEN value BETWEEN 5 AND 300 THEN value END AS value FROM m WHERE property = 'click'))), k4 AS (SELECT * FROM k3 QUALIFY count(value) OVER (PARTITION BY id) > 2)"
 
 

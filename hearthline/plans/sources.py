@@ -119,13 +119,13 @@ def q_import_meter_json(spark, sf):
     return out.withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz"))
 
 
-@query("SELECT id::int AS station, date_trunc('hour', timestamp) AS timestamp, value AS temp, 50 + s_suppkey * 0.1::double AS lat FROM m JOIN supplier ON s_suppkey = id WHERE value < 300 AND s_suppkey < 90")
+@query("SELECT id::int AS station, date_trunc('hour', timestamp) AS timestamp, value AS temp, 50 + s_suppkey * 0.1::double AS lat FROM m JOIN supplier ON s_suppkey = id WHERE value < 300")
 def q_parse_station_weather(spark, sf):
     path = io.scratch(spark, "stations")
     value = F.when(F.col("value") < 300, F.col("value").cast("string")).otherwise("")
     m = measurements(spark, sf).select(F.concat_ws(",", F.lpad(F.col("id").cast("string"), 5, " "), F.date_format("timestamp", "yyyyMMdd"), F.lpad((F.hour("timestamp") + 1).cast("string"), 5, " "), value).alias("value"))
     spark.createDataFrame([("# station, day, hour, temp",)], "value string").union(m).write.text(path)
-    stations = table(spark, sf, "supplier").where("s_suppkey < 90").select(F.col("s_suppkey").cast("int").alias("station"), (50 + F.col("s_suppkey") * 0.1).alias("lat"))
+    stations = table(spark, sf, "supplier").select(F.col("s_suppkey").cast("int").alias("station"), (50 + F.col("s_suppkey") * 0.1).alias("lat"))
     out = io.parse_station_weather(spark.read.text(path), ["temp"], stations)
     return out.withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz"))
 

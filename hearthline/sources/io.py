@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from hearthline.functions.time import with_instants
+
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the folder that all executors share; a local temporary one only in local mode."""
@@ -140,13 +142,17 @@ def import_vendor_export(df: DataFrame, names: dict[str, str], category: str, ki
 
 
 def import_meter_json(df: DataFrame, columns: list[str], rates: dict[int, str], zone: str = "Europe/Amsterdam", id_col: str = "pseudonym") -> DataFrame:
-    """Readings of cells with [{"rate", "date", "quantity"}, ...]; bad JSON and unknown rates are left out, local times become UTC."""
+    """Readings of cells with [{"rate", "date", "quantity"}, ...]; bad JSON and unknown rates are left out, local times become UTC.
+
+    In the hour that comes twice when clocks go back, readings are in its second pass once the times of a property fall back, in the order of the cells.
+    """
     shape = "array<struct<rate:int,date:string,quantity:double>>"
     cells = F.flatten(F.array(*(F.coalesce(F.from_json(c, shape), F.array().cast(shape)) for c in columns)))
     names = F.create_map(*(F.lit(x) for pair in rates.items() for x in pair))
-    rows = df.select(F.col(id_col).alias("id"), F.explode(cells).alias("r")).withColumn("property", names[F.col("r.rate")])
-    at = F.to_utc_timestamp(F.try_to_timestamp(F.col("r.date")), zone)
-    return rows.where(F.col("property").isNotNull() & at.isNotNull()).select("id", at.alias("timestamp"), "property", F.col("r.quantity").alias("value"))
+    rows = df.select(F.col(id_col).alias("id"), F.posexplode(cells).alias("_place", "r")).withColumn("property", names[F.col("r.rate")])
+    rows = rows.withColumn("_local", F.try_to_timestamp(F.col("r.date"))).where("property is not null and _local is not null")
+    rows = with_instants(rows, "_local", ["id", "property"], ["_place"], zone, "timestamp")
+    return rows.select("id", "timestamp", "property", F.col("r.quantity").alias("value"))
 
 
 def parse_station_weather(lines: DataFrame, names: list[str], stations: DataFrame | None = None, line: str = "value") -> DataFrame:

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from hearthline.operators import grid, intervals, islands, meters, order_stats, pivot, scan, spatial, stats
+from hearthline.operators import fit, grid, intervals, islands, meters, order_stats, pivot, scan, spatial, stats
 
 T0 = dt.datetime(2024, 1, 1)
 CHUNKS = [0.5, 7, 60, 10**9]
@@ -268,3 +268,48 @@ def test_leaves_out_of_reach_are_not_paired():
     box = {"leaf": ids, "n": n, "lat": la, "lon": lo, "r": spatial._angle(la, lo, np.radians(ends[0]), np.radians(ends[2]))}
     reached = [len(spatial._reached(box, i, box, 3)) for i in range(len(ids))]
     assert np.mean(reached) < 40
+
+
+def test_bounded_fits():
+    """Against coordinate descent, which ends at the same point; many solutions lie on a bound."""
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(60, 40, 4))
+    y = np.einsum("nij,j->ni", x, [1.0, -2.0, 0.1, 0.0]) + rng.normal(size=(60, 40)) * 2
+    a, r = np.einsum("nij,nik->njk", x, x), np.einsum("nij,ni->nj", x, y)
+    want = np.zeros((60, 4))
+    for _ in range(3000):
+        for j in range(4):
+            want[:, j] = np.maximum(0, want[:, j] + (r[:, j] - np.einsum("nk,nk->n", a[:, j], want)) / a[:, j, j])
+    got = fit._nonnegative(a, r)
+    assert np.allclose(got, want, atol=1e-8) and (got == 0).any(1).mean() > 0.5 and (got[:, 0] > 0).all()
+
+
+def test_negative_terms_leave_the_others_best(spark):
+    rows = [(1, float(i % 7 + 1), float((i * i) % 5 + 1)) for i in range(40)]
+    df = spark.createDataFrame(rows, "id long, a double, b double").withColumn("y", 2 * F.col("a") - 0.5 * F.col("b"))
+    r = fit.least_squares(df, F.col("y"), {"p": F.col("a"), "q": F.col("b")}, ["id"], bounded=True).first()
+    assert r["q"] == 0 and r["p"] == pytest.approx(sum(a * (2 * a - b / 2) for _, a, b in rows) / sum(a * a for _, a, _ in rows))
+
+
+def test_the_hour_that_comes_twice(spark):
+    """Local clocks over the end of summer time: 00:00 and 01:00 UTC both read 02:00."""
+    def utc(h, m):
+        return dt.datetime(2024, 10, 27, h, m)
+
+    true = [utc(h, m) for h in (0, 1) for m in (5, 20, 35, 50)]
+    told = [dt.datetime(2024, 10, 26, 23, 50), *true, utc(2, 5)]
+    local = [t + dt.timedelta(hours=2 if t < utc(1, 0) else 1) for t in told]
+    rows = [(1, t, f"{x:%y%m%d%H%M%S}") for t, x in zip(told, local)]
+    # a second series with only one pass, a third with signs, a fourth in spring
+    rows += [(2, utc(0, 5), "241027020500"), (2, utc(0, 10), "241027021000"), (3, utc(1, 5), "241027020500W"), (3, utc(0, 5), "241027020500S"), (4, dt.datetime(2024, 3, 31, 1, 30), "240331033000")]
+    df = spark.createDataFrame(rows, "id long, timestamp timestamp_ntz, telegram string")
+    got = {}
+    for r in meters.meter_timestamp_parse(df, "telegram").collect():
+        got.setdefault(r["id"], []).append(r["timestamp"])
+    assert sorted(got[1]) == told and sorted(got[2]) == [utc(0, 5), utc(0, 10)] and sorted(got[3]) == [utc(0, 5), utc(1, 5)] and got[4] == [dt.datetime(2024, 3, 31, 1, 30)]
+    from hearthline.sources import io
+
+    cell = "[" + ", ".join(f'{{"rate": 1, "date": "{x:%Y-%m-%d %H:%M:%S}", "quantity": {i}}}' for i, x in enumerate(local)) + "]"
+    cells = spark.createDataFrame([("p", cell, "bad")], "pseudonym string, a string, b string")
+    out = io.import_meter_json(cells, ["a", "b"], {1: "x"}).withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz")).orderBy("value").collect()
+    assert [r["timestamp"] for r in out] == told
