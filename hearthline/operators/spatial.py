@@ -154,39 +154,49 @@ def spline_coefficients(stations: np.ndarray, values: np.ndarray) -> np.ndarray:
     return np.linalg.pinv(system)[:, : len(stations)] @ values
 
 
-def spatial_interpolate(weather: DataFrame, homes: DataFrame, stations: DataFrame, station_id: str = "station", id_col: str = "id", ts: str = "timestamp", lat: str = "lat", lon: str = "lon", parts: int = 16) -> DataFrame:
+def station_weights(stations: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """(places x stations): what each station's value counts for in the spline's value at each place."""
+    r2 = ((places[:, None, :] - stations[None, :, :]) ** 2).sum(2)
+    kernel = np.where(r2 > 0, 0.5 * r2 * np.log(np.maximum(r2, 1e-300)), 0.0)
+    solved = spline_coefficients(stations, np.eye(len(stations)))
+    return np.column_stack([kernel, np.ones(len(places)), places]) @ solved
+
+
+#: Homes, and times of a property, of one block of the product.
+HOMES, TIMES = 512, 512
+
+
+def spatial_interpolate(weather: DataFrame, homes: DataFrame, stations: DataFrame, station_id: str = "station", id_col: str = "id", ts: str = "timestamp", lat: str = "lat", lon: str = "lon", homes_a_block: int = HOMES, times_a_block: int = TIMES) -> DataFrame:
     """(id, timestamp, property, value) at the homes from (station, timestamp, property, value).
 
-    The values of a time and property make one row, whose spline is solved in the task that holds it; splines of the same
-    stations share their system there. Each spline then meets every home, dealt into parts by time, and is evaluated by Spark.
+    The value at a home is a sum of the stations' values by weights that hang only on the places, so all times with the same stations
+    share them. The values of a time and property make one row; these rows and the homes are dealt into blocks, and each task multiplies
+    the weights of a block of homes by the values of a block of times. There are as many tasks as blocks, so their number follows homes x times.
     """
     known = weather.where("value is not null").join(stations.select(F.col(station_id).alias("_s"), F.col(lat).alias("_sla"), F.col(lon).alias("_slo")), F.col(station_id) == F.col("_s"))
     sets = known.groupBy(ts, "property").agg(F.sort_array(F.collect_list(F.struct("_s", "_sla", "_slo", "value"))).alias("_m"))
-    sets = sets.select(ts, "property", *(F.col(f"_m.{c}").alias(c) for c in ("_sla", "_slo", "value")))
-
-    def solved(batches):
-        import pandas as pd
-
-        for b in batches:
-            rows = [np.column_stack([x, y]) for x, y in zip(b["_sla"], b["_slo"])]
-            same: dict[bytes, list[int]] = {}
-            for i, r in enumerate(rows):
-                same.setdefault(r.tobytes(), []).append(i)
-            out: list = [None] * len(rows)
-            for at in same.values():
-                for i, c in zip(at, spline_coefficients(rows[at[0]], np.column_stack([b["value"].iloc[i] for i in at])).T):
-                    out[i] = c
-            yield pd.DataFrame({ts: b[ts], "property": b["property"], "_sla": b["_sla"], "_slo": b["_slo"], "_k": out})
-
-    schema = sets.select(ts, "property", "_sla", "_slo").schema.add("_k", T.ArrayType(T.DoubleType()))
-    splines = sets.mapInPandas(solved, schema).withColumn("_part", F.pmod(F.xxhash64(ts, "property"), F.lit(parts)))
-    places = homes.select(F.col(id_col).alias("_h"), F.col(lat).alias("_la"), F.col(lon).alias("_lo"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("_part"))
-    r2 = lambda s: F.pow(F.col("_la") - s["_sla"], F.lit(2)) + F.pow(F.col("_lo") - s["_slo"], F.lit(2))
-    kernel = lambda s: F.when(r2(s) > 0, F.lit(0.5) * r2(s) * F.log(r2(s))).otherwise(F.lit(0.0))
-    n = F.size("_sla")
-    near = F.aggregate(F.arrays_zip("_sla", "_slo", F.slice("_k", 1, n).alias("_c")), F.lit(0.0), lambda total, s: total + s["_c"] * kernel(s))
-    value = near + F.get("_k", n) + F.get("_k", n + 1) * F.col("_la") + F.get("_k", n + 2) * F.col("_lo")
-    return splines.join(places, "_part").select(F.col("_h").alias(id_col), ts, "property", value.alias("value"))
+    sets = kept(sets.select(ts, "property", *(F.col(f"_m.{c}").alias(c) for c in ("_sla", "_slo", "value"))), "station-values")
+    places = kept(homes.select(F.col(id_col).alias("_h"), F.col(lat).cast("double").alias("_la"), F.col(lon).cast("double").alias("_lo")), "places")
+    schema = T.StructType([places.schema["_h"], sets.schema[ts], sets.schema["property"], T.StructField("value", T.DoubleType())])
+    n_times, n_homes = max(1, -(-sets.count() // times_a_block)), max(1, -(-places.count() // homes_a_block))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    sets = sets.withColumns({"_t": F.pmod(F.xxhash64(ts, "property"), F.lit(n_times)).cast("int"), "_b": every(n_homes)})
+    places = places.withColumns({"_b": F.pmod(F.xxhash64("_h"), F.lit(n_homes)).cast("int"), "_t": every(n_times)})
+
+    def product(values: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
+        out, at = [], block[["_la", "_lo"]].to_numpy()
+        same: dict[bytes, list[int]] = {}
+        for i, (x, y) in enumerate(zip(values["_sla"], values["_slo"])):
+            same.setdefault(np.column_stack([x, y]).tobytes(), []).append(i)
+        for key, rows in same.items():
+            found = station_weights(np.frombuffer(key).reshape(-1, 2), at) @ np.column_stack([values["value"].iloc[i] for i in rows])
+            out.append(pd.DataFrame({"_h": block["_h"].to_numpy().repeat(len(rows)), ts: np.tile(values[ts].to_numpy()[rows], len(block)), "property": np.tile(values["property"].to_numpy()[rows], len(block)), "value": found.ravel()}))
+        out = pd.concat(out) if out else pd.DataFrame(columns=schema.names)
+        return out.astype({"value": "float64"}).replace({"value": {np.nan: None}})
+
+    n = n_times * n_homes
+    dealt = sets.repartition(n, "_t", "_b").groupBy("_t", "_b").cogroup(places.repartition(n, "_t", "_b").groupBy("_t", "_b"))
+    return dealt.applyInPandas(product, schema).withColumnRenamed("_h", id_col)
 
 
 def weather_metric_scale(df: DataFrame, metrics: dict[str, tuple[str, float]], keys: list[str]) -> DataFrame:

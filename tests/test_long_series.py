@@ -313,3 +313,23 @@ def test_the_hour_that_comes_twice(spark):
     cells = spark.createDataFrame([("p", cell, "bad")], "pseudonym string, a string, b string")
     out = io.import_meter_json(cells, ["a", "b"], {1: "x"}).withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz")).orderBy("value").collect()
     assert [r["timestamp"] for r in out] == told
+
+
+def test_blocks_of_homes_and_times(spark):
+    rng = random.Random(13)
+    stations = [(i, 50 + rng.random() * 3, 4 + rng.random() * 3) for i in range(6)]
+    homes = [(i, 50 + rng.random() * 3, 4 + rng.random() * 3) for i in range(40)] + [(90, None, 4.0)]
+    weather = [(s, at(3600 * h), p, None if rng.random() < 0.2 else rng.uniform(0, 20)) for s in range(6) for h in range(30) for p in ("t", "w")]
+    w, h, s = spark.createDataFrame(weather, "station long, timestamp timestamp_ntz, property string, value double"), spark.createDataFrame(homes, "id long, lat double, lon double"), spark.createDataFrame(stations, "station long, lat double, lon double")
+    out = spatial.spatial_interpolate(w, h, s, homes_a_block=16, times_a_block=20)
+    assert out.rdd.getNumPartitions() == 3 * 3  # 41 homes and 60 times
+    small = {tuple(r)[:3]: r["value"] for r in out.collect()}
+    large = {tuple(r)[:3]: r["value"] for r in spatial.spatial_interpolate(w, h, s).collect()}
+    assert small.keys() == large.keys() and len(small) == 41 * 60
+    at_station = spark.createDataFrame([(1, stations[0][1], stations[0][2])], "id long, lat double, lon double")
+    known = {(t, p): v for i, t, p, v in weather if i == 0 and v is not None}
+    got = {(r["timestamp"], r["property"]): r["value"] for r in spatial.spatial_interpolate(w, at_station, s).collect()}
+    assert all(abs(got[k] - v) < 1e-6 for k, v in known.items())
+    for k, v in large.items():
+        assert (v is None) == (k[0] == 90) == (small[k] is None) and (v is None or abs(v - small[k]) < 1e-9)
+    assert spatial.spatial_interpolate(w.limit(0), h, s).count() == 0 == spatial.spatial_interpolate(w, h.limit(0), s).count()
