@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from hearthline.plans.registry import measurements, query, table
@@ -25,6 +27,12 @@ def q_write_parquet_stage(spark, sf):
     return spark.read.parquet(path)
 
 
+@query("SELECT event_id, id, timestamp, value, value - lag(value) OVER (PARTITION BY id ORDER BY timestamp, event_id) AS change FROM m")
+def q_write_bucketed_stage(spark, sf):
+    stage = io.write_bucketed(measurements(spark, sf).select("event_id", "id", "timestamp", "value"), "stage_" + uuid.uuid4().hex, buckets=4)
+    return stage.withColumn("change", F.col("value") - F.lag("value").over(Window.partitionBy("id").orderBy("timestamp", "event_id")))
+
+
 @query("SELECT event_id, id, value FROM m")
 def q_write_per_home(spark, sf):
     path = io.scratch(spark, "homes")

@@ -41,9 +41,23 @@ def write_stage(df: DataFrame, path: str) -> None:
     df.write.parquet(path)
 
 
-def write_per_home(df: DataFrame, path: str, id_col: str = "id") -> None:
-    """A folder of Parquet files for each id; rows are dealt by id, so that each folder has few files."""
-    df.repartition(id_col).write.partitionBy(id_col).parquet(path)
+def write_bucketed(df: DataFrame, name: str, keys: list[str] = ["id"], ts: str = "timestamp", path: str | None = None, buckets: int | None = None, rows_a_bucket: int = 5_000_000) -> DataFrame:
+    """A stage as a table in buckets by the keys, sorted by key and time: windows and joins by these keys need no shuffle of it, read anew.
+
+    The number of buckets follows the number of rows, if it isn't given; tables that are joined should have the same. Each bucket is one
+    file. Of series longer than a bucket, cut the key (see ``scan.with_chunk``) and give the chunk as a key too.
+    """
+    n = buckets or max(1, -(-df.count() // rows_a_bucket))
+    writer = df.repartition(n, *keys).write.bucketBy(n, *keys).sortBy(*keys, ts).format("parquet").option("path", path or scratch(df.sparkSession, name))
+    writer.saveAsTable(name)
+    return df.sparkSession.table(name)
+
+
+def write_per_home(df: DataFrame, path: str, id_col: str = "id", rows_a_file: int = 5_000_000) -> None:
+    """A folder of Parquet files for each id; rows are dealt by id, so that each folder has few files, and a home of more than rows_a_file rows is dealt to several tasks."""
+    sizes = df.groupBy(F.col(id_col).alias("_home")).agg(F.ceil(F.count("*") / F.lit(rows_a_file)).cast("int").alias("_files")).where("_files > 1")
+    dealt = df.join(sizes, F.col(id_col) == F.col("_home"), "left").withColumn("_file", F.pmod(F.xxhash64(*df.columns), F.coalesce("_files", F.lit(1))))
+    dealt.repartition(id_col, "_file").select(*df.columns).write.partitionBy(id_col).parquet(path)
 
 
 def write_csv_per_home(df: DataFrame, path: str, id_col: str = "id", ts: str = "timestamp", zone: str = "UTC") -> None:

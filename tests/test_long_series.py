@@ -333,3 +333,41 @@ def test_blocks_of_homes_and_times(spark):
     for k, v in large.items():
         assert (v is None) == (k[0] == 90) == (small[k] is None) and (v is None or abs(v - small[k]) < 1e-9)
     assert spatial.spatial_interpolate(w.limit(0), h, s).count() == 0 == spatial.spatial_interpolate(w, h.limit(0), s).count()
+
+
+def test_buckets_save_shuffles(spark, tmp_path):
+    from pyspark.sql import Window
+
+    from hearthline.sources import io
+
+    rows = [r for r in series(14) if r[1] is not None]
+    df = spark.createDataFrame(rows, SCHEMA)
+    names = [f"buckets_{tmp_path.name}_{i}" for i in (0, 1)]
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        a, b = (io.write_bucketed(df, n, buckets=3, path=f"{tmp_path}/{n}") for n in names)
+        after = a.withColumn("before", F.lag("value").over(Window.partitionBy("id").orderBy("timestamp", "n"))).join(b.groupBy("id").agg(F.count("*").alias("all")), "id")
+        assert "Exchange" not in after._jdf.queryExecution().executedPlan().toString()
+        assert after.count() == len(rows) and after.agg(F.count("before")).first()[0] > 0
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+        for n in names:
+            spark.sql(f"DROP TABLE IF EXISTS {n}")
+    assert len([*(tmp_path / names[0]).glob("*.parquet")]) <= 3
+
+
+def test_a_large_home_has_several_files(spark, tmp_path):
+    from hearthline.sources import io
+
+    df = spark.range(1000).selectExpr("id as n", "if(id < 900, 1L, id) as id")
+    old = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.shuffle.partitions")}
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # as for partitions that are worth a task
+    spark.conf.set("spark.sql.shuffle.partitions", "101")
+    try:
+        io.write_per_home(df, f"{tmp_path}/homes", rows_a_file=300)
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert len([*(tmp_path / "homes" / "id=1").glob("*.parquet")]) == 3 and len([*(tmp_path / "homes" / "id=950").glob("*.parquet")]) == 1
+    assert spark.read.parquet(f"{tmp_path}/homes").count() == 1000
