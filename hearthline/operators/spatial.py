@@ -232,3 +232,76 @@ def bilinear_lookup(df: DataFrame, surface: DataFrame, model: str, x: str, y: st
     out = term("_v00", (1 - fx) * (1 - fy)) + term("_v10", fx * (1 - fy)) + term("_v01", (1 - fx) * fy) + term("_v11", fx * fy)
     helpers = [f"_{n}{c}" for c in (x, y) for n in ("lo", "hi", "h", "i", "f")] + [f"_v{a}{b}" for a in (0, 1) for b in (0, 1)]
     return df.withColumn(name, out).drop(*helpers)
+
+
+def slope_matrix(at: np.ndarray) -> np.ndarray:
+    """Slopes at the nodes of the cubic spline through values there, as a matrix that multiplies the values.
+
+    The third derivative goes on over the second and the last but one node, so values of a cubic give it back; three nodes give a parabola, two a line.
+    """
+    n, h = len(at), np.diff(at)
+    if n == 1:
+        return np.zeros((1, 1))
+    step = np.zeros((n - 1, n))  # differences of neighbours over their distance
+    step[np.arange(n - 1), np.arange(n - 1)], step[np.arange(n - 1), np.arange(1, n)] = -1 / h, 1 / h
+    if n == 2:
+        return np.repeat(step, 2, axis=0)
+    if n == 3:
+        bend = (step[1] - step[0]) / (h[0] + h[1])
+        return np.array([step[0] - bend * h[0], step[0] + bend * h[0], step[1] + bend * h[1]])
+    a, b = np.zeros((n, n)), np.zeros((n, n))
+    for i in range(1, n - 1):
+        a[i, i - 1], a[i, i], a[i, i + 1] = h[i], 2 * (h[i - 1] + h[i]), h[i - 1]
+        b[i] = 3 * (h[i] * step[i - 1] + h[i - 1] * step[i])
+    for row, i in ((0, 0), (n - 1, n - 3)):
+        u, v = 1 / h[i] ** 2, 1 / h[i + 1] ** 2
+        a[row, i], a[row, i + 1], a[row, i + 2] = u, u - v, -v
+        b[row] = 2 * (u * step[i] - v * step[i + 1])
+    return np.linalg.solve(a, b)
+
+
+def spline_lookup(df: DataFrame, surface: DataFrame, model: str, x: str, y: str, value: str, name: str) -> DataFrame:
+    """The surface's value on a bicubic spline through its grid points, with x and y held within each model's grid.
+
+    surface has (model, x, y, value) on a grid of any steps, small enough a model for one task. The spline of a model is solved once, as values, slopes
+    and twists at the corners of each cell; rows meet their cell in one join and are evaluated in expressions. Null where x or y is missing,
+    and for models that have no grid or one with holes.
+    """
+    kind = surface.schema[model]
+    corners = [f"_{c}{i}{j}" for c in ("f", "x", "y", "t") for i in (0, 1) for j in (0, 1)]
+
+    def cells(g: pd.DataFrame) -> pd.DataFrame:
+        g = g[[x, y, value]].astype(float).dropna().drop_duplicates([x, y])
+        grid = g.pivot(index=x, columns=y, values=value)
+        at, f = (grid.index.to_numpy(), grid.columns.to_numpy()), grid.to_numpy()
+        if not f.size or np.isnan(f).any():
+            return pd.DataFrame(columns=[f.name for f in schema])
+        dx, dy = slope_matrix(at[0]), slope_matrix(at[1])
+        nodes = {"f": f, "x": dx @ f, "y": f @ dy.T, "t": dx @ f @ dy.T}
+        i, j = (m.ravel() for m in np.meshgrid(np.arange(max(1, len(at[0]) - 1)), np.arange(max(1, len(at[1]) - 1)), indexing="ij"))
+        far = lambda k, axis, d: np.minimum(k + d, len(at[axis]) - 1)
+        out = {"_ix": i, "_iy": j, "_x0": at[0][i], "_x1": at[0][far(i, 0, 1)], "_y0": at[1][j], "_y1": at[1][far(j, 1, 1)]}
+        out |= {f"_{c}{a}{b}": v[far(i, 0, a), far(j, 1, b)] for c, v in nodes.items() for a in (0, 1) for b in (0, 1)}
+        return pd.DataFrame(out)
+
+    schema = T.StructType([T.StructField(c, T.LongType()) for c in ("_ix", "_iy")] + [T.StructField(c, T.DoubleType()) for c in ("_x0", "_x1", "_y0", "_y1", *corners)])
+    named = T.StructType([T.StructField("_m", kind.dataType), *schema.fields])
+    solved = kept(surface.where(F.col(model).isNotNull()).groupBy(model).applyInPandas(lambda key, g: cells(g).assign(_m=key[0])[named.names], named), "spline-cells")
+    # a cell goes from its lower edge on to its upper one, the outermost also beyond
+    axes = solved.groupBy(F.col("_m").alias("_am")).agg(F.array_sort(F.collect_set("_x0")).alias("_xs"), F.array_sort(F.collect_set("_y0")).alias("_ys"))
+    place = lambda c, edges: F.greatest(F.size(F.filter(edges, lambda e: e <= F.col(c))) - 1, F.lit(0)).cast("long")
+    out = df.join(axes, F.col(model) == F.col("_am"), "left").withColumns({"_px": F.when(F.col(x).isNotNull(), place(x, F.col("_xs"))), "_py": F.when(F.col(y).isNotNull(), place(y, F.col("_ys")))})
+    out = out.join(solved, (F.col("_am") == F.col("_m")) & (F.col("_px") == F.col("_ix")) & (F.col("_py") == F.col("_iy")), "left")
+
+    def basis(c: str, low: str, high: str) -> tuple[Column, list[tuple[Column, Column]]]:
+        wide = F.col(high) - F.col(low)
+        u = F.when(wide > 0, (F.least(F.greatest(F.col(c), F.col(low)), F.col(high)) - F.col(low)) / wide).otherwise(F.lit(0.0))
+        rest = 1 - u
+        return wide, [((1 + 2 * u) * rest * rest, u * rest * rest * wide), (u * u * (3 - 2 * u), -u * u * rest * wide)]
+
+    (_, bx), (_, by) = basis(x, "_x0", "_x1"), basis(y, "_y0", "_y1")
+    terms = [F.col(f"_{c}{a}{b}") * bx[a][c in "xt"] * by[b][c in "yt"] for c in ("f", "x", "y", "t") for a in (0, 1) for b in (0, 1)]
+    total = terms[0]
+    for t in terms[1:]:
+        total = total + t
+    return out.select(*(F.col(f"`{c}`") for c in df.columns if c != name), F.when(F.col(x).isNotNull() & F.col(y).isNotNull(), total).alias(name))

@@ -134,6 +134,35 @@ def q_boiler_eta_lookup(spark, sf):
     return rounded(spatial.bilinear_lookup(df, surface(spark, sf), "model", "load", "temp", "eta", 10.0, 20.0, "eta").select("id", "timestamp", "eta"))
 
 
+def _slopes_of(n: int) -> str:
+    """Slopes at n evenly spaced nodes of the spline whose third derivative goes on over the second and last but one node: (i, k, d), from its bends."""
+    bends, f = np.zeros((n, n)), np.eye(n)
+    right = np.zeros((n, n))
+    for i in range(1, n - 1):
+        bends[i, i - 1 : i + 2] = (1, 4, 1)
+        right[i] = 6 * (f[i - 1] - 2 * f[i] + f[i + 1])
+    bends[0, :3] = bends[-1, -3:] = (1, -2, 1)
+    m = np.linalg.solve(bends, right)
+    d = np.array([f[i + 1] - f[i] - (2 * m[i] + m[i + 1]) / 6 for i in range(n - 1)] + [f[-1] - f[-2] + (m[-2] + 2 * m[-1]) / 6])
+    return "VALUES " + ", ".join(f"({i}, {k}, {float(d[i, k])!r}::double)" for i in range(n) for k in range(n))
+
+
+@query(f"""WITH {_SURFACE}, d(i, k, d) AS ({_slopes_of(11)}), n AS (SELECT model, (load / 10)::int AS i, (temp / 20)::int AS j, eta AS f FROM sf),
+fx AS (SELECT model, d.i, j, sum(d.d * f) AS v FROM n JOIN d ON d.k = n.i GROUP BY ALL), fy AS (SELECT model, n.i, d.i AS j, sum(d.d * f) AS v FROM n JOIN d ON d.k = n.j GROUP BY ALL),
+t AS (SELECT model, d.i, j, sum(d.d * v) AS v FROM fy JOIN d ON d.k = fy.i GROUP BY ALL),
+a AS (SELECT model, i, j, f, fx.v AS x, fy.v AS y, t.v AS t FROM n JOIN fx USING (model, i, j) JOIN fy USING (model, i, j) JOIN t USING (model, i, j) WHERE model IN (SELECT model FROM n GROUP BY 1 HAVING count(*) = 121)),
+h AS (SELECT id, timestamp, id % 3 AS model, least(greatest(click, 0), 100) / 10 AS gx, least(greatest(view, 0), 200) / 20 AS gy FROM w WHERE click IS NOT NULL AND view IS NOT NULL),
+g AS (SELECT *, least(floor(gx), 9)::int AS ix, least(floor(gy), 9)::int AS iy FROM h), u AS (SELECT *, gx - ix AS u, gy - iy AS v FROM g),
+e AS (SELECT id, timestamp, sum(f * hx0 * hy0 + x * hx1 * hy0 + y * hx0 * hy1 + t * hx1 * hy1) AS eta FROM (SELECT u.id, u.timestamp, f, x, y, t,
+  CASE i - ix WHEN 0 THEN (1 + 2 * u) * (1 - u) ** 2 ELSE u * u * (3 - 2 * u) END AS hx0, CASE i - ix WHEN 0 THEN u * (1 - u) ** 2 ELSE u * u * (u - 1) END AS hx1,
+  CASE j - iy WHEN 0 THEN (1 + 2 * v) * (1 - v) ** 2 ELSE v * v * (3 - 2 * v) END AS hy0, CASE j - iy WHEN 0 THEN v * (1 - v) ** 2 ELSE v * v * (v - 1) END AS hy1
+  FROM u JOIN a ON a.model = u.model AND i - ix IN (0, 1) AND j - iy IN (0, 1)) GROUP BY ALL)
+SELECT w.id, w.timestamp, round(eta + 3e-9, 6) AS eta FROM w LEFT JOIN e ON e.id = w.id AND e.timestamp = w.timestamp""")
+def q_boiler_eta_spline(spark, sf):
+    df = wide(spark, sf).select("id", "timestamp", (F.col("id") % 3).alias("model"), F.col("click").alias("load"), F.col("view").alias("temp"))
+    return rounded(spatial.spline_lookup(df, surface(spark, sf), "model", "load", "temp", "eta", "eta").select("id", "timestamp", "eta"))
+
+
 @query(f"""WITH {_SURFACE}, g AS (SELECT DISTINCT model, temp, unnest(range(0, 101, 10)) AS load FROM sf)
 SELECT g.model::bigint AS model, g.load::double AS load, (g.temp / 100)::double AS temp, round(round(eta, 8) + 3e-9, 6) AS eta FROM g LEFT JOIN sf ON sf.model = g.model AND sf.temp = g.temp AND sf.load = g.load""")
 def q_read_lookup_matrix(spark, sf):

@@ -371,3 +371,36 @@ def test_a_large_home_has_several_files(spark, tmp_path):
             spark.conf.set(k, v)
     assert len([*(tmp_path / "homes" / "id=1").glob("*.parquet")]) == 3 and len([*(tmp_path / "homes" / "id=950").glob("*.parquet")]) == 1
     assert spark.read.parquet(f"{tmp_path}/homes").count() == 1000
+
+
+@pytest.mark.parametrize("n", [2, 3, 4, 5, 9])
+def test_slopes_are_exact_on_cubics(n):
+    at_ = np.cumsum([0.5, 1, 2, 0.7, 1.3, 1, 3, 0.2, 1][:n])
+    power = min(n - 1, 3)
+    assert np.allclose(spatial.slope_matrix(at_) @ (at_**power), power * at_ ** (power - 1))
+
+
+def test_spline_surface(spark):
+    rng = random.Random(15)
+    cubic = lambda x, y: 0.5 + 0.1 * x - 0.02 * x * y + 0.001 * x**3 - 0.0005 * x * y**3 + 0.0001 * x**3 * y**2
+    xs, ys = [0.0, 1.0, 2.5, 3.0, 5.0], [0.0, 2.0, 3.0, 4.5]
+    rough = {(x, y): rng.random() for x in xs for y in ys}
+    surface = [(m, x, y, cubic(x, y) if m == 1 else rough[x, y]) for m in (1, 2) for x in xs for y in ys] + [(3, 0.0, 0.0, 1.0), (3, 1.0, 1.0, 1.0), (None, 0.0, 0.0, 1.0), (4, 1.0, 1.0, 0.7)]
+    asked = [(i, m, rng.choice([None, rng.uniform(-1, 6), rng.choice(xs)]), rng.uniform(-1, 5)) for i, m in enumerate([1, 2, 3, 4, 5, None] * 40)]
+    s = spark.createDataFrame(surface, "model long, x double, y double, eta double")
+    got = {r["n"]: r["e"] for r in spatial.spline_lookup(spark.createDataFrame(asked, "n long, model long, x double, y double"), s, "model", "x", "y", "eta", "e").collect()}
+    assert len(got) == len(asked)
+    for i, m, x, y in asked:
+        if m not in (1, 2, 4) or x is None:
+            assert got[i] is None
+        elif m == 4:
+            assert got[i] == pytest.approx(0.7)
+        elif m == 1:
+            assert got[i] == pytest.approx(cubic(min(max(x, 0), 5), min(max(y, 0), 4.5)), abs=1e-9)
+    # through the nodes, and with slopes that go on over the edges of cells
+    near = [(k, 2, x + e, y) for k, (x, y, e) in enumerate((x, y, e) for x in xs[1:-1] for y in (1.1, 3.0) for e in (-1e-4, 0.0, 1e-4))]
+    at_ = {r["n"]: r["e"] for r in spatial.spline_lookup(spark.createDataFrame(near, "n long, model long, x double, y double"), s, "model", "x", "y", "eta", "e").collect()}
+    for k in range(0, len(near), 3):
+        assert abs((at_[k + 2] - at_[k + 1]) - (at_[k + 1] - at_[k])) < 1e-6
+        if near[k][3] == 3.0:
+            assert at_[k + 1] == pytest.approx(rough[near[k + 1][2], 3.0])
