@@ -39,14 +39,19 @@ def to_properties(df: DataFrame, properties: list[str], types: dict[str, str] |
     return cast_by_property_types(out, types) if types else out
 
 
-def unstack_source(df: DataFrame, columns: list[str], labels: list[str] | None = None, keys: tuple[str, ...] = ("id", "timestamp"), prefix: Column | None = None) -> DataFrame:
-    """Columns <category>_<type>_<property> for each source; several rows of one cell are averaged, columns without a value dropped."""
+def unstack_source(df: DataFrame, columns: list[str], labels: list[str] | None = None, keys: tuple[str, ...] = ("id", "timestamp"), prefix: Column | None = None, drop_empty: bool = True) -> DataFrame:
+    """Columns <category>_<type>_<property> for each source; several rows of one cell are averaged, columns without a value dropped.
+
+    With labels and without drop_empty nothing runs until the result is read; to find empty columns takes a pass over df.
+    """
     label = F.concat_ws("_", "source_category", "source_type") if prefix is None else prefix
     df = df.withColumn("_label", label)
     if labels is None:
         labels = _observed(df.select("_label"), "labels")
     cells = {f"{p}_{c}": F.when(F.col("_label") == p, F.col(c)) for p in labels for c in columns}
     # a column has a mean if the source has any value of it, which needs no grouping
+    if not drop_empty:
+        return df.groupBy(*keys).agg(*(F.avg(v).alias(c) for c, v in cells.items()))
     found = df.agg(*(F.count(v).alias(c) for c, v in cells.items())).first().asDict() if cells else {}
     return df.groupBy(*keys).agg(*(F.avg(v).alias(c) for c, v in cells.items() if found[c])) if any(found.values()) else df.select(*keys).distinct()
 

@@ -12,6 +12,7 @@ from hearthline.operators import audit, fit, mask, regime, schedules, spatial, s
 from hearthline.plans.periods import _WEEKS, weeks
 from hearthline.plans.registry import PROPERTIES, measurements, query, rounded, table, wide
 from hearthline.plans.tables import _CHANGES, _NATIONAL, national
+from hearthline.sources.io import kept
 
 CP = [1e-5, -0.002, 0.5, 4180.0]
 
@@ -303,6 +304,13 @@ def q_audit_step(spark, sf):
     return log[0]
 
 
+@query("SELECT 'filter_min_max' AS step, count(*) AS rows_before, count(DISTINCT id) AS ids_before, count(click) AS click_before, count(*) AS rows_after, count(DISTINCT id) AS ids_after, count(CASE WHEN click BETWEEN 20 AND 100 THEN click END) AS click_after FROM w")
+def q_observed_step(spark, sf):
+    log: list = []
+    kept(audit.observed(["click"], log)(mask.filter_min_max)(wide(spark, sf), "click", 20, 100), "audited")
+    return audit.observed_log(spark, log, ["click"])
+
+
 # ---- fits
 
 

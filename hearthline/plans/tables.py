@@ -45,7 +45,7 @@ def q_to_properties(spark, sf):
 def q_unstack_source(spark, sf):
     m = measurements(spark, sf)
     day = F.date_trunc("DAY", "timestamp").cast("timestamp_ntz")
-    return rounded(p.unstack_source(m.withColumn("timestamp", day), ["value"], [f"{c}_{t}" for c in ("cloud_feed", "device") for t in ("s0", "s1")]))
+    return rounded(p.unstack_source(m.withColumn("timestamp", day), ["value"], [f"{c}_{t}" for c in ("cloud_feed", "device") for t in ("s0", "s1")], drop_empty=False))
 
 
 @query("""WITH k AS (SELECT event_id, id, source_type AS property, property AS value FROM m WHERE source_type = 's1'), c AS (SELECT DISTINCT value AS c FROM k)

@@ -404,3 +404,23 @@ def test_spline_surface(spark):
         assert abs((at_[k + 2] - at_[k + 1]) - (at_[k + 1] - at_[k])) < 1e-6
         if near[k][3] == 3.0:
             assert at_[k + 1] == pytest.approx(rough[near[k + 1][2], 3.0])
+
+
+def test_steps_are_counted_in_the_pass_itself(spark):
+    from hearthline.operators import audit, mask
+
+    df = spark.createDataFrame(series(16), SCHEMA)
+    columns, log = ["value"], []
+    step = audit.observed(columns, log)
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("audit", "")
+    out = step(mask.filter_between)(step(mask.filter_min_max)(df, "value", 2, 7), "value", 3, 5)
+    rows = out.collect()
+    jobs = len(tracker.getJobIdsForGroup("audit"))
+    spark.sparkContext.setJobGroup("plain", "")
+    assert len(mask.filter_between(mask.filter_min_max(df, "value", 2, 7), "value", 3, 5).collect()) == len(rows)
+    assert jobs == len(tracker.getJobIdsForGroup("plain"))
+    got = [r.asDict() for r in audit.observed_log(spark, log, columns).collect()]
+    middle = mask.filter_min_max(df, "value", 2, 7)
+    want = [audit.audit_step("filter_min_max", df, middle, columns), audit.audit_step("filter_between", middle, mask.filter_between(middle, "value", 3, 5), columns)]
+    assert got == [w.first().asDict() for w in want]
