@@ -10,12 +10,14 @@ Quantiles are linear between ranks, as by (n - 1) q. Nulls and NaN are left out;
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from hearthline.sources.io import kept
 
@@ -42,19 +44,20 @@ def _values(df: DataFrame, keys: list[str], column: str, *more: str) -> DataFram
 
 
 def _bounds(values: DataFrame, keys: list[str], large: int) -> DataFrame:
-    """(keys, _b): approximate quantiles of the groups of more than large values, written."""
+    """(keys, _b, _r): approximate quantiles of the groups of more than large values, and every SIDE-th of them, written."""
     sizes = kept(values.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > large), "large-groups")
     if sizes.isEmpty():
-        return sizes.select(*keys, F.array(F.lit(0.0)).alias("_b"))
+        return sizes.select(*keys, F.array(F.lit(0.0)).alias("_b"), F.array(F.lit(0.0)).alias("_r"))
     at = [i / (BINS + 1) for i in range(1, BINS + 1)]
-    return kept(_met(values, sizes.drop("_n"), keys, "left_semi").groupBy(*keys).agg(F.percentile_approx("_x", at, 10_000).alias("_b")), "group-bounds")
+    bounds = _met(values, sizes.drop("_n"), keys, "left_semi").groupBy(*keys).agg(F.percentile_approx("_x", at, 10_000).alias("_b"))
+    return kept(bounds.withColumn("_r", F.filter("_b", lambda b, i: (i + 1) % SIDE == 0)), "group-bounds")
 
 
-def _bin(bounds: str) -> Column:
-    """How many bounds are below _x: first among every SIDE-th, then among those between two of them; 0 without bounds."""
+def _binned(values: DataFrame, bounds: DataFrame, keys: list[str], *more: str) -> DataFrame:
+    """(keys, more, _x, _bin) of the groups with bounds: how many bounds are below _x, first among every SIDE-th, then among those between two of them."""
     below = lambda part: F.size(F.filter(part, lambda b: b < F.col("_x")))
-    rough = below(F.filter(F.col(bounds), lambda b, i: (i + 1) % SIDE == 0))
-    return F.when(F.col(bounds).isNull(), 0).otherwise(rough * SIDE + below(F.slice(F.col(bounds), rough * SIDE + 1, SIDE - 1))).cast("int")
+    rough = _met(values, bounds, keys).withColumn("_i", below(F.col("_r")) * SIDE)
+    return rough.select(*keys, *more, "_x", (F.col("_i") + below(F.slice("_b", F.col("_i") + 1, SIDE - 1))).cast("int").alias("_bin"))
 
 
 def quantiles(df: DataFrame, keys: list[str], column: str, at: dict[str, float], large: int | None = None) -> DataFrame:
@@ -64,7 +67,7 @@ def quantiles(df: DataFrame, keys: list[str], column: str, at: dict[str, float],
     plain = lambda v: v.groupBy(*keys).agg(*(F.percentile("_x", q).alias(n) for n, q in at.items()))
     if bounds.isEmpty():
         return plain(values)
-    binned = _met(values, bounds, keys).select(*keys, "_x", _bin("_b").alias("_bin"))
+    binned = _binned(values, bounds, keys)
     counts = binned.groupBy(*keys, "_bin").agg(F.count("*").alias("_c"))
     w = Window.partitionBy(*keys)
     counts = counts.withColumns({"_to": F.sum("_c").over(w.orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)), "_n": F.sum("_c").over(w)})
@@ -84,20 +87,45 @@ def quantiles(df: DataFrame, keys: list[str], column: str, at: dict[str, float],
         low, high, share = ends(n)
         picked.append((low + (high - low) * share).alias(n))
     out = found.groupBy(*keys).agg(*picked)
-    return out.unionByName(plain(_met(values, bounds.drop("_b"), keys, "left_anti"))) if keys else out
+    return out.unionByName(plain(_met(values, bounds.select(*keys), keys, "left_anti"))) if keys else out
 
 
 def quantiles_from(df: DataFrame, keys: list[str], column: str, level: str, at: dict[str, float], large: int | None = None) -> DataFrame:
     """(keys, level, a column for each of at): for each level from 0 to a group's greatest, exact quantiles of its rows of that level or a higher one.
 
-    level: a column of small whole numbers from 0 on. A row goes on once, whatever the number of levels: counts by bin and level,
+    level: a column of small whole numbers from 0 on. A row goes on once, whatever the number of levels. A group of up to large values is one row of
+    value counts, from which all levels are read. In a larger one counts by bin and level,
     cumulated from the highest level down, tell the bin and place of each rank, and each bin picks its own.
     """
     values = _values(df, keys, column, level).where(F.col(level) >= 0)
     bounds = _bounds(values, keys, LARGE if large is None else large)
-    binned = _met(values, bounds, keys, "left").select(*keys, level, "_x", _bin("_b").alias("_bin"))
     names, shares = [*at], np.array([*at.values()])
-    fields = [binned.schema[k] for k in keys]
+    fields = [values.schema[k] for k in keys]
+    schema = T.StructType([*fields, T.StructField(level, T.IntegerType()), *(T.StructField(n, T.DoubleType()) for n in names)])
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            of, levels, found = [], [], [np.empty((0, len(names)))]
+            for i, (x, t, c) in enumerate(zip(b["_x"], b["_l"], b["_c"])):
+                for least in range(int(t.max()) + 1):
+                    here = t >= least
+                    to = c[here].cumsum()
+                    pos = shares * (to[-1] - 1)
+                    low, high = (x[here][np.searchsorted(to, end(pos), side="right")] for end in (np.floor, np.ceil))
+                    found.append((low + (high - low) * (pos - np.floor(pos)))[None])
+                    of.append(i)
+                    levels.append(least)
+            out = b[keys].iloc[of].reset_index(drop=True)
+            out[level] = np.array(levels, dtype=np.int32)
+            out[names] = np.concatenate(found)
+            yield out[schema.names]
+
+    small = _met(values, bounds.select(*keys), keys, "left_anti") if keys else values.where(F.lit(bounds.isEmpty()))
+    rows = small.groupBy(*keys, level, "_x").agg(F.count("*").alias("_c")).groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("_x", F.col(level).alias("_l"), "_c"))).alias("_g"))
+    few = rows.where(F.size("_g") > 0).select(*keys, *(F.col(f"_g.{c}").alias(c) for c in ("_x", "_l", "_c"))).mapInPandas(read, schema)
+    if bounds.isEmpty():
+        return few
+    binned = _binned(values, bounds, keys, level)
 
     def wanted(counts: pd.DataFrame) -> pd.DataFrame:
         bins, b = np.unique(counts["_bin"].to_numpy(), return_inverse=True)
@@ -134,7 +162,7 @@ def quantiles_from(df: DataFrame, keys: list[str], column: str, level: str, at:
     found = inside.groupBy(*keys, "_bin").cogroup(asked.groupBy(*keys, "_bin")).applyInPandas(picked, f"{head}_t int, _q int, _end int, _w double, _v double")
     end = lambda q, e: F.max(F.when((F.col("_q") == q) & (F.col("_end") == e), F.col("_v")))
     columns = [(end(i, 0) + (end(i, 1) - end(i, 0)) * F.max(F.when(F.col("_q") == i, F.col("_w")))).alias(n) for i, n in enumerate(names)]
-    return found.groupBy(*keys, F.col("_t").alias(level)).agg(*columns)
+    return found.groupBy(*keys, F.col("_t").alias(level)).agg(*columns).unionByName(few)
 
 
 def joined(df: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:

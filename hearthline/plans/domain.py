@@ -420,10 +420,10 @@ def q_fit_building(spark, sf):
     return digits(fit.fit_building(_building(spark, sf), _jobs(spark, sf)).where("n >= 8"), *_LEARNED_NAMES)
 
 
-@query(f"""WITH {_BUILDING}, d AS (SELECT r.id, r.s, outside + heat / (b2 * c) - inside AS d FROM r JOIN fitted f ON f.id = r.id AND f.s = r.s), er AS (SELECT id, s, avg(abs(d)) AS mae, sqrt(avg(d * d)) AS rmse FROM d GROUP BY ALL)
+@query(f"""WITH {_BUILDING}, d AS (SELECT r.id, r.s, outside + heat / nullif(b2 * c, 0) - inside AS d FROM r JOIN fitted f ON f.id = r.id AND f.s = r.s), er AS (SELECT id, s, avg(abs(d)) AS mae, sqrt(avg(d * d)) AS rmse FROM d GROUP BY ALL)
 SELECT f.id, f.s AS "start", f.e AS "end", n, {_LEARNED}, {_text("mae", "mae_temp_indoor__degC")}, {_text("rmse", "rmse_temp_indoor__degC")} FROM fitted f LEFT JOIN er ON er.id = f.id AND er.s = f.s""")
 def q_learn_system_parameters(spark, sf):
-    predict = lambda rows: F.col("temp_outdoor__degC") + (F.col("heat_dstr__W") + F.col("heat_int__W")) / F.col("learned_H__W_K")
+    predict = lambda rows: F.col("temp_outdoor__degC") + (F.col("heat_dstr__W") + F.col("heat_int__W")) / F.nullif(F.col("learned_H__W_K"), F.lit(0.0))
     out = fit.learn_system_parameters(_building(spark, sf), _jobs(spark, sf), fit.fit_building, predict, "temp_indoor__degC")[0]
     return digits(out.where("n >= 8"), *_LEARNED_NAMES, "mae_temp_indoor__degC", "rmse_temp_indoor__degC")
 

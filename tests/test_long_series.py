@@ -202,7 +202,7 @@ def test_a_large_group_is_not_in_one_task(spark):
     bounds = order_stats._bounds(values, ["k"], 1000)
     b = bounds.first()["_b"]
     assert len(b) == order_stats.BINS
-    sizes = [r["count"] for r in order_stats._met(values, bounds, ["k"]).select(order_stats._bin("_b").alias("bin")).groupBy("bin").count().collect()]
+    sizes = [r["count"] for r in order_stats._binned(values, bounds, ["k"]).groupBy("_bin").count().collect()]
     assert sum(sizes) == 200_000 and max(sizes) < 2000 and len(sizes) > 1000
     x = [r["x"] for r in df.collect()]
     out = stats.describe_per_group(df, ["k"], "x", 1000).first()
