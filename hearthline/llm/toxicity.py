@@ -36,16 +36,33 @@ from hearthline.llm.labelled import CLASS_BOUND, labelled_sample
 #: Longest n-gram; longest n-gram of the shared backoff; least count of n-grams above SHARED + 1; words in a window.
 ORDER, SHARED, LEAST, DISCOUNT, WINDOW = 6, 3, 2, 0.75, 8
 CACHE = 300_000
+#: Characters that are hashed at a time.
+PIECE = 1 << 18
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
-def gram_hashes(words: list[str]) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
-    """At each position of all words, padded on both sides: for k from 0 to ORDER the hash of the k characters that end there, and of the k before it; and the position's word."""
-    pad = "\x02" * (ORDER - 1)
-    text = "".join(pad + w + "\x03" for w in words)
+def pieces(words: list[str]) -> Iterator[tuple[list[str], np.ndarray]]:
+    """Padded words, and which word each is, about PIECE characters at a time; a longer word is cut, with the ORDER - 1 characters before a cut in front of what follows."""
+    pad, held, owners, size = "\x02" * (ORDER - 1), [], [], 0
+    for i, w in enumerate(words):
+        w = pad + w + "\x03"
+        for a in range(ORDER - 1, len(w), PIECE):
+            held.append(w[a - ORDER + 1 : a + PIECE])
+            owners.append(i)
+            size += len(held[-1])
+            if size >= PIECE:
+                yield held, np.array(owners)
+                held, owners, size = [], [], 0
+    if held:
+        yield held, np.array(owners)
+
+
+def gram_hashes(padded: list[str]) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
+    """At each position of padded words but for the first ORDER - 1 characters of each: for k from 0 to ORDER the hash of the k characters that end there, and of the k before it; and the position's word."""
+    text = "".join(padded)
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
-    lengths = np.array([len(w) + ORDER for w in words], dtype=np.int64)
-    word = np.repeat(np.arange(len(words)), lengths)
+    lengths = np.array([len(w) for w in padded], dtype=np.int64)
+    word = np.repeat(np.arange(len(padded)), lengths)
     inside = np.arange(len(codes)) - np.repeat(np.cumsum(lengths) - lengths, lengths) >= ORDER - 1
     mixed = (codes + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
     h, power = np.zeros(len(codes) + 1, dtype=np.uint64), np.uint64(1)
@@ -76,10 +93,9 @@ def gram_counts(sample: DataFrame) -> DataFrame:
     def count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             words = b.column(0).to_pylist()
-            for i in range(0, len(words), 20_000):
-                part = words[i : i + 20_000]
-                grams, ctx, word = gram_hashes(part)
-                n1, n0 = (b.column(c).to_numpy()[i : i + 20_000][word] for c in (1, 2))
+            for padded, owner in pieces(words):
+                grams, ctx, word = gram_hashes(padded)
+                n1, n0 = (b.column(c).to_numpy()[owner[word]] for c in (1, 2))
                 for k in range(1, ORDER + 1):
                     g, at, back = np.unique(grams[k], return_index=True, return_inverse=True)
                     yield pa.RecordBatch.from_arrays(
@@ -117,20 +133,23 @@ class ToxicModel:
 
     def weigh(self, words: list[str]) -> np.ndarray:
         """log p(word | toxic) - log p(word | ordinary)."""
-        grams, ctx, word = gram_hashes(words)
-        out, open_ = np.zeros(len(word)), np.arange(len(word))
-        for k in range(ORDER, SHARED, -1):
-            keys, value = self.grams[k]
-            at, hit = _find(keys, grams[k][open_])
-            out[open_[hit]] += value[at[hit]]
-            open_ = open_[~hit]
-            keys, value = self.contexts[k]
-            at, hit = _find(keys, ctx[k - 1][open_])
-            out[open_[hit]] += value[at[hit]]
-        return np.bincount(word, out, len(words))
+        total = np.zeros(len(words))
+        for padded, owner in pieces(words):
+            grams, ctx, word = gram_hashes(padded)
+            out, open_ = np.zeros(len(word)), np.arange(len(word))
+            for k in range(ORDER, SHARED, -1):
+                keys, value = self.grams[k]
+                at, hit = _find(keys, grams[k][open_])
+                out[open_[hit]] += value[at[hit]]
+                open_ = open_[~hit]
+                keys, value = self.contexts[k]
+                at, hit = _find(keys, ctx[k - 1][open_])
+                out[open_[hit]] += value[at[hit]]
+            total += np.bincount(owner[word], out, len(words))
+        return total
 
     def _weigh_all(self, words: list[str]) -> list[float]:
-        return [x for i in range(0, len(words), 20_000) for x in self.weigh(words[i : i + 20_000]).tolist()]
+        return self.weigh(words).tolist()
 
     def evidence(self, texts: list[str | None]) -> np.ndarray:
         """(texts, 2): mean weight a word of each text, and of its most toxic window."""

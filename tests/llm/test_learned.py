@@ -120,6 +120,18 @@ def test_class_models_against_slow_ones(spark):
     assert model.weigh(some) == pytest.approx([slow.weigh(w) for w in some], abs=1e-9)
 
 
+def test_long_words_weigh_alike(spark, monkeypatch):
+    docs, labels = labelled(spark)
+    model = toxicity.fit_toxicity(docs, labels)
+    some = ["a", "", "idiotidiot" * 7, "x" * 500, "straße" * 40, *words(random.Random(5), 50).split()]
+    whole = model.weigh(some)
+    for size in (1, 7, 64):
+        monkeypatch.setattr(toxicity, "PIECE", size)
+        assert np.allclose(model.weigh(some), whole)
+    monkeypatch.undo()
+    assert np.isfinite(model.evidence(["y" * 3_000_000])).all()
+
+
 def test_repeats_neither_add_nor_dilute(spark):
     docs, labels = labelled(spark, 60)
     m = toxicity.fit_toxicity(docs, labels)
