@@ -423,3 +423,50 @@ def test_score_is_the_sum_over_all_segmentations(spark):
 
 def test_empty_model(spark):
     assert lm.score_documents(empty(spark)).count() == 0
+
+
+def test_learned_lattice_keeps_up_with_the_base(spark):
+    """Held out: words of known syllables, new ones among them, as likely as by counts or nearly so; never without a score."""
+    rng = random.Random(3)
+    parts = ["tho", "ver", "nan", "gli", "mur", "sek"]
+    rows = [(i, " ".join("".join(rng.choice(parts) for _ in range(rng.randint(1, 3))) for _ in range(60)), "en", "a", 1) for i in range(150)] + [(900 + i, t, "en", "a", 1) for i, t in enumerate([None, "", "q" * 400, "漢字 ☃"])]
+    got = lm.score_documents(frame(spark, rows), learn=True).collect()
+    assert len(got) == len(rows) and all(math.isfinite(r["score"]) and r["score"] < 0 for r in got)
+    held = [r for r in got if r["held_out"] and r["doc_id"] < 900]
+    score, base = sum(r["score"] for r in held), sum(r["base_score"] for r in held)
+    assert held and score > 1.1 * base
+    plain = {r["doc_id"]: r["score"] for r in lm.score_documents(frame(spark, rows)).collect()}
+    assert sum(plain[r["doc_id"]] for r in held) < 1.5 * base
+
+
+def test_learned_scores_are_sums_over_words(spark, monkeypatch):
+    """Whole-word arcs of heavy and light words alike, from the same weights."""
+    out = []
+    for heavy in (100_000, 3):
+        monkeypatch.setattr(lm, "HEAVY", heavy)
+        out.append(sorted((r["doc_id"] or -1, round(r["base_score"], 6), round(r["score"], 6)) for r in lm.score_documents(frame(spark), learn=True).collect()))
+    assert out[0] == out[1]
+    assert lm.score_documents(empty(spark), learn=True).count() == 0
+
+
+def test_expected_uses_by_enumeration():
+    lattice = lm.Lattice(lm.vocabulary_path())
+    m = lattice.m
+    at = {m.pieces[i]: (k, lattice.by_place[k]) for k, i in enumerate(m.ids)}
+
+    def ways(word):
+        if not word:
+            yield 1.0, Counter()
+        for i in range(1, len(word) + 1):
+            if word[:i] in at:
+                for p, used in ways(word[i:]):
+                    yield p * math.exp(at[word[:i]][1]), used + Counter([at[word[:i]][0]])
+
+    want: Counter = Counter()
+    for w in ("thea", "hello"):
+        found = list(ways("▁" + w))
+        for p, used in found:
+            for k, n in used.items():
+                want[k] += n * p / sum(q for q, _ in found)
+    got = lattice.uses([b"thea", b"hello"])
+    assert {k: pytest.approx(v) for k, v in want.items()} == {int(k): float(got[k]) for k in np.flatnonzero(got)}
