@@ -14,6 +14,12 @@ def _c(x: str | float | Column) -> Column:
     return F.col(x) if isinstance(x, str) else x if isinstance(x, Column) else F.lit(float(x))
 
 
+def quotient(above: str | Column, below: str | Column) -> Column:
+    """above / below of doubles; over zero as in floating-point arithmetic, infinite or not a number, where the operator raises an error."""
+    above, below = (F.col(x) if isinstance(x, str) else x for x in (above, below))
+    return F.when(below == 0, above * F.lit(float("inf"))).otherwise(above / below)
+
+
 def polynomial(x: str | Column, coefficients: list) -> Column:
     """Horner's rule; coefficients from the highest power down, numbers or columns."""
     return reduce(lambda a, c: a * _c(x) + _c(c), coefficients[1:], _c(coefficients[0]))

@@ -10,6 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from hearthline.functions.physics import quotient
 from hearthline.functions.time import seconds_between
 from hearthline.operators.mask import all_present
 from hearthline.operators.order_stats import joined, quantiles, quantiles_from
@@ -90,21 +91,21 @@ def mean_std_by(df: DataFrame, keys: list[str], column: str) -> DataFrame:
 def two_level_ratio(df: DataFrame, id_col: str, group: str, above: str, below: str) -> DataFrame:
     """Means by id, then by group: sum, mean and count of the means, and the ratio of the sums."""
     per = df.groupBy(id_col).agg(F.min(group).alias(group), F.avg(above).alias(above), F.avg(below).alias(below))
-    out = per.groupBy(group).agg(F.sum(above).alias("_a"), F.sum(below).alias("_b"), F.avg(F.col(above) / F.col(below)).alias("mean_ratio"), F.count("*").alias("n"))
-    return out.select(group, "mean_ratio", "n", (F.col("_a") / F.col("_b")).alias("ratio_of_sums"))
+    out = per.groupBy(group).agg(F.sum(above).alias("_a"), F.sum(below).alias("_b"), F.avg(quotient(above, below)).alias("mean_ratio"), F.count("*").alias("n"))
+    return out.select(group, "mean_ratio", "n", quotient("_a", "_b").alias("ratio_of_sums"))
 
 
 def ratio_of_means(df: DataFrame, keys: list[str], above: str, below: str, name: str = "ratio") -> DataFrame:
-    """Mean over mean of the rows that have both."""
+    """Mean over mean of the rows that have both; infinite (or not a number) over a mean of zero."""
     both = F.col(above).isNotNull() & F.col(below).isNotNull()
-    return df.where(both).groupBy(*keys).agg((F.avg(above) / F.avg(below)).alias(name))
+    return df.where(both).groupBy(*keys).agg(quotient(F.avg(above), F.avg(below)).alias(name))
 
 
 def method_comparison(df: DataFrame, base: str, methods: list[str], energy: str) -> DataFrame:
     """By method: mean difference to the base, and the sum of absolute differences over that of the energy."""
     cells = F.array(*(F.struct(F.lit(m).alias("method"), F.col(m).alias("v")) for m in methods))
     long = df.select(F.col(base).alias("_b"), F.col(energy).alias("_e"), F.explode(cells).alias("c")).select("_b", "_e", "c.method", "c.v")
-    return long.groupBy("method").agg(F.avg(F.col("v") - F.col("_b")).alias("mean_difference"), (F.sum(F.abs(F.col("v") - F.col("_b"))) / F.sum("_e")).alias("relative_difference"))
+    return long.groupBy("method").agg(F.avg(F.col("v") - F.col("_b")).alias("mean_difference"), quotient(F.sum(F.abs(F.col("v") - F.col("_b"))), F.sum("_e")).alias("relative_difference"))
 
 
 def mae(a: str, b: str) -> Column:
@@ -241,7 +242,7 @@ def lookup_means(df: DataFrame, model: str, y: str, value: str) -> DataFrame:
 
 def spread_ratios(df: DataFrame, column: str) -> DataFrame:
     lo, mid, hi = F.min(column), F.avg(column), F.max(column)
-    return df.agg((hi / mid).alias("max_mean"), (mid / lo).alias("mean_min"), (hi / lo).alias("max_min"))
+    return df.agg(quotient(hi, mid).alias("max_mean"), quotient(mid, lo).alias("mean_min"), quotient(hi, lo).alias("max_min"))
 
 
 def availability(df: DataFrame, mandatory: list[str], id_col: str = "id", ts: str = "timestamp") -> DataFrame:

@@ -1,6 +1,7 @@
 """Small literal frames, one for each decision about gaps, ties, nulls and open ends."""
 
 import datetime as dt
+import math
 
 import numpy as np
 import pytest
@@ -370,6 +371,16 @@ def test_calibration_without_factors_is_null(spark):
     assert {r["id"]: r["value"] for r in out.collect()} == {1: 5.0, 2: None}
 
 
+def test_ratios_over_zero(spark):
+    """As in floating-point arithmetic, and no error."""
+    df = frame(spark, "id long, g long, a double, b double", (1, 1, 2.0, 0.0), (2, 1, 0.0, 0.0), (3, 2, -1.0, 0.0), (4, 2, 3.0, 2.0), (5, 2, 1.0, None))
+    got = {r["id"]: r["ratio"] for r in stats.ratio_of_means(df, ["id"], "a", "b").collect()}
+    assert math.isnan(got.pop(2)) and got == {1: math.inf, 3: -math.inf, 4: 1.5}
+    two = {r["g"]: (r["mean_ratio"], r["ratio_of_sums"]) for r in stats.two_level_ratio(df.where("id != 2"), "id", "g", "a", "b").collect()}
+    assert two == {1: (math.inf, math.inf), 2: (-math.inf, 1.5)}
+    assert stats.method_comparison(df.withColumn("e", F.lit(0.0)), "b", ["a"], "e").first()["relative_difference"] == math.inf
+
+
 def test_bilinear_holds_to_the_grid(spark):
     surface = frame(spark, "m long, x double, y double, e double", *((1, 10.0 * i, 20.0 * j, float(i + 2 * j)) for i in range(3) for j in range(3)))
     df = frame(spark, "m long, x double, y double", (1, 5.0, 10.0), (1, 99.0, 99.0), (1, -5.0, 0.0), (2, 1.0, 1.0), (1, None, 1.0))
