@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from hearthline.functions.physics import quotient
+
 
 def calibration_factors(df: DataFrame, column: str, a: str, b: str, least_rows: int, day: Column, source: str = "source_type", id_col: str = "id") -> DataFrame:
     """By id the means over days of the daily mean and sample deviation of two source types.
@@ -17,9 +19,12 @@ def calibration_factors(df: DataFrame, column: str, a: str, b: str, least_rows:
 
 
 def create_calibrated(df: DataFrame, factors: DataFrame, column: str, a: str, source: str = "source_type", id_col: str = "id") -> DataFrame:
-    """df and, as source <a>_calibrated, the rows of source a moved and stretched to the other's mean and deviation; null without factors."""
+    """df and, as source <a>_calibrated, the rows of source a moved and stretched to the other's mean and deviation; null without factors.
+
+    A source without any deviation can't be stretched: its values come out infinite, or not a number at the mean itself.
+    """
     rows = df.where(F.col(source) == a).join(factors, id_col, "left")
-    value = F.when(F.col("std_a") != 0, (F.col(column) - F.col("mean_a")) / F.col("std_a") * F.col("std_b") + F.col("mean_b"))
+    value = quotient(F.col(column) - F.col("mean_a"), "std_a") * F.col("std_b") + F.col("mean_b")
     return df.unionByName(rows.withColumns({column: value, source: F.lit(f"{a}_calibrated")}).select(*df.columns))
 
 

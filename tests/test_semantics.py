@@ -371,6 +371,13 @@ def test_calibration_without_factors_is_null(spark):
     assert {r["id"]: r["value"] for r in out.collect()} == {1: 5.0, 2: None}
 
 
+def test_calibration_without_deviation(spark):
+    df = frame(spark, "id long, source_type string, value double", (1, "a", 1.0), (2, "a", 0.0), (3, "a", 3.0))
+    factors = frame(spark, "id long, mean_a double, std_a double, mean_b double, std_b double", *((i, 1.0, 0.0, 5.0, 4.0) for i in (1, 2, 3)))
+    got = {r["id"]: r["value"] for r in calibrate.create_calibrated(df, factors, "value", "a").where("source_type = 'a_calibrated'").collect()}
+    assert math.isnan(got.pop(1)) and got == {2: -math.inf, 3: math.inf}
+
+
 def test_ratios_over_zero(spark):
     """As in floating-point arithmetic, and no error."""
     df = frame(spark, "id long, g long, a double, b double", (1, 1, 2.0, 0.0), (2, 1, 0.0, 0.0), (3, 2, -1.0, 0.0), (4, 2, 3.0, 2.0), (5, 2, 1.0, None))
