@@ -424,3 +424,15 @@ def test_steps_are_counted_in_the_pass_itself(spark):
     middle = mask.filter_min_max(df, "value", 2, 7)
     want = [audit.audit_step("filter_min_max", df, middle, columns), audit.audit_step("filter_between", middle, mask.filter_between(middle, "value", 3, 5), columns)]
     assert got == [w.first().asDict() for w in want]
+
+
+def test_one_place_is_many_tasks(spark):
+    """Homes of a place are dealt to tasks by the size of the result; every pair comes once."""
+    weather = spark.createDataFrame([(p, float(i)) for p in (1, 2, None) for i in range(30)] + [(3, 1.0)], "place long, temp double")
+    homes = spark.createDataFrame([(i, 1) for i in range(60)] + [(60, 2), (61, None), (62, 4)], "id long, place long")
+    out = pivot.locations_expand(weather, homes, ["place"], rows_a_task=100)
+    sizes = [r["n"] for r in out.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    assert sum(sizes) == 61 * 30 and max(sizes) < 61 * 30 / 3
+    got = sorted((r["id"], r["temp"]) for r in out.collect())
+    assert got == sorted((i, float(t)) for i in range(61) for t in range(30))
+    assert pivot.locations_expand(weather, homes.where("id > 61"), ["place"]).count() == 0
