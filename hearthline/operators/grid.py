@@ -1,6 +1,7 @@
 """Regular grids: resampling and interpolation that knows its limits. Bins are counted from 1970 in whole steps.
 
-Grids are laid out, and gaps filled, by chunks of a series (see ``scan``), so that a long one is many tasks.
+Grids are laid out, and gaps filled, by chunks of a series (see ``scan``), so that a long one is many tasks; means of a
+filled grid are taken without laying it out.
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hearthline.functions.time import from_micros, micros, seconds_between
-from hearthline.operators.scan import CHUNK_S, neighbours
+from hearthline.operators.scan import CHUNK_S, neighbours, segmented, unnamed
 
 Keys = tuple[str, ...]
 LONG = ("id", "property")
@@ -82,12 +83,49 @@ def fill_limited(df: DataFrame, step_s: int, limit: int | None, column: str = "v
     return df.withColumn(column, F.when(F.col("_p0").isNotNull(), value)).drop("_us", "_v0", "_v1", "_p0", "_p1")
 
 
+def filled_means(df: DataFrame, step_s: int, target_s: int, limit: int | None, column: str = "value", keys: Keys = LONG, ts: str = "timestamp", chunk_s: float = CHUNK_S, least: int = 0) -> DataFrame:
+    """Means at target_s of ``fill_limited`` over ``resample_first``, without laying out the grid. Keys of fewer than least values are left out.
+
+    From one bin with a value to the next the filled grid is a straight line, so its ends give what it adds to a target step: a row for each
+    such stretch and target step takes the place of one for each bin. A null key's values don't count, as in ``resample_first``.
+    """
+    step, target = int(step_s) * 1_000_000, int(target_s) * 1_000_000
+    has = F.col("_v").isNotNull() & ~unnamed(keys)
+    bins = _binned(df, step_s, ts).groupBy(*keys, "_bin").agg(F.min_by(column, F.when(F.col(column).isNotNull(), F.col("_us"))).cast("double").alias("_v"), F.count(column).alias("_n"))
+    span = bins.groupBy(*keys).agg(F.min("_bin").alias("_a"), F.max("_bin").alias("_b"), F.min(F.when(has, F.col("_bin"))).alias("_first"), F.sum("_n").alias("_n")).where(F.col("_n") >= least)
+    here = F.struct(F.col("_v").alias("v"), F.col("_bin").alias("p"))
+    ends = segmented(
+        bins.where(has).drop("_n"), keys, ("_bin",), chunk_s,
+        lambda d, w: d.withColumn("_next", F.lead(here).over(w)),
+        {"_f": F.min_by(here, "_bin")},
+        lambda d, w: d.withColumn("_later", F.lead("_f").over(w)).drop("_f"),
+    )
+    after = F.coalesce("_next", "_later")
+    ends = ends.select(*keys, F.col("_bin").alias("_from"), "_v", after["v"].alias("_v1"), after["p"].alias("_p1")).join(span.select(*keys, "_b"), [*keys])
+    ends = ends.withColumn("_to", F.coalesce(F.col("_p1") - step, F.col("_b"))).drop("_b")
+    none = F.lit(None).cast("double")
+    before = span.where(F.col("_first").isNull() | (F.col("_first") > F.col("_a"))).select(*keys, F.col("_a").alias("_from"), none.alias("_v"), none.alias("_v1"), F.lit(None).cast("long").alias("_p1"), F.coalesce(F.col("_first") - step, F.col("_b")).alias("_to"))
+    parts = ends.unionByName(before)
+    inside = lambda us: F.col(us) - F.pmod(F.col(us), F.lit(target))
+    parts = parts.withColumn("_t", F.explode(F.sequence(inside("_from"), inside("_to"), F.lit(target))))
+    # first bin from a time on; the target's step need not be a whole number of bins
+    bin_from = lambda us: us + F.pmod(-us, F.lit(step))
+    parts = parts.withColumns({"_lo": F.greatest("_from", bin_from(F.col("_t"))), "_hi": F.least("_to", bin_from(F.col("_t") + target) - step)}).where("_lo <= _hi")
+    held = F.col("_hi") if limit is None else F.least("_hi", F.col("_from") + limit * step)
+    parts = parts.withColumn("_k", F.when(F.col("_v").isNotNull(), F.greatest((held - F.col("_lo")) / F.lit(step) + 1, F.lit(0.0))).otherwise(0.0))
+    # the middle of the line's bins, from the first of them
+    past = F.col("_lo") - F.col("_from") + (F.col("_k") - 1) * F.lit(step / 2)
+    value = F.when(F.col("_p1").isNull() | (past == 0), F.col("_v")).otherwise(F.col("_v") + (F.col("_v1") - F.col("_v")) * past / (F.col("_p1") - F.col("_from")))
+    out = parts.groupBy(*keys, "_t").agg(F.sum(F.when(F.col("_k") > 0, F.col("_k") * value)).alias("_s"), F.sum("_k").alias("_k"))
+    return out.select(*keys, from_micros(df, ts, F.col("_t")).alias(ts), F.when(F.col("_k") > 0, F.col("_s") / F.col("_k")).alias(column))
+
+
 def interpolate_time(df: DataFrame, step_s: int, target_s: int, limit: int | None, column: str = "value", keys: Keys = LONG, ts: str = "timestamp", as_integer: bool = False, chunk_s: float = CHUNK_S) -> DataFrame:
     """First values at step_s, gaps filled up to limit rows, means at target_s. Series of two values or fewer are left out.
 
     as_integer restores whole numbers, halves to even.
     """
-    out = resample_agg(fill_limited(resample_first(df, step_s, column, keys, ts, chunk_s, least=3), step_s, limit, column, keys, ts, chunk_s), target_s, "mean", column, keys, ts, every=False)
+    out = filled_means(df, step_s, target_s, limit, column, keys, ts, chunk_s, least=3)
     return out.withColumn(column, F.rint(column).cast("long")) if as_integer else out
 
 

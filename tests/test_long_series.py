@@ -436,3 +436,19 @@ def test_one_place_is_many_tasks(spark):
     got = sorted((r["id"], r["temp"]) for r in out.collect())
     assert got == sorted((i, float(t)) for i in range(61) for t in range(30))
     assert pivot.locations_expand(weather, homes.where("id > 61"), ["place"]).count() == 0
+
+
+@pytest.mark.parametrize(("step", "target", "limit"), [(2, 6, None), (2, 6, 1), (3, 7, 2), (4, 2, None), (2, 20, 0)])
+def test_filled_means_are_those_of_the_laid_out_grid(spark, step, target, limit):
+    """Also with nulls at either end, steps that don't divide each other, null keys, and gaps over the limit; with few rows for long gaps."""
+    rng = random.Random(step * target)
+    rows = [(k, T0 + dt.timedelta(seconds=at), rng.choice([None, 1.0, 2.5, 7.0])) for k in (1, 2, 3, None) for at in sorted(rng.sample(range(1, 90), 14))]
+    rows += [(4, T0, None), (4, T0 + dt.timedelta(seconds=31), None), (5, T0, 1.0), (6, T0, 1.0), (6, T0 + dt.timedelta(days=200), 9.0)]
+    df = spark.createDataFrame(rows, "id long, timestamp timestamp_ntz, value double")
+    some = df.where("id is null or id != 6")
+    shape = lambda d: sorted((r["id"] or -1, r["timestamp"], None if r["value"] is None else round(r["value"], 9)) for r in d.collect())
+    laid = grid.resample_agg(grid.fill_limited(grid.resample_first(some, step, keys=("id",)), step, limit, keys=("id",)), target, "mean", keys=("id",), every=False)
+    for chunk_s in (10, grid.CHUNK_S):
+        assert shape(grid.filled_means(some, step, target, limit, keys=("id",), chunk_s=chunk_s)) == shape(laid)
+    long = grid.filled_means(df.where("id = 6"), 1, 86_400, None, keys=("id",))
+    assert long.count() == 201 and long.agg(F.avg("value")).first()[0] == pytest.approx(5, abs=0.03)
