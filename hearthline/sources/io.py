@@ -3,10 +3,19 @@
 from __future__ import annotations
 
 import datetime as dt
+import os
+import re
+import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from itertools import batched, groupby, pairwise
+from operator import itemgetter
 from zoneinfo import ZoneInfo
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -53,11 +62,79 @@ def write_bucketed(df: DataFrame, name: str, keys: list[str] = ["id"], ts: str =
     return df.sparkSession.table(name)
 
 
+def _mounted(spark: SparkSession, path: str) -> str | None:
+    """The path in the file system that driver and executors mount; None for one of another kind."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    return fs.makeQualified(at).toUri().getPath() if fs.getUri().getScheme() == "file" else None
+
+
+def _folder(column: str, value: str) -> str:
+    """The name of a partition's folder."""
+    return "=".join(re.sub(r"""[\x01-\x1f\x7f"#%'*/:=?\\{\[\]^]""", lambda m: f"%{ord(m[0]):02X}", t) for t in (column, value))
+
+
+def _write_table(name: str, batches: Iterator[pa.RecordBatch]) -> None:
+    writer = None
+    for some in batched(batches, 100):
+        writer = writer or pq.ParquetWriter(name, some[0].schema)
+        writer.write_table(pa.Table.from_batches(some))
+    writer.close()
+
+
+def _write_in_tasks(df: DataFrame, path: str, id_col: str, ending: str, write: Callable[[str, Iterator[pa.RecordBatch]], None]) -> None:
+    """A mounted folder with a folder for each id and in it a file for each _file, written by write(name, its rows without both columns).
+
+    Each file is written by the task that holds its rows, under a name of its own until it is whole; the folder has its name once all are.
+    Spark's writer starts some processes for each local file (to set its rights, where Hadoop's native library is missing), which
+    for small homes costs many times as much as the rows.
+    """
+    if os.path.exists(path):
+        raise FileExistsError(path)
+    stage = f"{os.path.dirname(path)}/_{os.path.basename(path)}-{uuid.uuid4().hex}"
+    names = [c for c in df.columns if c not in (id_col, "_file")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def pieces():
+            for b in batches:
+                homes, files = (b.column(c).to_numpy(zero_copy_only=False) for c in ("_home", "_file"))
+                rows = b.select(names)
+                cuts = np.flatnonzero((homes[1:] != homes[:-1]) | (files[1:] != files[:-1])) + 1
+                for i, j in pairwise([0, *cuts.tolist(), b.num_rows]) if b.num_rows else ():
+                    yield (homes[i], int(files[i])), rows.slice(i, j - i)
+
+        n = 0
+        for (home, file), rows in groupby(pieces(), itemgetter(0)):
+            folder = f"{stage}/{_folder(id_col, home)}"
+            os.makedirs(folder, exist_ok=True)
+            temporary = f"{folder}/.{uuid.uuid4().hex}"
+            write(temporary, (r for _, r in rows))
+            os.replace(temporary, f"{folder}/part-{file:05d}{ending}")
+            n += 1
+        yield pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int64())})
+
+    home = F.coalesce(F.nullif(F.col(id_col).cast("string"), F.lit("")), F.lit("__HIVE_DEFAULT_PARTITION__"))
+    dealt = df.withColumn("_home", home).repartition("_home", "_file").sortWithinPartitions("_home", "_file").select("_home", "_file", *names)
+    os.makedirs(stage)
+    try:
+        dealt.mapInArrow(run, "n long").agg(F.sum("n")).collect()
+        open(f"{stage}/_SUCCESS", "wb").close()
+        os.rename(stage, path)
+    except BaseException:
+        shutil.rmtree(stage, ignore_errors=True)
+        raise
+
+
 def write_per_home(df: DataFrame, path: str, id_col: str = "id", rows_a_file: int = 5_000_000) -> None:
     """A folder of Parquet files for each id; rows are dealt by id, so that each folder has few files, and a home of more than rows_a_file rows is dealt to several tasks."""
     sizes = df.groupBy(F.col(id_col).alias("_home")).agg(F.ceil(F.count("*") / F.lit(rows_a_file)).cast("int").alias("_files")).where("_files > 1")
-    dealt = df.join(sizes, F.col(id_col) == F.col("_home"), "left").withColumn("_file", F.pmod(F.xxhash64(*df.columns), F.coalesce("_files", F.lit(1))))
-    dealt.repartition(id_col, "_file").select(*df.columns).write.partitionBy(id_col).parquet(path)
+    dealt = df.join(sizes, F.col(id_col) == F.col("_home"), "left").withColumn("_file", F.pmod(F.xxhash64(*df.columns), F.coalesce("_files", F.lit(1)))).select(*df.columns, "_file")
+    mounted = _mounted(df.sparkSession, path)
+    plain = (T.NumericType, T.StringType, T.BinaryType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
+    if mounted and all(isinstance(f.dataType, plain) for f in df.schema if f.name != id_col):
+        _write_in_tasks(dealt, mounted, id_col, ".parquet", _write_table)
+    else:
+        dealt.repartition(id_col, "_file").select(*df.columns).write.partitionBy(id_col).parquet(path)
 
 
 def write_csv_per_home(df: DataFrame, path: str, id_col: str = "id", ts: str = "timestamp", zone: str = "UTC") -> None:

@@ -1,9 +1,11 @@
 """Scans in chunks, interval joins, order statistics and nearest points against plain brute force."""
 
 import datetime as dt
+import gzip
 import math
 import random
 import statistics
+from decimal import Decimal
 
 import numpy as np
 import pytest
@@ -373,6 +375,41 @@ def test_a_large_home_has_several_files(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/homes").count() == 1000
 
 
+@pytest.mark.parametrize("kind", ["parquet"])
+def test_homes_are_written_without_more_files(spark, tmp_path, monkeypatch, kind):
+    """A folder and a file a home and nothing beside; odd names and values as by Spark's own writer, which serves file systems that aren't mounted."""
+    from hearthline.sources import io
+
+    write = {"parquet": io.write_per_home, "csv": io.write_csv_per_home}[kind]
+    ids = [None, "", "a b", "ü", *(f"x{chr(c)}y" for c in range(1, 128) if chr(c) not in "\n\r")]
+    texts = [None, "", " ", "a,b", 'say "so"', "a\nb", "\\", "ü", "#", "-"]
+    rows = [(i, dt.datetime(2024, 1, 1, 0, 0, n % 60, 7), texts[n % 10], None if n % 7 == 0 else n * 1e6 / 3, n, dt.date(1500, 1, 1), Decimal(n), b"\x00") for n, i in enumerate(ids * 11)]
+    df = spark.createDataFrame(rows, "id string, timestamp timestamp, text string, value double, n long, day date, amount decimal(12,3), raw binary")
+    df = df.drop("raw") if kind == "csv" else df
+    write(df, f"{tmp_path}/new")
+    with monkeypatch.context() as m:
+        m.setattr(io, "_mounted", lambda *_: None)
+        write(df, f"{tmp_path}/spark")
+    folders = {f.name for f in (tmp_path / "spark").glob("id=*")}
+    files = [f.relative_to(tmp_path / "new") for f in (tmp_path / "new").rglob("*") if f.is_file()]
+    assert {f.name for f in (tmp_path / "new").iterdir()} == folders | {"_SUCCESS"} and len(files) == len(folders) + 1
+    if kind == "csv":
+        content = lambda f: sorted(gzip.decompress(f.read_bytes()).decode().replace("a\nb", "a b").split("\n"))
+        assert all(content(tmp_path / "new" / f) == content(next((tmp_path / "spark" / f.parent).glob("*.gz"))) for f in files if f.name != "_SUCCESS")
+    else:
+        new, old = (spark.read.parquet(f"{tmp_path}/{n}") for n in ("new", "spark"))
+        assert new.dtypes == old.dtypes and new.exceptAll(old).isEmpty() and old.exceptAll(new).isEmpty() and new.count() == len(rows)
+    with pytest.raises(FileExistsError):
+        write(df, f"{tmp_path}/new")
+
+
+def test_no_homes_at_all(spark, tmp_path):
+    from hearthline.sources import io
+
+    io.write_per_home(spark.range(0).withColumn("value", F.lit(1.0)), f"{tmp_path}/none")
+    assert [f.name for f in (tmp_path / "none").iterdir()] == ["_SUCCESS"]
+
+
 @pytest.mark.parametrize("n", [2, 3, 4, 5, 9])
 def test_slopes_are_exact_on_cubics(n):
     at_ = np.cumsum([0.5, 1, 2, 0.7, 1.3, 1, 3, 0.2, 1][:n])
