@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import gzip
 import os
 import re
 import shutil
@@ -140,7 +141,21 @@ def write_per_home(df: DataFrame, path: str, id_col: str = "id", rows_a_file: in
 def write_csv_per_home(df: DataFrame, path: str, id_col: str = "id", ts: str = "timestamp", zone: str = "UTC") -> None:
     """A folder of gzipped CSV for each id, with ISO times and their offset."""
     offset = F.date_format(F.col(ts).cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ssXXX") if zone == "UTC" else F.date_format(F.from_utc_timestamp(ts, zone), "yyyy-MM-dd'T'HH:mm:ss")
-    df.withColumn(ts, offset).repartition(id_col).write.partitionBy(id_col).option("header", True).option("compression", "gzip").csv(path)
+    df = df.withColumn(ts, offset)
+    mounted, names = _mounted(df.sparkSession, path), [c for c in df.columns if c != id_col]
+    if not mounted or len(names) < 2:  # to_csv fails on a lone null
+        df.repartition(id_col).write.partitionBy(id_col).option("header", True).option("compression", "gzip").csv(path)
+        return
+    header = df.sparkSession.range(1).select(F.to_csv(F.struct(*(F.lit(n).alias(n) for n in names)))).first()[0]
+
+    def write(name: str, batches: Iterator[pa.RecordBatch]) -> None:
+        with gzip.open(name, "wb", 6) as f:
+            f.write(f"{header}\n".encode())
+            for b in batches:
+                f.write("".join(f"{line}\n" for line in b.column(0).to_pylist()).encode())
+
+    lines = df.select(id_col, F.lit(0).alias("_file"), F.to_csv(F.struct(*names)).alias("_line"))
+    _write_in_tasks(lines, mounted, id_col, ".csv.gz", write)
 
 
 def read_csv_house(spark: SparkSession, paths: str | list[str], start: str | None = None, end: str | None = None, properties: list[str] | None = None) -> DataFrame:

@@ -375,7 +375,7 @@ def test_a_large_home_has_several_files(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/homes").count() == 1000
 
 
-@pytest.mark.parametrize("kind", ["parquet"])
+@pytest.mark.parametrize("kind", ["parquet", "csv"])
 def test_homes_are_written_without_more_files(spark, tmp_path, monkeypatch, kind):
     """A folder and a file a home and nothing beside; odd names and values as by Spark's own writer, which serves file systems that aren't mounted."""
     from hearthline.sources import io
@@ -403,6 +403,18 @@ def test_homes_are_written_without_more_files(spark, tmp_path, monkeypatch, kind
         write(df, f"{tmp_path}/new")
 
 
+@pytest.mark.parametrize("more", ["", ", value double", ', `a "b", c` string'])
+def test_csv_homes_of_nulls(spark, tmp_path, monkeypatch, more):
+    from hearthline.sources import io
+
+    df = spark.createDataFrame([(i, t, None) if more else (i, t) for i in (1, 2) for t in (None, T0)], "id long, timestamp timestamp" + more)
+    io.write_csv_per_home(df, f"{tmp_path}/new")
+    monkeypatch.setattr(io, "_mounted", lambda *_: None)
+    io.write_csv_per_home(df, f"{tmp_path}/spark")
+    content = lambda n, i: [sorted(gzip.decompress(f.read_bytes()).decode().split("\n")) for f in (tmp_path / n / f"id={i}").glob("*.gz")]
+    assert all(content("new", i) == content("spark", i) for i in (1, 2))
+
+
 def test_no_homes_at_all(spark, tmp_path):
     from hearthline.sources import io
 
