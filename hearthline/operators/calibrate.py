@@ -11,9 +11,11 @@ from hearthline.functions.physics import quotient
 def calibration_factors(df: DataFrame, column: str, a: str, b: str, least_rows: int, day: Column, source: str = "source_type", id_col: str = "id") -> DataFrame:
     """By id the means over days of the daily mean and sample deviation of two source types.
 
-    Days count if each source has least_rows rows or more and both its mean and its deviation.
+    Days count if each source has least_rows rows or more and both its mean and its deviation. Values that are all the same have none at all:
+    the deviation of many such, summed up in parts, comes out of rounding.
     """
-    daily = df.where(F.col(source).isin(a, b)).groupBy(id_col, day.alias("_day"), source).agg(F.avg(column).alias("m"), F.stddev_samp(column).alias("s"), F.count("*").alias("n")).where(F.col("n") >= least_rows)
+    deviation = F.when((F.min(column) == F.max(column)) & (F.count(column) > 1), F.lit(0.0)).otherwise(F.stddev_samp(column))
+    daily = df.where(F.col(source).isin(a, b)).groupBy(id_col, day.alias("_day"), source).agg(F.avg(column).alias("m"), deviation.alias("s"), F.count("*").alias("n")).where(F.col("n") >= least_rows)
     both = daily.groupBy(id_col, "_day").agg(*(F.max(F.when(F.col(source) == x, F.col(v))).alias(f"{n}_{k}") for k, x in (("a", a), ("b", b)) for n, v in (("mean", "m"), ("std", "s")))).dropna()
     return both.groupBy(id_col).agg(*(F.avg(c).alias(c) for c in ("mean_a", "std_a", "mean_b", "std_b")))
 

@@ -397,6 +397,14 @@ def test_calibration_without_deviation(spark):
     assert math.isnan(got.pop(1)) and got == {2: -math.inf, 3: math.inf}
 
 
+def test_equal_values_have_no_deviation(spark):
+    """However many there are, and in however many parts they are summed up."""
+    rows = [(i, s, 10.0 * i + 0.1 * i) for i in range(1, 9) for s in "ab" for _ in range(60)]
+    df = frame(spark, "id long, source_type string, value double", *rows).repartition(16)
+    factors = calibrate.calibration_factors(df, "value", "a", "b", 2, F.lit(1))
+    assert {(r["id"], r["std_a"], r["std_b"]) for r in factors.collect()} == {(i, 0.0, 0.0) for i in range(1, 9)}
+
+
 def test_ratios_over_zero(spark):
     """As in floating-point arithmetic, and no error."""
     df = frame(spark, "id long, g long, a double, b double", (1, 1, 2.0, 0.0), (2, 1, 0.0, 0.0), (3, 2, -1.0, 0.0), (4, 2, 3.0, 2.0), (5, 2, 1.0, None))
