@@ -470,3 +470,43 @@ def test_expected_uses_by_enumeration():
                 want[k] += n * p / sum(q for q, _ in found)
     got = lattice.uses([b"thea", b"hello"])
     assert {k: pytest.approx(v) for k, v in want.items()} == {int(k): float(got[k]) for k in np.flatnonzero(got)}
+
+
+def test_pieces_are_learned_from_all_words(spark, monkeypatch):
+    """However many there are, and however long: as by one process over the whole list."""
+    monkeypatch.setattr(lm, "LEARNED_FROM", 5, raising=False)
+    rng = random.Random(4)
+    rows = [(i, " ".join("".join(rng.choice("abcdeé漢☃the") for _ in range(rng.choice([1, 4, 9, 300]))) for _ in range(9)), "en", "a", 1) for i in range(60)]
+    words = sorted({w for i, t, *_ in rows for w in lm.words_of(t) if zlib.crc32(str(i).encode()) % 10})
+    path = lm.vocabulary_path()
+    own, weights = lm.Lattice(path), None
+    for _ in range(lm.ROUNDS):
+        at = lm.Lattice(path, weights)
+        uses = sum(at.uses([w]) for w in words)
+        # every character is in a piece, or spelled by bytes
+        assert sum(n * len(own.m.pieces[i]) for n, i in zip(uses, own.m.ids)) == pytest.approx(sum(1 + sum("▁" + c in own.m.pieces or c in own.m.pieces for c in w.decode()) for w in words))
+        weights = own.learned(uses)
+    plain = lm.Lattice(path, weights)
+    counts = Counter(w for i, t, *_ in rows for w in lm.words_of(t) if zlib.crc32(str(i).encode()) % 10)
+    new = len(counts) / (sum(counts.values()) + len(counts))
+    arc = (1 - new) / sum(counts.values())
+    ends = sum(zlib.crc32(str(i).encode()) % 10 != 0 for i, *_ in rows)
+    stop = (ends + 1) / (sum(counts.values()) + ends + 2)
+
+    def score(t):
+        ws = lm.words_of(t)
+        pieces = plain.log10(ws)
+        return math.log10(stop) + sum(math.log10(1 - stop) + (math.log10(arc * counts[w] + new * 10**p) if w in counts else math.log10(new) + p) for w, p in zip(ws, pieces))
+
+    got = {r["doc_id"]: r["score"] for r in lm.score_documents(frame(spark, rows), learn=True).collect()}
+    assert got == {i: pytest.approx(score(t)) for i, t, *_ in rows}
+
+
+def test_improbable_words_are_summed_in_log_space(monkeypatch):
+    lattice = lm.Lattice(lm.vocabulary_path())
+    some = ["☃漢𝄞".encode() * n for n in (1, 30, 80)] + [b"hello", b"thethe"]
+    one = [lattice.log10([w])[0] for w in some]
+    assert one[2] < -400 and one[2] == pytest.approx(one[1] * 80 / 30, rel=0.05)
+    uses = lattice.uses(some)
+    monkeypatch.setattr(lm, "SMALL", 1.0)
+    assert lattice.log10(some) == pytest.approx(one) and lattice.uses(some) == pytest.approx(uses)
